@@ -1,24 +1,9 @@
 """PySpark operators for stored web corpora and crawl logs."""
 
-from __future__ import annotations
+import sys
 
-import shutil
-import tempfile
-from pathlib import Path
+from pyspark import cloudpickle
 
-from pyspark.sql import SparkSession
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors. Needed once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = Path(__file__).resolve().parent
-    archive = shutil.make_archive(
-        str(Path(tempfile.mkdtemp(prefix="pageframe-")) / "pageframe"), "zip", package.parent, package.name
-    )
-    spark.sparkContext.addPyFile(archive)
-    _shipped.add(app)
+# The few functions that run in Python workers travel with the job, so the
+# package need not be installed on the executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

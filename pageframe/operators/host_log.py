@@ -84,7 +84,7 @@ def retry_plan(log: DataFrame, base_ms: int = 250, strategy: str = "exponential"
     """
     backoff = F.least(F.lit(float(MAX_BACKOFF_MS)), F.pow(F.lit(2.0), F.col("attempt")) * float(max(1, base_ms)))
     asked = F.when(F.col("retry_after").rlike("^[0-9]+$"), F.col("retry_after").try_cast("bigint"))
-    asked_ms = F.least(F.lit(MAX_RETRY_AFTER_S), asked) * 1000.0
+    asked_ms = F.when(asked.isNotNull(), F.least(F.lit(MAX_RETRY_AFTER_S), asked)) * 1000.0
     planned = retryable(log).withColumns(
         {
             "delay_ms": F.greatest(backoff, asked_ms).cast("bigint"),

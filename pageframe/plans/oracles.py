@@ -206,12 +206,12 @@ select page_id, url from {PARTS} p where {AUTHORITY} = 'h1.example.com' and not
   and (contains(url, '/d1/') or contains(url, '/d2/') or contains(url, '/f3')) and url not like '%.html'"""
 ORACLES["valid_urls"] = f"""
 with u as (select page_id, url, lower({URL_PATH}) as path, {AUTHORITY} as host,
-        ends_with(lower(url), '.pdf') or ends_with(lower(url), '.png') as wanted from {PARTS} p),
-v as (select *, ends_with(path, '.pdf') or ends_with(path, '.png') as wanted_path, starts_with(path, '/d2') as below from u
-      where not contains(url, '#') and host = 'h2.example.com'
+        ends_with(lower(url), '.png') or ends_with(lower(url), '.zip') as wanted from {PARTS} p),
+v as (select *, ends_with(path, '.png') or ends_with(path, '.zip') as wanted_path, starts_with(path, '/d2') as below from u
+      where not contains(url, '#') and host = 'h3.example.com'
         and (wanted or not regexp_matches(url, '(?i)\\.(css|js)$|\\.(jpg|jpeg|png|gif|bmp|svg|webp)$')))
 select page_id, url from v where (not below and wanted_path)
-   or (below and url not like '%/d2/%' and (not contains(path, '.') or regexp_extract(path, '([^.]*)$', 1) in ('pdf', 'png')))"""
+   or (below and url not like '%/f3%' and (not contains(path, '.') or regexp_extract(path, '([^.]*)$', 1) in ('png', 'zip')))"""
 ORACLES["downloadable_links"] = f"select page_id, url from {PARTS} p where {EXT} in ('pdf', 'md', 'gz')"
 _MIME = "(values " + ", ".join(f"({lit(m)}, {lit(e)})" for m, e in MIME_EXTENSIONS.items()) + ") m(mime, mime_ext)"
 ORACLES["mime_ext_join"] = f"""
@@ -303,7 +303,7 @@ _CHALLENGE = either(lambda p: f"contains(lower(html), {lit(p)})", CHALLENGE_PHRA
 ORACLES["render_class"] = f"""
 with p as (select page_id, page_id % 8 = 0 as framework_script, page_id % 8 = 1 as app_root, false as little_text,
              page_id % 8 = 2 as hydration, {_CHALLENGE} as challenge, page_id % 8 = 4 as generator from {_RENDER} r
-  union all select -page_id - 1, false, false, 4 * (page_id % 80) < 200 and page_id % 7 > 3, false, {_CHALLENGE}, false from pages)
+  union all select -page_id - 1, false, false, 5 * (page_id % 80) - 1 < 200 and page_id % 7 > 3, false, {_CHALLENGE}, false from pages)
 select *, framework_script or app_root or little_text or hydration or challenge or generator as needs_render from p"""
 _SCORE = " + ".join(f"cast(regexp_matches(lower(html), {lit('(?is)' + p)}) as int)" for p in DYNAMIC_PATTERNS)
 _URL_SAYS = either(lambda w: f"contains(lower(url), {lit(w)})", DYNAMIC_URL_WORDS)

@@ -158,7 +158,7 @@ def html_tables(spark, sf_dir):
         "page_id",
         joined("headers").alias("headers"),
         joined("header_row").alias("header_row"),
-        joined(F.transform("rows", joined), "/").alias("rows"),
+        joined(F.transform("rows", lambda row: joined(row)), "/").alias("rows"),
     )
 
 
@@ -310,8 +310,8 @@ def crawlable_links(spark, sf_dir):
 
 @query
 def valid_urls(spark, sf_dir):
-    visited = X.part_urls(spark, sf_dir).filter("url LIKE '%/d2/%'").select("url")
-    kept = UF.valid_urls(X.part_urls(spark, sf_dir), "h2.example.com", "/d2", ["pdf", "png"], visited=visited)
+    visited = X.part_urls(spark, sf_dir).filter("url LIKE '%/f3%'").select("url")
+    kept = UF.valid_urls(X.part_urls(spark, sf_dir), "h3.example.com", "/d2", ["png", "zip"], visited=visited)
     return kept.select("page_id", "url")
 
 

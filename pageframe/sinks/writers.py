@@ -17,8 +17,10 @@ def write_pages_json(records: DataFrame, folder: str) -> None:
 
 
 def _csv(writer, folder: str) -> None:
-    # quotes are doubled, so any text reads back as written
-    writer.option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).csv(folder)
+    # quotes are doubled and white space is kept, so any text reads back as written
+    writer.options(
+        header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(folder)
 
 
 def write_pages_csv(records: DataFrame, folder: str) -> None:
