@@ -21,7 +21,7 @@ from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Elements that never have content.
@@ -66,6 +66,10 @@ class _TreeReader(HTMLParser):
         self._preformatted = 0
         self._pending = []
 
+    def updatepos(self, i, j):
+        # line numbers are not needed
+        return j
+
     def read(self, html):
         try:
             self.feed(html)
@@ -268,3 +272,15 @@ def find_all(nodes: Column, matches) -> Column:
 
 def find_first(nodes: Column, matches) -> Column:
     return first(F.filter(nodes, matches))
+
+
+def explode_rows(df: DataFrame, keep: list, items: Column, name: str, position: str | None = None) -> DataFrame:
+    """One row per element of `items`, as `name`, beside the columns in `keep`.
+
+    A plain explode makes the optimizer repeat `items` in a filter on its size,
+    which would run a parse twice. The outer form does not, and the row it makes
+    of an empty array is dropped afterwards.
+    """
+    if position is None:
+        return df.select(*keep, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())
+    return df.select(*keep, F.posexplode_outer(items).alias(position, name)).filter(F.col(position).isNotNull())

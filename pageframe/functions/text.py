@@ -53,7 +53,7 @@ def keyword_matches(text: Column, keywords: list[str | int | float]) -> Column:
     for keyword in keywords:
         if isinstance(keyword, str):
             re.compile(keyword)
-            found.append(F.regexp_extract_all(text, F.lit(f"(?iu){keyword}"), F.lit(0)))
+            found.append(F.regexp_extract_all(text, F.lit(f"(?iU){keyword}"), F.lit(0)))
         else:
             plain = str(keyword)
             found.append(F.when(F.lower(text).contains(plain.lower()), F.array(F.lit(plain))).otherwise(F.array()))

@@ -141,6 +141,7 @@ def resolve_one(base: Column, raw: Column) -> Column:
             F.when((r == "") | starts_with_any(r, SKIPPED_PREFIXES), F.lit(None).cast("string"))
             .when(plain & rooted, F.concat(origin, r))
             .when(plain & absolute, r)
+            .when(absolute & foreign & ~r.contains("#"), r)
             .when(absolute & foreign, F.regexp_replace(without_fragment(r), r"\?$", ""))
             .otherwise(_resolve_general(base, r))
         )

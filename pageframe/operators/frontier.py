@@ -15,7 +15,8 @@ def dedup_urls(df: DataFrame) -> DataFrame:
     return df.groupBy("url").agg(F.min("depth").alias("depth"))
 
 
-HOT_SHARE = 1000  # a source with over 1/1000 of all edges is hot, so there are under 1000 of them
+HOT_SHARE = 1000  # a hot source has over 1/1000 of all edges, so there are under 1000 of them
+HOT_MIN_EDGES = 10_000
 SALTS = 64
 
 
@@ -23,7 +24,7 @@ def _salted_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges by src and salt, hot sources): the edges of a hot source are spread over all salts."""
     total = edges.count()
     hot = cut_lineage(
-        edges.groupBy("src").count().filter(F.col("count") > max(total // HOT_SHARE, 10_000)).select("src")
+        edges.groupBy("src").count().filter(F.col("count") > max(total // HOT_SHARE, HOT_MIN_EDGES)).select("src")
     )
     marked = edges.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "src", "left")
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))

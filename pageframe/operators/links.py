@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageframe.functions.html_tree import attr, find_all, find_first, has_attr, is_tag, strip, subtree
+from pageframe.functions.html_tree import attr, explode_rows, find_all, find_first, has_attr, is_tag, strip, subtree
 from pageframe.functions.urls import resolve_all, resolve_one, url_struct
 
 DATA_ATTRIBUTES = ["data-href", "data-url", "data-link", "data-target", "data-src"]
@@ -101,11 +101,8 @@ def links(parsed: DataFrame, kinds: list[str] | None = None, honor_base: bool =
         lambda r: F.struct(r["link_kind"].alias("link_kind"), resolve_one(base, r["raw"]).alias("url")),
     )
     found = F.array_distinct(F.filter(resolved, lambda r: r["url"].isNotNull()))
-    return (
-        _with_base(parsed, honor_base)
-        .select("page_id", F.col("url").alias("src_url"), F.explode(found).alias("link"))
-        .select("page_id", "src_url", "link.link_kind", "link.url")
-    )
+    rows = explode_rows(_with_base(parsed, honor_base), ["page_id", F.col("url").alias("src_url")], found, "link")
+    return rows.select("page_id", "src_url", "link.link_kind", "link.url")
 
 
 def _tagged(kind: str):
@@ -121,6 +118,5 @@ def links_col(tree: Column, base: Column, kinds: list[str] | None = None) -> Col
 def page_links(parsed: DataFrame, kinds: list[str] | None = None, honor_base: bool = False) -> DataFrame:
     """One row per page and URL, distinct over the kinds."""
     based = _with_base(parsed, honor_base)
-    return based.select(
-        "page_id", F.col("url").alias("src_url"), F.explode(links_col(F.col("tree"), F.col("base"), kinds)).alias("url")
-    )
+    urls = links_col(F.col("tree"), F.col("base"), kinds)
+    return explode_rows(based, ["page_id", F.col("url").alias("src_url")], urls, "link").withColumnRenamed("link", "url")

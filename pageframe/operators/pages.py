@@ -15,6 +15,7 @@ from pageframe.functions.constants import BINARY_TYPES
 from pageframe.functions.html_tree import (
     attr,
     attr_contains,
+    explode_rows,
     find_all,
     find_first,
     first,
@@ -34,15 +35,29 @@ HEADING_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 PRODUCT_FIELDS = ["title", "price", "description", "reviews", "image", "url"]
 
 
+SMALL_TASK_BYTES = 16 << 20
+
+
+def spread(pages: DataFrame) -> DataFrame:
+    """Gives every core a share of an input too small to be split by its files.
+
+    Parsing costs far more than moving such an input. Anything above a few
+    megabytes per core already has its own partitions and is not shuffled.
+    """
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return pages.repartition(cores) if size < cores * SMALL_TASK_BYTES else pages
+
+
 def parse_pages(pages: DataFrame, *keep: str) -> DataFrame:
     """page_id, url, tree and the columns named in `keep`; the html itself goes no further."""
-    return pages.select("page_id", "url", *keep, parse_tree("html").alias("tree"))
+    return spread(pages).select("page_id", "url", *keep, parse_tree("html").alias("tree"))
 
 
 def to_nodes(parsed: DataFrame) -> DataFrame:
     """One row per element."""
     text = text_of(F.col("tree"), F.col("node"))
-    return parsed.select("page_id", "tree", F.explode("tree.nodes").alias("node")).select(
+    return explode_rows(parsed, ["page_id", "tree"], F.col("tree.nodes"), "node").select(
         "page_id",
         "node.node_id",
         "node.end_id",
@@ -441,7 +456,7 @@ def main_markdown(parsed: DataFrame) -> DataFrame:
 
 def products(parsed: DataFrame) -> DataFrame:
     """One row per product card that has a title or a price."""
-    exploded = parsed.select("page_id", "url", F.posexplode(products_col(F.col("tree"))).alias("card_no", "product"))
+    exploded = explode_rows(parsed, ["page_id", "url"], products_col(F.col("tree")), "product", "card_no")
     number = F.regexp_extract(F.regexp_replace("price", ",", ""), r"(\d+(?:\.\d+)?)", 1)
     return exploded.select(
         "page_id",
@@ -453,15 +468,14 @@ def products(parsed: DataFrame) -> DataFrame:
 
 def html_tables(parsed: DataFrame) -> DataFrame:
     """One row per table that holds anything."""
-    return parsed.select(
-        "page_id", "url", F.posexplode(html_tables_col(F.col("tree"))).alias("table_no", "content")
-    ).select("page_id", "url", "table_no", "content.headers", "content.header_row", "content.rows")
+    found = explode_rows(parsed, ["page_id", "url"], html_tables_col(F.col("tree")), "content", "table_no")
+    return found.select("page_id", "url", "table_no", "content.headers", "content.header_row", "content.rows")
 
 
 def table_cells(parsed: DataFrame) -> DataFrame:
     """One row per data cell of every table."""
-    rows = html_tables(parsed).select("page_id", "table_no", F.posexplode("rows").alias("row_no", "row"))
-    return rows.select("page_id", "table_no", "row_no", F.posexplode("row").alias("col_no", "cell"))
+    rows = explode_rows(html_tables(parsed), ["page_id", "table_no"], F.col("rows"), "row", "row_no")
+    return explode_rows(rows, ["page_id", "table_no", "row_no"], F.col("row"), "cell", "col_no")
 
 
 def structured_col(tree: Column) -> Column:

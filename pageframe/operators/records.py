@@ -9,6 +9,7 @@ from pageframe.functions import text as T
 from pageframe.functions.constants import DOWNLOAD_WORDS
 from pageframe.functions.html_tree import (
     attr,
+    explode_rows,
     find_all,
     find_first,
     first,
@@ -41,14 +42,9 @@ def page_records(
     A page is parsed once and nothing is shuffled.
     """
     tree = F.col("tree")
-    apis = {"api_endpoints": api_urls_col(F.col("html"), F.col("base"))} if find_apis else {}
-    parsed = (
-        pages.withColumn("tree", P.parse_tree("html"))
-        .withColumn("base", url_struct(F.col("url")))
-        .withColumns(apis)
-        .drop("html")
-    )
-    cleaned = parsed.withColumn("text", T.clean_text(P.page_text_col(tree), clean))
+    parsed = P.parse_pages(pages.withColumn("base", url_struct(F.col("url"))), "base", "html")
+    apis = api_urls_col(F.col("html"), F.col("base")) if find_apis else F.lit(None).cast("array<string>")
+    cleaned = parsed.withColumns({"text": T.clean_text(P.page_text_col(tree), clean), "api_endpoints": apis})
     return cleaned.select(
         "page_id",
         "url",
@@ -60,7 +56,7 @@ def page_records(
         P.meta_map_col(tree).alias("metadata"),
         P.headings_col(tree).alias("headings"),
         P.structured_col(tree).alias("structured"),
-        (F.col("api_endpoints") if find_apis else F.lit(None).cast("array<string>")).alias("api_endpoints"),
+        "api_endpoints",
     )
 
 
@@ -119,12 +115,9 @@ def download_candidates(parsed: DataFrame, extensions: list[str], words: list[st
             hit(n).alias("strategy"), n["node_id"].alias("node_id"), resolve_one(base, attr(n, "href")).alias("url")
         ),
     )
-    found = (
-        parsed.withColumn("base", url_struct(F.col("url")))
-        .select("page_id", F.explode(F.array_sort(F.filter(hits, lambda h: h["strategy"].isNotNull()))).alias("h"))
-        .select("page_id", "h.*")
-        .filter("url IS NOT NULL")
-    )
+    hits = F.filter(hits, lambda h: h["strategy"].isNotNull() & h["url"].isNotNull())
+    based = parsed.withColumn("base", url_struct(F.col("url")))
+    found = explode_rows(based, ["page_id"], hits, "h").select("page_id", "h.*")
     return found.groupBy("page_id", "url").agg(F.min(F.struct("strategy", "node_id")).alias("at")).select(
         "page_id", "url", "at.strategy", F.col("at.node_id").alias("position")
     )
@@ -213,7 +206,7 @@ def inline_payloads(parsed: DataFrame) -> DataFrame:
         return marked & F.lower(code).rlike("blob|download")
 
     payloads = F.transform(find_all(tree["nodes"], builds_file), lambda n: _payload(tree, F.col("url"), n))
-    found = parsed.select("page_id", F.explode(payloads).alias("p")).select("page_id", "p.*")
+    found = explode_rows(parsed, ["page_id"], payloads, "p").select("page_id", "p.*")
     uri = F.concat(F.lit("blob:"), "file_name", F.lit(":"), F.base64(F.encode("content", "UTF-8")))
     return found.withColumn("uri", F.replace(uri, F.lit("\r\n"), F.lit("")))
 

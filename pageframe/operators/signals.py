@@ -20,9 +20,10 @@ from pageframe.functions.constants import (
     HYDRATION_MARKS,
     SECRET_PATTERNS,
 )
-from pageframe.functions.html_tree import attr, find_all, find_first, has_attr, inside, is_tag, let, strip, subtree
+from pageframe.functions.html_tree import attr, explode_rows, find_all, find_first, has_attr, inside, is_tag, let, strip, subtree
 from pageframe.functions.text import WORD
 from pageframe.functions.urls import contains_any, resolve_one, url_struct
+from pageframe.operators.pages import spread
 
 MIN_SECRET = 20
 
@@ -89,7 +90,8 @@ def api_urls_col(text: Column, base: Column) -> Column:
 
 def api_paths(pages: DataFrame, text_col: str = "html") -> DataFrame:
     """Distinct API URLs of a corpus with the first page that shows each."""
-    found = pages.select("page_id", F.explode(api_urls_col(F.col(text_col), url_struct(F.col("url")))).alias("api_url"))
+    based = spread(pages.select("page_id", text_col, url_struct(F.col("url")).alias("base")))
+    found = explode_rows(based, ["page_id"], api_urls_col(F.col(text_col), F.col("base")), "api_url")
     return found.groupBy("api_url").agg(F.min("page_id").alias("first_page_id"), F.count("*").alias("n_pages"))
 
 
@@ -125,7 +127,7 @@ def _secret_java(lead: str) -> str:
 
 def secret_findings(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Distinct secrets of a corpus: hash, length, masked prefix, and where they first occur."""
-    found = df.select(F.col(id_col).alias("id"), F.explode(secrets_col(F.col(text_col))).alias("s"))
+    found = explode_rows(df, [F.col(id_col).alias("id")], secrets_col(F.col(text_col)), "s")
     return (
         found.select("id", "s.*")
         .groupBy("sha256", "length", "prefix")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pageframe.functions import text as T
 from pageframe.functions import urls as U
+from pageframe.functions.html_tree import explode_rows
 from pageframe.operators import frontier as Fr
 from pageframe.operators import host_log as H
 from pageframe.operators import links as L
@@ -48,7 +49,8 @@ def parsed_corpus(spark, sf_dir) -> DataFrame:
 
 def entries(df: DataFrame, col: str) -> DataFrame:
     """One row per entry of a map column."""
-    return df.select("page_id", F.explode(col).alias("key", "value"))
+    pairs = explode_rows(df, ["page_id"], F.map_entries(col), "entry")
+    return pairs.select("page_id", "entry.key", "entry.value")
 
 
 def joined(col, sep: str = "|"):
@@ -136,7 +138,8 @@ def twitter_card(spark, sf_dir):
 
 @query
 def json_ld(spark, sf_dir):
-    found = P.json_ld(P.parse_pages(X.meta_pages(spark, sf_dir))).select("page_id", F.explode("json_ld").alias("j"))
+    found = P.json_ld(P.parse_pages(X.meta_pages(spark, sf_dir)))
+    found = explode_rows(found, ["page_id"], F.col("json_ld"), "j")
     return found.select(
         "page_id",
         F.get_json_object("j", "$.name").alias("name"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageframe.functions import charset
-from pageframe.functions.html_tree import strip
+from pageframe.functions.html_tree import explode_rows, strip
 
 EVENT_DDL = (
     "ts timestamp, event string, url string, status string, retries int, proxy_id string, elapsed_ms long, "
@@ -27,7 +27,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def lines_of(df: DataFrame, text_col: str, must_contain: str | None = None) -> DataFrame:
     """Stripped non-blank lines of a text column, as `line`."""
-    lines = df.select(F.explode(F.split(text_col, "\n")).alias("line"))
+    lines = explode_rows(df, [], F.split(text_col, "\n"), "line")
     return _clean_lines(lines, must_contain)
 
 
