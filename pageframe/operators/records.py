@@ -251,7 +251,11 @@ def discoveries(api: DataFrame, secrets: DataFrame) -> DataFrame:
 
 
 def discovery_summary(api: DataFrame, secrets: DataFrame) -> DataFrame:
-    return discoveries(api, secrets).groupBy("kind").agg(F.count("*").alias("total"))
+    """Distinct findings per kind, zero included."""
+    found = discoveries(api, secrets).agg(
+        *[F.count_if(F.col("kind") == kind).alias(kind) for kind in ("endpoint", "secret")]
+    )
+    return found.unpivot([], ["endpoint", "secret"], "kind", "total")
 
 
 def crawl_summary(events: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Sources, sinks and streams."""
 
 import json
+import os
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -104,10 +105,12 @@ START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
 
 def write_batches(folder, rows, size):
-    """Files a stream reads one by one, in name order."""
+    """Files a stream reads one by one, oldest first."""
     folder.mkdir()
     for i in range(0, len(rows), size):
-        (folder / f"{i:06d}.json").write_text("\n".join(json.dumps(r) for r in rows[i : i + size]))
+        file = folder / f"{i:06d}.json"
+        file.write_text("\n".join(json.dumps(r) for r in rows[i : i + size]))
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))
 
 
 def stream(spark, folder, ddl):
@@ -144,13 +147,14 @@ def test_late_rows_and_repeats_are_dropped(spark, tmp_path):
     def row(minute, i):
         return {"ts": iso(START + timedelta(minutes=minute)), "event": "e", "url": f"u{i}"}
 
-    rows = [row(0, 0), row(1, 1), row(1, 1), row(200, 2), row(2, 3), row(201, 4), row(500, 5)]
+    minutes = [0, 1, 1, 200, 201, 202, 2, 203, 500, 501]
+    rows = [row(minute, minute) for minute in minutes]
     write_batches(tmp_path / "in", rows, 2)
     counts = St.stream_progress(stream(spark, tmp_path / "in", S.EVENT_DDL), "10 minutes", late="30 minutes")
     got = {r.start.replace(tzinfo=timezone.utc): r.n for r in finished(spark, counts, tmp_path / "o1")}
     assert got[START] == 3  # the row of minute 2 came after the watermark
     unique = St.stream_events(spark, str(tmp_path / "in"), ["url"])
-    assert len(finished(spark, unique, tmp_path / "o2")) == 6
+    assert len(finished(spark, unique, tmp_path / "o2")) == 9
 
 
 def test_event_sink_replaces_a_repeated_batch(spark, tmp_path):
