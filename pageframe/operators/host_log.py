@@ -10,6 +10,7 @@ slice; the number of summaries of a host is bounded by the time span.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from pageframe.functions.constants import RETRYABLE_STATUS
-from pageframe.operators.running import running_total
+from pageframe.operators.running import running_totals
+from pageframe.sources.checkpoints import cut_lineage
 
 SLICE_SECONDS = 3600
 TIMEOUT_STATUS = [408, 504]
@@ -108,80 +110,137 @@ def host_totals(log: DataFrame) -> DataFrame:
     )
 
 
-def host_ewma(log: DataFrame, keep: float = 0.7, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    """Smoothed response time of successful fetches: the first value, then keep·old + (1−keep)·new.
+class Fold(NamedTuple):
+    """An ordered fold that also works slice by slice.
+
+    `of_slice` reduces the ordered `events` of a slice to a summary, and
+    `of_host` reduces the ordered `slices` of a host, reading its summaries
+    from the field of the given name.
+    """
+
+    fields: tuple[str, ...]
+    of_slice: Callable[[], Column]
+    of_host: Callable[[str], Column]
+
+
+def _ewma_fold(keep: float) -> Fold:
+    """The first value, then keep·old + (1−keep)·new, over successful fetches.
 
-    A slice maps the average before it to decay·average + gain, so slices combine without their rows.
+    A slice maps the average before it to decay·average + gain.
     """
     new = 1.0 - keep
-    slices = _ordered_events(log.filter("ok"), slice_seconds, "rt").select(
-        "host",
-        "slice",
-        F.col("events")[0]["rt"].alias("first_rt"),
-        F.pow(F.lit(keep), F.size("events")).alias("decay"),
-        F.aggregate("events", F.lit(0.0), lambda acc, e: acc * F.lit(keep) + e["rt"] * F.lit(new)).alias("gain"),
+
+    def of_slice():
+        good = F.transform(F.filter("events", lambda e: e["ok"]), lambda e: e["rt"])
+        return F.when(
+            F.size(good) > 0,
+            F.struct(
+                good[0].alias("first"),
+                F.pow(F.lit(keep), F.size(good)).alias("decay"),
+                F.aggregate(good, F.lit(0.0), lambda acc, rt: acc * F.lit(keep) + rt * F.lit(new)).alias("gain"),
+            ),
+        )
+
+    def of_host(name):
+        parts = F.filter(F.transform("slices", lambda s: s[name]), lambda s: s.isNotNull())
+        return F.aggregate(parts, F.get(parts, F.lit(0))["first"], lambda acc, s: acc * s["decay"] + s["gain"])
+
+    return Fold(("ok", "rt"), of_slice, of_host)
+
+
+def _streak_fold() -> Fold:
+    """Current and longest run of failures."""
+
+    def of_slice():
+        def add(acc, e):
+            run = F.when(e["ok"], 0).otherwise(acc["run"] + 1)
+            reset = acc["reset"] | e["ok"]
+            return F.struct(
+                run.alias("run"),
+                F.greatest(acc["longest"], run).alias("longest"),
+                F.when(reset, acc["head"]).otherwise(acc["head"] + 1).alias("head"),
+                reset.alias("reset"),
+            )
+
+        zero = F.struct(*[F.lit(0).alias(n) for n in ("run", "longest", "head")], F.lit(False).alias("reset"))
+        return F.aggregate("events", zero, add)
+
+    def of_host(name):
+        def add(acc, part):
+            s = part[name]
+            return F.struct(
+                F.when(s["reset"], s["run"]).otherwise(acc["run"] + s["run"]).alias("run"),
+                F.greatest(acc["longest"], s["longest"], acc["run"] + s["head"]).alias("longest"),
+            )
+
+        return F.aggregate("slices", F.struct(F.lit(0).alias("run"), F.lit(0).alias("longest")), add)
+
+    return Fold(("ok",), of_slice, of_host)
+
+
+def _sum_fold(value: Callable[[Column], Column], *fields: str) -> Fold:
+    def of_slice():
+        return F.aggregate("events", F.lit(0.0), lambda acc, e: acc + value(e))
+
+    def of_host(name):
+        return F.aggregate("slices", F.lit(0.0), lambda acc, s: acc + s[name])
+
+    return Fold(fields, of_slice, of_host)
+
+
+def _last_fold(wanted: Callable[[Column], Column], *fields: str) -> Fold:
+    """Time of the last event that is wanted."""
+
+    def of_slice():
+        return F.array_max(F.transform(F.filter("events", wanted), lambda e: e["ts"]))
+
+    def of_host(name):
+        return F.array_max(F.transform("slices", lambda s: s[name]))
+
+    return Fold(fields, of_slice, of_host)
+
+
+def _fold_hosts(log: DataFrame, slice_seconds: int, **folds: Fold) -> DataFrame:
+    """One row per host with the result of every fold, from one pass over the log."""
+    fields = dict.fromkeys(field for fold in folds.values() for field in fold.fields)
+    slices = _ordered_events(log, slice_seconds, *fields).select(
+        "host", "slice", *[fold.of_slice().alias(name) for name, fold in folds.items()]
     )
-    per_host = _ordered_slices(slices, "first_rt", "decay", "gain")
-    return per_host.select(
-        "host",
-        F.aggregate(
-            "slices", F.col("slices")[0]["first_rt"], lambda acc, s: acc * s["decay"] + s["gain"]
-        ).alias("ewma"),
+    return _ordered_slices(slices, *folds).select(
+        "host", *[fold.of_host(name).alias(name) for name, fold in folds.items()]
     )
 
 
-def host_streaks(log: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    """Current and longest run of failures, and the time of the last failure."""
-    zero = F.struct(
-        F.lit(0).alias("run"), F.lit(0).alias("longest"), F.lit(0).alias("head"), F.lit(False).alias("reset")
-    )
+def _is_failure(event: Column) -> Column:
+    return ~event["ok"]
 
-    def add_event(acc, e):
-        run = F.when(e["ok"], 0).otherwise(acc["run"] + 1)
-        return F.struct(
-            run.alias("run"),
-            F.greatest(acc["longest"], run).alias("longest"),
-            F.when(acc["reset"] | e["ok"], acc["head"]).otherwise(acc["head"] + 1).alias("head"),
-            (acc["reset"] | e["ok"]).alias("reset"),
-        )
 
-    last_failure = F.array_max(F.transform(F.filter("events", lambda e: ~e["ok"]), lambda e: e["ts"]))
-    slices = _ordered_events(log, slice_seconds, "ok").select(
-        "host", "slice", F.aggregate("events", zero, add_event).alias("s"), last_failure.alias("last_failure")
-    )
-    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("longest"))
+def host_ewma(log: DataFrame, keep: float = 0.7, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """Smoothed response time of successful fetches."""
+    return _fold_hosts(log.filter("ok"), slice_seconds, ewma=_ewma_fold(keep))
 
-    def add_slice(acc, part):
-        s = part["s"]
-        return F.struct(
-            F.when(s["reset"], s["run"]).otherwise(acc["run"] + s["run"]).alias("run"),
-            F.greatest(acc["longest"], s["longest"], acc["run"] + s["head"]).alias("longest"),
-        )
 
-    return (
-        _ordered_slices(slices, "s", "last_failure")
-        .select(
-            "host",
-            F.aggregate("slices", start, add_slice).alias("r"),
-            F.array_max(F.transform("slices", lambda p: p["last_failure"])).alias("last_failure"),
-        )
-        .select(
-            "host",
-            F.col("r.run").alias("current_streak"),
-            F.col("r.longest").alias("longest_streak"),
-            "last_failure",
-        )
+def host_streaks(log: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """Current and longest run of failures, and the time of the last failure."""
+    folded = _fold_hosts(log, slice_seconds, streak=_streak_fold(), last_failure=_last_fold(_is_failure, "ok"))
+    return folded.select(
+        "host",
+        F.col("streak.run").alias("current_streak"),
+        F.col("streak.longest").alias("longest_streak"),
+        "last_failure",
     )
 
 
-def host_marked(log: DataFrame, max_streak: int = 5, max_failures: int = 3) -> DataFrame:
+def host_marked(
+    log: DataFrame, max_streak: int = 5, max_failures: int = 3, slice_seconds: int = SLICE_SECONDS
+) -> DataFrame:
     """Hosts given up on: a failure streak or a failure total that reached its limit."""
-    return (
-        host_totals(log)
-        .join(host_streaks(log), "host")
-        .filter((F.col("longest_streak") >= max_streak) | (F.col("failures") >= max_failures))
-        .select("host", "failures", "longest_streak")
+    failures = _sum_fold(lambda e: F.when(e["ok"], 0.0).otherwise(1.0), "ok")
+    folded = _fold_hosts(log, slice_seconds, failures=failures, streak=_streak_fold())
+    marked = folded.select(
+        "host", F.col("failures").cast("bigint").alias("failures"), F.col("streak.longest").alias("longest_streak")
     )
+    return marked.filter((F.col("longest_streak") >= max_streak) | (F.col("failures") >= max_failures))
 
 
 # --- health ---------------------------------------------------------------------
@@ -198,7 +257,7 @@ def host_health(log: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame
     scored = with_slice(log, slice_seconds).withColumn(
         "points", health_points(F.col("ok"), F.col("rt"), F.col("status"))
     )
-    return running_total(scored, "points", "health", ["host"], "slice", ["ts", "event_id"]).drop("slice", "points")
+    return running_totals(scored, {"health": "points"}, ["host"], "slice", ["ts", "event_id"]).drop("slice", "points")
 
 
 def host_healthy(
@@ -211,14 +270,20 @@ def host_healthy(
 ) -> DataFrame:
     """Score, streak and verdict of every host seen up to `as_of`."""
     moment = F.lit(as_of).cast("timestamp")
-    seen = log.filter(F.col("ts") <= moment)
-    score = seen.groupBy("host").agg(
-        F.sum(health_points(F.col("ok"), F.col("rt"), F.col("status"))).alias("health")
+    folded = _fold_hosts(
+        log.filter(F.col("ts") <= moment),
+        slice_seconds,
+        health=_sum_fold(lambda e: health_points(e["ok"], e["rt"], e["status"]), "ok", "rt", "status"),
+        streak=_streak_fold(),
+        last_failure=_last_fold(_is_failure, "ok"),
     )
     since = (F.unix_micros(moment) - F.unix_micros("last_failure")) / 1e6
-    resting = (F.col("current_streak") >= max_streak) & (since < recovery_seconds)
-    return score.join(host_streaks(seen, slice_seconds), "host").select(
-        "host", "health", "current_streak", ((F.col("health") >= min_score) & ~resting).alias("healthy")
+    resting = (F.col("streak.run") >= max_streak) & (since < recovery_seconds)
+    return folded.select(
+        "host",
+        "health",
+        F.col("streak.run").alias("current_streak"),
+        ((F.col("health") >= min_score) & ~F.coalesce(resting, F.lit(False))).alias("healthy"),
     )
 
 
@@ -230,27 +295,32 @@ def host_rank(log: DataFrame, as_of: str, slice_seconds: int = SLICE_SECONDS) ->
     """
     moment = F.lit(as_of).cast("timestamp")
     seen = log.filter(F.col("ts") <= moment)
-    facts = (
-        host_totals(seen)
-        .join(host_streaks(seen, slice_seconds), "host")
-        .join(host_ewma(seen, slice_seconds=slice_seconds), "host", "left")
-        .join(seen.groupBy("host").agg(F.max("ts").alias("last_used")), "host")
+    facts = _fold_hosts(
+        seen,
+        slice_seconds,
+        successes=_sum_fold(lambda e: F.when(e["ok"], 1.0).otherwise(0.0), "ok"),
+        failures=_sum_fold(lambda e: F.when(e["ok"], 0.0).otherwise(1.0), "ok"),
+        streak=_streak_fold(),
+        ewma=_ewma_fold(0.7),
+        last_used=_last_fold(lambda e: F.lit(True)),
     )
+    total = F.col("successes") + F.col("failures")
     slow = F.least(F.coalesce("ewma", F.lit(5.0)) / 5.0, F.lit(2.0))
-    rate = F.when(
-        F.col("total") > 10, (F.col("successes") - F.col("failures") * 0.5) / F.col("total")
-    ).otherwise(F.col("successes") / F.col("total"))
+    rate = F.when(total > 10, (F.col("successes") - F.col("failures") * 0.5) / total).otherwise(
+        F.col("successes") / total
+    )
     unreliable = (1.0 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), rate))) * 2.0
     idle = (F.unix_micros(moment) - F.unix_micros("last_used")) / 1e6
     recent = F.greatest(F.lit(0.0), (30.0 - idle) / 30.0)
-    failing = F.least(F.col("current_streak") / 3.0, F.lit(1.0))
+    failing = F.least(F.col("streak.run") / 3.0, F.lit(1.0))
     penalty = F.round(slow * 0.4 + unreliable * 0.4 + recent * 0.1 + failing * 0.1, 6)
-    scored = facts.select("host", penalty.alias("penalty"))
-    distinct = scored.groupBy("penalty").agg(F.count("*").alias("n")).withColumn("band", F.floor(F.col("penalty") * 100))
-    ranks = running_total(distinct, "n", "upto", [], "band", ["penalty"])
-    return scored.join(
-        ranks.select("penalty", (F.col("upto") - F.col("n") + 1).alias("rank")), "penalty"
-    ).select("host", "penalty", "rank")
+    # one row per host: stored, as the ranks and the result both read it
+    scored = cut_lineage(facts.select("host", penalty.alias("penalty")))
+    distinct = cut_lineage(scored.groupBy("penalty").agg(F.count("*").alias("n")))
+    banded = distinct.withColumn("band", F.floor(F.col("penalty") * 100))
+    ranks = running_totals(banded, {"upto": "n"}, [], "band", ["penalty"])
+    ranks = ranks.select("penalty", (F.col("upto") - F.col("n") + 1).alias("rank"))
+    return scored.join(ranks, "penalty").select("host", "penalty", "rank")
 
 
 # --- adaptive delay -------------------------------------------------------------

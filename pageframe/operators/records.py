@@ -23,8 +23,9 @@ from pageframe.functions.html_tree import (
 from pageframe.functions.urls import contains_any, mdc_to_md, resolve_one, safe_file_name, url_struct
 from pageframe.operators import pages as P
 from pageframe.operators.links import links_col
-from pageframe.operators.running import running_total
+from pageframe.operators.running import running_totals
 from pageframe.operators.signals import api_urls_col
+from pageframe.sources.checkpoints import cut_lineage
 
 # --- page records ---------------------------------------------------------------
 
@@ -284,9 +285,10 @@ def progress(events: DataFrame, bucket: str = "1 hour") -> DataFrame:
         F.count_if(event == "fetch_fail").alias("failed"),
         F.count_if((event == "download_complete") & (F.col("status") == "ok")).alias("files"),
     )
-    out = counted.withColumn("day", F.to_date("until"))
-    for name in ("started", "ok", "failed", "files"):
-        out = running_total(out, name, f"{name}_so_far", [], "day", ["until"])
+    # one row per bucket: stored, as the running sums read it twice
+    counted = cut_lineage(counted).withColumn("day", F.to_date("until"))
+    names = ("started", "ok", "failed", "files")
+    out = running_totals(counted, {f"{name}_so_far": name for name in names}, [], "day", ["until"])
     active = F.col("started_so_far") - F.col("ok_so_far") - F.col("failed_so_far")
     return out.select(
         "until",

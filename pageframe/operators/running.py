@@ -6,25 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_total(
-    df: DataFrame, value: str, name: str, keys: list[str], slice_col: str, order: list[str]
+def running_totals(
+    df: DataFrame, totals: dict[str, str], keys: list[str], slice_col: str, order: list[str]
 ) -> DataFrame:
-    """Sum of `value` up to and including each row, per `keys`, in the order (`slice_col`, `order`).
+    """Adds sums up to and including each row, per `keys`, in the order (`slice_col`, `order`).
 
-    Rows are summed within their slice; the totals of earlier slices, one row
-    per key and slice, are added from the side. `slice_col` must not decrease
-    with `order` and its number of values per key must be small.
+    `totals` maps the new columns to the columns they sum. Rows are summed
+    within their slice; the totals of earlier slices, one row per key and slice,
+    are added from the side. `slice_col` must not decrease with `order` and its
+    number of values per key must be small. `df` is read twice.
     """
     by_slice = Window.partitionBy(*keys, slice_col).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         df.groupBy(*keys, slice_col)
-        .agg(F.sum(value).alias("_total"))
-        .select(*keys, slice_col, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+        .agg(*[F.sum(value).alias(f"{name}_sum") for name, value in totals.items()])
+        .select(
+            *keys,
+            slice_col,
+            *[F.coalesce(F.sum(f"{name}_sum").over(earlier), F.lit(0)).alias(f"{name}_before") for name in totals],
+        )
     )
     return (
-        df.withColumn(name, F.sum(value).over(by_slice))
+        df.withColumns({name: F.sum(value).over(by_slice) for name, value in totals.items()})
         .join(offsets, [*keys, slice_col])
-        .withColumn(name, F.col(name) + F.col("_before"))
-        .drop("_before")
+        .withColumns({name: F.col(name) + F.col(f"{name}_before") for name in totals})
+        .drop(*[f"{name}_before" for name in totals])
     )

@@ -222,9 +222,9 @@ select doc_id, url, mime_ext, coalesce(mime_ext in ('pdf', 'png', 'txt'), false)
 from e left join {_MIME} on e.mime = m.mime"""
 _TARGET = f"{EXT} in ('pdf', 'md', 'png', 'gz')"
 ORACLES["target_files"] = f"""
-with f as (select page_id, {_TARGET} as t from {PARTS} p),
-g as (select cast(floor(page_id / 3) as bigint) as page_id, bool_or(t) as h, count(*) filter (t) as n from f group by 1)
-select (select count(*) from f where t) as files, count(*) filter (h) as pages, cast(sum(n) as bigint) as targets from g"""
+with f as (select page_id, url, {_TARGET} as t from {PARTS} p)
+select page_id, url, null::boolean as has_targets, null::bigint as n_targets from f where t
+union all select cast(floor(page_id / 3) as bigint), null, bool_or(t), count(*) filter (t) from f group by 1"""
 _OWNED: dict[str, str] = {}
 for _category, _names in EXTENSION_CATEGORIES.items():
     for _ext in _names.split():

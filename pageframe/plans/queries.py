@@ -335,12 +335,10 @@ def mime_ext_join(spark, sf_dir):
 
 @query
 def target_files(spark, sf_dir):
-    files = UF.target_files(X.part_urls(spark, sf_dir), EXTENSIONS)
+    files = UF.target_files(X.part_urls(spark, sf_dir), EXTENSIONS).selectExpr("page_id", "url")
     blocks = X.part_urls(spark, sf_dir).withColumn("page_id", F.floor(F.col("page_id") / 3))
-    flags = UF.pages_with_targets(blocks, EXTENSIONS)
-    return files.groupBy().agg(F.count("*").alias("files")).crossJoin(
-        F.broadcast(flags.groupBy().agg(F.count_if("has_targets").alias("pages"), F.sum("n_targets").alias("targets")))
-    )
+    flags = UF.pages_with_targets(blocks, EXTENSIONS).select("page_id", "has_targets", "n_targets")
+    return files.unionByName(flags, allowMissingColumns=True)
 
 
 @query

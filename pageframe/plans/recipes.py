@@ -301,11 +301,9 @@ def api_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    sized = part.select("p_partkey").crossJoin(F.broadcast(part.agg(F.count("*").alias("n"))))
-    return sized.select("p_partkey", "n", F.explode(F.array(*map(F.lit, (3, 7, 11)))).alias("k")).selectExpr(
-        "'/p/' || p_partkey AS src", f"{EDGE_TARGET} AS dst"
-    )
+    part = table(spark, sf_dir, "part").select("p_partkey")
+    keyed = part.select("p_partkey", F.lit(part.count()).alias("n"), F.explode(F.array(*map(F.lit, (3, 7, 11)))).alias("k"))
+    return keyed.selectExpr("'/p/' || p_partkey AS src", f"{EDGE_TARGET} AS dst")
 
 
 def endpoint_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
