@@ -24,7 +24,7 @@ from pageframe.functions.urls import contains_any, mdc_to_md, resolve_one, safe_
 from pageframe.operators import pages as P
 from pageframe.operators.links import links_col
 from pageframe.operators.running import running_totals
-from pageframe.operators.signals import api_urls_col
+from pageframe.operators.signals import api_paths, api_urls_col
 from pageframe.sources.checkpoints import cut_lineage
 
 # --- page records ---------------------------------------------------------------
@@ -236,6 +236,12 @@ def script_bodies(script_links: DataFrame, corpus: DataFrame) -> DataFrame:
     return scripts.join(corpus.select("url", "text"), "url")
 
 
+def script_api_paths(script_links: DataFrame, corpus: DataFrame) -> DataFrame:
+    """API paths found in the scripts that pages load, resolved against the script's URL."""
+    bodies = script_bodies(script_links, corpus).withColumnRenamed("first_page_id", "page_id")
+    return api_paths(bodies, "text")
+
+
 # --- reports --------------------------------------------------------------------
 
 

@@ -276,6 +276,15 @@ a as (select distinct page_id, case when hit like 'ws%' then hit when right(hit,
 ORACLES["api_paths"] = f"{_API} select api_url, min(page_id) as first_page_id, count(*) as n_pages from a group by api_url"
 
 
+ORACLES["script_scan"] = f"""
+with k as (select p_partkey % 50 as o_orderkey, min(p_partkey) as page_id from part group by 1),
+t as (select page_id, {X.API_TEXT} as html from k join orders using (o_orderkey)),
+m as (select page_id, '{X.SITE}' as origin, unnest({_api_list('html')}) as hit from t),
+a as (select distinct page_id, case when hit like 'ws%' then hit when right(hit, 1) = '?' then origin || left(hit, length(hit) - 1)
+        else origin || hit end as api_url from m)
+select api_url, min(page_id) as first_page_id, count(*) as n_pages from a group by api_url"""
+
+
 def _secret(p: str) -> str:
     return p.replace(r"\s", r"[\s\p{Z}]")
 

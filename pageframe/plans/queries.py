@@ -238,6 +238,15 @@ def script_join(spark, sf_dir):
     return found.select("url", "n_pages", "first_page_id", F.length("text").alias("n_chars"))
 
 
+@query
+def script_scan(spark, sf_dir):
+    scripts = L.links(P.parse_pages(X.link_pages(spark, sf_dir)), ["script"])
+    bodies = table(spark, sf_dir, "orders").selectExpr(
+        f"'{X.SITE}/x/script/' || o_orderkey AS url", f"{X.API_TEXT} AS text"
+    )
+    return R.script_api_paths(scripts, bodies)
+
+
 @query
 def download_candidates(spark, sf_dir):
     return R.download_candidates(P.parse_pages(X.download_pages(spark, sf_dir)), ["pdf"])
