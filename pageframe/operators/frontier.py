@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageframe.functions import urls as U
+from pageframe.operators.running import first_rows
 from pageframe.operators.url_filters import is_crawlable, is_downloadable
 from pageframe.sources.checkpoints import cut_lineage
 
@@ -17,19 +17,17 @@ def dedup_urls(df: DataFrame) -> DataFrame:
 
 HOT_SHARE = 1000  # a hot source has over 1/1000 of all edges, so there are under 1000 of them
 HOT_MIN_EDGES = 10_000
-SALTS = 64
 
 
-def _salted_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _salted_edges(edges: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
     """(edges by src and salt, hot sources): the edges of a hot source are spread over all salts."""
     total = edges.count()
     hot = cut_lineage(
         edges.groupBy("src").count().filter(F.col("count") > max(total // HOT_SHARE, HOT_MIN_EDGES)).select("src")
     )
     marked = edges.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "src", "left")
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = marked.select("src", "dst", salt.alias("salt")).distinct().repartition(parts, "src", "salt")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("dst"), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    salted = marked.select("src", "dst", salt.alias("salt")).distinct().repartition(salts, "src", "salt")
     return cut_lineage(salted), hot
 
 
@@ -49,8 +47,9 @@ def crawl_frontier(
     `max_urls` the first URLs by depth, then URL, are kept.
     """
     usable = edges.filter(is_crawlable(F.col("dst"), domain, include, exclude)).select("src", "dst")
-    usable, hot = _salted_edges(usable)
-    all_salts = F.array(*[F.lit(i) for i in range(SALTS)])
+    n_salts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    usable, hot = _salted_edges(usable, n_salts)
+    all_salts = F.sequence(F.lit(0), F.lit(n_salts - 1))
     start = seeds.filter(is_crawlable(F.col("url"), domain, include, exclude)).select("url").distinct()
     level = cut_lineage(_first(start, max_urls).withColumn("depth", F.lit(0)))
     visited, n_visited = level, level.count()
@@ -75,7 +74,7 @@ def crawl_frontier(
 
 
 def _first(urls: DataFrame, n: int | None) -> DataFrame:
-    return urls if n is None else urls.orderBy("url").limit(n)
+    return urls if n is None else first_rows(urls, n, F.col("url"))
 
 
 def link_route(url: Column, depth: Column, max_depth: int, extensions, domain=None, include=None, exclude=None) -> Column:
@@ -115,7 +114,7 @@ def ordered_distinct(df: DataFrame, keys: list[str], value: str, position: str)
 def keep_newest(df: DataFrame, n: int, key: str, ts: str, touch: bool = False) -> DataFrame:
     """The `n` newest keys. A key counts from its first appearance, or with `touch` from its last."""
     seen = F.max(ts) if touch else F.min(ts)
-    return df.groupBy(key).agg(seen.alias("seen")).orderBy(F.desc("seen"), F.desc(key)).limit(n)
+    return first_rows(df.groupBy(key).agg(seen.alias("seen")), n, F.desc("seen"), F.desc(key))
 
 
 def collect_pages(*parts: DataFrame) -> DataFrame:
@@ -156,6 +155,5 @@ def clean_endpoints(lines: DataFrame) -> DataFrame:
 
 
 def top_k(df: DataFrame, k: int, by: str, ascending: bool = True, tie: str | None = None) -> DataFrame:
-    """The first `k` rows by a column; each task keeps k rows and only those are merged."""
-    first = F.asc(by) if ascending else F.desc(by)
-    return df.orderBy(first, *([F.asc(tie)] if tie else [])).limit(k)
+    """The first `k` rows by a column."""
+    return first_rows(df, k, F.asc(by) if ascending else F.desc(by), *([F.asc(tie)] if tie else []))

@@ -3,8 +3,9 @@
 A log has event_id, ts (timestamp), host, url, status, ok, rt. One host may hold
 a large part of it, so no operator sorts or collects a whole host: events are
 cut into time slices, each (host, slice) is reduced to a small summary, and only
-the summaries of a host are put in order. `slice_seconds` bounds the rows of a
-slice; the number of summaries of a host is bounded by the time span.
+the summaries of a host are put in order. Results do not depend on the length of
+a slice; unless `slice_seconds` is given, it is chosen so that the busiest host
+fits (see `slice_length_us`).
 """
 
 from __future__ import annotations
@@ -23,14 +24,24 @@ from pageframe.operators.running import running_totals
 from pageframe.sources.checkpoints import cut_lineage
 
 SLICE_SECONDS = 3600
+SLICE_ROWS = 1_000_000
 TIMEOUT_STATUS = [408, 504]
 
 
-def with_slice(log: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    return log.withColumn("slice", F.floor(F.unix_micros("ts") / F.lit(slice_seconds * 1_000_000)))
+def slice_length_us(log: DataFrame) -> int:
+    """An hour, or less where the busiest minute of any host says an hour would be too much for a task."""
+    minutes = log.groupBy("host", F.floor(F.unix_seconds("ts") / 60).alias("minute")).count()
+    busiest = minutes.agg(F.max("count")).first()[0] or 0
+    rows = busiest * SLICE_SECONDS / 60
+    return max(1000, int(SLICE_SECONDS * 1_000_000 * min(1.0, SLICE_ROWS / max(rows, 1))))
 
 
-def _ordered_events(log: DataFrame, slice_seconds: int, *fields: str) -> DataFrame:
+def with_slice(log: DataFrame, slice_seconds: float | None = None) -> DataFrame:
+    length = slice_length_us(log) if slice_seconds is None else int(slice_seconds * 1_000_000)
+    return log.withColumn("slice", F.floor(F.unix_micros("ts") / F.lit(length)))
+
+
+def _ordered_events(log: DataFrame, slice_seconds: float | None, *fields: str) -> DataFrame:
     """host, slice, events: the events of one slice in time order."""
     event = F.struct("ts", "event_id", *fields)
     return (
@@ -200,7 +211,7 @@ def _last_fold(wanted: Callable[[Column], Column], *fields: str) -> Fold:
     return Fold(fields, of_slice, of_host)
 
 
-def _fold_hosts(log: DataFrame, slice_seconds: int, **folds: Fold) -> DataFrame:
+def _fold_hosts(log: DataFrame, slice_seconds: float | None, **folds: Fold) -> DataFrame:
     """One row per host with the result of every fold, from one pass over the log."""
     fields = dict.fromkeys(field for fold in folds.values() for field in fold.fields)
     slices = _ordered_events(log, slice_seconds, *fields).select(
@@ -215,12 +226,12 @@ def _is_failure(event: Column) -> Column:
     return ~event["ok"]
 
 
-def host_ewma(log: DataFrame, keep: float = 0.7, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def host_ewma(log: DataFrame, keep: float = 0.7, slice_seconds: float | None = None) -> DataFrame:
     """Smoothed response time of successful fetches."""
     return _fold_hosts(log.filter("ok"), slice_seconds, ewma=_ewma_fold(keep))
 
 
-def host_streaks(log: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def host_streaks(log: DataFrame, slice_seconds: float | None = None) -> DataFrame:
     """Current and longest run of failures, and the time of the last failure."""
     folded = _fold_hosts(log, slice_seconds, streak=_streak_fold(), last_failure=_last_fold(_is_failure, "ok"))
     return folded.select(
@@ -232,7 +243,7 @@ def host_streaks(log: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFram
 
 
 def host_marked(
-    log: DataFrame, max_streak: int = 5, max_failures: int = 3, slice_seconds: int = SLICE_SECONDS
+    log: DataFrame, max_streak: int = 5, max_failures: int = 3, slice_seconds: float | None = None
 ) -> DataFrame:
     """Hosts given up on: a failure streak or a failure total that reached its limit."""
     failures = _sum_fold(lambda e: F.when(e["ok"], 0.0).otherwise(1.0), "ok")
@@ -252,7 +263,7 @@ def health_points(ok: Column, rt: Column, status: Column) -> Column:
     )
 
 
-def host_health(log: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def host_health(log: DataFrame, slice_seconds: float | None = None) -> DataFrame:
     """Running health score after every event."""
     scored = with_slice(log, slice_seconds).withColumn(
         "points", health_points(F.col("ok"), F.col("rt"), F.col("status"))
@@ -266,7 +277,7 @@ def host_healthy(
     min_score: float = -100.0,
     max_streak: int = 5,
     recovery_seconds: int = 300,
-    slice_seconds: int = SLICE_SECONDS,
+    slice_seconds: float | None = None,
 ) -> DataFrame:
     """Score, streak and verdict of every host seen up to `as_of`."""
     moment = F.lit(as_of).cast("timestamp")
@@ -287,7 +298,7 @@ def host_healthy(
     )
 
 
-def host_rank(log: DataFrame, as_of: str, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def host_rank(log: DataFrame, as_of: str, slice_seconds: float | None = None) -> DataFrame:
     """Hosts by a composite penalty, lower is better; equal penalties share a rank.
 
     The penalty is rounded to six digits, which bounds the distinct penalties;
@@ -352,7 +363,7 @@ def _last(items: Column, n: int) -> Column:
     return F.slice(items, F.greatest(F.size(items) - n + 1, F.lit(1)), n)
 
 
-def host_delay(log: DataFrame, initial: float = 1.0, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def host_delay(log: DataFrame, initial: float = 1.0, slice_seconds: float | None = None) -> DataFrame:
     """Politeness delay per host after its whole log.
 
     429 doubles it, other errors from 500 raise it by half; otherwise the mean of
@@ -391,7 +402,7 @@ def host_delay(log: DataFrame, initial: float = 1.0, slice_seconds: int = SLICE_
 # --- cooldown -------------------------------------------------------------------
 
 
-def cooldown_violations(log: DataFrame, seconds: float = 30.0, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def cooldown_violations(log: DataFrame, seconds: float = 30.0, slice_seconds: float | None = None) -> DataFrame:
     """Requests that came sooner than `seconds` after the one before to the same host."""
     sliced = with_slice(log, slice_seconds)
     ends = sliced.groupBy("host", "slice").agg(F.max("ts").alias("end_ts"))
@@ -508,7 +519,7 @@ _MOVES = pa.list_(
 
 
 def breaker_timeline(
-    log: DataFrame, threshold: int = 10, cooldown_seconds: float = 30.0, slice_seconds: int = SLICE_SECONDS
+    log: DataFrame, threshold: int = 10, cooldown_seconds: float = 30.0, slice_seconds: float | None = None
 ) -> DataFrame:
     """Transitions of a per-host breaker: open after `threshold` failures in a row, probed after the cooldown.
 

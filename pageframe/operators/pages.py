@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageframe.functions import text as T
 from pageframe.functions.constants import BINARY_TYPES
 from pageframe.functions.html_tree import (
+    SPACE_CHARS,
     attr,
     attr_contains,
     explode_rows,
@@ -20,7 +20,6 @@ from pageframe.functions.html_tree import (
     find_first,
     first,
     has_ancestor,
-    has_attr,
     has_class,
     is_tag,
     let,
@@ -156,110 +155,133 @@ def json_ld_col(tree: Column) -> Column:
 
 
 # --- products -------------------------------------------------------------------
+#
+# Thirty rules make a large expression; as SQL text it is built in one step.
+
+
+def _tag(name: str) -> str:
+    return f"n.tag = '{name}'"
+
+
+def _class(name: str, node: str = "n") -> str:
+    return rf"array_contains(split({node}.attrs['class'], '\\s+'), '{name}')"
+
+
+def _class_part(part: str) -> str:
+    return f"contains(n.attrs['class'], '{part}')"
+
+
+def _has(name: str) -> str:
+    return f"n.attrs['{name}'] IS NOT NULL"
+
+
+def _in_caption(tag: str) -> str:
+    around = f"a.node_id < n.node_id AND n.node_id <= a.end_id AND {_class('caption', 'a')}"
+    return f"{_tag(tag)} AND exists(tree.nodes, a -> {around})"
+
 
 # What makes a product card, best first. Only the first rule with a match is used.
 CARD_RULES = [
-    lambda n: has_class(n, "product-wrapper"),
-    lambda n: has_class(n, "thumbnail"),
-    lambda n: has_class(n, "product"),
-    lambda n: attr_contains(n, "class", "product"),
-    lambda n: has_class(n, "item"),
-    lambda n: has_attr(n, "data-product"),
+    _class("product-wrapper"),
+    _class("thumbnail"),
+    _class("product"),
+    _class_part("product"),
+    _class("item"),
+    _has("data-product"),
+]
+# Where the fields of a card are looked up, best first.
+TITLE_RULES = [
+    _class("title"),
+    _tag("h1"),
+    _tag("h2"),
+    _tag("h3"),
+    _tag("h4"),
+    _class("product-title"),
+    _class("name"),
+    _class_part("title"),
+    _class_part("name"),
+    f"{_tag('a')} AND {_has('title')}",
+]
+PRICE_RULES = [
+    _class("price"),
+    _class("cost"),
+    _class_part("price"),
+    _has("data-price"),
+    _in_caption("h4"),
+    _tag("h4"),
 ]
+DESCRIPTION_RULES = [
+    _class("description"),
+    _class("specs"),
+    _in_caption("p"),
+    _tag("p"),
+    _class_part("desc"),
+    _class_part("spec"),
+]
+REVIEW_RULES = [
+    _class_part("review"),
+    _class_part("rating"),
+    _class("stars"),
+    _tag("small"),
+    _class_part("star"),
+]
+# What makes a field's text `t` good enough to stop at.
+IS_PRICE = r"contains(t, '$') OR regexp_replace(t, '[.,]', '') RLIKE '^\\p{Nd}+$'"
+IS_DESCRIPTION = "length(t) > 10"
+IS_REVIEW = "contains(lower(t), 'review')"
 
 
-def _field_rules(tree: Column) -> dict[str, list]:
-    """Where the fields of a card are looked up, best first."""
-
-    def in_caption(tag):
-        return lambda n: is_tag(n, tag) & has_ancestor(tree, n, lambda a: has_class(a, "caption"))
-
-    return {
-        "title": [
-            lambda n: has_class(n, "title"),
-            lambda n: is_tag(n, "h1"),
-            lambda n: is_tag(n, "h2"),
-            lambda n: is_tag(n, "h3"),
-            lambda n: is_tag(n, "h4"),
-            lambda n: has_class(n, "product-title"),
-            lambda n: has_class(n, "name"),
-            lambda n: attr_contains(n, "class", "title"),
-            lambda n: attr_contains(n, "class", "name"),
-            lambda n: is_tag(n, "a") & has_attr(n, "title"),
-        ],
-        "price": [
-            lambda n: has_class(n, "price"),
-            lambda n: has_class(n, "cost"),
-            lambda n: attr_contains(n, "class", "price"),
-            lambda n: has_attr(n, "data-price"),
-            in_caption("h4"),
-            lambda n: is_tag(n, "h4"),
-        ],
-        "description": [
-            lambda n: has_class(n, "description"),
-            lambda n: has_class(n, "specs"),
-            in_caption("p"),
-            lambda n: is_tag(n, "p"),
-            lambda n: attr_contains(n, "class", "desc"),
-            lambda n: attr_contains(n, "class", "spec"),
-        ],
-        "reviews": [
-            lambda n: attr_contains(n, "class", "review"),
-            lambda n: attr_contains(n, "class", "rating"),
-            lambda n: has_class(n, "stars"),
-            lambda n: is_tag(n, "small"),
-            lambda n: attr_contains(n, "class", "star"),
-        ],
-    }
+def _let_sql(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def first_rule(nodes: Column, rules: list) -> Column:
-    """All nodes of the first rule that has any."""
-    hits = [let(F.filter(nodes, rule), lambda found: F.when(F.size(found) > 0, found)) for rule in rules]
-    return F.coalesce(*hits, F.slice(nodes, 1, 0))
+def _strip_sql(text: str) -> str:
+    return f"btrim({text}, '{SPACE_CHARS}')"
 
 
-def _first_text(tree: Column, nodes: Column, rules: list, accept) -> Column:
-    """Text of each rule's first node, in rule order, until `accept` likes one."""
-    texts = [
-        F.filter(F.array(strip(text_of(tree, find_first(nodes, rule)))), lambda t: t.isNotNull() & accept(t))
-        for rule in rules
-    ]
-    return F.coalesce(*[first(t) for t in texts])
+def _first_sql(nodes: str, rule: str) -> str:
+    return f"get(filter({nodes}, n -> {rule}), 0)"
 
 
-def _is_price(text: Column) -> Column:
-    return text.contains("$") | F.regexp_replace(text, "[.,]", "").rlike(r"^\p{Nd}+$")
+def _text_sql(node: str) -> str:
+    return _let_sql("e", node, _strip_sql("array_join(slice(tree.strings, e.s0 + 1, e.s1 - e.s0), '')"))
 
 
-def _product(tree: Column, card: Column) -> Column:
-    return let(subtree(tree, card), lambda below: _product_fields(tree, below))
+def _field_sql(rules: list[str], accept: str) -> str:
+    """Text of each rule's first node, in rule order, until one is accepted."""
+    texts = [
+        f"get(filter(array({_text_sql(_first_sql('below', rule))}), t -> t IS NOT NULL AND ({accept})), 0)"
+        for rule in rules
+    ]
+    return f"coalesce({', '.join(texts)})"
 
 
-def _product_fields(tree: Column, below: Column) -> Column:
-    rules = _field_rules(tree)
-    head = F.coalesce(*[find_first(below, rule) for rule in rules["title"]])
-    title = let(
-        head, lambda n: _or_else(strip(text_of(tree, n)), strip(F.coalesce(attr(n, "title"), F.lit(""))))
-    )
-    image = find_first(below, lambda n: is_tag(n, "img"))
-    link = find_first(below, lambda n: is_tag(n, "a"))
-    return F.struct(
-        title.alias("title"),
-        _first_text(tree, below, rules["price"], _is_price).alias("price"),
-        _first_text(tree, below, rules["description"], lambda t: F.length(t) > 10).alias("description"),
-        _first_text(tree, below, rules["reviews"], lambda t: F.lower(t).contains("review")).alias("reviews"),
-        F.when(image.isNotNull(), F.coalesce(attr(image, "src"), F.lit(""))).alias("image"),
-        F.when(link.isNotNull(), F.coalesce(attr(link, "href"), F.lit(""))).alias("url"),
-    )
+def _attribute_sql(tag: str, name: str) -> str:
+    """Attribute of the first element of a kind: '' when it lacks it, NULL without such an element."""
+    return _let_sql("e", _first_sql("below", _tag(tag)), f"if(e IS NULL, NULL, coalesce(e.attrs['{name}'], ''))")
 
 
-def products_col(tree: Column) -> Column:
-    cards = first_rule(tree["nodes"], CARD_RULES)
-    return F.filter(
-        F.transform(cards, lambda card: _product(tree, card)),
-        lambda p: (F.coalesce(p["title"], F.lit("")) != "") | p["price"].isNotNull(),
+def products_col() -> Column:
+    """Product cards of the `tree` column that have a title or a price."""
+    title = _let_sql(
+        "h",
+        f"coalesce({', '.join(_first_sql('below', rule) for rule in TITLE_RULES)})",
+        f"if(h IS NULL, NULL, coalesce(nullif({_text_sql('h')}, ''), {_strip_sql("coalesce(h.attrs['title'], '')")}))",
     )
+    fields = {
+        "title": title,
+        "price": _field_sql(PRICE_RULES, IS_PRICE),
+        "description": _field_sql(DESCRIPTION_RULES, IS_DESCRIPTION),
+        "reviews": _field_sql(REVIEW_RULES, IS_REVIEW),
+        "image": _attribute_sql("img", "src"),
+        "url": _attribute_sql("a", "href"),
+    }
+    product = f"named_struct({', '.join(f"'{name}', {value}" for name, value in fields.items())})"
+    below = "slice(tree.nodes, card.node_id + 2, card.end_id - card.node_id)"
+    hits = [_let_sql("c", f"filter(tree.nodes, n -> {rule})", "if(size(c) > 0, c, NULL)") for rule in CARD_RULES]
+    cards = f"coalesce({', '.join(hits)}, slice(tree.nodes, 1, 0))"
+    found = f"transform({cards}, card -> {_let_sql('below', below, product)})"
+    return F.expr(f"filter({found}, p -> coalesce(p.title, '') != '' OR p.price IS NOT NULL)")
 
 
 # --- tables, markdown -----------------------------------------------------------
@@ -456,7 +478,7 @@ def main_markdown(parsed: DataFrame) -> DataFrame:
 
 def products(parsed: DataFrame) -> DataFrame:
     """One row per product card that has a title or a price."""
-    exploded = explode_rows(parsed, ["page_id", "url"], products_col(F.col("tree")), "product", "card_no")
+    exploded = explode_rows(parsed, ["page_id", "url"], products_col(), "product", "card_no")
     number = F.regexp_extract(F.regexp_replace("price", ",", ""), r"(\d+(?:\.\d+)?)", 1)
     return exploded.select(
         "page_id",
@@ -478,20 +500,21 @@ def table_cells(parsed: DataFrame) -> DataFrame:
     return explode_rows(rows, ["page_id", "table_no", "row_no"], F.col("row"), "cell", "col_no")
 
 
-def structured_col(tree: Column) -> Column:
+def structured_col() -> Column:
     """JSON-LD, social cards, products and tables in one struct; a part that found nothing is NULL."""
 
     def used(col):
         return F.when(F.size(col) > 0, col)
 
+    tree = F.col("tree")
     return F.struct(
         used(json_ld_col(tree)).alias("json_ld"),
         used(open_graph_col(tree)).alias("open_graph"),
         used(twitter_card_col(tree)).alias("twitter_card"),
-        used(products_col(tree)).alias("products"),
+        used(products_col()).alias("products"),
         used(html_tables_col(tree)).alias("tables"),
     )
 
 
 def structured_data(parsed: DataFrame) -> DataFrame:
-    return parsed.select("page_id", structured_col(F.col("tree")).alias("structured")).select("page_id", "structured.*")
+    return parsed.select("page_id", structured_col().alias("structured")).select("page_id", "structured.*")

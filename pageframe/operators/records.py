@@ -56,7 +56,7 @@ def page_records(
         links_col(tree, F.col("base"), link_kinds or ["anchor"]).alias("links"),
         P.meta_map_col(tree).alias("metadata"),
         P.headings_col(tree).alias("headings"),
-        P.structured_col(tree).alias("structured"),
+        P.structured_col().alias("structured"),
         "api_endpoints",
     )
 

@@ -1,10 +1,12 @@
-"""Running totals that never sort a whole group in one task."""
+"""Running totals and first-n that never put a whole group in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageframe.sources.checkpoints import cut_lineage
+
 
 def running_totals(
     df: DataFrame, totals: dict[str, str], keys: list[str], slice_col: str, order: list[str]
@@ -33,3 +35,29 @@ def running_totals(
         .withColumns({name: F.col(name) + F.col(f"{name}_before") for name in totals})
         .drop(*[f"{name}_before" for name in totals])
     )
+
+
+SMALL_LIMIT = 1_000_000
+
+
+def first_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first `n` rows in an order.
+
+    A small `n` is a top-k: every task keeps n rows and those are merged. For a
+    large one the rows are range-partitioned; partitions before the n-th row are
+    kept whole and only the one that holds it is cut.
+    """
+    if n <= SMALL_LIMIT:
+        return df.orderBy(*order).limit(n)
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = {row["_part"]: row["count"] for row in ranged.groupBy("_part").count().collect()}
+    room = n
+    for boundary in sorted(sizes):
+        if sizes[boundary] >= room:
+            break
+        room -= sizes[boundary]
+    else:
+        return ranged.drop("_part")
+    whole = ranged.filter(F.col("_part") < boundary)
+    cut = ranged.filter(F.col("_part") == boundary).orderBy(*order).limit(room)
+    return whole.unionByName(cut).drop("_part")

@@ -152,7 +152,7 @@ def ext_category(df: DataFrame, col: str = "url") -> DataFrame:
     return df.withColumn("ext", U.url_extension(F.col(col))).join(F.broadcast(rows), "ext", "left")
 
 
-ORDER_SLICES = 2  # hex digits of the URL key: 256 slices of a group
+KEY_DIGITS = 4  # leading hex digits of the URL key: up to 65,536 slices of a group
 
 
 def assign_paths(df: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def assign_paths(df: DataFrame) -> DataFrame:
     the table is numbered slice by slice rather than in one task.
     """
     keyed = df.withColumns({"path": U.layout_path(F.col("url")), "key": U.url_key(F.col("url"))})
-    keyed = keyed.withColumn("slice", F.substring("key", 1, ORDER_SLICES))
+    keyed = keyed.withColumn("slice", F.substring("key", 1, KEY_DIGITS))
     before = Window.partitionBy("path").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         keyed.groupBy("path", "slice")

@@ -3,8 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pageframe.operators import frontier as Fr
+from pageframe.operators import running
+from pageframe.operators.running import first_rows
 
 
 def bfs(edges, seeds, max_depth, max_urls=None, allowed=lambda u: True):
@@ -74,3 +77,11 @@ def test_first_match_and_union(spark):
     assert [tuple(r) for r in Fr.first_match(hits, ["p"], "rank", "node", "v").collect()] == [(1, "y", 1)]
     other = spark.createDataFrame([(2, True)], "p int, extra boolean")
     assert Fr.collect_pages(hits, other, other).count() == 5
+
+
+@pytest.mark.parametrize("n", [0, 1, 77, 400, 401])
+def test_first_rows_by_range(spark, monkeypatch, n):
+    df = spark.range(400).selectExpr("(id * 7919) % 401 AS v").repartition(6)
+    small = [r.v for r in first_rows(df, n, F.desc("v")).collect()]
+    monkeypatch.setattr(running, "SMALL_LIMIT", -1)
+    assert sorted(r.v for r in first_rows(df, n, F.desc("v")).collect()) == sorted(small)

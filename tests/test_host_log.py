@@ -117,6 +117,13 @@ def test_breaker_does_not_depend_on_slices(log, by_host, seconds, threshold, coo
     assert got == want and want
 
 
+def test_slices_shrink_with_the_busiest_host(log, monkeypatch):
+    assert H.slice_length_us(log) == 3600 * 1_000_000
+    monkeypatch.setattr(H, "SLICE_ROWS", 50)
+    assert 1000 < H.slice_length_us(log) < 300 * 1_000_000
+    assert H.host_streaks(log).orderBy("host").collect() == H.host_streaks(log, 10_000).orderBy("host").collect()
+
+
 def test_breaker_story():
     state, seen = H.Breaker(), []
     for ts, ok in [(0, False), (1, False), (5, False), (12, False), (13, True), (14, False), (15, False), (40, True)]:
