@@ -17,6 +17,7 @@ extractor needs a join or a shuffle.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -33,6 +34,10 @@ VOID_TAGS = frozenset(
 HIDDEN_TEXT_TAGS = frozenset("script style template rt rp".split())
 PREFORMATTED_TAGS = frozenset(("pre", "textarea"))
 HTML_SPACES = " \n\t\f\r"
+# Tags in their plainest form, which most are, need none of the general parser's care.
+PLAIN_START = re.compile(r'<([a-z][a-z0-9]*)((?: [a-z][a-z-]*="[^"&<>]*")*)>')
+PLAIN_ATTRIBUTE = re.compile(r' ([a-z][a-z-]*)="([^"]*)"')
+PLAIN_END = re.compile(r"</([a-z][a-z0-9]*)>")
 
 NODE_DDL = (
     "struct<node_id:int,end_id:int,parent_id:int,depth:int,tag:string,"
@@ -44,6 +49,10 @@ TREE_DDL = f"struct<nodes:array<{NODE_DDL}>,strings:array<string>>"
 SPACE_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
+# Fields of a row while a page is read.
+TAG, ATTRS, PARENT, DEPTH, END, START, STOP, CHILDREN, RAW = range(9)
+
+
 class _TreeReader(HTMLParser):
     """Collects the elements and visible strings of one page.
 
@@ -56,9 +65,7 @@ class _TreeReader(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.tags, self.attrs, self.parents, self.depths = [], [], [], []
-        self.ends, self.starts, self.stops = [], [], []
-        self.children, self.raws = [], []
+        self.rows = []
         self.strings = []
         self._open = []
         self._open_names = Counter()
@@ -70,6 +77,23 @@ class _TreeReader(HTMLParser):
         # line numbers are not needed
         return j
 
+    def parse_starttag(self, i):
+        plain = PLAIN_START.match(self.rawdata, i)
+        if plain is None:
+            return super().parse_starttag(i)
+        self.lasttag = tag = plain[1]
+        self.handle_starttag(tag, PLAIN_ATTRIBUTE.findall(plain[2]))
+        if tag in self.CDATA_CONTENT_ELEMENTS:
+            self.set_cdata_mode(tag)
+        return plain.end()
+
+    def parse_endtag(self, i):
+        plain = PLAIN_END.match(self.rawdata, i)
+        if plain is None or self.cdata_elem is not None:
+            return super().parse_endtag(i)
+        self.handle_endtag(plain[1])
+        return plain.end()
+
     def read(self, html):
         try:
             self.feed(html)
@@ -80,53 +104,54 @@ class _TreeReader(HTMLParser):
         self._flush()
         while self._open:
             self._close_last()
+        columns = zip(*self.rows) if self.rows else [()] * 9
+        (self.tags, self.attrs, self.parents, self.depths, self.ends, self.starts, self.stops, self.children,
+         self.raws) = columns
         return self
 
-    def _add_child(self):
-        if self._open:
-            self.children[self._open[-1]] += 1
-
     def _flush(self):
         if not self._pending:
             return
         text = "".join(self._pending)
         self._pending = []
-        self._add_child()
-        if self._hidden:
-            node = self._open[-1]
-            if self.tags[node] in ("script", "style"):
-                self.raws[node] = (self.raws[node] or "") + text
-            return
+        if self._open:
+            row = self.rows[self._open[-1]]
+            row[CHILDREN] += 1
+            if self._hidden:
+                if row[TAG] in ("script", "style"):
+                    row[RAW] = (row[RAW] or "") + text
+                return
         if not self._preformatted and not text.strip(HTML_SPACES):
             text = "\n" if "\n" in text else " "
         self.strings.append(text)
 
     def _close_last(self):
-        node = self._open.pop()
-        tag = self.tags[node]
+        row = self.rows[self._open.pop()]
+        tag = row[TAG]
         self._open_names[tag] -= 1
-        self._hidden -= tag in HIDDEN_TEXT_TAGS
-        self._preformatted -= tag in PREFORMATTED_TAGS
-        self.ends[node] = len(self.tags) - 1
-        self.stops[node] = len(self.strings)
+        if tag in HIDDEN_TEXT_TAGS:
+            self._hidden -= 1
+        elif tag in PREFORMATTED_TAGS:
+            self._preformatted -= 1
+        row[END] = len(self.rows) - 1
+        row[STOP] = len(self.strings)
 
     def _open_element(self, tag, attrs):
         self._flush()
-        self._add_child()
-        node = len(self.tags)
-        self.tags.append(tag)
-        self.attrs.append({name: value or "" for name, value in attrs})
-        self.parents.append(self._open[-1] if self._open else -1)
-        self.depths.append(len(self._open))
-        self.ends.append(node)
-        self.starts.append(len(self.strings))
-        self.stops.append(len(self.strings))
-        self.children.append(0)
-        self.raws.append(None)
+        parent = -1
+        if self._open:
+            parent = self._open[-1]
+            self.rows[parent][CHILDREN] += 1
+        values = {name: value or "" for name, value in attrs}
+        at = len(self.strings)
+        node = len(self.rows)
+        self.rows.append([tag, values, parent, len(self._open), node, at, at, 0, None])
         self._open.append(node)
         self._open_names[tag] += 1
-        self._hidden += tag in HIDDEN_TEXT_TAGS
-        self._preformatted += tag in PREFORMATTED_TAGS
+        if tag in HIDDEN_TEXT_TAGS:
+            self._hidden += 1
+        elif tag in PREFORMATTED_TAGS:
+            self._preformatted += 1
 
     def handle_starttag(self, tag, attrs):
         self._open_element(tag, attrs)
@@ -140,7 +165,7 @@ class _TreeReader(HTMLParser):
     def handle_endtag(self, tag):
         self._flush()
         if self._open_names[tag]:
-            while self.tags[self._open[-1]] != tag:
+            while self.rows[self._open[-1]][TAG] != tag:
                 self._close_last()
             self._close_last()
 
@@ -149,7 +174,8 @@ class _TreeReader(HTMLParser):
 
     def handle_comment(self, data):
         self._flush()
-        self._add_child()
+        if self._open:
+            self.rows[self._open[-1]][CHILDREN] += 1
 
     def handle_pi(self, data):
         self.handle_comment(data)

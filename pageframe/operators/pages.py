@@ -29,25 +29,12 @@ from pageframe.functions.html_tree import (
     text_of,
 )
 from pageframe.functions.urls import contains_any
+from pageframe.sources.readers import spread
 
 HEADING_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 PRODUCT_FIELDS = ["title", "price", "description", "reviews", "image", "url"]
 
 
-SMALL_TASK_BYTES = 16 << 20
-
-
-def spread(pages: DataFrame) -> DataFrame:
-    """Gives every core a share of an input too small to be split by its files.
-
-    Parsing costs far more than moving such an input. Anything above a few
-    megabytes per core already has its own partitions and is not shuffled.
-    """
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    size = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return pages.repartition(cores) if size < cores * SMALL_TASK_BYTES else pages
-
-
 def parse_pages(pages: DataFrame, *keep: str) -> DataFrame:
     """page_id, url, tree and the columns named in `keep`; the html itself goes no further."""
     return spread(pages).select("page_id", "url", *keep, parse_tree("html").alias("tree"))

@@ -23,7 +23,7 @@ from pageframe.functions.constants import (
 from pageframe.functions.html_tree import attr, explode_rows, find_all, find_first, has_attr, inside, is_tag, let, strip, subtree
 from pageframe.functions.text import WORD
 from pageframe.functions.urls import contains_any, resolve_one, url_struct
-from pageframe.operators.pages import spread
+from pageframe.sources.readers import spread
 
 MIN_SECRET = 20
 
@@ -127,7 +127,7 @@ def _secret_java(lead: str) -> str:
 
 def secret_findings(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Distinct secrets of a corpus: hash, length, masked prefix, and where they first occur."""
-    found = explode_rows(df, [F.col(id_col).alias("id")], secrets_col(F.col(text_col)), "s")
+    found = explode_rows(spread(df.select(id_col, text_col)), [F.col(id_col).alias("id")], secrets_col(F.col(text_col)), "s")
     return (
         found.select("id", "s.*")
         .groupBy("sha256", "length", "prefix")
@@ -143,7 +143,7 @@ def redact_secrets_col(text: Column, mark: str = "[REDACTED]") -> Column:
 
 
 def redact_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
-    return df.withColumn(text_col, redact_secrets_col(F.col(text_col)))
+    return spread(df).withColumn(text_col, redact_secrets_col(F.col(text_col)))
 
 
 # --- rendering ------------------------------------------------------------------
@@ -213,7 +213,7 @@ def dynamic_score_col(html: Column) -> Column:
 def dynamic_score(pages: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Score of script-built pages and the verdict; `targets` names pages whose static links suffice."""
     html = F.col("html")
-    scored = pages.select(
+    scored = spread(pages.select("page_id", "url", "html")).select(
         "page_id",
         contains_any(F.lower(F.col("url")), DYNAMIC_URL_WORDS).alias("url_says"),
         (F.length(strip(html)) < 500).alias("is_short"),

@@ -112,7 +112,7 @@ def page_text(spark, sf_dir):
 
 @query
 def clean_text(spark, sf_dir):
-    return corpus(spark, sf_dir).select("page_id", T.clean_text(F.col("html")).alias("text"))
+    return S.spread(corpus(spark, sf_dir)).select("page_id", T.clean_text(F.col("html")).alias("text"))
 
 
 @query
@@ -210,7 +210,8 @@ def page_records(spark, sf_dir):
 @query
 def keyword_matches(spark, sf_dir):
     found = T.keyword_matches(F.col("text"), KEYWORDS)
-    return table(spark, sf_dir, "documents").select("doc_id", joined(found).alias("keywords"))
+    docs = S.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", joined(found).alias("keywords"))
 
 
 def responses(spark, sf_dir) -> DataFrame:

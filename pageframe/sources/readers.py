@@ -16,6 +16,20 @@ MANIFEST_DDL = "url string, path string, sha256 string, bytes long, content_type
 CORRUPT = "_corrupt_record"
 
 
+SMALL_TASK_BYTES = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Gives every core a share of an input too small to be split by its files.
+
+    Parsing or searching whole texts costs far more than moving such an input. Anything above a few
+    megabytes per core already has its own partitions and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_TASK_BYTES else df
+
+
 def usable_pages(pages: DataFrame) -> DataFrame:
     """Pages that hold any markup."""
     return pages.filter(F.col("html").isNotNull() & (F.trim("html") != ""))
@@ -27,7 +41,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def lines_of(df: DataFrame, text_col: str, must_contain: str | None = None) -> DataFrame:
     """Stripped non-blank lines of a text column, as `line`."""
-    lines = explode_rows(df, [], F.split(text_col, "\n"), "line")
+    lines = explode_rows(spread(df.select(text_col)), [], F.split(text_col, "\n"), "line")
     return _clean_lines(lines, must_contain)
 
 
@@ -71,4 +85,4 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def decode_pages(df: DataFrame, content: str = "content", content_type: str = "content_type") -> DataFrame:
     """Adds `text` and `encoding` for a binary column."""
     decoded = charset.decode(F.col(content), F.coalesce(content_type, F.lit("")))
-    return df.withColumn("decoded", decoded).select(*df.columns, "decoded.text", "decoded.encoding")
+    return spread(df).withColumn("decoded", decoded).select(*df.columns, "decoded.text", "decoded.encoding")

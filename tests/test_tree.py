@@ -1,10 +1,13 @@
 """Tree rules on hand-written markup."""
 
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pageframe.functions import html_tree
 from pageframe.functions.html_tree import _TreeReader
 from pageframe.operators import pages as P
 
@@ -68,6 +71,25 @@ def test_ranges_nest(parts):
             assert reader.depths[node] == reader.depths[parent] + 1
 
 
+PIECES = [
+    "<a>", '<a href="/x">', '<a href="/x" id="q" id="r">', "<a href=/x>", "<A HREF='y'>", '<a href="a&amp;b">', "</a>", "</A>", "</a >",
+    "<script>", "</script>", "<style>", "</style>", "<p>", "</p", "<br/>", '<img src="x"/>', "<", ">", "&", "&lt;", "t", "\n", "<!--", "-->",
+    "<pre>", "</pre>", "<title>", "</title>", '<b data-x="1">', '<b c="<">', "<!DOCTYPE html>", "<?pi>", "<template>", "</template>",
+]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=25))
+def test_plain_tags_read_like_any_others(pieces):
+    html = "".join(pieces)
+    quick = _TreeReader().read(html)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(html_tree, "PLAIN_START", re.compile(r"(?!)"))
+        patch.setattr(html_tree, "PLAIN_END", re.compile(r"(?!)"))
+        general = _TreeReader().read(html)
+    assert (quick.rows, quick.strings) == (general.rows, general.strings)
+
+
 @pytest.mark.parametrize("html", [None, "", "<![bad", "no tags", "<div"])
 def test_odd_pages_parse(parse, html):
     row = parse(html).collect()[0]
