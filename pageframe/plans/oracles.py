@@ -419,7 +419,9 @@ b as (select host, i, event_id, ts_us, case when ok then 0 else 1 end as streak,
 select host, event_id, ts_us, 0 as step, 'half_open' as state from b where probed
 union all select host, event_id, ts_us, cast(probed as int), 'open' from b where opens
 union all select host, event_id, ts_us, cast(probed as int), 'closed' from b where closes"""
-ORACLES["stream_breaker"] = ORACLES["breaker_timeline"]
+# a stream tells of the ten-second slices that its watermark has closed
+ORACLES["stream_breaker"] = f"""
+select * from ({ORACLES["breaker_timeline"]}) t where ts_us < (select max(epoch_ms(ts)) // 10000 * 10000000 from events)"""
 ORACLES["host_delay"] = f"""
 with w as (select host, ts, event_id, status, count(*) over last as n, avg(rt) over last as mean from {LOG} g
            window last as (partition by host order by ts, event_id rows 9 preceding)),

@@ -45,59 +45,59 @@ def stream_enrich(events: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 class OutageProcessor(StatefulProcessor):
-    """Breaker of one host. Rows wait until the watermark has passed them, then run in time order."""
+    """Breaker of one host, fed with closed time slices whose events are in order."""
 
     def __init__(self, threshold: int, cooldown_us: int):
         self.threshold, self.cooldown_us = threshold, cooldown_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.breaker = handle.getValueState("breaker", "streak long, opened_us long")
-        self.waiting = handle.getListState("waiting", "ts_us long, event_id long, ok boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            fresh = zip(batch["ts_us"].tolist(), batch["event_id"].tolist(), batch["ok"].tolist())
-            self.waiting.appendList(list(fresh))
-        yield self._advance(key, timerValues)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, timerValues)
-
-    def _advance(self, key, timerValues) -> pd.DataFrame:
-        watermark_ms = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.waiting.get())
-        due = [row for row in rows if row[0] // 1000 <= watermark_ms]
-        later = rows[len(due) :]
-        stored = self.breaker.get() if self.breaker.exists() else (0, None)
-        state, found = Breaker(*stored), []
-        for ts_us, event_id, ok in due:
-            state, moves = breaker_step(state, ts_us, ok, self.threshold, self.cooldown_us)
-            found += [(key[0], event_id, ts_us, step, move) for step, move in enumerate(moves)]
-        if due:
-            self.breaker.update(tuple(state))
-            self.waiting.put(later) if later else self.waiting.clear()
-        if later:
-            self.handle.registerTimer(later[0][0] // 1000)
-        return pd.DataFrame(found, columns=["host", "event_id", "ts_us", "step", "state"])
+        slices = pd.concat(rows).sort_values("start_us")
+        state = Breaker(*self.breaker.get()) if self.breaker.exists() else Breaker()
+        found = []
+        for part in slices.itertuples():
+            for ts_us, event_id, ok in zip(part.ts_us.tolist(), part.event_id.tolist(), part.ok.tolist()):
+                state, moves = breaker_step(state, ts_us, ok, self.threshold, self.cooldown_us)
+                found += [(key[0], event_id, ts_us, step, move) for step, move in enumerate(moves)]
+        self.breaker.update(tuple(state))
+        yield pd.DataFrame(found, columns=["host", "event_id", "ts_us", "step", "state"])
 
     def close(self) -> None:
         pass
 
 
 def stream_breaker(
-    log: DataFrame, threshold: int = 10, cooldown_seconds: float = 30.0, late: str = "1 hour"
+    log: DataFrame,
+    threshold: int = 10,
+    cooldown_seconds: float = 30.0,
+    late: str = "1 hour",
+    slice_length: str = "10 seconds",
 ) -> DataFrame:
-    """The transitions of `breaker_timeline` as a stream, each once the watermark has passed its event."""
+    """The transitions of `breaker_timeline` as a stream.
+
+    Events are gathered and ordered per host and time slice, so a busy host is
+    spread over many tasks; the state of a host sees one row per slice, once
+    the watermark has closed it.
+    """
     log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    keyed = log.withWatermark("ts", late).select(
-        "host", "ts", F.unix_micros("ts").alias("ts_us"), "event_id", "ok"
+    event = F.struct(F.unix_micros("ts").alias("ts_us"), "event_id", "ok")
+    slices = (
+        log.withWatermark("ts", late)
+        .groupBy("host", F.window("ts", slice_length).alias("w"))
+        .agg(F.array_sort(F.collect_list(event)).alias("events"))
+        .select(
+            "host",
+            F.unix_micros("w.start").alias("start_us"),
+            *[F.col("events")[name].alias(name) for name in ("ts_us", "event_id", "ok")],
+        )
     )
-    return keyed.groupBy("host").transformWithStateInPandas(
+    return slices.groupBy("host").transformWithStateInPandas(
         statefulProcessor=OutageProcessor(threshold, int(cooldown_seconds * 1_000_000)),
         outputStructType=TRANSITION_DDL,
         outputMode="Append",
-        timeMode="EventTime",
+        timeMode="None",
     )
 
 
