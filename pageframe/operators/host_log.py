@@ -10,7 +10,7 @@ fits (see `slice_length_us`).
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -444,7 +444,7 @@ def _last_openings(times: list[int], cooldown_us: int) -> list[int]:
     """For failures only: the time of the last opening, were the breaker to open at each of them."""
     last = list(times)
     for i in reversed(range(len(times))):
-        following = bisect_left(times, times[i] + cooldown_us)
+        following = bisect_left(times, times[i] + cooldown_us, i + 1)
         if following < len(times):
             last[i] = last[following]
     return last
@@ -460,7 +460,8 @@ def _summarise(times: list[int], oks: list[bool], threshold: int, cooldown_us: i
     """
     tail = times[len(oks) - oks[::-1].index(True) :] if True in oks else times
     last = _last_openings(tail, cooldown_us)
-    entries = bisect_right(tail, tail[0] + cooldown_us) if tail else 0
+    # no probe is due later than a cooldown after the first failure here
+    entries = min(len(tail), bisect_left(tail, tail[0] + cooldown_us) + 1) if tail else 0
     steps = [i for i in range(entries) if i + 1 == entries or last[i] != last[i + 1]]
     return {
         "reset": True in oks,

@@ -29,10 +29,11 @@ def either(test, values) -> str:
 
 
 def unescape(x: str) -> str:
-    pairs = [("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "),
-             ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
+    """The character references that occur, with or without the semicolon where both are read."""
+    pairs = [("&copy;?", "©"), ("&middot;?", "·"), ("&quot;?", '"'), ("&#39;?", "'"), ("&#x27;?", "'"), ("&nbsp;?", " "),
+             ("&lt;?", "<"), ("&gt;?", ">"), ("&amp;?", "&")]
     for entity, char in pairs:
-        x = f"replace({x}, {lit(entity)}, {lit(char)})"
+        x = f"regexp_replace({x}, {lit(entity)}, {lit(char)}, 'g')"
     return x
 
 

@@ -5,6 +5,8 @@ from collections import defaultdict
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from pageframe.operators import host_log as H
 
@@ -124,6 +126,27 @@ def test_slices_shrink_with_the_busiest_host(log, monkeypatch):
     assert H.host_streaks(log).orderBy("host").collect() == H.host_streaks(log, 10_000).orderBy("host").collect()
 
 
+@settings(max_examples=2000, deadline=None)
+@given(
+    st.lists(st.tuples(st.integers(0, 12), st.sampled_from([False, False, False, True])), min_size=1, max_size=40),
+    st.integers(1, 30),
+    st.integers(1, 4),
+    st.integers(0, 40),
+)
+def test_slice_summaries_compose(gaps, length, threshold, cooldown):
+    now, slices = 0, defaultdict(list)
+    for gap, ok in gaps:
+        now += gap
+        slices[now // length].append((now, ok))
+    stepped = folded = H.Breaker()
+    for number in sorted(slices):
+        times, oks = map(list, zip(*slices[number]))
+        folded = H._after_slice(folded, H._summarise(times, oks, threshold, cooldown), threshold, cooldown)
+        for ts, ok in slices[number]:
+            stepped, _ = H.breaker_step(stepped, ts, ok, threshold, cooldown)
+        assert folded == stepped
+
+
 def test_breaker_story():
     state, seen = H.Breaker(), []
     for ts, ok in [(0, False), (1, False), (5, False), (12, False), (13, True), (14, False), (15, False), (40, True)]:
