@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageframe.operators.running import first_rows
 from pageframe.operators.url_filters import is_crawlable, is_downloadable
-from pageframe.sources.checkpoints import cut_lineage
+from pageframe.sources.checkpoints import cut_lineage, run_folder
 
 
 def dedup_urls(df: DataFrame) -> DataFrame:
@@ -19,8 +21,12 @@ HOT_SHARE = 1000  # a hot source has over 1/1000 of all edges, so there are unde
 HOT_MIN_EDGES = 10_000
 
 
-def _salted_edges(edges: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
-    """(edges by src and salt, hot sources): the edges of a hot source are spread over all salts."""
+def _salted_edges(edges: DataFrame, salts: int) -> tuple[str, DataFrame]:
+    """(table of the edges bucketed by src and salt, hot sources).
+
+    The edges of a hot source are spread over all salts. As a bucketed table in
+    the shared folder they are shuffled once, not once per level.
+    """
     total = edges.count()
     hot = cut_lineage(
         edges.groupBy("src").count().filter(F.col("count") > max(total // HOT_SHARE, HOT_MIN_EDGES)).select("src")
@@ -28,7 +34,10 @@ def _salted_edges(edges: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
     marked = edges.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "src", "left")
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("dst"), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     salted = marked.select("src", "dst", salt.alias("salt")).distinct().repartition(salts, "src", "salt")
-    return cut_lineage(salted), hot
+    name = f"pageframe_edges_{uuid.uuid4().hex}"
+    folder = run_folder(edges.sparkSession, name)
+    salted.write.bucketBy(salts, "src", "salt").format("parquet").option("path", folder).saveAsTable(name)
+    return name, hot
 
 
 def crawl_frontier(
@@ -47,19 +56,30 @@ def crawl_frontier(
     `max_urls` the first URLs by depth, then URL, are kept.
     """
     usable = edges.filter(is_crawlable(F.col("dst"), domain, include, exclude)).select("src", "dst")
-    n_salts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    usable, hot = _salted_edges(usable, n_salts)
-    all_salts = F.sequence(F.lit(0), F.lit(n_salts - 1))
+    spark = edges.sparkSession
+    n_salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edge_table, hot = _salted_edges(usable, n_salts)
     start = seeds.filter(is_crawlable(F.col("url"), domain, include, exclude)).select("url").distinct()
+    try:
+        return _levels(spark.table(edge_table), start, hot, n_salts, max_depth, max_urls)
+    finally:
+        spark.sql(f"DROP TABLE {edge_table}")
+
+
+def _levels(
+    edges: DataFrame, start: DataFrame, hot: DataFrame, n_salts: int, max_depth: int, max_urls: int | None
+) -> DataFrame:
+    all_salts = F.sequence(F.lit(0), F.lit(n_salts - 1))
+    hot = hot.select(F.col("src").alias("url"), F.lit(True).alias("hot"))
     level = cut_lineage(_first(start, max_urls).withColumn("depth", F.lit(0)))
     visited, n_visited = level, level.count()
     for depth in range(1, max_depth + 1):
         if max_urls is not None and n_visited >= max_urls:
             break
-        marked = level.join(F.broadcast(hot.select(F.col("src").alias("url"), F.lit(True).alias("hot"))), "url", "left")
         salts = F.when(F.col("hot"), all_salts).otherwise(F.array(F.lit(0)))
+        marked = level.join(F.broadcast(hot), "url", "left")
         frontier = marked.select(F.col("url").alias("src"), F.explode(salts).alias("salt"))
-        found = usable.join(frontier, ["src", "salt"]).select(F.col("dst").alias("url")).distinct()
+        found = edges.join(frontier, ["src", "salt"]).select(F.col("dst").alias("url")).distinct()
         new = found.join(visited.select("url"), "url", "left_anti")
         room = None if max_urls is None else max_urls - n_visited
         level = cut_lineage(_first(new, room).withColumn("depth", F.lit(depth)))

@@ -25,6 +25,8 @@ def spread(df: DataFrame) -> DataFrame:
     Parsing or searching whole texts costs far more than moving such an input. Anything above a few
     megabytes per core already has its own partitions and is not shuffled.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SMALL_TASK_BYTES else df
