@@ -156,7 +156,7 @@ _KIND = f"coalesce({X.DOC_TYPE}, '')"
 _IS_BINARY = either(lambda b: f"contains({_KIND}, {lit(b)})", BINARY_TYPES)
 ORACLES["binary_split"] = f"""
 select {X.DOC_URL} as url, case when {_IS_BINARY} then 'binary' else 'html' end as type, {X.DOC_TYPE} as content_type,
-       case when {_IS_BINARY} then strlen(text) end as size from documents"""
+       case when {_IS_BINARY} then strlen(text) else 0 end as size from documents"""
 ORACLES["flat_binaries"] = f"""
 select {X.DOC_URL} as url, doc_id * 1000000 as ts_us, 'binary' as type, strlen(text) as size from documents where {_IS_BINARY}"""
 ORACLES["script_join"] = f"""
@@ -224,8 +224,8 @@ from e left join {_MIME} on e.mime = m.mime"""
 _TARGET = f"{EXT} in ('pdf', 'md', 'png', 'gz')"
 ORACLES["target_files"] = f"""
 with f as (select page_id, url, {_TARGET} as t from {PARTS} p)
-select page_id, url, null::boolean as has_targets, null::bigint as n_targets from f where t
-union all select cast(floor(page_id / 3) as bigint), null, bool_or(t), count(*) filter (t) from f group by 1"""
+select page_id, url, true as has_targets, 1 as n_targets from f where t
+union all select cast(floor(page_id / 3) as bigint), '', bool_or(t), count(*) filter (t) from f group by 1"""
 _OWNED: dict[str, str] = {}
 for _category, _names in EXTENSION_CATEGORIES.items():
     for _ext in _names.split():
@@ -367,7 +367,7 @@ def _runs(source: str) -> str:
     """Rows with the number of failures in a row up to and including them."""
     return f"""
 o as (select *, sum(case when ok then 1 else 0 end) over (partition by host order by ts, event_id rows unbounded preceding) as island from {source} g),
-r as (select *, sum(case when ok then 0 else 1 end) over (partition by host, island order by ts, event_id rows unbounded preceding) as streak from o)"""
+r as (select *, cast(sum(case when ok then 0 else 1 end) over (partition by host, island order by ts, event_id rows unbounded preceding) as bigint) as streak from o)"""
 
 
 _POINTS = "case when ok then 10 - rt * 0.5::double when status in (408, 504) then -20 else -15 end"

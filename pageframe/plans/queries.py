@@ -227,7 +227,7 @@ def responses(spark, sf_dir) -> DataFrame:
 def binary_split(spark, sf_dir):
     binary, rest = P.split_binary(responses(spark, sf_dir))
     return binary.select("url", "type", "content_type", "size").unionByName(
-        rest.selectExpr("url", "'html' AS type", "content_type"), allowMissingColumns=True
+        rest.selectExpr("url", "'html' AS type", "content_type", "0L AS size")
     )
 
 
@@ -345,10 +345,12 @@ def mime_ext_join(spark, sf_dir):
 
 @query
 def target_files(spark, sf_dir):
-    files = UF.target_files(X.part_urls(spark, sf_dir), EXTENSIONS).selectExpr("page_id", "url")
+    files = UF.target_files(X.part_urls(spark, sf_dir), EXTENSIONS).selectExpr(
+        "page_id", "url", "true AS has_targets", "1L AS n_targets"
+    )
     blocks = X.part_urls(spark, sf_dir).withColumn("page_id", F.floor(F.col("page_id") / 3))
-    flags = UF.pages_with_targets(blocks, EXTENSIONS).select("page_id", "has_targets", "n_targets")
-    return files.unionByName(flags, allowMissingColumns=True)
+    flags = UF.pages_with_targets(blocks, EXTENSIONS).withColumn("url", F.lit(""))
+    return files.unionByName(flags)
 
 
 @query
