@@ -152,7 +152,7 @@ def first_match(hits: DataFrame, keys: list[str], rank: str, order: str, value:
 
 def needs_render_pages(pages: DataFrame, links: DataFrame, extensions, exclude=None) -> DataFrame:
     """Pages none of whose static links is a target file."""
-    targets = links.filter(is_downloadable(F.col("url"), extensions, exclude)).select("page_id")
+    targets = links.filter(is_downloadable(F.col("url"), extensions, exclude)).select("page_id").distinct()
     return pages.join(targets, "page_id", "left_anti")
 
 

@@ -44,7 +44,7 @@ def is_crawlable(url: Column, domain: str | None = None, include=None, exclude=N
 
 def crawlable(links: DataFrame, domain=None, include=None, exclude=None, visited: DataFrame | None = None) -> DataFrame:
     kept = links.filter(is_crawlable(F.col("url"), domain, include, exclude))
-    return kept if visited is None else kept.join(visited.select("url"), "url", "left_anti")
+    return kept if visited is None else kept.join(visited.select("url").distinct(), "url", "left_anti")
 
 
 # URLs a page crawl has no use for.
@@ -82,7 +82,7 @@ def valid_urls(
 
 
 def _unvisited(df: DataFrame, visited: DataFrame | None) -> DataFrame:
-    return df if visited is None else df.join(visited.select("url"), "url", "left_anti")
+    return df if visited is None else df.join(visited.select("url").distinct(), "url", "left_anti")
 
 
 def is_downloadable(url: Column, extensions=None, exclude=None, crawl_only: bool = False) -> Column:

@@ -183,9 +183,7 @@ _LINK_KINDS = ["anchor", "onclick", "data_attr", "link_tag", "iframe", "srcset",
 
 
 def _link_rows(kind: str) -> str:
-    key = {"script": "p_partkey % 50", "inline_js": "'{k}'"}.get(kind, "p_partkey")
-    if kind == "inline_js":
-        key = "p_partkey"
+    key = "p_partkey % 50" if kind == "script" else "p_partkey"
     return f"select p_partkey as page_id, '{kind}' as link_kind, '{X.SITE}/x/{kind}/' || ({key}) as url from part"
 
 
@@ -302,13 +300,7 @@ _REDACTED = "text"
 for _, _lead, _value in SECRET_PATTERNS:
     _REDACTED = f"regexp_replace({_REDACTED}, {lit(f'(?i)({_secret(_lead)}){_value}')}, '\\1[REDACTED]', 'g')"
 ORACLES["redact_secrets"] = f"select doc_id, md5({_REDACTED}) as text_md5 from documents"
-_RENDER_EXTRA = (
-    "case page_id % 8 when 0 then '<script src=\"/js/React.min.js\"></script>' when 1 then '<div id=\"root\"></div>' "
-    "when 2 then '<script>window.__NEXT_DATA__={}</script>' when 3 then '<p>Just a Moment</p>' "
-    "when 4 then '<meta name=\"generator\" content=\"Nuxt 3\">' "
-    "when 5 then '<script src=\"a.js\"></script><noscript>x</noscript><b onload = \"fetch (1)\">' else '' end"
-)
-_RENDER = f"(select page_id, url, html || {_RENDER_EXTRA} as html from pages)"
+_RENDER = f"(select page_id, url, html || {X.RENDER_EXTRA} as html from pages)"
 _CHALLENGE = either(lambda p: f"contains(lower(html), {lit(p)})", CHALLENGE_PHRASES)
 ORACLES["render_class"] = f"""
 with p as (select page_id, page_id % 8 = 0 as framework_script, page_id % 8 = 1 as app_root, false as little_text,

@@ -64,6 +64,13 @@ ENDPOINT_LINE = (
     "when 4 then 'socks://' else '' end) || (case when c_custkey % 13 = 0 then 'ab' else 'h' || "
     "(case when c_custkey % 10 = 0 then 10 else c_custkey end) || 'x' end) || ':' || ((c_custkey * 37) % 70000) || '/x'"
 )
+# over pages
+RENDER_EXTRA = (
+    "case page_id % 8 when 0 then '<script src=\"/js/React.min.js\"></script>' when 1 then '<div id=\"root\"></div>' "
+    "when 2 then '<script>window.__NEXT_DATA__={}</script>' when 3 then '<p>Just a Moment</p>' "
+    "when 4 then '<meta name=\"generator\" content=\"Nuxt 3\">' "
+    "when 5 then '<script src=\"a.js\"></script><noscript>x</noscript><b onload = \"fetch (1)\">' else '' end"
+)
 # over part: a graph with cycles; n is the number of parts
 EDGE_TARGET = "'/p/' || ((p_partkey * k + k) % n)"
 
@@ -235,13 +242,7 @@ def relative_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def render_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given pages with one mark of client-side rendering each, by page_id % 8."""
-    extra = (
-        "case page_id % 8 when 0 then '<script src=\"/js/React.min.js\"></script>' when 1 then '<div id=\"root\"></div>' "
-        "when 2 then '<script>window.__NEXT_DATA__={}</script>' when 3 then '<p>Just a Moment</p>' "
-        "when 4 then '<meta name=\"generator\" content=\"Nuxt 3\">' "
-        "when 5 then '<script src=\"a.js\"></script><noscript>x</noscript><b onload = \"fetch (1)\">' else '' end"
-    )
-    return table(spark, sf_dir, "pages").selectExpr("page_id", "url", f"html || {extra} AS html")
+    return table(spark, sf_dir, "pages").selectExpr("page_id", "url", f"html || {RENDER_EXTRA} AS html")
 
 
 def shell_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
