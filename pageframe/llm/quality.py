@@ -59,9 +59,12 @@ def statistics(text: str | None) -> list[float]:
     return [float(np.log1p(n)), float(np.log(letters / n)), *arcs[: len(KINDS)], float(spread), *arcs[len(KINDS) :]]
 
 
-@pandas_udf("array<double>")
-def statistics_of(texts):
-    return texts.map(statistics)
+def statistics_of(text: Column | str) -> Column:
+    @pandas_udf("array<double>")
+    def of(texts):
+        return texts.map(statistics)
+
+    return of(text)
 
 
 @dataclass(frozen=True)
@@ -154,7 +157,7 @@ def labelled(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_
 
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col), statistics_of(F.col(text_col)).alias("x"))
+    return docs.select(F.col(id_col), statistics_of(text_col).alias("x"))
 
 
 def quality_scores(stats: DataFrame, model: Discriminant, id_col: str = "doc_id", threshold: float = 0.7) -> DataFrame:
