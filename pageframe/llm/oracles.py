@@ -1,6 +1,27 @@
 """Expected results of the dealt operators as DuckDB SQL, where SQL can express them."""
 
 ORACLES = {
+    "op2_substring_dedup": r"""
+        with docs as (
+            select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') words
+            from documents
+        ), starts as (
+            select doc_id, unnest(range(1, len(words) - 33)) as p, words from docs where len(words) >= 35
+        ), windows as (
+            select doc_id, p, sha256(array_to_string(words[p:p + 34], ' ')) as h from starts
+        ), repeated as (
+            select doc_id, p from (select *, count(*) over (partition by h) as n from windows) where n > 1
+        ), gone as (
+            select doc_id, list_distinct(flatten(list(range(p, p + 35)))) as places from repeated group by doc_id
+        ), kept as (
+            select d.doc_id, words, len(coalesce(places, [])) as removed,
+                   list_filter(range(1, len(words) + 1), lambda i: not list_contains(coalesce(places, []), i)) as places
+            from docs d left join gone g on d.doc_id = g.doc_id
+        )
+        select doc_id, len(words)::bigint as n_words, removed::bigint as n_removed,
+               sha256(array_to_string(list_transform(places, lambda i: words[i]), ' ')) as kept_sha256
+        from kept
+    """,
     "op4_exact_dedup": """
         with rows as (
             select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') norm

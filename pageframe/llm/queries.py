@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pageframe.llm import exact_dedup, quality, simhash_dedup
+from pageframe.llm import exact_dedup, mixing, packing, quality, simhash_dedup, substring_dedup
 from pageframe.llm.texts import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,11 @@ def op1_quality_classifier(spark, sf_dir):
     return quality.quality_scores(stats, model)
 
 
+@query
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
@@ -37,3 +43,14 @@ def op4_exact_dedup(spark, sf_dir):
 @query
 def op7_simhash_dedup(spark, sf_dir):
     return simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_source_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_packing(spark, sf_dir):
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer, with_ids=False)
