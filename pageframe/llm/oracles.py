@@ -31,4 +31,46 @@ ORACLES = {
                doc_id = max(doc_id) over same as kept, sha256(norm) as text_sha256
         from rows window same as (partition by norm)
     """,
+    "op10_license_scan": r"""
+        with docs as (
+            select doc_id, row_number() over () as row, list_filter(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as words
+            from documents
+        ), templates as (
+            select label, string_split(words, ' ') as words, 0.8 as least from (values
+                ('mit', 'released under the mit license'),
+                ('apache-2', 'licensed under the apache license version 2 0'),
+                ('cc-by-nc', 'licensed under cc by nc 4 0'),
+                ('gpl-3', 'this work is licensed under the gnu general public license version 3'),
+                ('all-rights-reserved', 'all rights reserved')) t(label, words)
+        ), phrases as (
+            select label, string_split(words, ' ') as words from (values
+                ('mit', 'under the mit license'), ('apache-2', 'apache license version 2'),
+                ('cc-by-nc', 'cc by nc')) t(label, words)
+        ), places as (
+            select row, label, words, unnest(range(1, len(words) + 1)) as p, phrase
+            from docs, (select label, words as phrase from phrases)
+            where list_has_any(words, phrase)
+        ), base as (
+            select row, count(*) as n_base, min(p) - 1 as first_word, max(p) - 1 as last_word, list(distinct label) as labels
+            from places where words[p:p + len(phrase) - 1] = phrase group by row
+        ), tokens as (
+            select distinct row, label, d.words[p] as token, unnest([(p - 1) // 12, (p - 1) // 12 - 1]) as block,
+                   len(list_distinct(t.words)) as n
+            from (select row, words, unnest(range(1, len(words) + 1)) as p from docs) d
+            join (select label, words, unnest(words) as token from templates) t on d.words[p] = t.token
+        ), alike as (
+            select row, label, max(c) as best from (
+                select row, label, block, count(distinct token) / any_value(n) as c, any_value(n) as n
+                from tokens where block >= 0 group by row, label, block) where c >= 0.8 group by row, label
+        ), more as (
+            select row, list(label) as labels, max(best) as best from alike group by row
+        )
+        select doc_id, len(words)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+               array_to_string(list_sort(coalesce(b.labels, [])), ',') as base_labels,
+               array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') as labels,
+               greatest(case when n_base > 0 then 1.0 else 0.0 end, coalesce(best, 0.0))::double as score
+        from docs d left join base b on d.row = b.row left join more m on d.row = m.row
+    """,
 }

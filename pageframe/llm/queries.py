@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pageframe.llm import exact_dedup, mixing, packing, quality, simhash_dedup, substring_dedup
+from pageframe.llm import exact_dedup, license_scan, mixing, packing, quality, simhash_dedup, substring_dedup
 from pageframe.llm.texts import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,8 @@ def op8_source_mixing(spark, sf_dir):
 def op9_packing(spark, sf_dir):
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer, with_ids=False)
+
+
+@query
+def op10_license_scan(spark, sf_dir):
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
