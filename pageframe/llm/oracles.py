@@ -31,6 +31,23 @@ ORACLES = {
                doc_id = max(doc_id) over same as kept, sha256(norm) as text_sha256
         from rows window same as (partition by norm)
     """,
+    "op5_embedding_dedup": """
+        with recursive vectors as (
+            select vec_id, embedding::double[] as v from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+              and len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links as (
+            select a.vec_id as a, b.vec_id as b from vectors a, vectors b
+            where a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.9
+        ), reach as (
+            select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a
+        )
+        select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(first, vec_id)) as component_id,
+               least(vec_id, coalesce(first, vec_id)) = vec_id as kept
+        from embeddings
+        left join (select a, count(*) as n from links group by a) on vec_id = a
+        left join (select a as r, min(b) as first from reach group by a) on vec_id = r
+    """,
     "op10_license_scan": r"""
         with docs as (
             select doc_id, row_number() over () as row, list_filter(string_split_regex(

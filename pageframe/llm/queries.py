@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pageframe.llm import exact_dedup, license_scan, mixing, packing, quality, simhash_dedup, substring_dedup
+from pageframe.llm import embedding_dedup, exact_dedup, license_scan, mixing, packing, quality, simhash_dedup, substring_dedup
 from pageframe.llm.texts import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+@query
+def op5_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op7_simhash_dedup(spark, sf_dir):
     return simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents"))
