@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageframe.llm.ordered import sums_before
 from pageframe.llm.texts import WORD, stored, word_count
-from pageframe.operators.running import running_totals
 
 #: Words of a block, shards of the mix, and the seed of everything that is drawn.
 BLOCK_WORDS, SHARDS, SEED = 256, 16, 20_240_201
@@ -19,13 +19,6 @@ EXACT_DRAWS = 900_000_000
 UNIT = ["id", "source", "digest", "size", "copy"]
 
 
-def numbered(df: DataFrame, keys: list[str], order: list, totals: dict[str, str]) -> DataFrame:
-    """Sums of earlier rows (`totals`: new column -> summed column) per key in an order, over range partitions."""
-    laid = stored(df.repartitionByRange(*keys, *order).withColumn("slice", F.spark_partition_id()), "mixing-order")
-    up_to = running_totals(laid, totals, keys, "slice", order)
-    return up_to.withColumns({name: F.col(name) - F.col(value) for name, value in totals.items()}).drop("slice")
-
-
 def units(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
     """A row for every document, without its text: id, source, digest of the text, size in words, number of the copy.
 
@@ -51,7 +44,7 @@ def targets(
     by weight until no target is above. A source without words gets 0.
     """
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = numbered(
+    ranked = sums_before(
         sizes.select("source", "source_size", F.col("source").isNull().alias("last"), F.lit(0).alias("all"), F.lit(1).alias("one")),
         ["all"],
         ["last", "source"],
@@ -159,7 +152,7 @@ def draw(rows: DataFrame, goals: DataFrame, block_words: int = BLOCK_WORDS, shar
         }
     )
     order = ["key", "id", "digest", "block", "copy"]
-    placed = numbered(blocks, ["number"], order, {"before": "length"})
+    placed = sums_before(blocks, ["number"], order, {"before": "length"})
     partial = F.greatest(F.lit(0), F.least("length", F.col("rest") - F.col("before")))
     draws = (
         placed.select(*UNIT, "number", "block", "length", "epochs", partial.alias("partial"), F.explode(F.sequence(F.lit(0).cast("long"), "epochs")).alias("epoch"))
@@ -168,7 +161,7 @@ def draw(rows: DataFrame, goals: DataFrame, block_words: int = BLOCK_WORDS, shar
         .select(*UNIT, "number", "block", "epoch", "words", F.lit(1).cast("long").alias("one"))
         .withColumn("key", drawn_key(seed + 1, "id", "digest", "block", "copy", "epoch"))
     )
-    permuted = stored(numbered(draws, ["number"], [*order, "epoch"], {"rank": "one"}), "mixing-draws")
+    permuted = stored(sums_before(draws, ["number"], [*order, "epoch"], {"rank": "one"}), "mixing-draws")
     quotas = shard_quotas(permuted.groupBy("number").agg(F.count("*").alias("blocks")), shards, seed)
     ends = (
         quotas.withColumn("end", F.sum("quota").over(Window.partitionBy("number").orderBy("shard")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pageframe.llm import embedding_dedup, exact_dedup, license_scan, mixing, packing, quality, simhash_dedup, substring_dedup
+from pageframe.llm import chat_format, embedding_dedup, exact_dedup, license_scan, line_dedup, mixing, packing, quality, simhash_dedup, substring_dedup
 from pageframe.llm.texts import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op2_substring_dedup(spark, sf_dir):
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
@@ -45,6 +50,11 @@ def op5_embedding_dedup(spark, sf_dir):
     return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op6_chat_formatting(spark, sf_dir):
+    return chat_format.chat_format(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op7_simhash_dedup(spark, sf_dir):
     return simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents"))

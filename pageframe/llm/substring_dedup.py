@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -157,6 +159,68 @@ def _scan(window: int):
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors in the order (short, context, row, at): those whose short hash repeats, marked.
+
+    whole: the same neighbourhood is there again. one: the first of its neighbourhood, in a group of several. Of the
+    stream one row is held back to see its successor, and one, the first of a group, to see a second neighbourhood.
+    """
+    delayed: dict[str, np.ndarray] | None = None
+    before: tuple[int, int] | None = None
+    held: dict[str, np.ndarray] | None = None
+
+    def out(rows: dict[str, np.ndarray], whole, one) -> pa.RecordBatch:
+        columns = [*rows.values(), np.broadcast_to(whole, len(rows["row"])), np.broadcast_to(one, len(rows["row"]))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*rows, "whole", "one"])
+
+    def step(rows: dict[str, np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal delayed, before, held
+        short, context = rows["short"], rows["context"]
+        n = len(short)
+        new_run, new_context = np.ones(n, bool), np.ones(n, bool)
+        new_run[1:] = short[1:] != short[:-1]
+        new_context[1:] = new_run[1:] | (context[1:] != context[:-1])
+        if before is not None:
+            new_run[0] = short[0] != before[0]
+            new_context[0] = new_run[0] or context[0] != before[1]
+        ends_run, ends_context = np.append(new_run[1:], True), np.append(new_context[1:], True)
+        decided = n if last else n - 1
+        repeated = ~new_run | ~ends_run
+        whole = ~new_context | ~ends_context
+        starts = np.flatnonzero(new_context)
+        following = np.append(starts[1:], -1)
+        one = new_context & ~new_run
+        for_first = new_run[starts]
+        one[starts[for_first]] = (following[for_first] >= 0) & ~new_run[following[for_first]]
+        if held is not None and len(starts):
+            yield out(held, held.pop("is_whole"), not new_run[starts[0]])
+            held = None
+        # The first row of a run that has shown no second neighbourhood yet waits.
+        wait = int(starts[-1]) if len(starts) and new_run[starts[-1]] and not last else -1
+        keep = repeated.copy()
+        keep[decided:] = False
+        if 0 <= wait < decided:
+            keep[wait] = False
+            if repeated[wait]:
+                held = {k: v[wait : wait + 1] for k, v in rows.items()} | {"is_whole": whole[wait]}
+        if keep.any():
+            yield out({k: v[keep] for k, v in rows.items()}, whole[keep], one[keep])
+        if decided:
+            before = (int(short[decided - 1]), int(context[decided - 1]))
+        delayed = None if last else {k: v[-1:] for k, v in rows.items()}
+
+    for batch in batches:
+        if batch.num_rows:
+            rows = {name: column.to_numpy() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+            if delayed is not None:
+                rows = {k: np.concatenate([delayed[k], v]) for k, v in rows.items()}
+            yield from step(rows, last=False)
+    if delayed is not None:
+        yield from step(delayed, last=True)
+    if held is not None:
+        yield out(held, held.pop("is_whole"), False)
+
+
 def _extend(window: int):
     """For anchors of a text: hashes of twice their length on both sides, and of all their long windows."""
     base = (window + 3) // 4
@@ -168,28 +232,108 @@ def _extend(window: int):
             out = []
             for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
                 lanes = table.of(byte_words(text))
-                a, b = lanes[:, 0].copy(), lanes[:, 1].copy()
-                middle, long_a, long_b = window_hashes(a, half), window_hashes(a, window), window_hashes(b, window)
+                middle = _signed(window_hashes(lanes[:, 0].copy(), half))
+                long = _signed(window_hashes(lanes[:, 1].copy(), window))
                 for f in found:
-                    at, lo, hi = f["at"], f["at"] - f["lo"], f["at"] - f["hi"]
-                    turn = at - (half - base)  # starts up to here hold the left extension, later ones the right
-                    for side, start, first, last in (("l", turn, lo, min(hi, turn)), ("r", at, max(lo, turn + 1), hi)):
-                        if first <= last:
-                            out.append(
-                                (
-                                    f["short"],
-                                    f["context"],
-                                    side,
-                                    int(middle[start].view(np.int64)),
-                                    at - first,
-                                    _signed(long_a[first : last + 1]),
-                                    _signed(long_b[first : last + 1]),
-                                )
-                            )
+                    at = f["at"]
+                    left, right = at - (half - base), at
+                    out.append(
+                        (
+                            f["short"],
+                            f["row"],
+                            at,
+                            f["lo"],
+                            f["whole"],
+                            int(middle[left]) if left >= 0 else None,
+                            int(middle[right]) if right < len(middle) else None,
+                            long[at - f["lo"] : at - f["hi"] + 1],
+                        )
+                    )
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-                columns = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["short", "context", "side", "middle", "first", "long_a", "long_b"])
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), EXTENDED.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=list(EXTENDED))
+
+    return run
+
+
+EXTENDED = {
+    "short": pa.int64(),
+    "row": pa.int64(),
+    "at": pa.int32(),
+    "lo": pa.int32(),
+    "whole": pa.bool_(),
+    "left": pa.int64(),
+    "right": pa.int64(),
+    "long": pa.list_(pa.int64()),
+}
+EXTENDED_DDL = "short long, row long, at int, lo int, whole boolean, left long, right long, long array<long>"
+
+
+def _runs_of_places(backs: list[int], window: int) -> list[tuple[int, int]]:
+    """Distances of repeated windows from their anchor, falling, as runs (farthest, nearest) of neighbours."""
+    out: list[tuple[int, int]] = []
+    for back in backs:
+        if out and out[-1][1] - back <= window:  # windows so close cover all that is between them
+            out[-1] = (out[-1][0], back)
+        else:
+            out.append((back, back))
+    return out
+
+
+def _repeated_inside(group: list[dict], window: int) -> list[tuple[int, int, int]]:
+    """Levels 2 and 3 in a group of neighbourhoods of one anchor: (row, start, end) of what repeats, in words.
+
+    A window is looked at if the anchor's extension on its side, twice as long, repeats (level 2), and repeats itself
+    if another neighbourhood has the same window at the same distance (level 3).
+    """
+    base = (window + 3) // 4
+    turn = base  # windows that begin at least so far before the anchor hold its extension to the left
+    sides = {side: Counter(g[side] for g in group if g[side] is not None) for side in ("left", "right")}
+    seen: Counter = Counter()
+    open_windows = []
+    for g in group:
+        windows = []
+        for i, value in enumerate(g["long"]):
+            back = g["lo"] - i
+            side = "left" if back >= turn else "right"
+            if sides[side][g[side]] > 1:
+                windows.append((back, value))
+        seen.update(windows)
+        open_windows.append(windows)
+    spans = []
+    for g, windows in zip(group, open_windows, strict=True):
+        if not g["whole"]:
+            for far, near in _runs_of_places([back for back, value in windows if seen[back, value] > 1], window):
+                spans.append((g["row"], g["at"] - far, g["at"] - near + window))
+    return spans
+
+
+def _verdicts(window: int, most: int):
+    """Groups of extended anchors, in the order of their short hash: spans, or the rows themselves of a large group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group, large = None, [], False
+        names = ["row", "start", "end", *(f"x_{name}" for name in EXTENDED)]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), *EXTENDED.values()]
+
+        def emit(spans: list[tuple], rows: list[dict]) -> Iterator[pa.RecordBatch]:
+            if spans or rows:
+                table = [[*span, *[None] * len(EXTENDED)] for span in spans]
+                table += [[None, None, None, *(row[name] for name in EXTENDED)] for row in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*table, strict=True), kinds, strict=True)], names)
+
+        for batch in batches:
+            spans, rows = [], []
+            for record in batch.to_pylist():
+                if record["short"] != key:
+                    spans.extend([] if large else _repeated_inside(group, window))
+                    key, group, large = record["short"], [], False
+                group.append(record)
+                if large or len(group) > most:
+                    rows.extend(group)
+                    group, large = [], True
+            yield from emit(spans, rows)
+        yield from emit([] if large else _repeated_inside(group, window), [])
 
     return run
 
@@ -202,8 +346,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = byte_words(text)
             gone = np.zeros(len(words) + 1, np.int64)
             for span in spans:
-                gone[span["lo"]] += 1
-                gone[span["hi"]] -= 1
+                gone[span["start"]] += 1
+                gone[span["end"]] -= 1
             gone = np.cumsum(gone)[:-1] > 0
             removed.append(int(gone.sum()))
             digests.append(_digest([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
@@ -213,24 +357,38 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _repeated(df: DataFrame, *keys: str) -> DataFrame:
-    """Keys of more than one row, counted before the shuffle."""
-    return stored(df.groupBy(*keys).count().filter("count > 1").select(*keys), "substring-repeated")
-
-
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
+def _large_groups(rows: DataFrame, window: int) -> DataFrame:
+    """Levels 2 and 3 as `_repeated_inside` does them, for groups of any size: (row, start, end)."""
+    base = (window + 3) // 4
+    sides = rows.select("short", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("h")), F.struct(F.lit("right").alias("side"), F.col("right").alias("h")))).alias("s")).select("short", "s.*")
+    level2 = sides.filter("h is not null").groupBy("short", "side", "h").count().filter("count > 1").drop("count")
+    every = rows.select("short", "row", "at", "whole", "left", "right", "lo", F.posexplode("long").alias("i", "value")).withColumn("back", F.col("lo") - F.col("i"))
+    every = every.withColumn("side", F.when(F.col("back") >= base, "left").otherwise("right")).withColumn("h", F.when(F.col("back") >= base, F.col("left")).otherwise(F.col("right")))
+    level3 = stored(every.join(stored(level2, "substring-sides"), ["short", "side", "h"], "left_semi").select("short", "row", "at", "whole", "back", "value"), "substring-level3")
+    same = ["short", "back", "value"]
+    repeated = stored(level3.groupBy(*same).count().filter("count > 1").drop("count"), "substring-repeated")
+    found = level3.filter("not whole").join(repeated, same, "left_semi")
+    return found.select("row", (F.col("at") - F.col("back")).alias("start"), (F.col("at") - F.col("back") + window).alias("end"))
+
+
+def substring_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, group_rows: int = 20_000
+) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256): every word goes that a repeated window of `window` words covers.
 
     Level-wise doubling. Level 1 looks at windows of a quarter of the length, and of these only at one representative
-    for each long window (see `anchors`), so the first shuffle holds a fourteenth of the positions and yet loses
-    nothing. What repeats there is extended: representatives whose whole neighbourhood repeats are done, and one of
-    each different neighbourhood goes on to level 2, half the length, and what repeats there to level 3, the whole
-    length. Levels 2 and 3 therefore see a text that has thousands of copies once. Hashes of the last level have 128
-    bits, as have those of neighbourhoods, so different windows are not taken for equal ones.
+    for each long window (see `anchors`), so its shuffle holds a fourteenth of the positions and yet loses nothing.
+    Representatives whose whole neighbourhood repeats are done. Of the others, one for each different neighbourhood of
+    a repeated representative is extended to twice its length (level 2), and what repeats there to the whole length
+    (level 3); both are compared among the neighbourhoods of one representative, in a task up to `group_rows` of them
+    and by counting joins beyond. Thousands of copies are one neighbourhood there. Level 1 only streams through rows,
+    holding two, however often a window repeats. A representative and its neighbourhood, or its long window, are told
+    apart by two independent hashes of 64 bits each.
 
     Windows are judged on the input. Texts of fewer words than `window`, empty and null ones lose nothing. Rows that
     repeat, with or without an id, count as any other copies. No rows give no rows.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.xxhash64(F.col(id_col), text).alias("k1"),
@@ -243,64 +401,53 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         f"k1 long, k2 long, id {id_ddl}, n_words long, sha string, short array<long>, context array<long>, "
         "at array<int>, lo array<int>, hi array<int>"
     )
-    base = stored(rows.mapInArrow(_scan(window), scan_ddl), "substring-scan")
-    every = base.select("k1", "k2", F.explode(F.arrays_zip("short", "context", "at", "lo", "hi")).alias("a")).select(
-        "k1", "k2", "a.*"
-    )
-    # Level 1: anchors whose words repeat.
-    level1 = stored(every.join(_repeated(every, "short"), "short", "left_semi"), "substring-level1")
-    contexts = stored(
-        level1.groupBy("short", "context").agg(
-            F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at", "lo", "hi")).alias("one")
-        ),
-        "substring-contexts",
+    scanned = rows.mapInArrow(_scan(window), scan_ddl)
+    base = stored(scanned.withColumn("row", F.monotonically_increasing_id()), "substring-scan")
+    every = base.select("row", F.explode(F.arrays_zip("short", "context", "at", "lo", "hi")).alias("a")).select(
+        "a.short", "a.context", "row", "a.at", "a.lo", "a.hi"
     )
-    several = _repeated(contexts, "short")
-    sources = (
-        contexts.join(several, "short", "left_semi")
-        .groupBy("one.k1", "one.k2")
-        .agg(F.collect_list(F.struct("short", "context", "one.at", "one.lo", "one.hi")).alias("found"))  # of one text
+    level1 = stored(
+        every.repartition("short")
+        .sortWithinPartitions("short", "context", "row", "at")
+        .mapInArrow(_runs, "short long, context long, row long, at int, lo int, hi int, whole boolean, one boolean"),
+        "substring-level1",
     )
-    texts = stored(
-        rows.join(level1.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("k1", "k2", "text"),
-        "substring-texts",
-    )
-    extended = stored(
-        texts.join(sources, ["k1", "k2"])
-        .select("text", "found")
-        .mapInArrow(
-            _extend(window),
-            "short long, context long, side string, middle long, first int, long_a array<long>, long_b array<long>",
-        ),
-        "substring-extended",
-    )
-    # Level 2: windows of half the length; level 3: of the whole length.
-    level2 = extended.join(_repeated(extended, "side", "middle"), ["side", "middle"], "left_semi")
-    level3 = level2.select("short", "context", "first", F.posexplode(F.arrays_zip("long_a", "long_b")).alias("i", "h")).select(
-        "short", "context", (F.col("first") - F.col("i")).alias("back"), "h.long_a", "h.long_b"
-    )
-    level3 = stored(level3, "substring-level3")
-    # A window with a tie is here once for each of its representatives, at different distances from them.
-    same = ["long_a", "long_b", "back"]
-    found = level3.join(_repeated(level3, *same), same, "left_semi")
-    single = (
-        contexts.filter("n = 1")
-        .select("short", "context")
-        .join(found.groupBy("short", "context").agg(F.array_sort(F.collect_set("back")).alias("backs")), ["short", "context"])
-    )
-    whole = contexts.filter("n > 1").select("short", "context", F.lit(None).cast("array<int>").alias("backs"))
-    verdicts = stored(single.union(whole), "substring-verdicts")
-    spans = (
-        level1.join(verdicts, ["short", "context"])
-        .select("k1", "k2", "at", F.explode(F.when(F.col("backs").isNull(), F.array(F.struct(F.col("lo").alias("far"), F.col("hi").alias("near")))).otherwise(F.transform("backs", lambda b: F.struct(b.alias("far"), b.alias("near"))))).alias("s"))
-        .groupBy("k1", "k2")
-        .agg(F.collect_set(F.struct((F.col("at") - F.col("s.far")).alias("lo"), (F.col("at") - F.col("s.near") + window).alias("hi"))).alias("spans"))
-    )
-    changed = (
-        texts.join(spans, ["k1", "k2"])
-        .select("k1", "k2", "text", "spans")
-        .mapInArrow(_remove, "k1 long, k2 long, removed long, kept string")
+    # Of rows that repeat in id and text one is worked on; the result goes to all of them.
+    keys = stored(base.groupBy("k1", "k2").agg(F.min("row").alias("row")), "substring-keys")
+    wanted = keys.join(level1.select("row").distinct(), "row", "left_semi")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"substring_texts_{uuid.uuid4().hex}"
+    # Bucketed by the key of a text, so texts are shuffled once and not for every join with what was found.
+    (
+        rows.join(wanted, ["k1", "k2"])
+        .dropDuplicates(["k1", "k2"])
+        .select("k1", "k2", "row", "text")
+        .write.bucketBy(n, "k1", "k2")
+        .option("compression", "zstd")
+        .saveAsTable(name)
     )
+    try:
+        texts = spark.table(name)
+        found = F.collect_list(F.struct("short", "row", "at", "lo", "hi", "whole")).alias("found")  # of one text
+        sources = level1.filter("one").join(keys, "row").groupBy("k1", "k2").agg(found)
+        extended = texts.join(sources, ["k1", "k2"]).select("text", "found").mapInArrow(_extend(window), EXTENDED_DDL)
+        x_ddl = ", ".join(f"x_{part.strip()}" for part in EXTENDED_DDL.split(","))
+        verdicts = stored(
+            extended.repartition("short").sortWithinPartitions("short").mapInArrow(_verdicts(window, group_rows), f"row long, start int, end int, {x_ddl}"),
+            "substring-verdicts",
+        )
+        large = verdicts.filter("row is null").select(*[F.col(f"x_{c}").alias(c) for c in EXTENDED])
+        whole = level1.filter("whole").select("row", (F.col("at") - F.col("lo")).alias("start"), (F.col("at") - F.col("hi") + window).alias("end"))
+        spans = whole.unionByName(verdicts.filter("row is not null").select("row", "start", "end")).unionByName(_large_groups(large, window))
+        per_text = spans.join(keys, "row").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        changed = stored(
+            texts.join(per_text, ["k1", "k2"])
+            .select("k1", "k2", "text", "spans")
+            .mapInArrow(_remove, "k1 long, k2 long, removed long, kept string"),
+            "substring-changed",
+        )
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     return (
         base.select("k1", "k2", "id", "n_words", "sha")
         .join(changed, ["k1", "k2"], "left")
