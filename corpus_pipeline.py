@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageframe.llm import exact_dedup, mixing, packing, quality, simhash_dedup
-from pageframe.llm.texts import folded, stored
+from pageframe.llm.texts import folded, stored, whole_row
 
 TOKENIZER = "word_bpe_49k.json"
 QUALITY_THRESHOLD = 0.7
@@ -15,9 +15,9 @@ QUALITY_THRESHOLD = 0.7
 
 def _rows_of(docs: DataFrame, keys: DataFrame, digest) -> DataFrame:
     """Rows of `docs` whose (doc_id, digest) is in `keys` (k_id, k_digest), one for each key."""
-    own = docs.withColumn("k_own", digest)
-    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_own") == F.col("k_digest"))
-    return own.join(keys, same).dropDuplicates(["doc_id", "k_own"]).select(*docs.columns)
+    own = docs.select(whole_row(docs).alias("doc"), F.col("doc_id").alias("own_id"), digest.alias("own_digest"))
+    same = F.col("own_id").eqNullSafe(F.col("k_id")) & (F.col("own_digest") == F.col("k_digest"))
+    return own.join(keys, same).dropDuplicates(["own_id", "own_digest"]).select("doc.*")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, the one with the smallest doc_id."""
-    rows = docs.withColumn("k_digest", F.xxhash64("text"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("k_digest"))
     groups = simhash_dedup.simhash_groups(rows, ["doc_id", "k_digest"])
     first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k_digest")).alias("first"))
     keys = first.select(F.col("first.doc_id").alias("k_id"), F.col("first.k_digest").alias("k_digest"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageframe.llm.ordered import sums_before
-from pageframe.llm.texts import WORD, stored, word_count
+from pageframe.llm.texts import WORD, stored, whole_row, word_count
 
 #: Words of a block, shards of the mix, and the seed of everything that is drawn.
 BLOCK_WORDS, SHARDS, SEED = 256, 16, 20_240_201
@@ -243,14 +243,20 @@ def mixed_documents(
         .agg(F.collect_list(F.struct(whole.alias("whole"), F.when(~whole, F.col("blocks")).alias("blocks"))).alias("m_times"))
         .select(F.col("id").alias("m_id"), F.col("source").alias("m_source"), F.col("digest").alias("m_digest"), "m_times")
     )
-    own = docs.withColumn("m_own", F.xxhash64(F.col(text_col))).dropDuplicates([id_col, source_col, "m_own"])
+    own = docs.select(
+        whole_row(docs).alias("doc"),
+        F.col(id_col).alias("own_id"),
+        F.col(source_col).alias("own_source"),
+        F.xxhash64(F.col(text_col)).alias("own_digest"),
+    ).dropDuplicates(["own_id", "own_source", "own_digest"])
     same = (
-        F.col(id_col).eqNullSafe(F.col("m_id"))
-        & F.col(source_col).eqNullSafe(F.col("m_source"))
-        & (F.col("m_own") == F.col("m_digest"))
+        F.col("own_id").eqNullSafe(F.col("m_id"))
+        & F.col("own_source").eqNullSafe(F.col("m_source"))
+        & (F.col("own_digest") == F.col("m_digest"))
     )
-    taken = own.join(plan, same).withColumn("m_time", F.explode("m_times"))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"))
+    taken = own.join(plan, same).select("doc", F.explode("m_times").alias("m_time"))
+    text = F.col("doc").getField(text_col)
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"))
 
 
     def drawn(all_words: Column) -> Column:
@@ -260,7 +266,8 @@ def mixed_documents(
         return F.flatten(F.transform("m_time.blocks", of))
 
     part = F.array_join(F.flatten(F.transform(F.array(words), drawn)), " ")  # so a text is cut into words once
-    taken = taken.withColumn(text_col, F.when(F.col("m_time.whole"), F.col(text_col)).otherwise(part))
+    taken = taken.select("doc", F.when(F.col("m_time.whole"), text).otherwise(part).alias("new_text"))
+    new = {text_col: F.col("new_text")}
     if length_col is not None and length_col in docs.columns:
-        taken = taken.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return taken.select(*docs.columns)
+        new[length_col] = F.length("new_text").cast(docs.schema[length_col].dataType)
+    return taken.select(*[new.get(name, F.col("doc").getField(name)).alias(name) for name in docs.columns])

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from unicodedata import is_normalized
 
 import numpy as np
@@ -19,7 +20,7 @@ END_ID = 1
 #: What a cut costs, in tokens of padding: at the end of a sentence, and anywhere else in a document.
 SENTENCE_PENALTY, INNER_PENALTY = 1, 8
 #: Where a document offers no end of a sentence for so many tokens, it may be cut that often.
-INNER_STEP = 32
+INNER_STEP = 16
 #: Tokens of one dynamic program. The last window of one is the first of the next, so its size leaves no padding.
 CHUNK = 1 << 20
 #: Words whose ids a Python worker keeps; beyond it starts anew.
@@ -78,13 +79,15 @@ def word_ids(path: str) -> WordIds:
     return _WORD_IDS[path]
 
 
-def choose_cuts(points: list[int], costs: list[int], window: int = WINDOW) -> list[int]:
+def choose_cuts(
+    points: list[int], costs: list[int], window: int = WINDOW, tail: Callable[[int], int] | None = None
+) -> list[int]:
     """The cheapest way from the first point to the last in steps of at most `window`, as indexes of points.
 
     A step costs its padding, `window` minus its length, and the cost of the point where it ends. So far a path to i
     costs g[i] - points[i] with g[j] = min(g[i]) + window + costs[j] over the points i within reach; a queue of
     points with growing g gives that minimum in constant time. Neighbouring points are at most `window` apart. Of
-    equally cheap steps the longest is taken.
+    equally cheap steps the longest is taken. With `tail` the last step costs that of its length.
     """
     n = len(points)
     g, back = [0] * n, [0] * n
@@ -99,6 +102,9 @@ def choose_cuts(points: list[int], costs: list[int], window: int = WINDOW) -> li
         while len(queue) > head and g[queue[-1]] > best:
             queue.pop()
         queue.append(j)
+    if tail is not None and n > 1:
+        ends = range(bisect_left(points, points[-1] - window), n - 1)
+        back[n - 1] = min(ends, key=lambda i: g[i] - points[i] + tail(points[-1] - points[i]))
     path, j = [n - 1], n - 1
     while j > 0:
         j = back[j]
@@ -106,9 +112,14 @@ def choose_cuts(points: list[int], costs: list[int], window: int = WINDOW) -> li
     return path[::-1]
 
 
-def candidates(bounds: np.ndarray, sentences: np.ndarray, inner_step: int = INNER_STEP) -> tuple[list[int], list[int]]:
-    """Points where the stream may be cut and their costs; `bounds` are the ends of documents, from 0 on."""
-    known = np.unique(np.concatenate([bounds, sentences]))
+def candidates(
+    bounds: np.ndarray, sentences: np.ndarray, window: int = WINDOW, inner_step: int = INNER_STEP
+) -> tuple[list[int], list[int]]:
+    """Points where the stream may be cut and their costs; `bounds` are the ends of documents, from 0 on.
+
+    Multiples of the window are among them, so a way without padding is always one of those compared.
+    """
+    known = np.unique(np.concatenate([bounds, sentences, np.arange(0, bounds[-1], window)]))
     gaps = np.diff(known)
     wide = np.flatnonzero(gaps > inner_step)
     extra = [np.arange(known[i] + inner_step, known[i + 1], inner_step) for i in wide]
@@ -125,6 +136,11 @@ def powers(length: int, window: int = WINDOW) -> list[int]:
     return parts if (len(parts) - 1) * INNER_PENALTY < window - length else [length]
 
 
+def tail_cost(length: int, window: int = WINDOW) -> int:
+    parts = powers(length, window)
+    return window - length if parts == [length] and length & (length - 1) else (len(parts) - 1) * INNER_PENALTY
+
+
 class Packer:
     """Packs one ordered stream of documents; holds a chunk of it and emits finished sequences."""
 
@@ -148,11 +164,11 @@ class Packer:
         docs = self.docs
         flat = np.concatenate([ids for _, ids, _, _ in docs])
         bounds = np.cumsum([0, *(len(ids) for _, ids, _, _ in docs)])
-        points, costs = candidates(bounds, np.flatnonzero(np.isin(flat, self.marks)) + 1)
-        cuts = [points[i] for i in choose_cuts(points, costs, self.window)]
+        points, costs = candidates(bounds, np.flatnonzero(np.isin(flat, self.marks)) + 1, self.window)
+        tail = (lambda length: tail_cost(length, self.window)) if last else None
+        cuts = [points[i] for i in choose_cuts(points, costs, self.window, tail)]
         if last:
-            tail = powers(cuts[-1] - cuts[-2], self.window)
-            cuts[-1:] = (cuts[-2] + np.cumsum(tail)).tolist()
+            cuts[-1:] = (cuts[-2] + np.cumsum(powers(cuts[-1] - cuts[-2], self.window))).tolist()
         else:
             cuts.pop()
         limit = cuts[-1]

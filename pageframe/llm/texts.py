@@ -34,6 +34,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so names of their own cannot clash with those that an operator adds."""
+    return F.struct(*[F.col(f"`{name}`") for name in df.columns])
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that one holds at most about `max_bytes`; a single longer row stays whole."""
     for batch in batches:
