@@ -15,24 +15,14 @@ from pyspark.sql import functions as F
 
 from pageframe.llm.texts import byte_words, ragged, small_batches, stored
 
-#: Distinct words whose hashes a task keeps.
-CACHED_WORDS = 400_000
 #: Texts hashed at once, in bytes.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _K1, _K2, _K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-class _WordHashes(dict):
-    """Two independent 64-bit hashes of a word."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = digest = xxhash.xxh3_128_digest(word)
-        return digest
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64).reshape(-1, 2)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """Two independent 64-bit hashes of every word."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
 
 
 def _pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -133,11 +123,10 @@ def _scan(window: int):
     """A row a text: words, digest of all words, and its anchors with their contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _WordHashes()
         for batch in small_batches(batches, BATCH_BYTES):
             words = [byte_words(text) for text in batch.column("text").to_pylist()]
             flat, offsets = ragged([np.arange(len(w)) for w in words])
-            hashes = table.of([w for ws in words for w in ws]) if len(flat) else np.zeros((0, 2), np.uint64)
+            hashes = word_hashes([w for ws in words for w in ws]) if len(flat) else np.zeros((0, 2), np.uint64)
             at, short, lo, hi = anchors(hashes[:, 0].copy(), offsets, window)
             context = _context(hashes[:, 1].copy(), at, lo, hi, window) if len(at) else short
             doc = np.searchsorted(offsets, at, side="right") - 1
@@ -227,11 +216,10 @@ def _extend(window: int):
     half = 2 * base
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _WordHashes()
         for batch in small_batches(batches, BATCH_BYTES):
             out = []
             for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                lanes = table.of(byte_words(text))
+                lanes = word_hashes(byte_words(text))
                 middle = _signed(window_hashes(lanes[:, 0].copy(), half))
                 long = _signed(window_hashes(lanes[:, 1].copy(), window))
                 for f in found:
