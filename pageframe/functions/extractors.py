@@ -11,18 +11,25 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructType
 
 
+def by_row(extract: Callable[[str], dict]) -> Callable[[pa.Array], list]:
+    """A batch function out of one for a single page; a null page has no result."""
+    return lambda html: [None if h is None else extract(h) for h in html.to_pylist()]
+
+
 def register_extractor(
-    spark: SparkSession, name: str, extract: Callable[[str], dict], ddl: str
+    spark: SparkSession, name: str, extract: Callable[[pa.Array], pa.Array | list], ddl: str
 ) -> Callable[[Column | str], Column]:
-    """Make `extract` (html -> dict) a batch function for DataFrames and, under `name`, for SQL.
+    """Make `extract` a function for DataFrames and, under `name`, for SQL.
 
-    `ddl` is the struct it returns. For many rows per page, return an array and explode it.
+    It gets an Arrow array of pages, one batch at a time, and returns an array (or list) of as many results of the
+    type `ddl`; `by_row` makes one out of a function of one page. For many rows per page, return an array and explode it.
     """
     returns: DataType = StructType.fromDDL(f"r {ddl}")["r"].dataType
     arrow_type = to_arrow_type(returns)
 
     def batch(html: pa.Array) -> pa.Array:
-        return pa.array([None if h is None else extract(h) for h in html.to_pylist()], arrow_type)
+        found = extract(html)
+        return found.cast(arrow_type) if isinstance(found, pa.Array) else pa.array(found, arrow_type)
 
     function = F.arrow_udf(batch, returns)
     spark.udf.register(name, function)

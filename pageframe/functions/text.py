@@ -6,7 +6,7 @@ import html
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from pageframe.functions.html_tree import strip
@@ -43,17 +43,44 @@ def clean_text(text: Column, enabled: bool = True) -> Column:
     return strip(F.regexp_replace(plain, f"[^{WORD}{SPACE}.,!?;:'\"()-]", ""))
 
 
+NAMED_GROUP, NAMED_BACKREFERENCE = re.compile(r"\(\?P<(\w+)>"), re.compile(r"\(\?P=(\w+)\)")
+
+
+def engine_pattern(keyword: str) -> str:
+    """A keyword as the engine runs it: case-blind, Unicode classes, named groups in its own spelling."""
+
+    def name(match: re.Match) -> str:
+        return match.group(1).replace("_", "")
+
+    pattern = NAMED_GROUP.sub(lambda m: f"(?<{name(m)}>", keyword)
+    return "(?iU)" + NAMED_BACKREFERENCE.sub(lambda m: rf"\k<{name(m)}>", pattern)
+
+
+def check_pattern(pattern: str) -> None:
+    """Raises ValueError for a pattern that the engine's regular expressions (java.util.regex) do not know.
+
+    The engine itself tries it on a literal, which is folded while the plan is made and starts no job.
+    """
+    spark = SparkSession.active()
+    try:
+        spark.sql("SELECT regexp_extract_all('', :pattern, 0) AS found", {"pattern": pattern}).collect()
+    except Exception as error:
+        raise ValueError(f"not a pattern: {pattern}") from error
+
+
 def keyword_matches(text: Column, keywords: list[str | int | float]) -> Column:
     """Sorted distinct matches of case-insensitive patterns.
 
-    A keyword that is not a string is looked up as plain text. Patterns are
-    checked here, so a bad one fails before any job starts.
+    Patterns are java.util.regex ones; Python's named groups and references to them are translated. A keyword that is
+    not a string is looked up as plain text. Patterns are checked here, by the engine that will run them, so a bad
+    one fails before any job on data starts.
     """
     found = []
     for keyword in keywords:
         if isinstance(keyword, str):
-            re.compile(keyword)
-            found.append(F.regexp_extract_all(text, F.lit(f"(?iU){keyword}"), F.lit(0)))
+            pattern = engine_pattern(keyword)
+            check_pattern(pattern)
+            found.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
         else:
             plain = str(keyword)
             found.append(F.when(F.lower(text).contains(plain.lower()), F.array(F.lit(plain))).otherwise(F.array()))

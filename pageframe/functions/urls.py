@@ -192,7 +192,18 @@ def mdc_to_md(name: Column) -> Column:
     return F.regexp_replace(name, r"\.mdc$", ".md")
 
 
-def artifact_name(url: Column, content_type: Column, disposition: Column, fallback: str = "download") -> Column:
+def shortened(name: Column, url: Column, max_chars: int) -> Column:
+    """A name of at most `max_chars` characters; a longer one keeps its extension and gets digits of the URL's key."""
+    ext = F.regexp_extract(name, r"[^.](\.[^.]{1,20})$", 1)
+    tail = F.concat(F.lit("_"), F.substring(url_key(url), 1, 16), ext)
+    return F.when(F.length(name) <= max_chars, name).otherwise(
+        F.concat(F.substr(name, F.lit(1), F.lit(max_chars) - F.length(tail)), tail)
+    )
+
+
+def artifact_name(
+    url: Column, content_type: Column, disposition: Column, fallback: str = "download", max_chars: int = 200
+) -> Column:
     """File name of an artifact: its declared name, else the URL's, with an extension by type."""
     declared = F.btrim(_group(disposition, r"(?s)filename=(.*?)(?:filename=|$)"), F.lit("\"'"))
     base = basename(path(url))
@@ -201,7 +212,7 @@ def artifact_name(url: Column, content_type: Column, disposition: Column, fallba
     suffix = F.when(kind.contains("markdown") | kind.contains("text/plain"), ".md").otherwise(".bin")
     named = F.when(base.rlike(r"[^.].*\.[^.]*$"), base).otherwise(F.concat(base, suffix))
     name = mdc_to_md(F.when(F.coalesce(declared, F.lit("")) != "", declared).otherwise(named))
-    safe = F.substring(safe_file_name(name), 1, 200)
+    safe = shortened(safe_file_name(name), url, max_chars)
     return F.when(safe == "", F.concat(F.lit(f"{fallback}_"), F.substring(url_key(url), 1, 8), F.lit(".md"))).otherwise(safe)
 
 

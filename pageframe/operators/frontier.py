@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pageframe.operators.running import first_rows
 from pageframe.operators.url_filters import is_crawlable, is_downloadable
-from pageframe.sources.checkpoints import cut_lineage, run_folder
+from pageframe.sources.checkpoints import cut_lineage
 
 
 def dedup_urls(df: DataFrame) -> DataFrame:
@@ -17,27 +17,25 @@ def dedup_urls(df: DataFrame) -> DataFrame:
     return df.groupBy("url").agg(F.min("depth").alias("depth"))
 
 
-HOT_SHARE = 1000  # a hot source has over 1/1000 of all edges, so there are under 1000 of them
-HOT_MIN_EDGES = 10_000
+def _bucketed(df: DataFrame, buckets: int, *keys: str) -> str:
+    """Name of a new table of `df`, bucketed, in the session's warehouse; dropping it deletes its files."""
+    name = f"pageframe_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).format("parquet").saveAsTable(name)
+    return name
 
 
-def _salted_edges(edges: DataFrame, salts: int) -> tuple[str, DataFrame]:
-    """(table of the edges bucketed by src and salt, hot sources).
+def _salted_edges(edges: DataFrame, buckets: int, salt_edges: int) -> tuple[str, DataFrame]:
+    """(table of the edges bucketed by src and salt, salts of the sources that have several).
 
-    The edges of a hot source are spread over all salts. As a bucketed table in
-    the shared folder they are shuffled once, not once per level.
+    The edges of every source are cut into as many salts as it has times
+    `salt_edges` edges. As a bucketed table they are shuffled once, not once per level.
     """
-    total = edges.count()
-    hot = cut_lineage(
-        edges.groupBy("src").count().filter(F.col("count") > max(total // HOT_SHARE, HOT_MIN_EDGES)).select("src")
-    )
-    marked = edges.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "src", "left")
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("dst"), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    salted = marked.select("src", "dst", salt.alias("salt")).distinct().repartition(salts, "src", "salt")
-    name = f"pageframe_edges_{uuid.uuid4().hex}"
-    folder = run_folder(edges.sparkSession, name)
-    salted.write.bucketBy(salts, "src", "salt").format("parquet").option("path", folder).saveAsTable(name)
-    return name, hot
+    degrees = edges.groupBy("src").agg(F.ceil(F.count("*") / salt_edges).cast("int").alias("salts"))
+    several = cut_lineage(degrees.filter("salts > 1"))
+    salts = F.coalesce("salts", F.lit(1))
+    salt = F.pmod(F.xxhash64("dst"), salts).cast("int")
+    salted = edges.join(several, "src", "left").select("src", "dst", salt.alias("salt")).distinct()
+    return _bucketed(salted, buckets, "src", "salt"), several
 
 
 def crawl_frontier(
@@ -48,49 +46,72 @@ def crawl_frontier(
     domain: str | None = None,
     include: list[str] | None = None,
     exclude: list[str] | None = None,
+    buckets: int | None = None,
+    salt_edges: int = 100_000,
 ) -> DataFrame:
     """url and depth of everything reachable from `seeds` (url) over `edges` (src, dst).
 
     Links that the filters reject are cut before the first level. The edges are
-    partitioned once, and each level shuffles only its own frontier. With
-    `max_urls` the first URLs by depth, then URL, are kept.
+    bucketed once by source, and what each level found by URL, in `buckets`
+    buckets (the shuffle partitions by default), so a level shuffles its own
+    frontier and what it finds, neither the edges nor the visited URLs. With
+    `max_urls` the first URLs by depth, then URL, are kept. The tables are
+    dropped at the end; the result is stored in the shared folder.
     """
     usable = edges.filter(is_crawlable(F.col("dst"), domain, include, exclude)).select("src", "dst")
     spark = edges.sparkSession
-    n_salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edge_table, hot = _salted_edges(usable, n_salts)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     start = seeds.filter(is_crawlable(F.col("url"), domain, include, exclude)).select("url").distinct()
+    tables: list[str] = []
     try:
-        return _levels(spark.table(edge_table), start, hot, n_salts, max_depth, max_urls)
+        edge_table, several = _salted_edges(usable, buckets, salt_edges)
+        tables.append(edge_table)
+        return _levels(spark.table(edge_table), start, several, buckets, max_depth, max_urls, tables)
     finally:
-        spark.sql(f"DROP TABLE {edge_table}")
+        for name in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def _levels(
-    edges: DataFrame, start: DataFrame, hot: DataFrame, n_salts: int, max_depth: int, max_urls: int | None
+    edges: DataFrame,
+    start: DataFrame,
+    several: DataFrame,
+    buckets: int,
+    max_depth: int,
+    max_urls: int | None,
+    tables: list[str],
 ) -> DataFrame:
-    all_salts = F.sequence(F.lit(0), F.lit(n_salts - 1))
-    hot = hot.select(F.col("src").alias("url"), F.lit(True).alias("hot"))
-    level = cut_lineage(_first(start, max_urls).withColumn("depth", F.lit(0)))
-    visited, n_visited = level, level.count()
+    spark = edges.sparkSession
+    several = several.select(F.col("src").alias("url"), "salts")
+    known: list[str] = []  # tables of the levels so far, bucketed alike
+
+    def keep(level: DataFrame, depth: int) -> tuple[DataFrame, int]:
+        known.append(_bucketed(level.withColumn("depth", F.lit(depth)), buckets, "url"))
+        tables.append(known[-1])
+        return spark.table(known[-1]), spark.table(known[-1]).count()
+
+    level, n_visited = keep(_first(start, max_urls), 0)
     for depth in range(1, max_depth + 1):
         if max_urls is not None and n_visited >= max_urls:
             break
-        salts = F.when(F.col("hot"), all_salts).otherwise(F.array(F.lit(0)))
-        marked = level.join(F.broadcast(hot), "url", "left")
-        frontier = marked.select(F.col("url").alias("src"), F.explode(salts).alias("salt"))
-        found = edges.join(frontier, ["src", "salt"]).select(F.col("dst").alias("url")).distinct()
-        new = found.join(visited.select("url"), "url", "left_anti")
-        room = None if max_urls is None else max_urls - n_visited
-        level = cut_lineage(_first(new, room).withColumn("depth", F.lit(depth)))
-        n_level = level.count()
+        salts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+        frontier = level.join(several, "url", "left").select(F.col("url").alias("src"), F.explode(salts).alias("salt"))
+        new = edges.join(frontier, ["src", "salt"]).select(F.col("dst").alias("url")).distinct()
+        for name in known:
+            new = unvisited(new, spark.table(name))
+        level, n_level = keep(_first(new, None if max_urls is None else max_urls - n_visited), depth)
         if n_level == 0:
             break
         n_visited += n_level
-        visited = visited.unionByName(level)
-        if depth % 10 == 0:
-            visited = cut_lineage(visited)
-    return visited
+    found = spark.table(known[0])
+    for name in known[1:]:
+        found = found.unionByName(spark.table(name))
+    return cut_lineage(found)
+
+
+def unvisited(urls: DataFrame, visited: DataFrame) -> DataFrame:
+    """URLs that are not in `visited`, a table bucketed by URL, which is read as it lies."""
+    return urls.join(visited.hint("merge").select("url"), "url", "left_anti")
 
 
 def _first(urls: DataFrame, n: int | None) -> DataFrame:
@@ -158,8 +179,6 @@ def needs_render_pages(pages: DataFrame, links: DataFrame, extensions, exclude=N
 
 # --- endpoint lists -------------------------------------------------------------
 
-ENDPOINT_SCHEMES = {"socks5": "socks5", "socks4": "socks4", "https": "https", "http": "http", "socks": "socks5"}
-
 
 def clean_endpoints(lines: DataFrame) -> DataFrame:
     """Distinct host:port endpoints of a line list, with their kind."""
@@ -175,5 +194,8 @@ def clean_endpoints(lines: DataFrame) -> DataFrame:
 
 
 def top_k(df: DataFrame, k: int, by: str, ascending: bool = True, tie: str | None = None) -> DataFrame:
-    """The first `k` rows by a column."""
-    return first_rows(df, k, F.asc(by) if ascending else F.desc(by), *([F.asc(tie)] if tie else []))
+    """The first `k` rows by a column, for a report: every task keeps k rows and one merges them.
+
+    For a `k` that grows with the data use `running.first_rows`.
+    """
+    return df.orderBy(F.asc(by) if ascending else F.desc(by), *([F.asc(tie)] if tie else [])).limit(k)

@@ -279,19 +279,23 @@ def _cells(tree: Column, node: Column) -> Column:
     return F.transform(cells, lambda n: strip(text_of(tree, n)))
 
 
-def _table(tree: Column, table: Column) -> Column:
+def _table(tree: Column, table: Column, max_cells: int | None, max_rows: int | None) -> Column:
     rows = find_all(subtree(tree, table), lambda n: is_tag(n, "tr"))
-    heads = F.slice(find_all(subtree(tree, table), lambda n: is_tag(n, "th", "td")), 1, 10)
+    heads = find_all(subtree(tree, table), lambda n: is_tag(n, "th", "td"))
+    heads = heads if max_cells is None else F.slice(heads, 1, max_cells)
+    data = F.slice(rows, 2, F.size(rows) if max_rows is None else F.lit(max_rows))
     return F.struct(
         F.transform(heads, lambda n: strip(text_of(tree, n))).alias("headers"),
         F.coalesce(_cells(tree, first(rows)), F.array().cast("array<string>")).alias("header_row"),
-        F.filter(F.transform(F.slice(rows, 2, 10), lambda r: _cells(tree, r)), lambda r: F.size(r) > 0).alias("rows"),
+        F.filter(F.transform(data, lambda r: _cells(tree, r)), lambda r: F.size(r) > 0).alias("rows"),
     )
 
 
-def html_tables_col(tree: Column) -> Column:
-    """headers: the first ten cells of the table; rows: its second to eleventh row."""
-    tables = F.transform(find_all(tree["nodes"], lambda n: is_tag(n, "table")), lambda t: _table(tree, t))
+def html_tables_col(tree: Column, max_cells: int | None = None, max_rows: int | None = None) -> Column:
+    """headers: the cells of the table, rows: its rows below the first; whole unless the caller sets a bound."""
+    tables = F.transform(
+        find_all(tree["nodes"], lambda n: is_tag(n, "table")), lambda t: _table(tree, t, max_cells, max_rows)
+    )
     return F.filter(tables, lambda t: (F.size(t["headers"]) > 0) | (F.size(t["rows"]) > 0))
 
 
@@ -475,9 +479,10 @@ def products(parsed: DataFrame) -> DataFrame:
     ).withColumn("price_num", number.try_cast("decimal(18,2)"))
 
 
-def html_tables(parsed: DataFrame) -> DataFrame:
-    """One row per table that holds anything."""
-    found = explode_rows(parsed, ["page_id", "url"], html_tables_col(F.col("tree")), "content", "table_no")
+def html_tables(parsed: DataFrame, max_cells: int | None = None, max_rows: int | None = None) -> DataFrame:
+    """One row per table that holds anything; whole tables unless `max_cells` or `max_rows` bounds them."""
+    tables = html_tables_col(F.col("tree"), max_cells, max_rows)
+    found = explode_rows(parsed, ["page_id", "url"], tables, "content", "table_no")
     return found.select("page_id", "url", "table_no", "content.headers", "content.header_row", "content.rows")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageframe.functions import text as T
-from pageframe.functions.constants import DOWNLOAD_WORDS
+from pageframe.functions.constants import BINARY_TYPES, DOWNLOAD_WORDS
 from pageframe.functions.html_tree import (
     attr,
     explode_rows,
@@ -20,11 +20,12 @@ from pageframe.functions.html_tree import (
     subtree,
     text_of,
 )
-from pageframe.functions.urls import contains_any, mdc_to_md, resolve_one, safe_file_name, url_struct
+from pageframe.functions.urls import contains_any, mdc_to_md, path, resolve_one, safe_file_name, url_struct
 from pageframe.operators import pages as P
 from pageframe.operators.links import links_col
 from pageframe.operators.running import running_totals
 from pageframe.operators.signals import api_paths, api_urls_col
+from pageframe.operators.url_filters import normal_extensions
 from pageframe.sources.checkpoints import cut_lineage
 
 # --- page records ---------------------------------------------------------------
@@ -97,8 +98,7 @@ def download_candidates(parsed: DataFrame, extensions: list[str], words: list[st
         href = attr(node, "href")
         clickable = is_tag(node, "a", "button")
         by_text = says(node)
-        whole = F.lower(F.substring_index(href, "#", 1))
-        ends = contains_any(F.concat(whole, F.lit("\n")), [f"{e}\n" for e in exts])
+        ends = contains_any(F.concat(F.lower(href), F.lit("\n")), [f"{e}\n" for e in exts])  # with its fragment
         by_attribute = (
             has_attr(node, "download")
             | attr(node, "onclick").contains("download")
@@ -117,11 +117,13 @@ def download_candidates(parsed: DataFrame, extensions: list[str], words: list[st
         ),
     )
     hits = F.filter(hits, lambda h: h["strategy"].isNotNull() & h["url"].isNotNull())
+    # best first; of a URL the first hit stays, inside the row, so nothing is shuffled
+    ranked = F.array_sort(hits)
+    urls = F.array_distinct(F.transform(ranked, lambda h: h["url"]))
+    firsts = F.transform(urls, lambda url: first(F.filter(ranked, lambda h: h["url"] == url)))
     based = parsed.withColumn("base", url_struct(F.col("url")))
-    found = explode_rows(based, ["page_id"], hits, "h").select("page_id", "h.*")
-    return found.groupBy("page_id", "url").agg(F.min(F.struct("strategy", "node_id")).alias("at")).select(
-        "page_id", "url", "at.strategy", F.col("at.node_id").alias("position")
-    )
+    found = explode_rows(based, ["page_id"], firsts, "h").select("page_id", "h.*")
+    return found.select("page_id", "url", "strategy", F.col("node_id").alias("position"))
 
 
 # Where script code names a file and holds its content, best first.
@@ -190,7 +192,7 @@ def _payload(tree: Column, url: Column, node: Column) -> Column:
         _nearby_text(tree, node, "pre", with_own=False),
         _captured(code, CONTENT_PATTERNS, "?is"),
         F.nullif(text_of(tree, referenced), F.lit("")),
-        F.concat(F.lit("# "), name, F.lit("\n\nContent extracted from "), url),
+        F.concat(F.lit("# "), name, F.lit("\n\nNo content was found for this file on "), url),
     )
     return F.struct(node["node_id"].alias("node_id"), name.alias("file_name"), content.alias("content"))
 
@@ -224,16 +226,46 @@ def decode_payloads(df: DataFrame, col: str = "uri") -> DataFrame:
     ).withColumns({"sha256": F.sha2("content", 256), "bytes": F.octet_length("content").cast("long")})
 
 
+# --- discovered files -----------------------------------------------------------
+
+
+def discovered_files(responses: DataFrame, extensions: list[str] | None = None, dump_all: bool = False) -> DataFrame:
+    """Wanted files among responses (url, ts, content_type, content): url, path, content_type, size, ts, title, type.
+
+    A response is wanted if its whole URL ends with one of the extensions, or with `dump_all`. Binary ones have no
+    title; of html ones it is read from the content.
+    """
+    url = F.lower("url")
+    wanted = F.lit(dump_all)
+    for ext in normal_extensions(extensions):
+        wanted = wanted | url.endswith(f".{ext}")
+    kind = F.lower(F.coalesce("content_type", F.lit("")))
+    binary = contains_any(kind, BINARY_TYPES)
+    html = F.when(~binary, F.decode("content", "UTF-8"))
+    title = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    return responses.filter(wanted).select(
+        "url",
+        path(F.col("url")).alias("path"),
+        kind.alias("content_type"),
+        F.octet_length("content").cast("long").alias("size"),
+        "ts",
+        F.when(~binary, strip(T.unescape(F.coalesce(title, F.lit(""))))).alias("title"),
+        F.when(binary, "binary").otherwise("html").alias("type"),
+    )
+
+
 # --- scripts --------------------------------------------------------------------
 
 
 def script_bodies(script_links: DataFrame, corpus: DataFrame) -> DataFrame:
     """Bodies of the scripts that pages load, each script once, with the number of pages that load it.
 
-    Counting before the join leaves one row per script, however many pages share it.
+    Counting before the join leaves one row per script, however many pages share it. The corpus is first cut down by
+    its key column alone, so the side that texts are joined with holds matching scripts only.
     """
     scripts = script_links.groupBy("url").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page_id"))
-    return scripts.join(corpus.select("url", "text"), "url")
+    known = scripts.join(corpus.select("url").distinct(), "url", "left_semi")
+    return known.join(corpus.select("url", "text"), "url")
 
 
 def script_api_paths(script_links: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -268,21 +300,20 @@ def discovery_summary(api: DataFrame, secrets: DataFrame) -> DataFrame:
 def crawl_summary(events: DataFrame) -> DataFrame:
     """Distinct URLs visited, and files found and downloaded, from an event log."""
 
-    def urls_when(test):
-        return F.count_distinct(F.when(test, F.col("url")))
-
     event = F.col("event")
-    return events.agg(
-        urls_when(event == "fetch_start").alias("visited"),
-        urls_when(event.isin("download_start", "download_complete")).alias("discovered"),
-        urls_when((event == "download_complete") & (F.col("status") == "ok")).alias("downloaded"),
-    )
+    flags = {
+        "visited": event == "fetch_start",
+        "discovered": event.isin("download_start", "download_complete"),
+        "downloaded": (event == "download_complete") & (F.col("status") == "ok"),
+    }
+    by_url = events.filter("url is not null").groupBy("url").agg(*[F.bool_or(test).alias(n) for n, test in flags.items()])
+    return by_url.agg(*[F.count_if(name).alias(name) for name in flags])
 
 
 def progress(events: DataFrame, bucket: str = "1 hour") -> DataFrame:
-    """Counts of visited, failed and active fetches so far, at the end of each time bucket.
+    """Counts of visited, failed, active and queued fetches, files and APIs so far, at the end of each time bucket.
 
-    Events are counted per bucket first; running sums go over the buckets, day by day.
+    A URL is queued from its `enqueue` event until its fetch starts. Events are counted per bucket first; running sums go over the buckets, day by day.
     """
     event = F.col("event")
     counted = events.groupBy(F.window("ts", bucket)["end"].alias("until")).agg(
@@ -290,10 +321,12 @@ def progress(events: DataFrame, bucket: str = "1 hour") -> DataFrame:
         F.count_if(event == "fetch_ok").alias("ok"),
         F.count_if(event == "fetch_fail").alias("failed"),
         F.count_if((event == "download_complete") & (F.col("status") == "ok")).alias("files"),
+        F.count_if(event == "enqueue").alias("enqueued"),
+        F.count_if(event == "api_found").alias("apis"),
     )
     # one row per bucket: stored, as the running sums read it twice
     counted = cut_lineage(counted).withColumn("day", F.to_date("until"))
-    names = ("started", "ok", "failed", "files")
+    names = ("started", "ok", "failed", "files", "enqueued", "apis")
     out = running_totals(counted, {f"{name}_so_far": name for name in names}, [], "day", ["until"])
     active = F.col("started_so_far") - F.col("ok_so_far") - F.col("failed_so_far")
     return out.select(
@@ -301,5 +334,7 @@ def progress(events: DataFrame, bucket: str = "1 hour") -> DataFrame:
         F.col("ok_so_far").alias("visited"),
         F.col("failed_so_far").alias("failed"),
         active.alias("active"),
+        F.greatest(F.lit(0), F.col("enqueued_so_far") - F.col("started_so_far")).alias("queued"),
         F.col("files_so_far").alias("files"),
+        F.col("apis_so_far").alias("apis"),
     )

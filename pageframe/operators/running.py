@@ -37,18 +37,12 @@ def running_totals(
     )
 
 
-SMALL_LIMIT = 1_000_000
-
-
 def first_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    """The first `n` rows in an order.
+    """The first `n` rows in an order, for any n.
 
-    A small `n` is a top-k: every task keeps n rows and those are merged. For a
-    large one the rows are range-partitioned; partitions before the n-th row are
-    kept whole and only the one that holds it is cut.
+    The rows are range-partitioned; partitions before the n-th row are kept
+    whole and only the one that holds it is cut.
     """
-    if n <= SMALL_LIMIT:
-        return df.orderBy(*order).limit(n)
     ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = {row["_part"]: row["count"] for row in ranged.groupBy("_part").count().collect()}
     room = n

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from pageframe.functions import urls as U
 from pageframe.functions.constants import EXTENSION_CATEGORIES, MIME_EXTENSIONS, OCTET_STREAM_PATHS
+from pageframe.operators.running import running_totals
+from pageframe.sources.checkpoints import cut_lineage
 
 
 def normal_extensions(extensions) -> list[str]:
@@ -43,8 +45,7 @@ def is_crawlable(url: Column, domain: str | None = None, include=None, exclude=N
 
 
 def crawlable(links: DataFrame, domain=None, include=None, exclude=None, visited: DataFrame | None = None) -> DataFrame:
-    kept = links.filter(is_crawlable(F.col("url"), domain, include, exclude))
-    return kept if visited is None else kept.join(visited.select("url").distinct(), "url", "left_anti")
+    return _unvisited(links.filter(is_crawlable(F.col("url"), domain, include, exclude)), visited)
 
 
 # URLs a page crawl has no use for.
@@ -75,14 +76,19 @@ def valid_urls(
     if base_path and not dump_all:
         below = U.path(url).startswith(base_path)
         # a wanted file outside the base path counts even when it was seen before
-        outside = links.filter(test & ~below & ends_with_wanted(path))
-        inside = links.filter(unvisited & below)
-        return _unvisited(inside, visited).unionByName(outside)
+        outside = test & ~below & ends_with_wanted(path)
+        return _unvisited(links.filter((unvisited & below) | outside), visited, outside)
     return _unvisited(links.filter(unvisited), visited)
 
 
-def _unvisited(df: DataFrame, visited: DataFrame | None) -> DataFrame:
-    return df if visited is None else df.join(visited.select("url").distinct(), "url", "left_anti")
+def _unvisited(df: DataFrame, visited: DataFrame | None, anyway: Column | None = None) -> DataFrame:
+    """Rows whose URL is not visited, or for which `anyway` holds; one pass over the links."""
+    if visited is None:
+        return df
+    seen = visited.select("url").distinct().withColumn("seen", F.lit(True))
+    unseen = F.col("seen").isNull()
+    kept = df.join(seen, "url", "left").filter(unseen if anyway is None else unseen | anyway)
+    return kept.select(*df.columns)
 
 
 def is_downloadable(url: Column, extensions=None, exclude=None, crawl_only: bool = False) -> Column:
@@ -155,12 +161,52 @@ def ext_category(df: DataFrame, col: str = "url") -> DataFrame:
 KEY_DIGITS = 4  # leading hex digits of the URL key: up to 65,536 slices of a group
 
 
+NUMBERS = 65_536  # numbers of a path that are counted in one slice
+
+
+def _stem_and_ext(path: Column) -> tuple[Column, Column]:
+    ext = F.regexp_extract(path, r"[^./][^/]*(\.[^./]*)$", 1)
+    return F.substr(path, F.lit(1), F.length(path) - F.length(ext)), ext
+
+
+def _taken_numbers(paths: DataFrame) -> DataFrame:
+    """(path, k): numbers that a path may not be given, as some URL is stored under the numbered path itself."""
+    stem, ext = _stem_and_ext(F.col("path"))
+    number = F.regexp_extract(stem, r"_([1-9][0-9]{0,17})$", 1)
+    base = F.concat(F.substr(stem, F.lit(1), F.length(stem) - F.length(number) - 1), ext)
+    numbered = paths.filter(number != "").select(base.alias("path"), number.cast("long").alias("k")).distinct()
+    return numbered.join(paths, "path", "left_semi")
+
+
+def _free_numbers(repeats: DataFrame, taken: DataFrame) -> DataFrame:
+    """(path, n, k): the n-th number, from 1, that is not taken, for every `n` of `repeats` (path, n).
+
+    With taken numbers t0 < t1 < …, the n-th free one is n plus the number of j with t_j - j <= n. Both are put in one
+    order and counted slice by slice, so a path of very many repeats is not one task.
+    """
+    ordered = running_totals(
+        taken.withColumns({"one": F.lit(1).cast("long"), "slice": F.floor(F.col("k") / NUMBERS)}),
+        {"rank": "one"},
+        ["path"],
+        "slice",
+        ["k"],
+    )
+    moves = ordered.select("path", (F.col("k") - F.col("rank") + 1).alias("at"), F.lit(0).alias("asks"), F.lit(1).cast("long").alias("step"))
+    asks = repeats.select("path", F.col("n").alias("at"), F.lit(1).alias("asks"), F.lit(0).cast("long").alias("step"))
+    both = cut_lineage(moves.unionByName(asks).withColumn("slice", F.floor(F.col("at") / NUMBERS)))
+    counted = running_totals(both, {"before": "step"}, ["path"], "slice", ["at", "asks"])
+    return counted.filter("asks = 1").select("path", F.col("at").alias("n"), (F.col("at") + F.col("before")).alias("k"))
+
+
 def assign_paths(df: DataFrame) -> DataFrame:
     """Collision-free storage paths: repeats of a path get `_1`, `_2`, … before the extension.
 
-    Repeats are numbered in URL-key order. The leading digits of the key cut a
-    path's URLs into even slices in that order, so a path shared by a third of
-    the table is numbered slice by slice rather than in one task.
+    Repeats are numbered in URL-key order and take the numbers that are free: a
+    numbered path that is some other URL's own path is left to that URL. Two
+    paths never give the same numbered path, as it tells its path and number.
+    The leading digits of the key cut a path's URLs into even slices in that
+    order, so a path shared by a third of the table is numbered slice by slice
+    rather than in one task.
     """
     keyed = df.withColumns({"path": U.layout_path(F.col("url")), "key": U.url_key(F.col("url"))})
     keyed = keyed.withColumn("slice", F.substring("key", 1, KEY_DIGITS))
@@ -172,8 +218,15 @@ def assign_paths(df: DataFrame) -> DataFrame:
     )
     in_slice = Window.partitionBy("path", "slice").orderBy("key", "url")
     numbered = keyed.withColumn("n", F.row_number().over(in_slice) - 1).join(offsets, ["path", "slice"])
-    repeat = F.col("n") + F.col("offset")
-    ext = F.regexp_extract("path", r"[^./][^/]*(\.[^./]*)$", 1)
-    stem = F.col("path").substr(F.lit(1), F.length("path") - F.length(ext))
-    stored = F.when(repeat == 0, F.col("path")).otherwise(F.concat(stem, F.lit("_"), repeat.cast("string"), ext))
-    return numbered.select(*df.columns, "path", repeat.alias("repeat"), stored.alias("stored_path"))
+    numbered = cut_lineage(
+        numbered.select(*df.columns, "path", (F.col("n") + F.col("offset")).cast("long").alias("repeat"))
+    )
+    paths = numbered.select("path").distinct()
+    repeats = numbered.filter("repeat > 0").select("path", F.col("repeat").alias("n"))
+    free = _free_numbers(repeats, cut_lineage(_taken_numbers(paths))).withColumnRenamed("n", "repeat")
+    stem, ext = _stem_and_ext(F.col("path"))
+    stored = F.when(F.col("repeat") == 0, F.col("path")).otherwise(
+        F.concat(stem, F.lit("_"), F.col("k").cast("string"), ext)
+    )
+    named = numbered.join(free, ["path", "repeat"], "left")
+    return named.select(*df.columns, "path", "repeat", stored.alias("stored_path"))

@@ -127,12 +127,12 @@ _ORDER_TABLES = f"""
 with c as (select {_BLOCK} as page_id, o_orderkey, {_ORDER_CELLS} as cells,
                   row_number() over (partition by {_BLOCK} order by o_orderkey) as n from orders),
 t as (select page_id, ['key', 'status', 'cents'] || flatten(list(cells order by n)) as cells,
-             list(cells order by n) filter (n <= 10) as rows from c group by page_id)"""
+             list(cells order by n) as rows from c group by page_id)"""
 ORACLES["html_tables"] = f"""{_ORDER_TABLES}
-select page_id, array_to_string(cells[1:10], '|') as headers, 'key|status|cents' as header_row,
+select page_id, array_to_string(cells, '|') as headers, 'key|status|cents' as header_row,
        array_to_string(list_transform(rows, lambda r: array_to_string(r, '|')), '/') as rows from t"""
 ORACLES["table_cells"] = f"""{_ORDER_TABLES}
-select page_id, 0 as table_no, n - 1 as row_no, unnest([0, 1, 2]) as col_no, unnest(cells) as cell from c where n <= 10"""
+select page_id, 0 as table_no, n - 1 as row_no, unnest([0, 1, 2]) as col_no, unnest(cells) as cell from c"""
 ORACLES["structured_data"] = """
 select s_suppkey as page_id, 1 as n_json_ld, 2 as n_open_graph, 1 as n_twitter_card,
        case when s_suppkey % 2 = 0 then s_name end as product_title,
@@ -150,7 +150,11 @@ r as (select page_id, url, html, {cleaned('raw')} as text, {title_of('html')} as
 ORACLES["page_records"] = f"""{_RECORDS}
 select page_id, url, title, text, array_to_string({KEYWORD_LIST}, '|') as keywords, array_to_string(links, '|') as links,
        0 as n_metadata, {strip(unescape("regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '<[^>]+>', '', 'g')"))} as h1,
-       0 as n_apis from r"""
+       0 as n_apis, 0 as n_json_ld, 0 as n_products, 0 as n_tables from r"""
+ORACLES["record_structure"] = f"""
+select s_suppkey as page_id, s_name as title, 5 as n_metadata, s_name as description, 1 as n_json_ld, n_name as locality,
+       case when s_suppkey % 2 = 0 then s_name end as product_title,
+       case when s_suppkey % 3 = 0 then cast(s_suppkey as varchar) end as first_cell from {_SUPPLIER}"""
 ORACLES["keyword_matches"] = f"select doc_id, array_to_string({KEYWORD_LIST}, '|') as keywords from documents"
 _KIND = f"coalesce({X.DOC_TYPE}, '')"
 _IS_BINARY = either(lambda b: f"contains({_KIND}, {lit(b)})", BINARY_TYPES)
@@ -159,8 +163,15 @@ select {X.DOC_URL} as url, case when {_IS_BINARY} then 'binary' else 'html' end
        case when {_IS_BINARY} then strlen(text) else 0 end as size from documents"""
 ORACLES["flat_binaries"] = f"""
 select {X.DOC_URL} as url, doc_id * 1000000 as ts_us, 'binary' as type, strlen(text) as size from documents where {_IS_BINARY}"""
+_FOUND = f"""
+with f as (select {X.BARE_URL} as url, doc_id, {_KIND} as content_type, {_IS_BINARY} as bin,
+                  strlen('<title>T ' || doc_id || ' &amp; more</title>' || text) as size from documents)"""
+ORACLES["discovered_files"] = f"""{_FOUND}
+select url, {URL_PATH} as path, content_type, size, case when not bin then 'T ' || doc_id || ' & more' end as title,
+       case when bin then 'binary' else 'html' end as type, wanted, doc_id * 1000000 as ts_us
+from f, (select unnest(['pdf', 'all']) as wanted) w where wanted = 'all' or ends_with(lower(url), '.pdf')"""
 ORACLES["script_join"] = f"""
-with p as (select p_partkey % 50 as doc_id, count(*) as n_pages, min(p_partkey) as first_page_id from part group by 1)
+with p as (select p_partkey // 4 as doc_id, count(*) as n_pages, min(p_partkey) as first_page_id from part group by 1)
 select '{X.SITE}/x/script/' || doc_id as url, n_pages, first_page_id, length(text) as n_chars from p join documents using (doc_id)"""
 ORACLES["download_candidates"] = f"""
 select p_partkey as page_id, '{X.SITE}' || case p_partkey % 7 when 3 then '/f/' || p_partkey || '.pdf' when 4 then '/f/' || p_partkey || '.pdf?x=1'
@@ -183,7 +194,7 @@ _LINK_KINDS = ["anchor", "onclick", "data_attr", "link_tag", "iframe", "srcset",
 
 
 def _link_rows(kind: str) -> str:
-    key = "p_partkey % 50" if kind == "script" else "p_partkey"
+    key = "p_partkey // 4" if kind == "script" else "p_partkey"
     return f"select p_partkey as page_id, '{kind}' as link_kind, '{X.SITE}/x/{kind}/' || ({key}) as url from part"
 
 
@@ -245,11 +256,16 @@ n as (select doc_id, ct, regexp_extract({URL_PATH}, '([^/]*)$', 1) as base from
 select doc_id, case when doc_id % 5 = 0 then 'Myfile' || doc_id || '.md' when contains(base, '.') then base
        when contains(ct, 'text/plain') then base || '.md' else base || '.bin' end as name from n"""
 ORACLES["artifact_paths"] = f"""
-with u as (select distinct url, trim({URL_PATH}, '/') as t from {PARTS} p),
+with s as (select url from {PARTS} p union select replace(url, '.html', '_1.html') from {PARTS} p where url like '%/f%.html'),
+u as (select distinct url, trim({URL_PATH}, '/') as t from s),
 l as (select url, regexp_replace(t, '[^/]*$', '') || case when contains(regexp_extract(t, '([^/]*)$', 1), '.') then regexp_extract(t, '([^/]*)$', 1)
         else regexp_extract(t, '([^/]*)$', 1) || '.html' end as path from u),
-n as (select *, row_number() over (partition by path order by md5(url), url) - 1 as r, regexp_extract(path, '(\\.[^./]*)$', 1) as ext from l)
-select url, case when r = 0 then path else left(path, length(path) - length(ext)) || '_' || r || ext end as stored_path from n"""
+n as (select *, row_number() over (partition by path order by md5(url), url) - 1 as r, regexp_extract(path, '(\\.[^./]*)$', 1) as ext from l),
+c as (select path, left(path, length(path) - length(ext)) as stem, ext, max(r) as m from n group by 1, 2, 3),
+f as (select path, stem, ext, unnest(range(1, m + 1 + (select count(*) from c))) as k from c where m > 0),
+g as (select path, stem || '_' || k || ext as made, row_number() over (partition by path order by k) as r
+      from f where stem || '_' || k || ext not in (select path from c))
+select n.url, coalesce(made, n.path) as stored_path from n left join g on n.path = g.path and n.r = g.r"""
 ORACLES["url_key"] = "select page_id, md5(url) as key from pages"
 
 # --- signals --------------------------------------------------------------------
@@ -276,7 +292,7 @@ ORACLES["api_paths"] = f"{_API} select api_url, min(page_id) as first_page_id, c
 
 
 ORACLES["script_scan"] = f"""
-with k as (select p_partkey % 50 as o_orderkey, min(p_partkey) as page_id from part group by 1),
+with k as (select p_partkey // 4 as o_orderkey, min(p_partkey) as page_id from part group by 1),
 t as (select page_id, {X.API_TEXT} as html from k join orders using (o_orderkey)),
 m as (select page_id, '{X.SITE}' as origin, unnest({_api_list('html')}) as hit from t),
 a as (select distinct page_id, case when hit like 'ws%' then hit when right(hit, 1) = '?' then origin || left(hit, length(hit) - 1)
@@ -321,7 +337,7 @@ ORACLES["visited_dedup"] = f"select url, min(page_id % 4) as depth from {PARTS}
 ORACLES["crawl_frontier"] = f"""
 with recursive e as (select '/p/' || p_partkey as src, {X.EDGE_TARGET} as dst
   from part, (select unnest([3, 7, 11]) as k), (select count(*) as n from part)),
-u as (select src, dst from e where dst not like '%9' and not contains(dst, '/p/13')),
+u as (select src, dst from e where not contains(dst, '/p/13')),
 w as (select '/p/1' as url, 0 as depth union select dst, depth + 1 from w join u on w.url = u.src where depth < 4)
 select url, min(depth) as depth from w group by url"""
 ORACLES["route_links"] = f"""
@@ -339,7 +355,7 @@ union all (select url, 'last', epoch_us(l) from s order by l desc, url desc limi
 ORACLES["union_pages"] = """
 select page_id, url, null::varchar as lang from pages union all select doc_id, null, lang from documents"""
 ORACLES["first_match"] = f"""
-with h as (select cast(floor(page_id / 10) as bigint) as page_id, page_id % 3 as rank, page_id as node_id, url from {PARTS} p where page_id % 3 > 0)
+with h as (select cast(floor(page_id / 10) as bigint) as page_id, page_id % 3 as rank, page_id as node_id, url from {PARTS} p)
 select page_id, url, rank from h qualify row_number() over (partition by page_id order by rank, node_id) = 1"""
 ORACLES["needs_render"] = f"""
 with l as (select cast(floor(page_id / 2) as bigint) as page_id, {EXT} in ('pdf', 'md') as t from {PARTS} p)
@@ -440,15 +456,18 @@ select count(distinct url) filter (event = 'fetch_start') as visited, count(dist
 ORACLES["flat_pages"] = f"""{_RECORDS}
 select url, title, left(text, 1000) as text, array_to_string({KEYWORD_LIST}, ', ') as keywords, len(links) as num_links, '' as api_endpoints from r"""
 ORACLES["progress"] = f"""
-with h as (select time_bucket(interval 1 hour, ts) + interval 1 hour as until, count(*) filter (event = 'fetch_start') as s,
+with x as (select ts, event, status from {EVENTS} e
+   union all select ts - interval 5 hour, 'enqueue', status from {EVENTS} e where event = 'fetch_start'
+   union all select ts, 'api_found', status from {EVENTS} e where event = 'retry'),
+h as (select time_bucket(interval 1 hour, ts) + interval 1 hour as until, count(*) filter (event = 'fetch_start') as s,
+   count(*) filter (event = 'enqueue') as q, count(*) filter (event = 'api_found') as a,
    count(*) filter (event = 'fetch_ok') as o, count(*) filter (event = 'fetch_fail') as f,
-   count(*) filter (event = 'download_complete' and status = 'ok') as d from {EVENTS} e group by 1),
-t as (select until, sum(s) over w as s, sum(o) over w as o, sum(f) over w as f, sum(d) over w as d from h window w as (order by until))
-select epoch_us(until) as until_us, cast(o as bigint) as visited, cast(f as bigint) as failed, cast(s - o - f as bigint) as active, cast(d as bigint) as files from t"""
+   count(*) filter (event = 'download_complete' and status = 'ok') as d from x group by 1),
+t as (select until, sum(q) over w as q, sum(a) over w as a, sum(s) over w as s, sum(o) over w as o, sum(f) over w as f, sum(d) over w as d from h window w as (order by until))
+select epoch_us(until) as until_us, cast(o as bigint) as visited, cast(f as bigint) as failed, cast(s - o - f as bigint) as active, cast(greatest(q - s, 0) as bigint) as queued, cast(d as bigint) as files, cast(a as bigint) as apis from t"""
 
 # --- streams --------------------------------------------------------------------
 
-_CLOSED = f"(select epoch_ms(max(ts)) - 3600000 from {EVENTS} e)"
 ORACLES["stream_ingest"] = f"select event_id, epoch_us(ts) as ts_us, event, url from {EVENTS} e"
 
 
@@ -456,7 +475,7 @@ def _window_counts(starts: str, hours: int) -> str:
     return f"""
 with w as (select {starts} as start, event from {EVENTS} e)
 select epoch_us(start) as start_us, epoch_us(start + interval {hours} hour) as end_us, event, count(*) as n from w
-where epoch_ms(start + interval {hours} hour) <= {_CLOSED} group by 1, 2, 3, start"""
+group by 1, 2, 3, start"""
 
 
 ORACLES["stream_progress"] = _window_counts("time_bucket(interval 1 hour, ts)", 1)
@@ -467,9 +486,9 @@ ORACLES["stream_sessions"] = f"""
 with e as (select url, ts, case when ts - lag(ts) over (partition by url order by ts) < interval 6 hour then 0 else 1 end as new from {EVENTS} x),
 s as (select *, sum(new) over (partition by url order by ts rows unbounded preceding) as session from e),
 g as (select url, session, min(ts) as a, max(ts) + interval 6 hour as b, count(*) as n from s group by url, session)
-select url, epoch_us(a) as start_us, epoch_us(b) as end_us, n from g where epoch_ms(b) <= {_CLOSED}"""
+select url, epoch_us(a) as start_us, epoch_us(b) as end_us, n from g"""
 ORACLES["stream_enrich"] = f"""
-with m as (select distinct url, 'files/' || md5(url) as path, 'text/html' as content_type from {LOG} l where event_id % 2 = 0)
+with m as (select distinct url, 'files/' || md5(url) as path, 'text/html' as content_type from {LOG} l where event_id % 500 % 2 = 0)
 select event_id, e.url, status, path, content_type from {EVENTS} e left join m on e.url = m.url where event = 'download_complete'"""
 ORACLES["stream_event_sink"] = f"""
 select url, 'downloads/' || md5(url) as path, sha256, bytes from {EVENTS} e where event = 'download_complete' and status = 'ok'"""
@@ -483,7 +502,10 @@ ORACLES["sink_products"] = f"""
 select '/p/' || p_partkey as url, p_name as title, '$' || cast(round(p_retailprice * 100) as bigint) as price,
        '{X.SITE}/list/' || {_PAGE} as source_url, '2024-02-01 00:00:00' as extracted_at, 'run1' as run_id, 2 as copies from part"""
 ORACLES["sink_tables"] = f"""{_ORDER_TABLES}
-select page_id, '{X.SITE}/orders/' || page_id as source_url, array_to_string(cells[1:10], '|') as headers, len(rows) as n_rows from t"""
+select page_id, '{X.SITE}/orders/' || page_id as source_url, array_to_string(cells, '|') as headers, len(rows) as n_rows from t"""
+ORACLES["sink_discoveries"] = f"""
+select name, n, bytes from (select api_url as name, count(*) as n, 0 as bytes from ({_API} select * from a) group by 1)
+union all select coalesce(content_type, '(all)'), count(*), cast(sum(size) as bigint) from ({_FOUND} select * from f) group by rollup (content_type)"""
 ORACLES["sink_manifest"] = f"""
 select {X.DOC_URL} as url, 'files/' || doc_id || '.txt' as path, sha256(text) as sha256, strlen(text) as bytes, 'text/plain' as content_type from documents"""
 ORACLES["sink_events"] = f"select event_id, epoch_us(ts) as ts_us, event, status, bytes from {EVENTS} e"

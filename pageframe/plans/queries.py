@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,6 +206,21 @@ def page_records(spark, sf_dir):
         F.size("metadata").alias("n_metadata"),
         joined(F.col("headings")["h1"]).alias("h1"),
         F.size("api_endpoints").alias("n_apis"),
+        *[F.coalesce(F.size(f"structured.{part}"), F.lit(0)).alias(f"n_{part}") for part in ("json_ld", "products", "tables")],
+    )
+
+
+@query
+def record_structure(spark, sf_dir):
+    return records_of(X.meta_pages(spark, sf_dir)).select(
+        "page_id",
+        "title",
+        F.size("metadata").alias("n_metadata"),
+        F.substr(F.col("metadata")["description"], F.lit(7)).alias("description"),
+        F.size("structured.json_ld").alias("n_json_ld"),
+        F.col("structured.open_graph")["og:locality"].alias("locality"),
+        F.col("structured.products")[0]["title"].alias("product_title"),
+        F.col("structured.tables")[0]["headers"][0].alias("first_cell"),
     )
 
 
@@ -231,6 +248,23 @@ def binary_split(spark, sf_dir):
     )
 
 
+def file_responses(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").selectExpr(
+        f"{X.BARE_URL} AS url",
+        "timestamp_seconds(doc_id) AS ts",
+        f"{X.DOC_TYPE} AS content_type",
+        "encode('<title>T ' || doc_id || ' &amp; more</title>' || text, 'UTF-8') AS content",
+    )
+
+
+@query
+def discovered_files(spark, sf_dir):
+    found = R.discovered_files(file_responses(spark, sf_dir), ["pdf"])
+    every = R.discovered_files(file_responses(spark, sf_dir), dump_all=True)
+    both = found.withColumn("wanted", F.lit("pdf")).unionByName(every.withColumn("wanted", F.lit("all")))
+    return both.withColumn("ts_us", F.unix_micros("ts")).drop("ts")
+
+
 @query
 def script_join(spark, sf_dir):
     scripts = L.links(P.parse_pages(X.link_pages(spark, sf_dir)), ["script"])
@@ -382,7 +416,9 @@ def artifact_names(spark, sf_dir):
 
 @query
 def artifact_paths(spark, sf_dir):
-    return UF.assign_paths(X.part_urls(spark, sf_dir).select("url").distinct()).select("url", "stored_path")
+    urls = X.part_urls(spark, sf_dir).select("url")
+    numbered = urls.filter("url LIKE '%/f%.html'").selectExpr("replace(url, '.html', '_1.html') AS url")
+    return UF.assign_paths(urls.unionByName(numbered).distinct()).select("url", "stored_path")
 
 
 @query
@@ -442,8 +478,7 @@ def visited_dedup(spark, sf_dir):
 @query
 def crawl_frontier(spark, sf_dir):
     seeds = spark.createDataFrame([("/p/1",)], "url string")
-    edges = X.crawl_edges(spark, sf_dir).filter("dst NOT LIKE '%9'")
-    return Fr.crawl_frontier(edges, seeds, max_depth=4, exclude=["/p/13"])
+    return Fr.crawl_frontier(X.crawl_edges(spark, sf_dir), seeds, max_depth=4, exclude=["/p/13"])
 
 
 @query
@@ -484,7 +519,7 @@ def first_match(spark, sf_dir):
     hits = X.part_urls(spark, sf_dir).selectExpr(
         "floor(page_id / 10) AS page_id", "page_id % 3 AS rank", "page_id AS node_id", "url"
     )
-    return Fr.first_match(hits.filter("rank > 0"), ["page_id"], "rank", "node_id", "url")
+    return Fr.first_match(hits, ["page_id"], "rank", "node_id", "url")
 
 
 @query
@@ -548,8 +583,11 @@ def flat_binaries(spark, sf_dir):
 
 @query
 def progress(spark, sf_dir):
-    report = R.progress(X.crawl_events(spark, sf_dir))
-    return report.select(F.unix_micros("until").alias("until_us"), "visited", "failed", "active", "files")
+    events = X.crawl_events(spark, sf_dir).select("event_id", "ts", "event", "status")
+    queued = events.filter("event = 'fetch_start'").selectExpr("event_id", "ts - interval 5 hours", "'enqueue'", "status")
+    apis = events.filter("event = 'retry'").selectExpr("event_id", "ts", "'api_found'", "status")
+    report = R.progress(events.union(queued).union(apis))
+    return report.withColumn("until", F.unix_micros("until")).withColumnRenamed("until", "until_us")
 
 
 # --- host log -------------------------------------------------------------------
@@ -655,6 +693,13 @@ def finished(spark, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def latest(spark, stream: DataFrame, keys: list[str], name: str, mode: str = "update") -> DataFrame:
+    """The newest version of every row of a stream that updates rows, after it has taken in everything there is."""
+    folder = run_folder(spark, name)
+    St.run_available(St.write_versions(stream, folder, mode))
+    return St.read_versions(spark, folder, stream.schema, keys, mode)
+
+
 @query
 def stream_ingest(spark, sf_dir):
     folder = run_folder(spark, "events")
@@ -671,25 +716,29 @@ def window_rows(rows: DataFrame) -> DataFrame:
 
 @query
 def stream_progress(spark, sf_dir):
-    return window_rows(finished(spark, St.stream_progress(event_stream(spark, sf_dir), "1 hour"), "stream_progress"))
+    counts = St.stream_progress(event_stream(spark, sf_dir), "1 hour")
+    return window_rows(latest(spark, counts, ["start", "event"], "stream_progress"))
 
 
 @query
 def stream_progress_sliding(spark, sf_dir):
     counts = St.stream_progress(event_stream(spark, sf_dir), "2 hours", "1 hour")
-    return window_rows(finished(spark, counts, "stream_sliding"))
+    return window_rows(latest(spark, counts, ["start", "event"], "stream_sliding"))
 
 
 @query
 def stream_sessions(spark, sf_dir):
-    rows = finished(spark, St.stream_sessions(event_stream(spark, sf_dir), "url", "6 hours"), "stream_sessions")
+    sessions = St.stream_sessions(event_stream(spark, sf_dir), "url", "6 hours")
+    rows = latest(spark, sessions, ["url", "start"], "stream_sessions", "complete")
     return rows.select("url", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
 @query
 def stream_enrich(spark, sf_dir):
-    manifest = X.fetch_log(spark, sf_dir).filter("event_id % 2 = 0").selectExpr(
-        "url", "'files/' || md5(url) AS path", "'text/html' AS content_type"
+    manifest = X.fetch_log(spark, sf_dir).selectExpr(
+        "url || case when event_id % 500 % 2 = 0 then '' else '#' end AS url",  # odd pages are not in the manifest
+        "'files/' || md5(url) AS path",
+        "'text/html' AS content_type",
     )
     rows = finished(spark, St.stream_enrich(event_stream(spark, sf_dir), manifest), "stream_enrich")
     return rows.select("event_id", "url", "status", "path", "content_type")
@@ -753,6 +802,18 @@ def sink_tables(spark, sf_dir):
     return back.select("page_id", "source_url", joined("headers").alias("headers"), F.size("rows").alias("n_rows"))
 
 
+@query
+def sink_discoveries(spark, sf_dir):
+    folder = run_folder(spark, "sink_discoveries")
+    files = R.discovered_files(file_responses(spark, sf_dir), dump_all=True)
+    K.write_discoveries(files, G.api_paths(X.api_pages(spark, sf_dir)), folder)
+    apis = spark.read.schema("api_url string, n_pages long").json(f"{folder}/endpoints")
+    counts = spark.read.schema("content_type string, files long, bytes long").json(f"{folder}/file_counts")
+    return apis.selectExpr("api_url AS name", "n_pages AS n", "0L AS bytes").unionByName(
+        counts.selectExpr("coalesce(content_type, '(all)') AS name", "files AS n", "bytes")
+    )
+
+
 @query
 def sink_manifest(spark, sf_dir):
     folder = run_folder(spark, "sink_manifest")
@@ -801,5 +862,7 @@ def custom_extractor(spark, sf_dir):
     return found.select("page_id", "r.n_links", "r.n_chars")
 
 
-def count_links(html: str) -> dict:
-    return {"n_links": html.count("<a "), "n_chars": len(html)}
+def count_links(html: pa.Array) -> pa.Array:
+    """Links and characters of every page of a batch, by Arrow's own functions."""
+    counts = [pc.count_substring(html, "<a "), pc.cast(pc.utf8_length(html), pa.int32())]
+    return pa.StructArray.from_arrays(counts, ["n_links", "n_chars"])

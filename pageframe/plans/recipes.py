@@ -213,7 +213,7 @@ def link_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     junk = '<a href="#a">x</a><a href="javascript:go()">x</a><a href="mailto:a@b.c">x</a><a href="tel:1">x</a><a href="data:x">x</a><a href="ftp://h/x">x</a><a href="">x</a>'
     html = "".join(kinds.values()) + junk
     text = F.replace(F.lit(html), F.lit("{k}"), F.col("p_partkey").cast("string"))
-    text = F.replace(text, F.lit("{m}"), (F.col("p_partkey") % 50).cast("string"))
+    text = F.replace(text, F.lit("{m}"), F.floor(F.col("p_partkey") / 4).cast("string"))
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("page_id"),
         F.concat(F.lit(f"{SITE}/page/"), F.col("p_partkey").cast("string")).alias("url"),

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageframe.operators.frontier import top_k
-from pageframe.operators.records import flat_pages
+from pageframe.operators.records import file_inventory, flat_pages
+from pageframe.sources.checkpoints import cut_lineage
 from pageframe.sources.readers import MANIFEST_DDL
 
 PRODUCT_COLUMNS = ["title", "price", "description", "reviews", "image", "url", "source_url", "extracted_at"]
@@ -36,19 +37,22 @@ def product_rows(products: DataFrame, run_ts: str) -> DataFrame:
 def write_products(products: DataFrame, folder: str, run_id: str, run_ts: str) -> None:
     """JSON and CSV, one partition per run: writing a run again replaces only that run."""
     rows = product_rows(products, run_ts).withColumn("run_id", F.lit(run_id))
-    for kind in ("json", "csv"):
-        writer = rows.write.mode("overwrite").partitionBy("run_id").option("partitionOverwriteMode", "dynamic")
-        if kind == "json":
-            writer.json(f"{folder}/json")
-        else:
-            _csv(writer, f"{folder}/csv")
 
+    def writer(df: DataFrame):
+        return df.write.mode("overwrite").partitionBy("run_id").option("partitionOverwriteMode", "dynamic")
 
-def write_tables(tables: DataFrame, folder: str, run_ts: str) -> None:
-    """One line per table: source_url, extracted_at, table_no, headers, rows."""
-    tables.select(
+    writer(rows).json(f"{folder}/json")
+    # the CSV is made from the stored JSON of the run, so pages are parsed once
+    back = products.sparkSession.read.schema(rows.schema).json(f"{folder}/json")
+    _csv(writer(back.filter(F.col("run_id") == run_id)), f"{folder}/csv")
+
+
+def write_tables(tables: DataFrame, folder: str, run_ts: str, run_id: str = "run") -> None:
+    """One line per table: source_url, extracted_at, table_no, headers, rows; writing a run again replaces that run."""
+    rows = tables.select(
         F.col("url").alias("source_url"), F.lit(run_ts).alias("extracted_at"), "page_id", "table_no", "headers", "rows"
-    ).write.mode("append").json(folder)
+    ).withColumn("run_id", F.lit(run_id))
+    rows.write.mode("overwrite").partitionBy("run_id").option("partitionOverwriteMode", "dynamic").json(folder)
 
 
 def manifest_rows(artifacts: DataFrame) -> DataFrame:
@@ -76,12 +80,20 @@ def ranked_lines(df: DataFrame, k: int = 50) -> DataFrame:
 
 
 def write_ranked(df: DataFrame, folder: str, k: int = 50) -> None:
-    """Two text files of at most k lines each, in order."""
-    lines = ranked_lines(df, k).orderBy("seconds", "plain").coalesce(1)
+    """Two text files of at most k lines each, in order; k is the length of a report."""
+    lines = cut_lineage(ranked_lines(df, k).orderBy("seconds", "plain").coalesce(1))
     lines.select(F.col("plain").alias("value")).write.mode("overwrite").text(f"{folder}/plain")
     lines.select(F.col("detailed").alias("value")).write.mode("overwrite").text(f"{folder}/detailed")
 
 
+def write_discoveries(files: DataFrame, endpoints: DataFrame, folder: str) -> None:
+    """The two documents of a discovery dump: the endpoints, and the files with a line of counts for each type."""
+    endpoints.select("api_url", "first_page_id", "n_pages").write.mode("overwrite").json(f"{folder}/endpoints")
+    files.write.mode("overwrite").json(f"{folder}/files")
+    back = files.sparkSession.read.schema(files.schema).json(f"{folder}/files")
+    file_inventory(back).write.mode("overwrite").json(f"{folder}/file_counts")
+
+
 def write_payloads(decoded: DataFrame, folder: str) -> None:
     """Decoded artifacts with their manifest fields, content included."""
     decoded.select("file_name", "content", "sha256", "bytes").write.mode("append").parquet(folder)

@@ -16,20 +16,18 @@ MANIFEST_DDL = "url string, path string, sha256 string, bytes long, content_type
 CORRUPT = "_corrupt_record"
 
 
-SMALL_TASK_BYTES = 16 << 20
+#: A session may ask for so many partitions of a scan before texts are parsed or searched. Unset, nothing is shuffled.
+SPREAD_SETTING = "pageframe.spread.partitions"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Gives every core a share of an input too small to be split by its files.
+    """Deals an input out to as many partitions as the session names in SPREAD_SETTING.
 
-    Parsing or searching whole texts costs far more than moving such an input. Anything above a few
-    megabytes per core already has its own partitions and is not shuffled.
+    For inputs of a few files that cannot be split; parsing them costs far more than moving them. The caller decides,
+    not the size of the data.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SMALL_TASK_BYTES else df
+    wanted = df.sparkSession.conf.get(SPREAD_SETTING, None)
+    return df if df.isStreaming or not wanted else df.repartition(int(wanted))
 
 
 def usable_pages(pages: DataFrame) -> DataFrame:

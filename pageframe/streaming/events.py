@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from pageframe.operators.host_log import TRANSITION_DDL, Breaker, breaker_step
+from pageframe.sources.checkpoints import cut_lineage
 from pageframe.sources.readers import EVENT_DDL, MANIFEST_DDL
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -24,14 +26,17 @@ def stream_events(
 
 
 def stream_progress(events: DataFrame, size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
-    """Events per type and time window, tumbling or sliding; rows behind the watermark are dropped."""
+    """Events per type and time window, tumbling or sliding; rows behind the watermark are dropped.
+
+    In append mode a window appears when the watermark has closed it, in update mode (`write_versions`) at once.
+    """
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
     counted = events.withWatermark("ts", late).groupBy(window.alias("w"), "event").agg(F.count("*").alias("n"))
     return counted.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event", "n")
 
 
 def stream_sessions(events: DataFrame, key: str, gap: str, late: str = "1 hour") -> DataFrame:
-    """Events per session of a key; a gap ends a session."""
+    """Events per session of a key; a gap ends a session. Open sessions appear in complete mode, closed ones in append."""
     session = F.session_window("ts", gap)
     counted = events.withWatermark("ts", late).groupBy(session.alias("w"), key).agg(F.count("*").alias("n"))
     return counted.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
@@ -39,9 +44,11 @@ def stream_sessions(events: DataFrame, key: str, gap: str, late: str = "1 hour")
 
 def stream_enrich(events: DataFrame, manifest: DataFrame) -> DataFrame:
     """Finished downloads with the manifest's path and type for their URL."""
-    stored = manifest.groupBy("url").agg(F.min(F.struct("path", "content_type")).alias("m"))
+    firsts = manifest.groupBy("url").agg(F.min(F.struct("path", "content_type")).alias("m"))
+    # stored, so that micro-batches do not group the manifest again
+    stored = cut_lineage(firsts.select("url", "m.path", "m.content_type"))
     done = events.filter("event = 'download_complete'")
-    return done.join(stored.select("url", "m.path", "m.content_type"), "url", "left")
+    return done.join(stored, "url", "left")
 
 
 class OutageProcessor(StatefulProcessor):
@@ -111,6 +118,31 @@ def write_stream(df: DataFrame, folder: str, output_format: str = "json") -> Dat
     )
 
 
+def write_versions(df: DataFrame, folder: str, mode: str = "update") -> DataStreamWriter:
+    """Rows that a stream updates, as versions: a micro-batch owns one folder, so one that runs again replaces its own."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+
+    return df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/_checkpoint")
+
+
+def read_versions(spark: SparkSession, folder: str, schema: StructType, keys: list[str], mode: str = "update") -> DataFrame:
+    """The newest version of every key. In complete mode the last batch holds all rows, so older keys may be gone."""
+    rows = spark.read.schema(StructType(list(schema.fields)).add("version", "long")).parquet(f"{folder}/rows")
+    if mode == "complete":
+        last = rows.agg(F.max("version").alias("version"))
+        return rows.join(F.broadcast(last), "version", "left_semi").drop("version")
+    names = [field.name for field in schema.fields]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*names), "version").alias("row"))
+    return newest.select("row.*")
+
+
+def on_events(events: DataFrame, handle: Callable[[DataFrame, int], None], folder: str) -> DataStreamWriter:
+    """Calls `handle` with every micro-batch of events and its number; a batch that failed is handed over again."""
+    return events.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/_checkpoint")
+
+
 def write_events_stream(events: DataFrame, folder: str) -> DataStreamWriter:
     """Events and, for finished downloads, manifest lines.
 
@@ -120,7 +152,9 @@ def write_events_stream(events: DataFrame, folder: str) -> DataStreamWriter:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").json(f"{folder}/events/batch={batch_id}")
-        done = batch.filter("event = 'download_complete' AND status = 'ok'")
+        # the stored events, so that the batch itself is computed once
+        stored = batch.sparkSession.read.schema(batch.schema).json(f"{folder}/events/batch={batch_id}")
+        done = stored.filter("event = 'download_complete' AND status = 'ok'")
         manifest = done.withColumns(
             {
                 "path": F.concat(F.lit("downloads/"), F.md5("url")),

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageframe.operators import frontier as Fr
-from pageframe.operators import running
 from pageframe.operators.running import first_rows
 
 
@@ -29,16 +28,36 @@ def graph():
 
 
 @pytest.mark.parametrize(("max_depth", "max_urls"), [(0, None), (2, None), (12, None), (3, 5), (3, 150), (3, 1)])
-def test_frontier_equals_bfs(spark, graph, monkeypatch, max_depth, max_urls):
-    monkeypatch.setattr(Fr, "HOT_MIN_EDGES", 100)  # makes /p/0 a hot source
+def test_frontier_equals_bfs(spark, graph, max_depth, max_urls):
     edges = spark.createDataFrame(graph, "src string, dst string")
     seeds = spark.createDataFrame([("/p/0",), ("/p/1",), ("/p/0",)], "url string")
-    got = Fr.crawl_frontier(edges, seeds, max_depth, max_urls, exclude=["/p/13"])
+    got = Fr.crawl_frontier(edges, seeds, max_depth, max_urls, exclude=["/p/13"], salt_edges=100)  # /p/0 gets three salts
     rows = [(r.url, r.depth) for r in got.collect()]
     assert len(rows) == len(set(u for u, _ in rows))
     assert dict(rows) == bfs(graph, ["/p/0", "/p/1"], max_depth, max_urls, lambda u: "/p/13" not in u)
 
 
+def test_a_level_does_not_move_what_is_visited(spark):
+    rows = [(f"u{i}",) for i in range(100)]
+    name = Fr._bucketed(spark.createDataFrame(rows, "url string"), 4, "url")
+    try:
+        new = spark.createDataFrame(rows[50:] + [("new",)], "url string")
+        left = Fr.unvisited(new, spark.table(name))
+        assert [r.url for r in left.collect()] == ["new"]
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(url") <= 2 and "Broadcast" not in plan
+        scan = plan[plan.rindex("SortMergeJoin") :].split("FileScan")[1]
+        assert "Bucketed: true" in scan or "Bucketed: true" in plan
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_frontier_leaves_no_table(spark, graph):
+    edges = spark.createDataFrame(graph, "src string, dst string")
+    Fr.crawl_frontier(edges, spark.createDataFrame([("/p/0",)], "url string")).count()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("pageframe_")]
+
+
 def test_frontier_of_nothing(spark):
     edges = spark.createDataFrame([], "src string, dst string")
     seeds = spark.createDataFrame([("x",)], "url string")
@@ -80,8 +99,7 @@ def test_first_match_and_union(spark):
 
 
 @pytest.mark.parametrize("n", [0, 1, 77, 400, 401])
-def test_first_rows_by_range(spark, monkeypatch, n):
+def test_first_rows_by_range(spark, n):
     df = spark.range(400).selectExpr("(id * 7919) % 401 AS v").repartition(6)
-    small = [r.v for r in first_rows(df, n, F.desc("v")).collect()]
-    monkeypatch.setattr(running, "SMALL_LIMIT", -1)
+    small = [r.v for r in df.orderBy(F.desc("v")).limit(n).collect()]
     assert sorted(r.v for r in first_rows(df, n, F.desc("v")).collect()) == sorted(small)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageframe.functions.charset import decode_bytes
-from pageframe.functions.extractors import register_extractor
+from pageframe.functions.extractors import by_row, register_extractor
 from pageframe.operators import host_log as H
 from pageframe.sinks import writers as K
 from pageframe.sources import readers as S
@@ -95,7 +95,7 @@ def test_ranked_lists(spark, tmp_path):
 
 
 def test_custom_extractor_in_sql(spark):
-    register_extractor(spark, "shout", lambda html: {"loud": html.upper()}, "struct<loud:string>")
+    register_extractor(spark, "shout", by_row(lambda html: {"loud": html.upper()}), "struct<loud:string>")
     assert spark.sql("SELECT shout('a').loud AS x").first().x == "A"
 
 
@@ -157,6 +157,31 @@ def test_late_rows_and_repeats_are_dropped(spark, tmp_path):
     assert len(finished(spark, unique, tmp_path / "o2")) == 9
 
 
+def test_windows_and_sessions_hold_every_event(spark, tmp_path):
+    rows = [{"ts": iso(START + timedelta(minutes=7 * i)), "event": "e", "url": f"u{i % 3}"} for i in range(60)]
+    write_batches(tmp_path / "in", rows, 7)
+    counts = St.stream_progress(stream(spark, tmp_path / "in", S.EVENT_DDL), "1 hour")
+    St.run_available(St.write_versions(counts, str(tmp_path / "p")))
+    got = St.read_versions(spark, str(tmp_path / "p"), counts.schema, ["start", "event"])
+    assert got.agg(F.sum("n")).first()[0] == 60 and got.count() == 7
+    sessions = St.stream_sessions(stream(spark, tmp_path / "in", S.EVENT_DDL), "url", "30 minutes")
+    St.run_available(St.write_versions(sessions, str(tmp_path / "s"), "complete"))
+    got = St.read_versions(spark, str(tmp_path / "s"), sessions.schema, ["url", "start"], "complete")
+    assert sorted((r.url, r.n) for r in got.collect()) == [("u0", 20), ("u1", 20), ("u2", 20)]
+
+
+def test_a_hook_sees_every_batch(spark, tmp_path):
+    rows = [{"ts": iso(START), "event": "e", "url": f"u{i}"} for i in range(10)]
+    write_batches(tmp_path / "in", rows, 4)
+    seen = []
+
+    def handle(batch, number):
+        seen.append((number, sorted(r.url for r in batch.collect())))
+
+    St.run_available(St.on_events(stream(spark, tmp_path / "in", S.EVENT_DDL), handle, str(tmp_path / "out")))
+    assert [n for n, _ in seen] == [0, 1, 2] and sum((urls for _, urls in seen), []) == [f"u{i}" for i in range(10)]
+
+
 def test_event_sink_replaces_a_repeated_batch(spark, tmp_path):
     rows = [{"ts": iso(START), "event": "download_complete", "status": "ok", "url": f"u{i}", "bytes": 1, "sha256": "x"} for i in range(4)]
     write_batches(tmp_path / "in", rows, 2)

@@ -134,7 +134,27 @@ def test_names(spark):
     assert column(spark, ["https://h/n"], name("text/plain")) == ["n.md"]
     assert column(spark, ["https://h/"], name()) == ["downloaded_file.bin"]
     assert column(spark, ["https://h/n.x"], name(None, 'a; filename="r 1.md"')) == ["r1.md"]
-    assert column(spark, ["https://h/" + "x" * 300 + ".pdf"], name()) == ["x" * 200]
+    url = "https://h/" + "x" * 300 + ".pdf"
+    key = column(spark, [url], U.url_key)[0]
+    assert column(spark, [url], name()) == ["x" * 179 + "_" + key[:16] + ".pdf"]
+
+
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.sampled_from(["f", "f_1", "f_2", "f_1_1", "g_", "_1", ".h"]), st.sampled_from([".html", "", ".x", "/"])), max_size=25))
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_paths_are_unique(spark, parts):
+    urls = sorted({f"https://{h}{i}.x/{name}{ext}" for i, (h, name, ext) in enumerate(parts)})
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    rows = UF.assign_paths(df).collect()
+    assert len({r.stored_path for r in rows}) == len(rows) == len(urls)
+    assert {r.path for r in rows} <= {r.stored_path for r in rows}
+
+
+def test_natural_names_are_left_to_their_urls(spark):
+    urls = ["https://a.x/f.html", "https://b.x/f.html", "https://a.x/f_1.html", "https://c.x/f.html", "https://a.x/f_3.html"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {r.url: r.stored_path for r in UF.assign_paths(df).collect()}
+    assert sorted(got.values()) == ["f.html", "f_1.html", "f_2.html", "f_3.html", "f_4.html"]
+    assert got["https://a.x/f_1.html"] == "f_1.html" and got["https://a.x/f_3.html"] == "f_3.html"
 
 
 def test_paths_of_a_hot_group_are_distinct(spark):

@@ -109,9 +109,11 @@ def test_tables(parse):
         "<table><tr><td>o<table><tr><td>i</td></tr></table></td></tr></table>"
     )
     found = P.html_tables(parse(html)).orderBy("table_no").collect()
-    assert [t.headers for t in found] == [["a", *map(str, range(9))], ["x"], ["oi", "i"], ["i"]]
+    assert [t.headers for t in found] == [["a", *map(str, range(15))], ["x"], ["oi", "i"], ["i"]]
     assert [t.header_row for t in found] == [["a"], ["x"], ["oi", "i"], ["i"]]
-    assert found[0].rows == [[str(i)] for i in range(10)]
+    assert found[0].rows == [[str(i)] for i in range(15)]
+    cut = P.html_tables(parse(html), max_cells=10, max_rows=10).orderBy("table_no").first()
+    assert cut.headers == ["a", *map(str, range(9))] and cut.rows == [[str(i)] for i in range(10)]
     assert found[2].rows == [["i"]]
 
 
@@ -143,12 +145,17 @@ def test_keywords(spark):
 
 
 def test_bad_keyword_fails_before_a_job(spark):
-    import re
-
     import pytest
 
-    with pytest.raises(re.error):
-        T.keyword_matches(F.col("t"), ["("])
+    for pattern in ("(", "(?P<n>x", "(?(1)a|b)"):
+        with pytest.raises(ValueError, match="not a pattern"):
+            T.keyword_matches(F.col("t"), [pattern])
+
+
+def test_named_groups_of_keywords(spark):
+    df = spark.createDataFrame([("n7 nn É é",)], "t string")
+    found = df.select(T.keyword_matches(F.col("t"), [r"(?P<a_b>n)(?P=a_b)", r"n(?P<d>\d+)", "é"]).alias("k")).first().k
+    assert found == ["n7", "nn", "É", "é"]
 
 
 def test_next_page(parse, values):
