@@ -1,11 +1,12 @@
 """Fetch-log analytics per host.
 
 A log has event_id, ts (timestamp), host, url, status, ok, rt. One host may hold
-a large part of it, so no operator sorts or collects a whole host: events are
-cut into time slices, each (host, slice) is reduced to a small summary, and only
-the summaries of a host are put in order. Results do not depend on the length of
-a slice; unless `slice_seconds` is given, it is chosen so that the busiest host
-fits (see `slice_length_us`).
+a large part of it, so no operator sorts or collects a whole host. Folds cut the
+ordered log into slices of a bounded number of rows and merge their summaries
+(`_fold_hosts`); running values and gaps are windows over (host, time slice), and
+the breaker reduces each (host, time slice) to a summary. Results do not depend
+on the size of a slice, which is a parameter, and nothing runs before the result
+is asked for, but for what the operators say is stored.
 """
 
 from __future__ import annotations
@@ -23,25 +24,17 @@ from pageframe.functions.constants import RETRYABLE_STATUS
 from pageframe.operators.running import running_totals
 from pageframe.sources.checkpoints import cut_lineage
 
-SLICE_SECONDS = 3600
-SLICE_ROWS = 1_000_000
+SLICE_SECONDS = 3600.0
+SLICE_ROWS = 50_000
 TIMEOUT_STATUS = [408, 504]
 
 
-def slice_length_us(log: DataFrame) -> int:
-    """An hour, or less where the busiest minute of any host says an hour would be too much for a task."""
-    minutes = log.groupBy("host", F.floor(F.unix_seconds("ts") / 60).alias("minute")).count()
-    busiest = minutes.agg(F.max("count")).first()[0] or 0
-    rows = busiest * SLICE_SECONDS / 60
-    return max(1000, int(SLICE_SECONDS * 1_000_000 * min(1.0, SLICE_ROWS / max(rows, 1))))
+def with_slice(log: DataFrame, slice_seconds: float = SLICE_SECONDS) -> DataFrame:
+    """Adds the number of the time slice a row lies in."""
+    return log.withColumn("slice", F.floor(F.unix_micros("ts") / F.lit(int(slice_seconds * 1_000_000))))
 
 
-def with_slice(log: DataFrame, slice_seconds: float | None = None) -> DataFrame:
-    length = slice_length_us(log) if slice_seconds is None else int(slice_seconds * 1_000_000)
-    return log.withColumn("slice", F.floor(F.unix_micros("ts") / F.lit(length)))
-
-
-def _ordered_events(log: DataFrame, slice_seconds: float | None, *fields: str) -> DataFrame:
+def _ordered_events(log: DataFrame, slice_seconds: float, *fields: str) -> DataFrame:
     """host, slice, events: the events of one slice in time order."""
     event = F.struct("ts", "event_id", *fields)
     return (
@@ -122,16 +115,20 @@ def host_totals(log: DataFrame) -> DataFrame:
 
 
 class Fold(NamedTuple):
-    """An ordered fold that also works slice by slice.
+    """An ordered fold that also works piece by piece.
 
-    `of_slice` reduces the ordered `events` of a slice to a summary, and
-    `of_host` reduces the ordered `slices` of a host, reading its summaries
-    from the field of the given name.
+    `of_events` reduces the ordered `events` of a slice to a summary, `merge` an
+    ordered array of summaries to one, and `finish` reads the result from it.
     """
 
     fields: tuple[str, ...]
-    of_slice: Callable[[], Column]
-    of_host: Callable[[str], Column]
+    of_events: Callable[[], Column]
+    merge: Callable[[Column], Column]
+    finish: Callable[[Column], Column]
+
+
+def _rest(items: Column) -> Column:
+    return F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
 
 
 def _ewma_fold(keep: float) -> Fold:
@@ -141,7 +138,7 @@ def _ewma_fold(keep: float) -> Fold:
     """
     new = 1.0 - keep
 
-    def of_slice():
+    def of_events():
         good = F.transform(F.filter("events", lambda e: e["ok"]), lambda e: e["rt"])
         return F.when(
             F.size(good) > 0,
@@ -152,17 +149,24 @@ def _ewma_fold(keep: float) -> Fold:
             ),
         )
 
-    def of_host(name):
-        parts = F.filter(F.transform("slices", lambda s: s[name]), lambda s: s.isNotNull())
-        return F.aggregate(parts, F.get(parts, F.lit(0))["first"], lambda acc, s: acc * s["decay"] + s["gain"])
+    def merge(parts):
+        def then(a, b):
+            return F.struct(
+                a["first"].alias("first"),
+                (a["decay"] * b["decay"]).alias("decay"),
+                (a["gain"] * b["decay"] + b["gain"]).alias("gain"),
+            )
+
+        known = F.filter(parts, lambda s: s.isNotNull())
+        return F.when(F.size(known) > 0, F.aggregate(_rest(known), F.get(known, F.lit(0)), then))
 
-    return Fold(("ok", "rt"), of_slice, of_host)
+    return Fold(("ok", "rt"), of_events, merge, lambda s: s["first"] * s["decay"] + s["gain"])
 
 
 def _streak_fold() -> Fold:
     """Current and longest run of failures."""
 
-    def of_slice():
+    def of_events():
         def add(acc, e):
             run = F.when(e["ok"], 0).otherwise(acc["run"] + 1)
             reset = acc["reset"] | e["ok"]
@@ -176,64 +180,76 @@ def _streak_fold() -> Fold:
         zero = F.struct(*[F.lit(0).alias(n) for n in ("run", "longest", "head")], F.lit(False).alias("reset"))
         return F.aggregate("events", zero, add)
 
-    def of_host(name):
-        def add(acc, part):
-            s = part[name]
+    def merge(parts):
+        def then(a, b):
             return F.struct(
-                F.when(s["reset"], s["run"]).otherwise(acc["run"] + s["run"]).alias("run"),
-                F.greatest(acc["longest"], s["longest"], acc["run"] + s["head"]).alias("longest"),
+                F.when(b["reset"], b["run"]).otherwise(a["run"] + b["run"]).alias("run"),
+                F.greatest(a["longest"], b["longest"], a["run"] + b["head"]).alias("longest"),
+                F.when(a["reset"], a["head"]).otherwise(a["head"] + b["head"]).alias("head"),
+                (a["reset"] | b["reset"]).alias("reset"),
             )
 
-        return F.aggregate("slices", F.struct(F.lit(0).alias("run"), F.lit(0).alias("longest")), add)
+        return F.aggregate(_rest(parts), F.get(parts, F.lit(0)), then)
 
-    return Fold(("ok",), of_slice, of_host)
+    return Fold(("ok",), of_events, merge, lambda s: s)
 
 
 def _sum_fold(value: Callable[[Column], Column], *fields: str) -> Fold:
-    def of_slice():
+    def of_events():
         return F.aggregate("events", F.lit(0.0), lambda acc, e: acc + value(e))
 
-    def of_host(name):
-        return F.aggregate("slices", F.lit(0.0), lambda acc, s: acc + s[name])
-
-    return Fold(fields, of_slice, of_host)
+    return Fold(fields, of_events, lambda parts: F.aggregate(parts, F.lit(0.0), lambda a, b: a + b), lambda s: s)
 
 
 def _last_fold(wanted: Callable[[Column], Column], *fields: str) -> Fold:
     """Time of the last event that is wanted."""
 
-    def of_slice():
+    def of_events():
         return F.array_max(F.transform(F.filter("events", wanted), lambda e: e["ts"]))
 
-    def of_host(name):
-        return F.array_max(F.transform("slices", lambda s: s[name]))
+    return Fold(fields, of_events, F.array_max, lambda s: s)
 
-    return Fold(fields, of_slice, of_host)
 
+def _fold_hosts(log: DataFrame, slice_rows: int, **folds: Fold) -> DataFrame:
+    """One row per host with the result of every fold, from one pass over the log.
 
-def _fold_hosts(log: DataFrame, slice_seconds: float | None, **folds: Fold) -> DataFrame:
-    """One row per host with the result of every fold, from one pass over the log."""
+    Events are range-partitioned in the order (host, ts, event_id) and counted
+    off into slices of at most `slice_rows` rows, so a slice is as small for a
+    burst or a host of a third of the log as for any other. Summaries are merged
+    per host and partition, and then per host, from one summary a partition.
+    """
     fields = dict.fromkeys(field for fold in folds.values() for field in fold.fields)
-    slices = _ordered_events(log, slice_seconds, *fields).select(
-        "host", "slice", *[fold.of_slice().alias(name) for name, fold in folds.items()]
-    )
-    return _ordered_slices(slices, *folds).select(
-        "host", *[fold.of_host(name).alias(name) for name, fold in folds.items()]
+    order = ["host", "ts", "event_id"]
+    number = F.monotonically_increasing_id()  # counts within a partition, whose own number is in the upper bits
+    placed = (
+        log.select(*order, *[f for f in fields if f not in order])
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumns({"part": F.shiftright(number, 33), "slice": number - F.pmod(number, F.lit(slice_rows))})
     )
+    event = F.struct("ts", "event_id", *fields)
+    slices = placed.groupBy("host", "part", "slice").agg(F.array_sort(F.collect_list(event)).alias("events"))
+    level = slices.select("host", "part", "slice", *[fold.of_events().alias(name) for name, fold in folds.items()])
+    for keys, by in ((["host", "part"], "slice"), (["host"], "part")):
+        pieces = level.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(by, *folds))).alias("pieces"))
+        level = pieces.select(
+            *keys, *[fold.merge(F.col("pieces").getField(name)).alias(name) for name, fold in folds.items()]
+        )
+    return level.select("host", *[fold.finish(F.col(name)).alias(name) for name, fold in folds.items()])
 
 
 def _is_failure(event: Column) -> Column:
     return ~event["ok"]
 
 
-def host_ewma(log: DataFrame, keep: float = 0.7, slice_seconds: float | None = None) -> DataFrame:
+def host_ewma(log: DataFrame, keep: float = 0.7, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Smoothed response time of successful fetches."""
-    return _fold_hosts(log.filter("ok"), slice_seconds, ewma=_ewma_fold(keep))
+    return _fold_hosts(log.filter("ok"), slice_rows, ewma=_ewma_fold(keep))
 
 
-def host_streaks(log: DataFrame, slice_seconds: float | None = None) -> DataFrame:
+def host_streaks(log: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Current and longest run of failures, and the time of the last failure."""
-    folded = _fold_hosts(log, slice_seconds, streak=_streak_fold(), last_failure=_last_fold(_is_failure, "ok"))
+    folded = _fold_hosts(log, slice_rows, streak=_streak_fold(), last_failure=_last_fold(_is_failure, "ok"))
     return folded.select(
         "host",
         F.col("streak.run").alias("current_streak"),
@@ -243,11 +259,11 @@ def host_streaks(log: DataFrame, slice_seconds: float | None = None) -> DataFram
 
 
 def host_marked(
-    log: DataFrame, max_streak: int = 5, max_failures: int = 3, slice_seconds: float | None = None
+    log: DataFrame, max_streak: int = 5, max_failures: int = 3, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Hosts given up on: a failure streak or a failure total that reached its limit."""
     failures = _sum_fold(lambda e: F.when(e["ok"], 0.0).otherwise(1.0), "ok")
-    folded = _fold_hosts(log, slice_seconds, failures=failures, streak=_streak_fold())
+    folded = _fold_hosts(log, slice_rows, failures=failures, streak=_streak_fold())
     marked = folded.select(
         "host", F.col("failures").cast("bigint").alias("failures"), F.col("streak.longest").alias("longest_streak")
     )
@@ -263,7 +279,7 @@ def health_points(ok: Column, rt: Column, status: Column) -> Column:
     )
 
 
-def host_health(log: DataFrame, slice_seconds: float | None = None) -> DataFrame:
+def host_health(log: DataFrame, slice_seconds: float = SLICE_SECONDS) -> DataFrame:
     """Running health score after every event."""
     scored = with_slice(log, slice_seconds).withColumn(
         "points", health_points(F.col("ok"), F.col("rt"), F.col("status"))
@@ -277,13 +293,13 @@ def host_healthy(
     min_score: float = -100.0,
     max_streak: int = 5,
     recovery_seconds: int = 300,
-    slice_seconds: float | None = None,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Score, streak and verdict of every host seen up to `as_of`."""
     moment = F.lit(as_of).cast("timestamp")
     folded = _fold_hosts(
         log.filter(F.col("ts") <= moment),
-        slice_seconds,
+        slice_rows,
         health=_sum_fold(lambda e: health_points(e["ok"], e["rt"], e["status"]), "ok", "rt", "status"),
         streak=_streak_fold(),
         last_failure=_last_fold(_is_failure, "ok"),
@@ -298,7 +314,7 @@ def host_healthy(
     )
 
 
-def host_rank(log: DataFrame, as_of: str, slice_seconds: float | None = None) -> DataFrame:
+def host_rank(log: DataFrame, as_of: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Hosts by a composite penalty, lower is better; equal penalties share a rank.
 
     The penalty is rounded to six digits, which bounds the distinct penalties;
@@ -308,7 +324,7 @@ def host_rank(log: DataFrame, as_of: str, slice_seconds: float | None = None) ->
     seen = log.filter(F.col("ts") <= moment)
     facts = _fold_hosts(
         seen,
-        slice_seconds,
+        slice_rows,
         successes=_sum_fold(lambda e: F.when(e["ok"], 1.0).otherwise(0.0), "ok"),
         failures=_sum_fold(lambda e: F.when(e["ok"], 0.0).otherwise(1.0), "ok"),
         streak=_streak_fold(),
@@ -363,46 +379,92 @@ def _last(items: Column, n: int) -> Column:
     return F.slice(items, F.greatest(F.size(items) - n + 1, F.lit(1)), n)
 
 
-def host_delay(log: DataFrame, initial: float = 1.0, slice_seconds: float | None = None) -> DataFrame:
+def _after(items: Column, n: Column | int) -> Column:
+    """Items from index n on."""
+    start = F.lit(n) if isinstance(n, int) else n
+    return F.slice(items, start + 1, F.greatest(F.size(items) - start, F.lit(0)))
+
+
+def _delay_step(event: Column, window: Column) -> Column:
+    """What an event does to the delay; `window` holds the last response times, its own included."""
+    mean = F.aggregate(window, F.lit(0.0), lambda a, x: a + x) / SAMPLES
+    full = F.size(window) >= SAMPLES
+    return (
+        F.when(event["status"] == 429, _clamp_step(2.0, 0.0, MAX_DELAY))
+        .when(event["status"] >= 500, _clamp_step(1.5, 0.0, MAX_DELAY))
+        .when(full & (mean < 0.5), _clamp_step(0.9, MIN_DELAY, _OPEN_TOP))
+        .when(full & (mean > 2.0), _clamp_step(1.1, 0.0, MAX_DELAY))
+        .otherwise(_clamp_step(1.0, 0.0, _OPEN_TOP))
+    )
+
+
+def _delay_steps(earlier: Column, events: Column) -> Column:
+    """Steps of events that follow the response times `earlier`."""
+    rts = F.concat(earlier, F.transform(events, lambda e: e["rt"]))
+    seen = F.size(earlier)
+    return F.transform(
+        events,
+        lambda e, i: _delay_step(e, F.slice(rts, F.greatest(seen + i - SAMPLES + 2, F.lit(1)), F.least(seen + i + 1, F.lit(SAMPLES)))),
+    )
+
+
+def _delay_fold(initial: float) -> Fold:
+    """The delay after all events.
+
+    The step of an event looks back at nine others, so a summary keeps the first
+    nine events as they are, the steps of all later ones as one step, and the
+    last nine response times.
+    """
+    reach = SAMPLES - 1
+    nothing = _clamp_step(1.0, 0.0, _OPEN_TOP)
+
+    def head_events(events):
+        return F.transform(events, lambda e: F.struct(e["rt"].alias("rt"), e["status"].alias("status")))
+
+    def of_events():
+        events = head_events(F.col("events"))
+        rts = F.transform(events, lambda e: e["rt"])
+        steps = _after(_delay_steps(F.array().cast("array<double>"), events), reach)
+        return F.struct(
+            F.slice(events, 1, reach).alias("head"),
+            F.aggregate(steps, nothing, _compose).alias("body"),
+            _last(rts, reach).alias("tail"),
+        )
+
+    def then(a, b):
+        room = F.lit(reach) - F.size(a["head"])  # of b's first events so many join the head
+        steps = _after(_delay_steps(a["tail"], b["head"]), room)
+        return F.struct(
+            F.slice(F.concat(a["head"], b["head"]), 1, reach).alias("head"),
+            _compose(F.aggregate(steps, a["body"], _compose), b["body"]).alias("body"),
+            _last(F.concat(a["tail"], b["tail"]), reach).alias("tail"),
+        )
+
+    def finish(s):
+        first = F.aggregate(_delay_steps(F.array().cast("array<double>"), s["head"]), nothing, _compose)
+        total = _compose(first, s["body"])
+        return F.least(F.greatest(total["factor"] * initial, total["low"]), total["high"])
+
+    def merge(parts):
+        return F.aggregate(_rest(parts), F.get(parts, F.lit(0)), then)
+
+    return Fold(("rt", "status"), of_events, merge, finish)
+
+
+def host_delay(log: DataFrame, initial: float = 1.0, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Politeness delay per host after its whole log.
 
     429 doubles it, other errors from 500 raise it by half; otherwise the mean of
     the last ten response times lowers or raises it by a tenth.
     """
-    slices = _ordered_events(log, slice_seconds, "rt", "status")
-    rts = F.transform("events", lambda e: e["rt"])
-    tail = _last(rts, SAMPLES - 1)
-    before = Window.partitionBy("host").orderBy("slice").rowsBetween(-(SAMPLES - 1), -1)
-    # every slice holds an event, so the nine slices before hold the nine events before
-    heads = slices.select("host", "slice", F.flatten(F.collect_list(tail).over(before)).alias("seen"))
-    heads = heads.select("host", "slice", _last(F.col("seen"), SAMPLES - 1).alias("earlier"))
-    joined = slices.join(heads, ["host", "slice"]).withColumn("rts", F.concat("earlier", rts))
-
-    def step(event, i):
-        last = F.slice("rts", F.greatest(F.size("earlier") + i - SAMPLES + 2, F.lit(1)), SAMPLES)
-        mean = F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / SAMPLES
-        full = F.size("earlier") + i + 1 >= SAMPLES
-        return (
-            F.when(event["status"] == 429, _clamp_step(2.0, 0.0, MAX_DELAY))
-            .when(event["status"] >= 500, _clamp_step(1.5, 0.0, MAX_DELAY))
-            .when(full & (mean < 0.5), _clamp_step(0.9, MIN_DELAY, _OPEN_TOP))
-            .when(full & (mean > 2.0), _clamp_step(1.1, 0.0, MAX_DELAY))
-            .otherwise(_clamp_step(1.0, 0.0, _OPEN_TOP))
-        )
-
-    nothing = _clamp_step(1.0, 0.0, _OPEN_TOP)
-    steps = F.transform("events", step)
-    folded = joined.select("host", "slice", F.aggregate(steps, nothing, _compose).alias("s"))
-    total = F.aggregate("slices", nothing, lambda acc, p: _compose(acc, p["s"]))
-    per_host = _ordered_slices(folded, "s").select("host", total.alias("s"))
-    delay = F.least(F.greatest(F.col("s.factor") * initial, F.col("s.low")), F.col("s.high"))
-    return per_host.select("host", delay.alias("delay"))
+    typed = log.withColumns({"rt": F.col("rt").cast("double"), "status": F.col("status").cast("int")})
+    return _fold_hosts(typed, slice_rows, delay=_delay_fold(initial))
 
 
 # --- cooldown -------------------------------------------------------------------
 
 
-def cooldown_violations(log: DataFrame, seconds: float = 30.0, slice_seconds: float | None = None) -> DataFrame:
+def cooldown_violations(log: DataFrame, seconds: float = 30.0, slice_seconds: float = SLICE_SECONDS) -> DataFrame:
     """Requests that came sooner than `seconds` after the one before to the same host."""
     sliced = with_slice(log, slice_seconds)
     ends = sliced.groupBy("host", "slice").agg(F.max("ts").alias("end_ts"))
@@ -520,7 +582,7 @@ _MOVES = pa.list_(
 
 
 def breaker_timeline(
-    log: DataFrame, threshold: int = 10, cooldown_seconds: float = 30.0, slice_seconds: float | None = None
+    log: DataFrame, threshold: int = 10, cooldown_seconds: float = 30.0, slice_seconds: float = SLICE_SECONDS
 ) -> DataFrame:
     """Transitions of a per-host breaker: open after `threshold` failures in a row, probed after the cooldown.
 

@@ -12,6 +12,7 @@ from pageframe.operators import host_log as H
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 SLICES = [7, 60, 100_000]
+ROWS = [1, 4, 13, 50_000]
 
 
 @pytest.fixture(scope="module")
@@ -42,9 +43,9 @@ def by_host(rows):
     return hosts
 
 
-@pytest.mark.parametrize("seconds", SLICES)
-def test_ewma(log, by_host, seconds):
-    for row in H.host_ewma(log, slice_seconds=seconds).collect():
+@pytest.mark.parametrize("size", ROWS)
+def test_ewma(log, by_host, size):
+    for row in H.host_ewma(log, slice_rows=size).collect():
         average = None
         for r in by_host[row.host]:
             if r[5]:
@@ -52,9 +53,9 @@ def test_ewma(log, by_host, seconds):
         assert row.ewma == pytest.approx(average)
 
 
-@pytest.mark.parametrize("seconds", SLICES)
-def test_streaks(log, by_host, seconds):
-    for row in H.host_streaks(log, seconds).collect():
+@pytest.mark.parametrize("size", ROWS)
+def test_streaks(log, by_host, size):
+    for row in H.host_streaks(log, size).collect():
         run = longest = 0
         for r in by_host[row.host]:
             run = 0 if r[5] else run + 1
@@ -73,9 +74,9 @@ def test_health(log, by_host, seconds):
             assert got[r[0]] == pytest.approx(score)
 
 
-@pytest.mark.parametrize("seconds", SLICES)
-def test_delay(log, by_host, seconds):
-    for row in H.host_delay(log, slice_seconds=seconds).collect():
+@pytest.mark.parametrize("size", ROWS)
+def test_delay(log, by_host, size):
+    for row in H.host_delay(log, slice_rows=size).collect():
         delay, recent = 1.0, []
         for r in by_host[row.host]:
             recent = (recent + [r[6]])[-10:]
@@ -119,11 +120,26 @@ def test_breaker_does_not_depend_on_slices(log, by_host, seconds, threshold, coo
     assert got == want and want
 
 
-def test_slices_shrink_with_the_busiest_host(log, monkeypatch):
-    assert H.slice_length_us(log) == 3600 * 1_000_000
-    monkeypatch.setattr(H, "SLICE_ROWS", 50)
-    assert 1000 < H.slice_length_us(log) < 300 * 1_000_000
-    assert H.host_streaks(log).orderBy("host").collect() == H.host_streaks(log, 10_000).orderBy("host").collect()
+def test_building_starts_no_job(spark, log):
+    spark.sparkContext.setJobGroup("build", "build")
+    for make in (H.host_ewma, H.host_streaks, H.host_marked, H.host_health, H.host_delay, H.cooldown_violations, H.breaker_timeline):
+        make(log)
+    H.host_healthy(log, "2024-02-01 00:00:00")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("build")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_burst_is_cut_into_slices(spark):
+    """All events of a host in one second: no slice holds more rows than asked for, and results stay."""
+    burst = spark.range(20_000).selectExpr(
+        "id AS event_id", "timestamp_micros(1704067200000000 + id) AS ts", "'hot' AS host", "'u' AS url",
+        "case when id % 1000 = 7 then 200 else 503 end AS status", "id % 1000 = 7 AS ok", "0.25D AS rt",
+    ).repartition(4)
+    row = H.host_streaks(burst, 500).first()
+    assert (row.current_streak, row.longest_streak) == (992, 999)
+    plan = H.host_streaks(burst, 500)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(" in plan
+    assert H.host_delay(burst, slice_rows=500).first().delay == 10.0
 
 
 @settings(max_examples=2000, deadline=None)
