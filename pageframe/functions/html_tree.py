@@ -11,6 +11,12 @@ leaves its row:
   the half-open range ``[s0, s1)`` of the strings below it, which keeps a tree
   linear in the size of its page however deep the nesting is.
 
+What an extractor would have to search all nodes for is marked while the page
+is read: whether an element is the last of its parent (``is_last``), lies in a
+caption or a pagination, and which element of page chrome is the innermost one
+around it, itself included (``chrome_id``, and ``string_chrome`` for strings).
+``complete`` is false for a page whose end could not be read.
+
 Everything after the parse is a Catalyst expression over that struct, so no
 extractor needs a join or a shuffle.
 """
@@ -34,6 +40,10 @@ VOID_TAGS = frozenset(
 HIDDEN_TEXT_TAGS = frozenset("script style template rt rp".split())
 PREFORMATTED_TAGS = frozenset(("pre", "textarea"))
 HTML_SPACES = " \n\t\f\r"
+CLASS_SPACES = re.compile(r"[ \t\n\x0b\f\r]+")
+# Navigation and the like around the content of a page.
+CHROME_TAGS = frozenset(("nav", "header", "footer", "script", "style"))
+CHROME_CLASSES = frozenset(("navbar", "nav", "header", "footer"))
 # Tags in their plainest form, which most are, need none of the general parser's care.
 PLAIN_START = re.compile(r'<([a-z][a-z0-9]*)((?: [a-z][a-z-]*="[^"&<>]*")*)>')
 PLAIN_ATTRIBUTE = re.compile(r' ([a-z][a-z-]*)="([^"]*)"')
@@ -41,16 +51,17 @@ PLAIN_END = re.compile(r"</([a-z][a-z0-9]*)>")
 
 NODE_DDL = (
     "struct<node_id:int,end_id:int,parent_id:int,depth:int,tag:string,"
-    "attrs:map<string,string>,n_children:int,s0:int,s1:int,raw:string>"
+    "attrs:map<string,string>,n_children:int,s0:int,s1:int,raw:string,"
+    "is_last:boolean,in_caption:boolean,in_pagination:boolean,chrome_id:int>"
 )
-TREE_DDL = f"struct<nodes:array<{NODE_DDL}>,strings:array<string>>"
+TREE_DDL = f"struct<nodes:array<{NODE_DDL}>,strings:array<string>,string_chrome:array<int>,complete:boolean>"
 
 # What Python's str.strip() removes.
 SPACE_CHARS = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 # Fields of a row while a page is read.
-TAG, ATTRS, PARENT, DEPTH, END, START, STOP, CHILDREN, RAW = range(9)
+TAG, ATTRS, PARENT, DEPTH, END, START, STOP, CHILDREN, RAW, CAPTION, PAGES, CHROME = range(12)
 
 
 class _TreeReader(HTMLParser):
@@ -72,6 +83,10 @@ class _TreeReader(HTMLParser):
         self._hidden = 0
         self._preformatted = 0
         self._pending = []
+        self.string_chrome = []
+        self.complete = True
+        self._marked = Counter()  # open elements of the classes that matter
+        self._last_child = {}
 
     def updatepos(self, i, j):
         # line numbers are not needed
@@ -99,14 +114,14 @@ class _TreeReader(HTMLParser):
             self.feed(html)
             self.close()
         except AssertionError:
-            # A malformed "<![" section: the page counts as unreadable.
-            self.__init__()
+            self.complete = False  # a malformed "<![" section; what stands before it is kept
         self._flush()
         while self._open:
             self._close_last()
-        columns = zip(*self.rows) if self.rows else [()] * 9
+        columns = zip(*self.rows) if self.rows else [()] * 12
         (self.tags, self.attrs, self.parents, self.depths, self.ends, self.starts, self.stops, self.children,
-         self.raws) = columns
+         self.raws, self.captions, self.paginations, self.chromes) = columns
+        self.lasts = [self._last_child[parent] == node for node, parent in enumerate(self.parents)]
         return self
 
     def _flush(self):
@@ -124,6 +139,7 @@ class _TreeReader(HTMLParser):
         if not self._preformatted and not text.strip(HTML_SPACES):
             text = "\n" if "\n" in text else " "
         self.strings.append(text)
+        self.string_chrome.append(self.rows[self._open[-1]][CHROME] if self._open else -1)
 
     def _close_last(self):
         row = self.rows[self._open.pop()]
@@ -133,6 +149,9 @@ class _TreeReader(HTMLParser):
             self._hidden -= 1
         elif tag in PREFORMATTED_TAGS:
             self._preformatted -= 1
+        for name in ("caption", "pagination"):
+            if name in row[ATTRS].get("class", "") and name in CLASS_SPACES.split(row[ATTRS]["class"]):
+                self._marked[name] -= 1
         row[END] = len(self.rows) - 1
         row[STOP] = len(self.strings)
 
@@ -145,7 +164,19 @@ class _TreeReader(HTMLParser):
         values = {name: value or "" for name, value in attrs}
         at = len(self.strings)
         node = len(self.rows)
-        self.rows.append([tag, values, parent, len(self._open), node, at, at, 0, None])
+        classes = CLASS_SPACES.split(values["class"]) if "class" in values else ()
+        if tag in CHROME_TAGS or not CHROME_CLASSES.isdisjoint(classes):
+            chrome = node
+        else:
+            chrome = self.rows[parent][CHROME] if parent >= 0 else -1
+        marked = self._marked
+        self.rows.append(
+            [tag, values, parent, len(self._open), node, at, at, 0, None, marked["caption"] > 0, marked["pagination"] > 0, chrome]
+        )
+        for name in ("caption", "pagination"):
+            if name in classes:
+                marked[name] += 1
+        self._last_child[parent] = node
         self._open.append(node)
         self._open_names[tag] += 1
         if tag in HIDDEN_TEXT_TAGS:
@@ -193,7 +224,9 @@ class _TreeReader(HTMLParser):
 
 
 def _read_trees(html: pa.Array) -> pa.Array:
-    ints = {name: [] for name in ("node_id", "end_id", "parent_id", "depth", "n_children", "s0", "s1")}
+    ints = {name: [] for name in ("node_id", "end_id", "parent_id", "depth", "n_children", "s0", "s1", "chrome_id")}
+    flags = {name: [] for name in ("is_last", "in_caption", "in_pagination")}
+    string_chrome, complete = [], []
     tags, raws, strings = [], [], []
     attr_names, attr_values, attr_offsets = [], [], [0]
     node_offsets, string_offsets = [0], [0]
@@ -208,6 +241,11 @@ def _read_trees(html: pa.Array) -> pa.Array:
             ints["n_children"].extend(reader.children)
             ints["s0"].extend(reader.starts)
             ints["s1"].extend(reader.stops)
+            ints["chrome_id"].extend(reader.chromes)
+            flags["is_last"].extend(reader.lasts)
+            flags["in_caption"].extend(reader.captions)
+            flags["in_pagination"].extend(reader.paginations)
+            string_chrome.extend(reader.string_chrome)
             tags.extend(reader.tags)
             raws.extend(reader.raws)
             for attrs in reader.attrs:
@@ -215,6 +253,7 @@ def _read_trees(html: pa.Array) -> pa.Array:
                 attr_values.extend(attrs.values())
                 attr_offsets.append(len(attr_names))
             strings.extend(reader.strings)
+        complete.append(not page or reader.complete)
         node_offsets.append(len(tags))
         string_offsets.append(len(strings))
 
@@ -224,12 +263,17 @@ def _read_trees(html: pa.Array) -> pa.Array:
         pa.array(attr_offsets, pa.int32()), pa.array(attr_names, pa.string()), pa.array(attr_values, pa.string())
     )
     columns["raw"] = pa.array(raws, pa.string())
+    columns |= {name: pa.array(values, pa.bool_()) for name, values in flags.items()}
     order = ["node_id", "end_id", "parent_id", "depth", "tag", "attrs", "n_children", "s0", "s1", "raw"]
+    order += ["is_last", "in_caption", "in_pagination", "chrome_id"]
     nodes = pa.ListArray.from_arrays(
         pa.array(node_offsets, pa.int32()), pa.StructArray.from_arrays([columns[n] for n in order], order)
     )
     texts = pa.ListArray.from_arrays(pa.array(string_offsets, pa.int32()), pa.array(strings, pa.string()))
-    return pa.StructArray.from_arrays([nodes, texts], ["nodes", "strings"])
+    chromes = pa.ListArray.from_arrays(pa.array(string_offsets, pa.int32()), pa.array(string_chrome, pa.int32()))
+    return pa.StructArray.from_arrays(
+        [nodes, texts, chromes, pa.array(complete, pa.bool_())], ["nodes", "strings", "string_chrome", "complete"]
+    )
 
 
 def parse_tree(html: Column | str) -> Column:
@@ -268,11 +312,6 @@ def inside(node: Column, outer: Column) -> Column:
     return (node["node_id"] > outer["node_id"]) & (node["node_id"] <= outer["end_id"])
 
 
-def has_ancestor(tree: Column, node: Column, matches) -> Column:
-    """True when an element around `node` satisfies `matches`."""
-    return F.exists(tree["nodes"], lambda outer: inside(node, outer) & matches(outer))
-
-
 def subtree(tree: Column, node: Column) -> Column:
     """The descendants of `node`, in document order."""
     return F.slice(tree["nodes"], node["node_id"] + 2, node["end_id"] - node["node_id"])

@@ -19,7 +19,6 @@ from pageframe.functions.html_tree import (
     find_all,
     find_first,
     first,
-    has_ancestor,
     has_class,
     is_tag,
     let,
@@ -163,8 +162,7 @@ def _has(name: str) -> str:
 
 
 def _in_caption(tag: str) -> str:
-    around = f"a.node_id < n.node_id AND n.node_id <= a.end_id AND {_class('caption', 'a')}"
-    return f"{_tag(tag)} AND exists(tree.nodes, a -> {around})"
+    return f"{_tag(tag)} AND n.in_caption"
 
 
 # What makes a product card, best first. Only the first rule with a match is used.
@@ -299,7 +297,7 @@ def html_tables_col(tree: Column, max_cells: int | None = None, max_rows: int |
     return F.filter(tables, lambda t: (F.size(t["headers"]) > 0) | (F.size(t["rows"]) > 0))
 
 
-# Containers of the main content, best first, and what is cut from a whole body.
+# Containers of the main content, best first.
 MAIN_RULES = [
     lambda n: is_tag(n, "main"),
     lambda n: attr(n, "role") == "main",
@@ -309,18 +307,9 @@ MAIN_RULES = [
     lambda n: has_class(n, "rule-content"),
     lambda n: has_class(n, "markdown-body"),
 ]
-CHROME_TAGS = ("nav", "header", "footer", "script", "style")
-CHROME_CLASSES = ("navbar", "nav", "header", "footer")
 BLOCK_TAGS = (*HEADING_TAGS, "p", "pre", "code", "li")
 
 
-def _is_chrome(node: Column) -> Column:
-    test = is_tag(node, *CHROME_TAGS)
-    for name in CHROME_CLASSES:
-        test = test | F.coalesce(has_class(node, name), F.lit(False))
-    return test
-
-
 def _blocks(tree: Column, nodes: Column, strings: Column) -> Column:
     blocks = F.transform(
         find_all(nodes, lambda n: is_tag(n, *BLOCK_TAGS)),
@@ -348,20 +337,17 @@ def main_markdown_col(tree: Column) -> Column:
     box = F.coalesce(*[find_first(nodes, rule) for rule in MAIN_RULES])
     body = find_first(nodes, lambda n: is_tag(n, "body"))
 
-    def whole_body(node, chrome):
-        kept = F.filter(
-            subtree(tree, node),
-            lambda n: ~F.exists(chrome, lambda c: (n["node_id"] >= c["node_id"]) & (n["node_id"] <= c["end_id"])),
-        )
-        strings = F.transform(
-            tree["strings"],
-            lambda s, i: F.when(F.exists(chrome, lambda c: (i >= c["s0"]) & (i < c["s1"])), F.lit("")).otherwise(s),
+    def whole_body(node):
+        # chrome around the body is not cut; chrome inside it comes after it in document order
+        kept = F.filter(subtree(tree, node), lambda n: n["chrome_id"] <= node["node_id"])
+        strings = F.zip_with(
+            tree["strings"], tree["string_chrome"], lambda s, c: F.when(c > node["node_id"], F.lit("")).otherwise(s)
         )
         return let(strings, lambda visible: _blocks(tree, kept, visible))
 
     blocks = F.coalesce(
         let(box, lambda node: _blocks(tree, subtree(tree, node), tree["strings"])),
-        let(body, lambda node: let(find_all(subtree(tree, node), _is_chrome), lambda c: whole_body(node, c))),
+        let(body, whole_body),
     )
     title = find_first(nodes, lambda n: is_tag(n, "title"))
     described = find_first(nodes, lambda n: is_tag(n, "meta") & (attr(n, "name") == "description"))
@@ -385,11 +371,7 @@ def next_page_col(tree: Column) -> Column:
         return lambda n: F.lower(text_of(tree, n)).contains(words)
 
     def last_in_pagination(n):
-        # an <a> that is the last element child of its parent, below .pagination
-        later = F.exists(
-            tree["nodes"], lambda o: (o["parent_id"] == n["parent_id"]) & (o["node_id"] > n["node_id"])
-        )
-        return is_tag(n, "a") & has_ancestor(tree, n, lambda a: has_class(a, "pagination")) & ~later
+        return is_tag(n, "a") & n["in_pagination"] & n["is_last"]
 
     # Elements that lead to the next page, best first, then those that load more.
     rules = [

@@ -110,3 +110,33 @@ def test_nodes_rows(parse):
 def test_one_parse_per_page(parse):
     plan = P.products(parse("<p>x</p>"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [") == 1
+
+
+def test_marks_equal_a_search_of_all_nodes():
+    import random
+    import re
+
+    rng = random.Random(9)
+    classes = ["caption", "x caption", "pagination", "nav", "a\tfooter", "captions", ""]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(40)):
+            tag = rng.choice(["div", "p", "a", "nav", "br", "header", "body"])
+            name = rng.choice(classes)
+            parts.append(rng.choice([f'<{tag} class="{name}">', f"</{tag}>", "text "]))
+        page = _TreeReader().read("".join(parts))
+        n = len(page.tags)
+        names = [set(re.split(r"\s+", a.get("class", ""))) for a in page.attrs]
+
+        def around(i, wanted):
+            return any(j < i <= page.ends[j] and wanted in names[j] for j in range(n))
+
+        def is_chrome(j):
+            return page.tags[j] in ("nav", "header") or bool(names[j] & {"navbar", "nav", "header", "footer"})
+
+        for i in range(n):
+            assert page.captions[i] == around(i, "caption") and page.paginations[i] == around(i, "pagination")
+            assert page.lasts[i] == (not any(page.parents[j] == page.parents[i] for j in range(i + 1, n)))
+            assert page.chromes[i] == max((j for j in range(i + 1) if i <= page.ends[j] and is_chrome(j)), default=-1)
+        for s, chrome in enumerate(page.string_chrome):
+            assert chrome == max((j for j in range(n) if page.starts[j] <= s < page.stops[j] and is_chrome(j)), default=-1)
