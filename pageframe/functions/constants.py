@@ -136,22 +136,53 @@ MIME_EXTENSIONS = {
 # application/octet-stream has no extension of its own; these path parts make it a file.
 OCTET_STREAM_PATHS = ("/download", "/file", "/attachment")
 
-# Extensions by category. An extension listed twice belongs to its first category.
+# Extensions by category.
 EXTENSION_CATEGORIES = {
-    "documents": "pdf doc docx xls xlsx ppt pptx odt ods odp rtf txt csv env",
-    "images": "jpg jpeg png gif bmp svg webp ico tiff tif avif heic heif raw cr2 nef arw dng orf",
-    "video": "mp4 avi mov wmv flv webm mkv mpg mpeg m4v 3gp ogv mts m2ts f4v f4p f4a f4b",
-    "audio": "mp3 wav flac aac ogg wma m4a opus aiff au ra ape ac3 dts amr gsm",
-    "archives": "zip rar 7z tar gz bz2 xz lz lzma zst deb rpm dmg iso cab arj lzh lha",
-    "code": "js css json xml yaml yml ini conf config py php java cpp c h cs rb go rs swift"
-    " kt scala clj hs ml fs elm dart lua r",
-    "data": "sql db sqlite mdb accdb dbf tsv parquet",
-    "system": "log bak backup old temp tmp cache swp lock",
-    "web": "html htm asp aspx jsp do action ejs hbs mustache twig jade pug",
-    "fonts": "ttf otf woff woff2 eot",
-    "3d": "obj fbx dae 3ds blend stl ply gltf glb",
-    "scientific": "nc hdf hdf5 mat rdata pickle pkl joblib",
-    "other": "exe dll so dylib app pkg msi",
+    "documents": [
+        "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "odt", "ods", "odp", "rtf", "txt", "csv", "env",
+    ],
+    "images": [
+        "jpg", "jpeg", "png", "gif", "bmp", "svg", "webp", "ico", "tiff", "tif", "avif", "heic", "heif",
+        "raw", "cr2", "nef", "arw", "dng", "orf",
+    ],
+    "video": [
+        "mp4", "avi", "mov", "wmv", "flv", "webm", "mkv", "mpg", "mpeg", "m4v", "3gp", "ogv", "mts", "m2ts",
+        "f4v", "f4p", "f4a", "f4b",
+    ],
+    "audio": [
+        "mp3", "wav", "flac", "aac", "ogg", "wma", "m4a", "opus", "aiff", "au", "ra", "ape", "ac3", "dts",
+        "amr", "gsm",
+    ],
+    "archives": [
+        "zip", "rar", "7z", "tar", "gz", "bz2", "xz", "lz", "lzma", "zst", "deb", "rpm", "dmg", "iso", "cab",
+        "arj", "lzh", "lha",
+    ],
+    "code": [
+        "js", "css", "json", "xml", "yaml", "yml", "ini", "conf", "config", "py", "php", "java", "cpp", "c",
+        "h", "cs", "rb", "go", "rs", "swift", "kt", "scala", "clj", "hs", "ml", "fs", "elm", "dart", "lua",
+        "r",
+    ],
+    "data": [
+        "sql", "db", "sqlite", "mdb", "accdb", "dbf", "tsv", "parquet",
+    ],
+    "system": [
+        "log", "bak", "backup", "old", "temp", "tmp", "cache", "swp", "lock",
+    ],
+    "web": [
+        "html", "htm", "asp", "aspx", "jsp", "do", "action", "ejs", "hbs", "mustache", "twig", "jade", "pug",
+    ],
+    "fonts": [
+        "ttf", "otf", "woff", "woff2", "eot",
+    ],
+    "3d": [
+        "obj", "fbx", "dae", "3ds", "blend", "stl", "ply", "gltf", "glb",
+    ],
+    "scientific": [
+        "nc", "hdf", "hdf5", "mat", "rdata", "pickle", "pkl", "joblib",
+    ],
+    "other": [
+        "exe", "dll", "so", "dylib", "app", "pkg", "msi",
+    ],
 }
 
 # Marks of client-side rendering.
@@ -210,8 +241,9 @@ DOWNLOAD_WORDS = ["download", "save", "export", "get", "fetch"]
 RETRYABLE_STATUS = [408, 425, 429, 500, 502, 503, 504]
 
 # Encodings tried in order when nothing declares one.
-FALLBACK_ENCODINGS = (
-    "utf-8 utf-8-sig cp1252 windows-1252 iso-8859-1 latin-1 cp1251 windows-1251 cp1250 windows-1250 "
-    "iso-8859-2 iso-8859-15 gb2312 gbk gb18030 big5 cp950 shift_jis cp932 euc-jp iso-2022-jp euc-kr cp949 "
-    "iso-8859-5 iso-8859-7 iso-8859-8 iso-8859-9 utf-16 utf-16le utf-16be utf-32 utf-32le utf-32be ascii"
-).split()
+FALLBACK_ENCODINGS = [
+    "utf-8", "utf-8-sig", "cp1252", "windows-1252", "iso-8859-1", "latin-1", "cp1251", "windows-1251",
+    "cp1250", "windows-1250", "iso-8859-2", "iso-8859-15", "gb2312", "gbk", "gb18030", "big5", "cp950",
+    "shift_jis", "cp932", "euc-jp", "iso-2022-jp", "euc-kr", "cp949", "iso-8859-5", "iso-8859-7",
+    "iso-8859-8", "iso-8859-9", "utf-16", "utf-16le", "utf-16be", "utf-32", "utf-32le", "utf-32be", "ascii",
+]

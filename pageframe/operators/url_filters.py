@@ -143,7 +143,7 @@ def extension_table() -> dict[str, str]:
     """extension -> category; the first category to list an extension owns it."""
     table: dict[str, str] = {}
     for category, names in EXTENSION_CATEGORIES.items():
-        for ext in names.split():
+        for ext in names:
             table.setdefault(ext, category)
     return table
 

@@ -237,7 +237,7 @@ select page_id, url, true as has_targets, 1 as n_targets from f where t
 union all select cast(floor(page_id / 3) as bigint), '', bool_or(t), count(*) filter (t) from f group by 1"""
 _OWNED: dict[str, str] = {}
 for _category, _names in EXTENSION_CATEGORIES.items():
-    for _ext in _names.split():
+    for _ext in _names:
         _OWNED.setdefault(_ext, _category)
 _CATEGORIES = "(values " + ", ".join(f"({lit(e)}, {lit(c)})" for e, c in _OWNED.items()) + ") c(ext, category)"
 ORACLES["ext_category_counts"] = f"""
