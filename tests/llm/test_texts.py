@@ -346,6 +346,68 @@ def test_pipeline_keeps_one_clean_row_of_each_group(spark):
     assert pipeline.STAGES[-1][1](spark, now, sf).filter("start = 0").count() == counts[-1]
 
 
+def slow_quality(rows, labels):
+    """Kept ids, by a discriminant fitted in one place."""
+    x = {i: np.array(quality.statistics(t)) for i, t in rows}
+    known = {i: q for i, q in labels.items() if i in x and zlib.crc32(str(i).encode()) % 4 != 2}
+    odds = {i: np.log((sum(q == 1 for q in known.values()) + 0.5) / (sum(q == 0 for q in known.values()) + 0.5)) for i in x}
+    for label, sign in ((1, 1), (0, -1)):
+        own = np.array([x[i] for i, q in known.items() if q == label])
+        cov = np.cov(own.T, bias=True)
+        cov = 0.9 * cov + 0.1 * np.diag(np.diag(cov)) + 1e-3 * np.eye(len(cov))
+        inverse, (_, log_det) = np.linalg.inv(cov), np.linalg.slogdet(cov)
+        for i, v in x.items():
+            d = v - own.mean(axis=0)
+            odds[i] += sign * (-0.5 * d @ inverse @ d - 0.5 * log_det)
+    return {i for i, o in odds.items() if 1 / (1 + np.exp(-np.clip(o, -700, 700))) >= 0.7}
+
+
+def test_stages_against_brute_force(spark):
+    import corpus_pipeline as pipeline
+    from test_dedup import classes, slow_print
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = {r.doc_id: (r.text, r.source) for r in docs.collect()}
+    stages = [stage for _, stage in pipeline.STAGES]
+
+    def after(n, df):
+        return spark.createDataFrame(stages[n](spark, df, sf).collect(), docs.schema)
+
+    now = after(0, docs)
+    kept = slow_quality([(i, t) for i, (t, _) in rows.items()], labels)
+    assert {r.doc_id for r in now.collect()} == kept
+    now = after(1, now)
+    fold = {i: chr(i + 32) for i in range(65, 91)}
+    largest = {}
+    for i in sorted(kept):
+        largest[rows[i][0].translate(fold)] = i
+    assert sorted(r.doc_id for r in now.collect()) == sorted(largest.values())
+    now = after(2, now)
+    ids = sorted(largest.values())
+    prints = {i: slow_print(rows[i][0]) for i in ids}
+    near = [(a, b) for a in ids for b in ids if b < a and bin(prints[a] ^ prints[b]).count("1") <= 3]
+    left = sorted(set(classes(ids, near).values()))
+    assert sorted(r.doc_id for r in now.collect()) == left
+    now = after(3, now)
+    mixed = now.collect()
+    totals, taken = Counter(), Counter()
+    for i in left:
+        totals[rows[i][1]] += len(WORD.findall(rows[i][0]))
+    for r in mixed:
+        taken[r.source] += len(WORD.findall(r.text))
+        whole = WORD.findall(rows[r.doc_id][0])
+        assert r.source == rows[r.doc_id][1] and (r.text == rows[r.doc_id][0] or not Counter(WORD.findall(r.text)) - Counter(whole))
+    assert taken == {s: int(np.floor(t + 0.5)) for s, t in slow_targets(totals).items() if t >= 0.5}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(pipeline.TOKENIZER))
+    lengths = Counter((r.doc_id, len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1) for r in mixed)
+    packed = stages[4](spark, now, sf).collect()
+    assert Counter((r.doc_id, r.doc_tokens) for r in packed if r.start == 0) == lengths
+    assert sum(r.length for r in packed) == sum(n * k for (_, n), k in lengths.items())
+
+
 def test_run_equals_its_stages(spark):
     import corpus_pipeline as pipeline
 
