@@ -23,33 +23,61 @@ SENTENCE_PENALTY, INNER_PENALTY = 1, 8
 INNER_STEP = 16
 #: Tokens of one dynamic program. The last window of one is the first of the next, so its size leaves no padding.
 CHUNK = 1 << 20
-#: Words whose ids a Python worker keeps; beyond it starts anew.
-CACHED_WORDS = 400_000
+#: Words of a generation; a Python worker keeps the ids of two of them.
+CACHED_WORDS = 500_000
+#: Letters before this one are letters in every version of Unicode.
+LATIN_END = "\u0250"
 SENTENCE_MARKS = (".", "!", "?", "...", "…", "。")
 PIECE_DDL = (
     "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 )
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes as: printable ones stand for themselves, others follow 255."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 class WordIds(dict):
-    """Ids of a word as little-endian unsigned 32-bit integers, made when first asked for."""
+    """Ids of a word as little-endian unsigned 32-bit integers, made when first asked for.
+
+    When a generation of words is full the next begins; a word of the one before is carried over when it is met.
+    """
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
+        self.model = tokenizer.model
+        self.before: dict[bytes, bytes] = {}
         self.tails = {mark: self.encode(chr(mark)) for mark in b".,"}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def merge(self, word: bytes) -> bytes:
+        """Ids of a word of Latin letters alone, which is one piece, so the merges can be asked directly."""
+        pieces = self.model.tokenize(word.decode("latin-1").translate(BYTE_LETTERS))
+        return np.array([piece.id for piece in pieces], "<u4").tobytes()
+
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHED_WORDS:
+            self.before = dict(self)
             self.clear()
-        # After an ASCII letter a last mark is a token of its own, so the word before it can be looked up alone.
-        if len(word) > 1 and word[-1] in self.tails and 97 <= word[-2] <= 122:
-            ids = self[word[:-1]] + self.tails[word[-1]]
-        else:
-            ids = self.encode(word.decode())
+        ids = self.before.get(word)
+        if ids is None:
+            text = word.decode()
+            # After an ASCII letter a last mark is a token of its own, so the word before it can be looked up alone.
+            if len(word) > 1 and word[-1] in self.tails and 97 <= word[-2] <= 122:
+                ids = self[word[:-1]] + self.tails[word[-1]]
+            elif text.isalpha() and max(text) < LATIN_END:
+                ids = self.merge(word)
+            else:
+                ids = self.encode(text)
         self[word] = ids
         return ids
 
