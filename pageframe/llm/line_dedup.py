@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ MOST_EDITS, LEAST_CHARS = 2, 24
 #: Rows of a bucket that are compared with each other at once.
 BLOCK = 256
 WORD = 64
+#: Bits of the filter that lines are fetched by: 4 MB.
+FILTER_BITS = 1 << 25
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -126,19 +129,28 @@ def _plain(a: str, b: str, most: int) -> int:
     return min(row[-1], most + 1)
 
 
-def _key(length: int, segment: int, text: str) -> int:
-    return xxhash.xxh64_intdigest(f"{length} {segment} {text}".encode()) - (1 << 63)
+def _seed(length: int, segment: int) -> int:
+    return length << 8 | segment
+
+
+@lru_cache(100_000)
+def key_plan(length: int, edits: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(seed, start, end) of what a line probes shorter or equal lines with, and of its own segments."""
+    looks = [
+        (_seed(other, i), start, start + size)
+        for other in range(max(length - edits, 0), length + 1)
+        for i, start, size in probes(length, other, edits)
+    ]
+    return looks, [(_seed(length, i), start, start + size) for i, (start, size) in enumerate(segments(length, edits))]
 
 
 def line_keys(line: str, edits: int) -> dict[int, bool]:
-    """Keys of a line: of its own segments (True, the index) and of substrings that probe shorter or equal lines."""
-    n = len(line)
-    out = {}
-    for other in range(max(n - edits, 0), n + 1):
-        for i, start, size in probes(n, other, edits):
-            out.setdefault(_key(other, i, line[start : start + size]), False)
-    for i, (start, size) in enumerate(segments(n, edits)):
-        out[_key(n, i, line[start : start + size])] = True
+    """Keys of a line: hashes of its own segments (True, the index) and of the substrings it probes with."""
+    digest = xxhash.xxh64_intdigest
+    looks, own = key_plan(len(line), edits)
+    out = {digest(line[start:end], seed): False for seed, start, end in looks}
+    for seed, start, end in own:
+        out[digest(line[start:end], seed)] = True
     return out
 
 
@@ -148,7 +160,8 @@ def first_key(index: str, probe: str, edits: int) -> int | None:
     for i, start, size in probes(len(probe), len(index), edits):
         at = spans[i][0]
         if probe[start : start + size] == index[at : at + size]:
-            return _key(len(index), i, index[at : at + size])
+            key = xxhash.xxh64_intdigest(index[at : at + size], _seed(len(index), i))
+            return key - (1 << 64) if key >> 63 else key
     return None
 
 
@@ -160,13 +173,11 @@ def _emit_keys(edits: int, least_chars: int):
             for line in lines:
                 if len(line) >= least_chars and line.strip():
                     found = line_keys(line, edits)
-                    number = xxhash.xxh64_intdigest(line.encode(), 42)
                     keys.extend(found)
                     own.extend(found.values())
-                    ids.extend([number - (1 << 64) if number >> 63 else number] * len(found))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(own, pa.bool_()), pa.array(ids, pa.int64())], names=["key", "own", "id"]
-            )
+                    ids.extend([xxhash.xxh64_intdigest(line, 42)] * len(found))
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, ids)]
+            yield pa.RecordBatch.from_arrays([signed[0], pa.array(own, pa.bool_()), signed[1]], names=["key", "own", "id"])
 
     return run
 
@@ -199,6 +210,39 @@ def _keep_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(own[keep]), pa.array(ids[keep])], ["key", "own", "id"])
 
 
+def _id_filter(met: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits with those of the ids in `met`; of fixed size, whatever their number.
+
+    A bit that is not set says that a line is not wanted. With very many ids most bits are set: then more lines move
+    than are wanted, and results stay the same.
+    """
+    spot = met.select((F.pmod("id", F.lit(FILTER_BITS)) + 1).alias("spot"))
+    parts = spot.groupBy(F.expr("bitmap_bucket_number(spot)").alias("bucket")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(spot))").alias("bits")
+    )
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in parts.collect():  # FILTER_BITS / 8 bytes at most
+        part = np.frombuffer(bytes(row["bits"]), np.uint8)
+        bits[(row["bucket"] - 1) * len(part) : row["bucket"] * len(part)] = part
+    return bits
+
+
+def _wanted_lines(bits: np.ndarray, least_chars: int):
+    """Lines whose bit is set, once a batch, with their id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 4 << 20):
+            lines = list({x for text in batch.column(0).to_pylist() if text for x in text.split("\n") if len(x) >= least_chars})
+            ids = np.array([xxhash.xxh64_intdigest(x, 42) for x in lines], np.uint64)
+            spots = (ids % np.uint64(FILTER_BITS)).astype(np.int64)
+            wanted = np.flatnonzero(bits[spots >> 3] >> (spots & 7).astype(np.uint8) & 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[wanted].view(np.int64)), pa.array([lines[i] for i in wanted], pa.string())], names=["id", "line"]
+            )
+
+    return run
+
+
 def _compare(edits: int):
     """Verified links of each bucket, or pair of blocks of one: their number for each line, and trees of links."""
 
@@ -252,7 +296,7 @@ def similar_lines(docs: DataFrame, text_col: str = "text", edits: int = MOST_EDI
     Lines are cut into edits + 1 segments, of which two similar lines share one untouched. Segments are indexed with
     the length of their line and their number; a line probes the lengths down to `edits` below its own, at the places
     a segment can have moved to. Only keys under which an index row meets another line go on, and only their lines
-    are fetched; a pair is verified under its first common segment alone, so it counts once. A bucket of many lines
+    are fetched, through a bitmap of fixed size; a pair is verified under its first common segment alone, so it counts once. A bucket of many lines
     is cut into blocks and compared by pairs of blocks; links leave it as numbers and trees, not as pairs. The class
     is the line of the smallest internal number that is reachable over links.
     """
@@ -260,8 +304,7 @@ def similar_lines(docs: DataFrame, text_col: str = "text", edits: int = MOST_EDI
     keys = texts.mapInArrow(_emit_keys(edits, least_chars), "key long, own boolean, id long")
     met = keys.repartition("key").sortWithinPartitions("key", F.col("own").desc(), "id").mapInArrow(_keep_met, "key long, own boolean, id long")
     met = stored(met.distinct(), "line-keys")
-    lines = texts.select(F.explode(F.split("text", "\n")).alias("line")).filter(F.length("line") >= least_chars)
-    lines = lines.withColumn("id", F.xxhash64("line")).join(met.select("id").distinct(), "id", "left_semi")
+    lines = texts.mapInArrow(_wanted_lines(_id_filter(met), least_chars), "id long, line string")
     known = stored(
         lines.distinct().select(F.monotonically_increasing_id().alias("node"), "id", "line", F.unhex(F.md5("line")).alias("h")), "line-texts"
     )
