@@ -17,6 +17,8 @@ from pageframe.llm.texts import byte_words, ragged, small_batches, stored
 
 #: Texts hashed at once, in bytes.
 BATCH_BYTES = 2 << 20
+#: There are fewer representatives of a crowd of rows than this.
+MOST_CROWDS = 100_000
 _K1, _K2, _K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -369,8 +371,9 @@ def substring_dedup(
     Representatives whose whole neighbourhood repeats are done. Of the others, one for each different neighbourhood of
     a repeated representative is extended to twice its length (level 2), and what repeats there to the whole length
     (level 3); both are compared among the neighbourhoods of one representative, in a task up to `group_rows` of them
-    and by counting joins beyond. Thousands of copies are one neighbourhood there. Level 1 only streams through rows,
-    holding two, however often a window repeats. A representative and its neighbourhood, or its long window, are told
+    and by counting joins beyond. Thousands of copies are one neighbourhood there. Level 1 streams through the rows of
+    a representative, holding two; representatives of a crowd of rows are counted before the shuffle and joined, with
+    unique keys on one side, so skew handling can split them. A representative and its neighbourhood, or its long window, are told
     apart by two independent hashes of 64 bits each.
 
     Windows are judged on the input. Texts of fewer words than `window`, empty and null ones lose nothing. Rows that
@@ -394,15 +397,26 @@ def substring_dedup(
     every = base.select("row", F.explode(F.arrays_zip("short", "context", "at", "lo", "hi")).alias("a")).select(
         "a.short", "a.context", "row", "a.at", "a.lo", "a.hi"
     )
+    # Representatives that fill more than a hundred-thousandth of all rows go another way, so there are fewer of them
+    # than that, whatever the input, and their list is small enough to be sent to every task.
+    total = base.agg(F.sum(F.size("short"))).first()[0] or 0
+    crowded = every.groupBy("short").count().filter(F.col("count") > max(group_rows, total // MOST_CROWDS)).select("short")
+    crowded = F.broadcast(stored(crowded, "substring-crowded"))
     level1 = stored(
-        every.repartition("short")
+        every.join(crowded, "short", "left_anti")
+        .repartition("short")
         .sortWithinPartitions("short", "context", "row", "at")
         .mapInArrow(_runs, "short long, context long, row long, at int, lo int, hi int, whole boolean, one boolean"),
         "substring-level1",
     )
+    crowd = stored(every.join(crowded, "short", "left_semi"), "substring-crowd")
+    contexts = stored(
+        crowd.groupBy("short", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "lo", "hi")).alias("one")),
+        "substring-contexts",
+    )
     # Of rows that repeat in id and text one is worked on; the result goes to all of them.
     keys = stored(base.groupBy("k1", "k2").agg(F.min("row").alias("row")), "substring-keys")
-    wanted = keys.join(level1.select("row").distinct(), "row", "left_semi")
+    wanted = keys.join(level1.select("row").union(crowd.select("row")).distinct(), "row", "left_semi")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"substring_texts_{uuid.uuid4().hex}"
     # Bucketed by the key of a text, so texts are shuffled once and not for every join with what was found.
@@ -416,16 +430,28 @@ def substring_dedup(
     )
     try:
         texts = spark.table(name)
-        found = F.collect_list(F.struct("short", "row", "at", "lo", "hi", "whole")).alias("found")  # of one text
-        sources = level1.filter("one").join(keys, "row").groupBy("k1", "k2").agg(found)
-        extended = texts.join(sources, ["k1", "k2"]).select("text", "found").mapInArrow(_extend(window), EXTENDED_DDL)
+
+        def extended(ones: DataFrame) -> DataFrame:
+            found = F.collect_list(F.struct("short", "row", "at", "lo", "hi", "whole")).alias("found")  # of one text
+            sources = ones.join(keys, "row").groupBy("k1", "k2").agg(found)
+            return texts.join(sources, ["k1", "k2"]).select("text", "found").mapInArrow(_extend(window), EXTENDED_DDL)
+
         x_ddl = ", ".join(f"x_{part.strip()}" for part in EXTENDED_DDL.split(","))
         verdicts = stored(
-            extended.repartition("short").sortWithinPartitions("short").mapInArrow(_verdicts(window, group_rows), f"row long, start int, end int, {x_ddl}"),
+            extended(level1.filter("one"))
+            .repartition("short")
+            .sortWithinPartitions("short")
+            .mapInArrow(_verdicts(window, group_rows), f"row long, start int, end int, {x_ddl}"),
             "substring-verdicts",
         )
         large = verdicts.filter("row is null").select(*[F.col(f"x_{c}").alias(c) for c in EXTENDED])
-        whole = level1.filter("whole").select("row", (F.col("at") - F.col("lo")).alias("start"), (F.col("at") - F.col("hi") + window).alias("end"))
+        ones = contexts.select("short", "one.*", (F.col("n") > 1).alias("whole"))
+        large = stored(large.unionByName(extended(ones)), "substring-large")
+        copies = contexts.filter("n > 1").select("short", "context")
+        whole = level1.filter("whole").select("row", "at", "lo", "hi").unionByName(
+            crowd.join(copies, ["short", "context"], "left_semi").select("row", "at", "lo", "hi")
+        )
+        whole = whole.select("row", (F.col("at") - F.col("lo")).alias("start"), (F.col("at") - F.col("hi") + window).alias("end"))
         spans = whole.unionByName(verdicts.filter("row is not null").select("row", "start", "end")).unionByName(_large_groups(large, window))
         per_text = spans.join(keys, "row").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
         changed = stored(
