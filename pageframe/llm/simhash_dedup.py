@@ -76,7 +76,7 @@ def flips(radius: int, groups: int) -> list[tuple[int, list[int]]]:
     return out
 
 
-def near_pairs(prints: DataFrame, radius: int = 3, groups: int = 4) -> DataFrame:
+def near_pairs(prints: DataFrame, radius: int = 3, groups: int = 3) -> DataFrame:
     """(a, b), a < b: all pairs of different fingerprints that differ in at most `radius` bits, once each.
 
     `prints` has a column `print` of distinct fingerprints. Each emits its variants (see `flips`), the variants are
@@ -135,7 +135,7 @@ def simhash_groups(
     shingle: int = 3,
     radius: int = 3,
     seed: int = 42,
-    groups: int = 4,
+    groups: int = 3,
 ) -> DataFrame:
     """(keys, print, component): every row with its fingerprint and the smallest fingerprint it reaches over links.
 
@@ -157,7 +157,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows of a null id get the component of their fingerprint; `component_id` is null where no row has an id.
     """
     rows = simhash_groups(docs, [id_col], text_col, **options)
-    smallest = rows.groupBy("component").agg(F.min(id_col).alias("component_id"))
+    # stored, so that the join with a component of very many rows can be split
+    smallest = stored(rows.groupBy("component").agg(F.min(id_col).alias("component_id")), "simhash-components")
     return rows.join(smallest, "component").select(
         id_col,
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
