@@ -400,12 +400,17 @@ def _delay_step(event: Column, window: Column) -> Column:
 
 def _delay_steps(earlier: Column, events: Column) -> Column:
     """Steps of events that follow the response times `earlier`."""
-    rts = F.concat(earlier, F.transform(events, lambda e: e["rt"]))
     seen = F.size(earlier)
-    return F.transform(
-        events,
-        lambda e, i: _delay_step(e, F.slice(rts, F.greatest(seen + i - SAMPLES + 2, F.lit(1)), F.least(seen + i + 1, F.lit(SAMPLES)))),
-    )
+
+    def of(rts):  # made once, not for every event
+        return F.transform(
+            events,
+            lambda e, i: _delay_step(
+                e, F.slice(rts, F.greatest(seen + i - SAMPLES + 2, F.lit(1)), F.least(seen + i + 1, F.lit(SAMPLES)))
+            ),
+        )
+
+    return F.transform(F.array(F.concat(earlier, F.transform(events, lambda e: e["rt"]))), of)[0]
 
 
 def _delay_fold(initial: float) -> Fold:
