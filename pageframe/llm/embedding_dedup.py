@@ -8,6 +8,7 @@ from math import sqrt
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +17,6 @@ from pageframe.llm.texts import stored
 
 #: Vectors a cell should have, vectors that k-means sees for each cell and at most, its rounds, and rows of a block.
 CELL_SIZE, SAMPLE_PER_CELL, SAMPLE_MOST, ROUNDS, BLOCK = 512, 40, 40_000, 8, 2048
-#: Standard deviations within which a difference of linked vectors points along the border of two cells.
-SPREAD = 3.0
 
 
 def usable(vector: str) -> Column:
@@ -64,8 +63,11 @@ def fit_cells(vectors: DataFrame, count: int, cell_size: int = CELL_SIZE) -> dic
 
 
 def _assign(models: dict[int, np.ndarray], threshold: float):
-    """Rows of each vector: one in its own cell, and one in every cell whose border it lies close to."""
-    radius = sqrt(max(0.0, 2.0 - 2.0 * threshold))
+    """The own cell of each vector, and the cells that it visits: those whose border it lies close to.
+
+    Linked vectors lie within `radius` of each other, so of two on both sides of a border one is within half of it.
+    """
+    radius = sqrt(max(0.0, 2.0 - 2.0 * threshold) + 1e-12)  # rounded products may link slightly farther ones
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,77 +79,88 @@ def _assign(models: dict[int, np.ndarray], threshold: float):
                 x = unit_rows(part.column("vector").flatten().to_numpy().astype(float).reshape(len(rows), size))
                 centroids = models.get(int(size), np.eye(1, size))
                 apart = np.linalg.norm(centroids[:, None, :] - centroids[None, :, :], axis=2)
-                margin = radius / 2 * min(1.0, SPREAD / sqrt(size)) + 1e-9
                 for at in range(0, len(rows), 4096):
                     some = part.slice(at, 4096)
                     likeness = x[at : at + 4096] @ centroids.T
                     home = likeness.argmax(axis=1)
                     own = np.arange(len(home))
-                    near = likeness[own, home][:, None] - likeness <= margin * apart[home]
+                    near = likeness[own, home][:, None] - likeness <= radius / 2 * apart[home] + 1e-9
                     near[own, home] = False
                     visits = [np.flatnonzero(row).astype(np.int32) for row in near]
-                    where = np.concatenate([own, np.nonzero(near)[0]])
-                    cell = np.concatenate([home, np.nonzero(near)[1]])
-                    kept = some.take(pa.array(where))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.full(len(where), size, np.int32)),
-                            pa.array(cell.astype(np.int32)),
-                            kept.column("node"),
-                            kept.column("n"),
-                            kept.column("vector"),
-                            pa.array(home[where].astype(np.int32)),
-                            pa.array(visits, pa.list_(pa.int32())).take(pa.array(where)),
+                            pa.array(np.full(len(home), size, np.int32)),
+                            some.column("node"),
+                            some.column("n"),
+                            some.column("vector"),
+                            pa.array(home.astype(np.int32)),
+                            pa.array(visits, pa.list_(pa.int32())),
                         ],
-                        names=["size", "cell", "node", "n", "vector", "home", "visits"],
+                        names=["size", "node", "n", "vector", "home", "visits"],
                     )
 
     return run
 
 
-def _counted(cell: int, u: pd.DataFrame, v: pd.DataFrame) -> np.ndarray:
-    """Which pairs this cell counts: both at home here, or one of them a visitor.
+def _meetings(placed: DataFrame, block: int) -> DataFrame:
+    """A row of each vector for every pair of blocks (size, cell, i, j) that it is in, made while they are shuffled.
 
-    A pair of two homes may meet in both of them; then the lower cell counts it. Two visitors meet elsewhere.
+    The homes of a cell, its blocks from 0 on, meet each other and the blocks of its visitors, which follow and are
+    up to four times as long. Two visitors of a cell do not meet there.
     """
-    u_home, v_home = u["home"].to_numpy(), v["home"].to_numpy()
-    counted = (u_home == cell)[:, None] & (v_home == cell)[None, :]
-
-    def visited(homes: pd.DataFrame, visitors: pd.DataFrame) -> np.ndarray:
-        at_home = homes["home"].to_numpy() == cell
-        other = visitors["home"].to_numpy()
-        keep = np.repeat(at_home[:, None], len(visitors), axis=1) & (other != cell)[None, :]
-        for i in np.flatnonzero(at_home):
-            lower = [c for c in homes["visits"].iat[i] if c < cell]
-            if lower:
-                keep[i] &= ~np.isin(other, lower)
-        return keep
-
-    return counted | visited(u, v) | visited(v, u).T
-
-
-def _compare(threshold: float):
-    """Links of one pair of blocks: their number for each vector, and a tree of links for each connected part."""
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        _, cell, i, j = key
-        frame = frame.sort_values(["node"], kind="stable").reset_index(drop=True)
-        u = frame[frame["block"] == i].reset_index(drop=True)
-        v = u if i == j else frame[frame["block"] == j].reset_index(drop=True)
-        empty = pd.DataFrame({"a": [], "b": [], "links": []}).astype("int64")
-        if not len(u) or not len(v):
-            return empty
-        near = unit_rows(np.stack(u["vector"]).astype(float)) @ unit_rows(np.stack(v["vector"]).astype(float)).T >= threshold
-        near &= _counted(int(cell), u, v)
-        if i == j:
+    homes = placed.groupBy("size", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / block).cast("int").alias("own"))
+    guests = placed.select("size", F.explode("visits").alias("cell")).groupBy("size", "cell").count()
+    shape = homes.join(guests, ["size", "cell"], "left").select(
+        "size", "cell", "own", F.ceil(F.coalesce("count", F.lit(0)) / (4 * block)).cast("int").alias("strange")
+    )
+    at_home = F.col("home") == F.col("cell")
+    place = F.xxhash64("node")
+    return (
+        placed.withColumn("cell", F.explode(F.concat(F.array("home"), "visits")))
+        .withColumn("visits", F.when(at_home, F.col("visits")))
+        .join(F.broadcast(shape), ["size", "cell"])  # as many rows as there are centroids
+        .withColumn("block", F.when(at_home, F.pmod(place, "own")).otherwise(F.col("own") + F.pmod(place, "strange")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own") + F.when(at_home, F.col("strange")).otherwise(0) - 1)))
+        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        .select("size", "cell", "i", "j", "block", "node", "n", "vector", "home", "visits")
+    )
+
+
+def _compare(threshold: float, block: int):
+    """Links of one pair of blocks: their number for each vector, and a tree of links for each connected part.
+
+    A pair of two homes of different cells may meet in both of them; then the lower cell counts it.
+    """
+
+    def side(table: pa.Table, wanted: int, size: int) -> tuple[np.ndarray, ...]:
+        rows = table.filter(pa.compute.equal(table["block"], wanted)).sort_by("node").combine_chunks()
+        x = np.concatenate([np.zeros(0), *[c.flatten().to_numpy().astype(float) for c in rows["vector"].chunks]])
+        x = x.reshape(rows.num_rows, size)
+        return rows, (unit_rows(x) if len(x) else x), rows["node"].to_numpy(), rows["n"].to_numpy()
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        size, cell, i, j = (part.as_py() for part in key)
+        u, x, u_nodes, u_n = side(table, i, size)
+        v, y, v_nodes, v_n = (u, x, u_nodes, u_n) if i == j else side(table, j, size)
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+        if not len(x) or not len(y):
+            return schema.empty_table()
+        near = np.concatenate([x @ y[at : at + block].T >= threshold for at in range(0, len(y), block)], axis=1)
+        v_home = v["home"].to_numpy()
+        if v_home[0] != cell:  # visitors: a home of this cell may visit them in a lower one
+            lower = np.zeros((len(x), v_home.max() + 1), bool)
+            for row, visits in enumerate(u["visits"].to_pylist()):
+                lower[row, [c for c in visits if c < min(cell, lower.shape[1])]] = True
+            near &= ~lower[:, v_home]
+        elif i == j:
             near &= np.triu(np.ones(near.shape, bool), 1)
         at = np.flatnonzero(near.any(axis=1))
         if not len(at):
-            return empty
+            return schema.empty_table()
         near = near[at]
-        u_nodes, v_nodes = u["node"].to_numpy()[at], v["node"].to_numpy()
-        u_links = near @ v["n"].to_numpy()
-        v_links = u["n"].to_numpy()[at] @ near
+        u_nodes = u_nodes[at]
+        u_links = near @ v_n
+        v_links = u_n[at] @ near
         edges: list[tuple[int, int]] = []
         left = np.ones(len(at), bool)
         while left.any():  # one connected part after the other, each row looked at once
@@ -165,7 +178,8 @@ def _compare(threshold: float):
         counts = pd.DataFrame(
             {"a": np.concatenate([u_nodes, v_nodes]), "links": np.concatenate([u_links, v_links])}
         ).query("links > 0")
-        return pd.concat([tree, counts.assign(b=counts["a"])])[["a", "b", "links"]].astype("int64")
+        out = pd.concat([tree, counts.assign(b=counts["a"])])[["a", "b", "links"]].astype("int64")
+        return pa.Table.from_pandas(out, schema, preserve_index=False)
 
     return run
 
@@ -181,10 +195,9 @@ def embedding_dedup(
     """(id, n_links, component_id, kept) for every row: links at a cosine of at least `threshold`, in doubles.
 
     Equal vectors are one node, whatever their number. k-means over a bounded sample gives cells; every vector is
-    indexed in its own cell and visits those whose border lies within SPREAD standard deviations of half the largest
-    distance of linked vectors, which finds every link in up to nine dimensions, and measured all of them in 64. A
-    cell is cut into blocks, and pairs of blocks are compared by one matrix product each, so neither a large cell nor
-    a dense group meets in one task. A pair of blocks returns numbers of links and one tree for each connected part,
+    indexed in its own cell and visits those whose border lies within half the largest distance of linked vectors,
+    which finds every link however the vectors lie. A cell is cut into blocks, and pairs of blocks are compared by one
+    matrix product each, so neither a large cell nor a dense group meets in one task. A pair of blocks returns numbers of links and one tree for each connected part,
     never the pairs. Only vectors of one dimension are compared.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing. Repeated rows link with each
@@ -203,22 +216,12 @@ def embedding_dedup(
     placed = stored(
         nodes.mapInArrow(
             _assign(models, threshold),
-            f"size int, cell int, node long, n long, vector {nodes.schema['vector'].dataType.simpleString()}, home int, "
-            "visits array<int>",
+            f"size int, node long, n long, vector {nodes.schema['vector'].dataType.simpleString()}, home int, visits array<int>",
         ),
         "embedding-cells",
     )
-    blocks = placed.groupBy("size", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    spread = (
-        placed.join(blocks, ["size", "cell"])
-        .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        .drop("other", "blocks")
-    )
-    found = stored(
-        spread.groupBy("size", "cell", "i", "j").applyInPandas(_compare(threshold), "a long, b long, links long"), "embedding-links"
-    )
+    met = _meetings(placed, block).groupBy("size", "cell", "i", "j")
+    found = stored(met.applyInArrow(_compare(threshold, block), "a long, b long, links long"), "embedding-links")
     links = found.filter("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     parts = components(found.filter("links = 0"))
     known = stored(

@@ -295,6 +295,20 @@ def test_embeddings_against_brute_force(spark, cell_size, block, dim):
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
 
 
+def test_embeddings_of_a_group_of_few_directions(spark):
+    """In 64 dimensions, a third of the vectors differ along four directions alone; every link counts."""
+    rng = np.random.default_rng(4)
+    group = rng.normal(size=64) + rng.normal(size=(500, 4)) @ rng.normal(size=(4, 64)) * 0.4
+    x = np.concatenate([group, rng.normal(size=(1000, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_dedup(df, cell_size=32).collect()}
+    x = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = np.triu(x @ x.T >= 0.9, 1)
+    label = classes(range(len(x)), np.argwhere(near).tolist())
+    assert near.sum() > 1000
+    assert got == {i: (near[i].sum() + near[:, i].sum(), label[i]) for i in range(len(x))}
+
+
 def test_embeddings_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.embedding_dedup(df).count() == 0
