@@ -748,8 +748,11 @@ def stream_enrich(spark, sf_dir):
 def stream_breaker(spark, sf_dir):
     folder = run_folder(spark, "fetch_log")
     K.write_events(X.fetch_log(spark, sf_dir), folder)
-    log = spark.readStream.schema("event_id long, ts timestamp, host string, ok boolean").json(folder)
-    return finished(spark, St.stream_breaker(log, late="0 seconds", **BREAKER), "stream_breaker")
+    ddl = "event_id long, ts timestamp, host string, ok boolean"
+    log = spark.readStream.schema(ddl).json(folder)
+    closed = finished(spark, St.stream_breaker(log, late="0 seconds", **BREAKER), "stream_breaker")
+    rest = St.breaker_rest(spark.read.schema(ddl).json(folder), late="0 seconds", **BREAKER)
+    return closed.unionByName(rest)
 
 
 @query

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from pageframe.operators.host_log import TRANSITION_DDL, Breaker, breaker_step
+from pageframe.operators.host_log import TRANSITION_DDL, Breaker, breaker_step, breaker_timeline
 from pageframe.sources.checkpoints import cut_lineage
 from pageframe.sources.readers import EVENT_DDL, MANIFEST_DDL
 
@@ -86,7 +86,8 @@ def stream_breaker(
 
     Events are gathered and ordered per host and time slice, so a busy host is
     spread over many tasks; the state of a host sees one row per slice, once
-    the watermark has closed it.
+    the watermark has closed it. `breaker_rest` has the slices that are open
+    when the log ends.
     """
     log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     event = F.struct(F.unix_micros("ts").alias("ts_us"), "event_id", "ok")
@@ -108,6 +109,29 @@ def stream_breaker(
     )
 
 
+def breaker_rest(
+    log: DataFrame,
+    threshold: int = 10,
+    cooldown_seconds: float = 30.0,
+    late: str = "1 hour",
+    slice_length: str = "10 seconds",
+) -> DataFrame:
+    """What `stream_breaker` has not told after it took in all of `log`: transitions in slices that are still open.
+
+    A batch pass over each host's events from its last success before those
+    slices on, as a success leaves no state. The stream tells the same rows
+    itself when later events close the slices, unless it dropped late ones.
+    """
+    seen = log.filter("ts IS NOT NULL")
+    watermark = F.date_trunc("millisecond", F.max("ts")) - F.expr(f"INTERVAL {late}")
+    ends = seen.agg(watermark.alias("at")).select(F.window("at", slice_length)["start"].alias("open_from"))
+    marked = seen.crossJoin(F.broadcast(ends))  # one row
+    last = marked.filter("ok AND ts < open_from").groupBy("host").agg(F.max("ts").alias("last_ok"))
+    needed = marked.join(last, "host", "left").filter("last_ok IS NULL OR ts >= last_ok").drop("open_from", "last_ok")
+    moves = breaker_timeline(needed, threshold, cooldown_seconds)
+    return moves.crossJoin(F.broadcast(ends)).filter(F.col("ts_us") >= F.unix_micros("open_from")).drop("open_from")
+
+
 def write_stream(df: DataFrame, folder: str, output_format: str = "json") -> DataStreamWriter:
     """An append-only file sink with its checkpoint beside it."""
     return (

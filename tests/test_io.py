@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pageframe.functions.charset import decode_bytes
 from pageframe.functions.extractors import by_row, register_extractor
 from pageframe.operators import host_log as H
+from pageframe.plans import queries as Q
 from pageframe.sinks import writers as K
 from pageframe.sources import readers as S
 from pageframe.sources.checkpoints import cut_lineage, run_folder, shared_folder
@@ -143,6 +144,26 @@ def test_breaker_stream_equals_batch_on_shuffled_input(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
 
 
+@pytest.mark.parametrize("late", ["0 seconds", "1 minute"])
+def test_breaker_stream_tells_of_open_slices(spark, tmp_path, monkeypatch, late):
+    """The query's rows when the log ends in a burst of failures, against the batch operator over the whole log."""
+    rng = random.Random(2)
+    ts = [START + timedelta(seconds=i * 3) for i in range(300)] + [START + timedelta(seconds=900, milliseconds=i) for i in range(20)]
+    rows = [(i, t, "ab"[i % 2], 296 <= i < 300 or (i < 296 and rng.random() < 0.4)) for i, t in enumerate(ts)]
+    log = spark.createDataFrame(rows, "event_id long, ts timestamp, host string, ok boolean")
+    want = sorted(map(tuple, H.breaker_timeline(log, Q.BREAKER["threshold"], Q.BREAKER["cooldown_seconds"]).collect()))
+    assert any(event_id >= 300 for _, event_id, *_ in want)
+    if late == "0 seconds":
+        monkeypatch.setattr(Q.X, "fetch_log", lambda spark, sf_dir: log)
+        got = Q.QUERIES["stream_breaker"](spark, "").collect()
+    else:
+        write_batches(tmp_path / "in", [{"event_id": i, "ts": iso(t), "host": h, "ok": ok} for i, t, h, ok in rows], 100)
+        options = {**Q.BREAKER, "late": late}
+        events = stream(spark, tmp_path / "in", "event_id long, ts timestamp, host string, ok boolean")
+        got = finished(spark, St.stream_breaker(events, **options), tmp_path / "out") + St.breaker_rest(log, **options).collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_late_rows_and_repeats_are_dropped(spark, tmp_path):
     def row(minute, i):
         return {"ts": iso(START + timedelta(minutes=minute)), "event": "e", "url": f"u{i}"}
