@@ -25,6 +25,51 @@ TEMPLATES = [
     ("all-rights-reserved", "all rights reserved"),
 ]
 CONTAINMENT = 0.8
+#: Canonical notices, folded; they have blocks of their own length. `gnu` heads files under the GPL, LGPL or AGPL.
+NOTICES = [
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+        "documentation files the software to deal in the software without restriction including without limitation the "
+        "rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice "
+        "and this permission notice shall be included in all copies or substantial portions of the software the software is "
+        "provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+        "merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright "
+        "holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise "
+        "arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+        "following conditions are met redistributions of source code must retain the above copyright notice this list of "
+        "conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice "
+        "this list of conditions and the following disclaimer in the documentation and or other materials provided with the "
+        "distribution this software is provided by the copyright holders and contributors as is and any express or implied "
+        "warranties including but not limited to the implied warranties of merchantability and fitness for a particular "
+        "purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect "
+        "incidental special exemplary or consequential damages including but not limited to procurement of substitute goods "
+        "or services loss of use data or profits or business interruption however caused and on any theory of liability "
+        "whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of "
+        "this software even if advised of the possibility of such damage",
+    ),
+    (
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the "
+        "license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by "
+        "applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied see the license for the specific language "
+        "governing permissions and limitations under the license",
+    ),
+    (
+        "gnu",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
+        "license as published by the free software foundation either version of the license or at your option any later "
+        "version this program is distributed in the hope that it will be useful but without any warranty without even the "
+        "implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more "
+        "details you should have received a copy of the gnu general public license along with this program",
+    ),
+]
 
 
 def block_step(templates: list[tuple[str, str]]) -> int:
@@ -58,6 +103,15 @@ def _phrase_starts(phrase: str) -> Column:
     return F.transform(F.filter(first, here), lambda j: F.col("hits.pos")[j])
 
 
+def _may_hold(text: Column, templates: list[tuple[str, str]], threshold: float) -> Column:
+    """False only for texts that hold no template: of t words, `need` of them met, one of any t - need + 1 must be there."""
+    some = set()
+    for _, words in templates:
+        tokens = sorted(set(words.split()), key=lambda token: (-len(token), token))
+        some.update(tokens[: len(tokens) - math.ceil(threshold * len(tokens) - 1e-9) + 1])
+    return text.rlike("|".join(sorted(some))) if some else F.lit(False)
+
+
 def _ordered_templates(hits: DataFrame, templates: list[tuple[str, str]], threshold: float) -> list[dict]:
     """Tokens of each template, rarest in the whole corpus first, the overlap it needs and its prefix.
 
@@ -128,6 +182,7 @@ def license_scan(
     phrases: dict[str, str] | None = None,
     templates: list[tuple[str, str]] | None = None,
     threshold: float = CONTAINMENT,
+    notices: list[tuple[str, str]] | None = None,
 ) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row.
 
@@ -135,18 +190,25 @@ def license_scan(
     labels come from phrases whose words stand one after the other, `labels` holds those of similar blocks too, and
     the score is the largest containment that was found: 1 for a base place, 0 where nothing is. Null and empty
     texts have no words; the word columns are then null and the labels empty. Rows that repeat are scanned alike.
+    `notices` are templates too, longer ones, looked for in longer blocks.
     """
     phrases = PHRASES if phrases is None else phrases
     templates = TEMPLATES if templates is None else templates
+    notices = NOTICES if notices is None else notices
     vocabulary = sorted({w for text in [*phrases, *(words for _, words in templates)] for w in text.split()})
+    notice_words = sorted({w for _, words in notices for w in words.split()})
+    text = folded(F.col(text_col))
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("id"),
-        _words_and_hits(folded(F.col(text_col)), vocabulary).alias("found"),
-    ).select("row", "id", "found.*")
+        _words_and_hits(text, vocabulary).alias("found"),
+        F.when(_may_hold(text, notices, threshold), _words_and_hits(text, notice_words)["hits"]).alias("notice_hits"),
+    ).select("row", "id", "found.*", "notice_hits")
     rows = stored(rows, "license-hits")
+    noted = rows.filter("notice_hits IS NOT NULL").select("row", "n_words", F.col("notice_hits").alias("hits"))
     similar = (
         similar_blocks(rows, templates, threshold)
+        .unionByName(similar_blocks(noted, notices, threshold))
         .groupBy("row")
         .agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     )

@@ -283,6 +283,27 @@ def test_licenses_against_brute_force(spark):
     assert license_scan.license_scan(df.limit(0)).count() == 0
 
 
+def test_canonical_notices_are_labelled(spark):
+    """Whole notices and ones with a few words changed, at any place of a text; half a notice and other prose are not."""
+    rng = random.Random(9)
+    rows, want = [], {}
+    for label, notice in license_scan.NOTICES:
+        for changed in (0, 6):
+            words = notice.upper().split()
+            for at in rng.sample(range(len(words)), changed):
+                words[at] = "other"
+            lead = " ".join(f"x{rng.randrange(99)}" for _ in range(rng.randrange(700)))
+            rows.append((len(rows), f"{lead}\n// {', '.join(words)}. {lead}", "s"))
+            want[len(want)] = label
+        rows.append((len(rows), " ".join(notice.split()[: len(notice.split()) // 3]), "s"))
+        want[len(want)] = ""
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.license_scan(docs_of(spark, rows)).collect()}
+    assert {i: label for i, label in want.items() if label and label not in got[i]} == {}
+    for i, label in want.items():
+        others = {name for name, _ in license_scan.NOTICES if name not in (label, "apache-2")}
+        assert not others & set(got[i])
+
+
 def test_license_scan_runs_no_python(spark):
     plan = license_scan.license_scan(docs_of(spark, [(1, "x", "s")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
