@@ -90,4 +90,32 @@ ORACLES = {
                greatest(case when n_base > 0 then 1.0 else 0.0 end, coalesce(best, 0.0))::double as score
         from docs d left join base b on d.row = b.row left join more m on d.row = m.row
     """,
+    "op11_lexical_search": r"""
+        with docs as (
+            select doc_id, row_number() over () as row, list_filter(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') as terms
+            from documents
+        ), total as (
+            select count(*) filter (len(terms) > 0) as docs, sum(len(terms))::bigint as terms from docs
+        ), asked as (
+            select distinct item, item_id, unnest(list_filter(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')) as term
+            from (select *, row_number() over () as item from benchmark)
+        ), postings as (
+            select row, doc_id, term, count(*) as tf, any_value(n) as n
+            from (select row, doc_id, len(terms) as n, unnest(terms) as term from docs)
+            where term in (select term from asked) group by row, doc_id, term
+        ), weights as (
+            select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+            from postings, total group by term
+        ), scores as (
+            select item, item_id, row, doc_id,
+                   sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total.terms))))::bigint as score
+            from asked join weights using (term) join postings using (term), total group by item, item_id, row, doc_id
+        )
+        select item_id, (row_number() over best)::int as rank, doc_id, score from scores where score > 0
+        window best as (partition by item order by score desc, doc_id) qualify row_number() over best <= 10
+    """,
 }

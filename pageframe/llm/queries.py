@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pageframe.llm import chat_format, embedding_dedup, exact_dedup, license_scan, line_dedup, mixing, packing, quality, simhash_dedup, substring_dedup
+from pageframe.llm import (
+    alignment,
+    chat_format,
+    embedding_dedup,
+    exact_dedup,
+    lexical_search,
+    license_scan,
+    line_dedup,
+    mixing,
+    packing,
+    quality,
+    simhash_dedup,
+    substring_dedup,
+    token_counts,
+)
 from pageframe.llm.texts import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +88,20 @@ def op9_packing(spark, sf_dir):
 @query
 def op10_license_scan(spark, sf_dir):
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_token_counts(spark, sf_dir):
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer)
+
+
+@query
+def op13_token_alignment(spark, sf_dir):
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_tokens(table(spark, sf_dir, "documents"), a, b)
