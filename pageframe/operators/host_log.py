@@ -1,12 +1,11 @@
 """Fetch-log analytics per host.
 
 A log has event_id, ts (timestamp), host, url, status, ok, rt. One host may hold
-a large part of it, so no operator sorts or collects a whole host. Folds cut the
-ordered log into slices of a bounded number of rows and merge their summaries
-(`_fold_hosts`); running values and gaps are windows over (host, time slice), and
-the breaker reduces each (host, time slice) to a summary. Results do not depend
-on the size of a slice, which is a parameter, and nothing runs before the result
-is asked for, but for what the operators say is stored.
+a large part of it, so no operator sorts or collects a whole host. Folds and the
+breaker cut the ordered log into slices of a bounded number of rows and merge
+their summaries; running values and gaps are windows over (host, time slice).
+Results do not depend on the size of a slice, which is a parameter, and nothing
+runs before the result is asked for, but for what the operators say is stored.
 """
 
 from __future__ import annotations
@@ -34,21 +33,6 @@ def with_slice(log: DataFrame, slice_seconds: float = SLICE_SECONDS) -> DataFram
     return log.withColumn("slice", F.floor(F.unix_micros("ts") / F.lit(int(slice_seconds * 1_000_000))))
 
 
-def _ordered_events(log: DataFrame, slice_seconds: float, *fields: str) -> DataFrame:
-    """host, slice, events: the events of one slice in time order."""
-    event = F.struct("ts", "event_id", *fields)
-    return (
-        with_slice(log, slice_seconds)
-        .groupBy("host", "slice")
-        .agg(F.array_sort(F.collect_list(event)).alias("events"))
-    )
-
-
-def _ordered_slices(slices: DataFrame, *fields: str) -> DataFrame:
-    """host, slices: the summaries of one host in time order."""
-    return slices.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("slice", *fields))).alias("slices"))
-
-
 # --- retries --------------------------------------------------------------------
 
 
@@ -210,25 +194,38 @@ def _last_fold(wanted: Callable[[Column], Column], *fields: str) -> Fold:
     return Fold(fields, of_events, F.array_max, lambda s: s)
 
 
-def _fold_hosts(log: DataFrame, slice_rows: int, **folds: Fold) -> DataFrame:
-    """One row per host with the result of every fold, from one pass over the log.
+def _event_slices(log: DataFrame, slice_rows: int, *fields: str) -> DataFrame:
+    """host, part, slice, events: ordered events of a host, at most `slice_rows` of them.
 
     Events are range-partitioned in the order (host, ts, event_id) and counted
-    off into slices of at most `slice_rows` rows, so a slice is as small for a
-    burst or a host of a third of the log as for any other. Summaries are merged
-    per host and partition, and then per host, from one summary a partition.
+    off in each partition, so a slice is as small for a burst or a host of a
+    third of the log as for any other.
     """
-    fields = dict.fromkeys(field for fold in folds.values() for field in fold.fields)
     order = ["host", "ts", "event_id"]
     number = F.monotonically_increasing_id()  # counts within a partition, whose own number is in the upper bits
     placed = (
         log.select(*order, *[f for f in fields if f not in order])
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumns({"part": F.shiftright(number, 33), "slice": number - F.pmod(number, F.lit(slice_rows))})
+        .withColumns(
+            {
+                "part": F.shiftright(number, 33),
+                "slice": F.floor(F.pmod(number, F.lit(1 << 33)) / F.lit(slice_rows)),
+            }
+        )
     )
     event = F.struct("ts", "event_id", *fields)
-    slices = placed.groupBy("host", "part", "slice").agg(F.array_sort(F.collect_list(event)).alias("events"))
+    return placed.groupBy("host", "part", "slice").agg(F.array_sort(F.collect_list(event)).alias("events"))
+
+
+def _fold_hosts(log: DataFrame, slice_rows: int, **folds: Fold) -> DataFrame:
+    """One row per host with the result of every fold, from one pass over the log.
+
+    Slices are summarised, summaries merged per host and partition, and then
+    per host, from one summary a partition.
+    """
+    fields = dict.fromkeys(field for fold in folds.values() for field in fold.fields)
+    slices = _event_slices(log, slice_rows, *fields)
     level = slices.select("host", "part", "slice", *[fold.of_events().alias(name) for name, fold in folds.items()])
     for keys, by in ((["host", "part"], "slice"), (["host"], "part")):
         pieces = level.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(by, *folds))).alias("pieces"))
@@ -379,7 +376,7 @@ def _last(items: Column, n: int) -> Column:
     return F.slice(items, F.greatest(F.size(items) - n + 1, F.lit(1)), n)
 
 
-def _after(items: Column, n: Column | int) -> Column:
+def _from(items: Column, n: Column | int) -> Column:
     """Items from index n on."""
     start = F.lit(n) if isinstance(n, int) else n
     return F.slice(items, start + 1, F.greatest(F.size(items) - start, F.lit(0)))
@@ -429,7 +426,7 @@ def _delay_fold(initial: float) -> Fold:
     def of_events():
         events = head_events(F.col("events"))
         rts = F.transform(events, lambda e: e["rt"])
-        steps = _after(_delay_steps(F.array().cast("array<double>"), events), reach)
+        steps = _from(_delay_steps(F.array().cast("array<double>"), events), reach)
         return F.struct(
             F.slice(events, 1, reach).alias("head"),
             F.aggregate(steps, nothing, _compose).alias("body"),
@@ -438,7 +435,7 @@ def _delay_fold(initial: float) -> Fold:
 
     def then(a, b):
         room = F.lit(reach) - F.size(a["head"])  # of b's first events so many join the head
-        steps = _after(_delay_steps(a["tail"], b["head"]), room)
+        steps = _from(_delay_steps(a["tail"], b["head"]), room)
         return F.struct(
             F.slice(F.concat(a["head"], b["head"]), 1, reach).alias("head"),
             _compose(F.aggregate(steps, a["body"], _compose), b["body"]).alias("body"),
@@ -517,45 +514,70 @@ def _last_openings(times: list[int], cooldown_us: int) -> list[int]:
     return last
 
 
-def _summarise(times: list[int], oks: list[bool], threshold: int, cooldown_us: int) -> dict:
-    """What a slice does to any state before it.
+class Outage(NamedTuple):
+    """What a run of events does to any state before it.
 
     After a success the state no longer depends on what came before. For the
-    failures that follow, `by_position` gives the last opening by the position
-    of the first one, and the `probe` lists give it by the time from which an
-    open breaker may be probed (only the steps of that function are kept).
+    `n_tail` failures that follow, `by_position` gives the last opening by the
+    position of the first one, and the `probe` lists give it by the time from
+    which an open breaker may be probed (only the steps of that function are
+    kept, and none beyond a cooldown after the first failure, as no probe is due
+    later). So a summary holds no more than the failures of one cooldown.
     """
+
+    reset: bool
+    n_tail: int
+    first_us: int | None
+    by_position: list[int]
+    probe_us: list[int]
+    probe_exit_us: list[int]
+
+
+def _steps(due_us: int, probes: list[int], exits: list[int]) -> tuple[list[int], list[int]]:
+    """The probes up to the first that is due at `due_us` or later, one for each change of the exit."""
+    n = min(len(probes), bisect_left(probes, due_us) + 1)
+    kept = [i for i in range(n) if i + 1 == n or exits[i] != exits[i + 1]]
+    return [probes[i] for i in kept], [exits[i] for i in kept]
+
+
+def _summarise(times: list[int], oks: list[bool], threshold: int, cooldown_us: int) -> Outage:
     tail = times[len(oks) - oks[::-1].index(True) :] if True in oks else times
     last = _last_openings(tail, cooldown_us)
-    # no probe is due later than a cooldown after the first failure here
-    entries = min(len(tail), bisect_left(tail, tail[0] + cooldown_us) + 1) if tail else 0
-    steps = [i for i in range(entries) if i + 1 == entries or last[i] != last[i + 1]]
-    return {
-        "reset": True in oks,
-        "n_tail": len(tail),
-        "by_position": last[:threshold],
-        "probe_us": [tail[i] for i in steps],
-        "probe_exit_us": [last[i] for i in steps],
-    }
-
-
-def _after_slice(state: Breaker, part: dict, threshold: int, cooldown_us: int) -> Breaker:
-    if part["reset"]:
+    probes, exits = _steps(tail[0] + cooldown_us, tail, last) if tail else ([], [])
+    return Outage(True in oks, len(tail), tail[0] if tail else None, last[:threshold], probes, exits)
+
+
+def _last_opening(opened_us: int, part: Outage, cooldown_us: int) -> int:
+    at = bisect_left(part.probe_us, opened_us + cooldown_us)
+    return part.probe_exit_us[at] if at < len(part.probe_us) else opened_us
+
+
+def _merged(a: Outage, b: Outage, threshold: int, cooldown_us: int) -> Outage:
+    """The summary of both, one after the other. Merging is associative, so runs can be merged as a tree."""
+    if b.reset or not a.n_tail:
+        return b._replace(reset=a.reset or b.reset)
+    positions = [_last_opening(at, b, cooldown_us) for at in a.by_position] + b.by_position
+    exits = [_last_opening(at, b, cooldown_us) for at in a.probe_exit_us]
+    probes, exits = _steps(a.first_us + cooldown_us, a.probe_us + b.probe_us, exits + b.probe_exit_us)
+    return Outage(a.reset, a.n_tail + b.n_tail, a.first_us, positions[:threshold], probes, exits)
+
+
+def _after(state: Breaker, part: Outage, threshold: int, cooldown_us: int) -> Breaker:
+    if part.reset:
         state = Breaker()
-    streak = state.streak + part["n_tail"]
+    streak = state.streak + part.n_tail
     if state.opened_us is not None:
-        at = bisect_left(part["probe_us"], state.opened_us + cooldown_us)
-        return Breaker(streak, part["probe_exit_us"][at] if at < len(part["probe_us"]) else state.opened_us)
-    if streak >= threshold and part["n_tail"]:
-        return Breaker(streak, part["by_position"][threshold - 1 - state.streak])
+        return Breaker(streak, _last_opening(state.opened_us, part, cooldown_us))
+    if streak >= threshold and part.n_tail:
+        return Breaker(streak, part.by_position[threshold - 1 - state.streak])
     return Breaker(streak)
 
 
-def _states_before(parts: list[dict], threshold: int, cooldown_us: int) -> list[dict]:
-    state, states = Breaker(), []
+def _states_before(state: Breaker, parts: list[dict], threshold: int, cooldown_us: int) -> list[dict]:
+    states = []
     for part in parts:
-        states.append({"slice": part["slice"], "streak": state.streak, "opened_us": state.opened_us})
-        state = _after_slice(state, part["summary"], threshold, cooldown_us)
+        states.append({"node": part["node"], "streak": state.streak, "opened_us": state.opened_us})
+        state = _after(state, Outage(**part["summary"]), threshold, cooldown_us)
     return states
 
 
@@ -575,46 +597,92 @@ _SUMMARY = pa.struct(
     [
         ("reset", pa.bool_()),
         ("n_tail", pa.int64()),
+        ("first_us", pa.int64()),
         ("by_position", pa.list_(pa.int64())),
         ("probe_us", pa.list_(pa.int64())),
         ("probe_exit_us", pa.list_(pa.int64())),
     ]
 )
-_STATES = pa.list_(pa.struct([("slice", pa.int64()), ("streak", pa.int64()), ("opened_us", pa.int64())]))
+_STATES = pa.list_(pa.struct([("node", pa.int64()), ("streak", pa.int64()), ("opened_us", pa.int64())]))
 _MOVES = pa.list_(
     pa.struct([("event_id", pa.int64()), ("ts_us", pa.int64()), ("step", pa.int32()), ("state", pa.string())])
 )
+#: Children of a node of the tree of summaries, as a power of two.
+FAN_BITS = 8
+
+
+def _states_of_slices(summaries: DataFrame, levels: int, fan_bits: int, limits: tuple[int, int]) -> DataFrame:
+    """host, node, streak, opened_us: the state before each of (host, node, summary).
+
+    Summaries are merged up a tree, `2 ** fan_bits` nodes into one, and the
+    states are handed down it, so no task sees more than that of a host.
+    """
+
+    def merge(groups: pa.Array) -> pa.Array:
+        merged = []
+        for group in groups.to_pylist():
+            total, *rest = [Outage(**child["summary"]) for child in group]
+            for part in rest:
+                total = _merged(total, part, *limits)
+            merged.append(total._asdict())
+        return pa.array(merged, _SUMMARY)
+
+    def states(groups: pa.Array, streak: pa.Array, opened: pa.Array) -> pa.Array:
+        rows = zip(groups.to_pylist(), streak.to_pylist(), opened.to_pylist(), strict=True)
+        return pa.array([_states_before(Breaker(n, at), group, *limits) for group, n, at in rows], _STATES)
+
+    families, level = [], summaries
+    for _ in range(max(1, levels)):
+        children = F.array_sort(F.collect_list(F.struct("node", "summary"))).alias("children")
+        families.append(level.groupBy("host", F.shiftright("node", fan_bits).alias("parent")).agg(children))
+        level = families[-1].select("host", F.col("parent").alias("node"), _arrow_udf(merge, _SUMMARY)("children").alias("summary"))
+    start = {"streak": F.lit(0).cast("long"), "opened_us": F.lit(None).cast("long")}
+    known = families[-1].withColumns(start)  # one family a host
+    while True:
+        before = F.explode(_arrow_udf(states, _STATES)("children", "streak", "opened_us")).alias("b")
+        nodes = known.select("host", before).select("host", "b.*")
+        families.pop()
+        if not families:
+            return nodes
+        known = families[-1].join(nodes.withColumnRenamed("node", "parent"), ["host", "parent"])
+
+
+def _arrow_udf(function: Callable, returns: pa.DataType) -> Callable[..., Column]:
+    return F.arrow_udf(function, from_arrow_type(returns))
 
 
 def breaker_timeline(
-    log: DataFrame, threshold: int = 10, cooldown_seconds: float = 30.0, slice_seconds: float = SLICE_SECONDS
+    log: DataFrame,
+    threshold: int = 10,
+    cooldown_seconds: float = 30.0,
+    slice_rows: int = SLICE_ROWS,
+    fan_bits: int = FAN_BITS,
 ) -> DataFrame:
     """Transitions of a per-host breaker: open after `threshold` failures in a row, probed after the cooldown.
 
-    Two passes over (host, slice) rows, with the state before each slice in between.
+    The ordered log is cut into slices of bounded rows (`_event_slices`), which
+    are stored. Each becomes a summary; the states before the slices come from a
+    tree of merged summaries; then each slice tells its own transitions.
     """
     limits = (threshold, int(cooldown_seconds * 1_000_000))
 
     def summarise(times: pa.Array, oks: pa.Array) -> pa.Array:
-        rows = zip(times.to_pylist(), oks.to_pylist())
-        return pa.array([_summarise(t, ok, *limits) for t, ok in rows], _SUMMARY)
-
-    def states(parts: pa.Array) -> pa.Array:
-        return pa.array([_states_before(p, *limits) for p in parts.to_pylist()], _STATES)
+        rows = zip(times.to_pylist(), oks.to_pylist(), strict=True)
+        return pa.array([_summarise(t, ok, *limits)._asdict() for t, ok in rows], _SUMMARY)
 
     def moves(events: pa.Array, streak: pa.Array, opened: pa.Array) -> pa.Array:
-        rows = zip(events.to_pylist(), streak.to_pylist(), opened.to_pylist())
+        rows = zip(events.to_pylist(), streak.to_pylist(), opened.to_pylist(), strict=True)
         return pa.array([_moves(e, Breaker(n, at), *limits) for e, n, at in rows], _MOVES)
 
-    def udf(function, returns: pa.DataType):
-        return F.arrow_udf(function, from_arrow_type(returns))
-
-    events = _ordered_events(log.withColumn("ts_us", F.unix_micros("ts")), slice_seconds, "ts_us", "ok")
-    summary = udf(summarise, _SUMMARY)(F.transform("events", lambda e: e["ts_us"]), F.transform("events", lambda e: e["ok"]))
-    parts = _ordered_slices(events.select("host", "slice", summary.alias("summary")), "summary")
-    before = parts.select("host", F.explode(udf(states, _STATES)("slices")).alias("b")).select("host", "b.*")
-    found = udf(moves, _MOVES)(
+    slices = cut_lineage(_event_slices(log.withColumn("ts_us", F.unix_micros("ts")), slice_rows, "ts_us", "ok"))
+    parts, most = slices.agg(F.max("part"), F.max("slice")).first()
+    levels = [-(-int(n or 0).bit_length() // fan_bits) for n in (most, parts)]
+    node = F.shiftleft("part", levels[0] * fan_bits) + F.col("slice")
+    slices = slices.withColumn("node", node).drop("part", "slice")
+    summary = _arrow_udf(summarise, _SUMMARY)(F.transform("events", lambda e: e["ts_us"]), F.transform("events", lambda e: e["ok"]))
+    before = _states_of_slices(slices.select("host", "node", summary.alias("summary")), sum(levels), fan_bits, limits)
+    found = _arrow_udf(moves, _MOVES)(
         F.transform("events", lambda e: F.struct(e["event_id"], e["ts_us"], e["ok"])), "streak", "opened_us"
     )
-    joined = events.join(before, ["host", "slice"])
+    joined = slices.join(before, ["host", "node"])
     return joined.select("host", F.explode(found).alias("m")).select("host", "m.*")
