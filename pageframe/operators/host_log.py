@@ -607,6 +607,60 @@ _STATES = pa.list_(pa.struct([("node", pa.int64()), ("streak", pa.int64()), ("op
 _MOVES = pa.list_(
     pa.struct([("event_id", pa.int64()), ("ts_us", pa.int64()), ("step", pa.int32()), ("state", pa.string())])
 )
+#: What a slice of a stream does: failures before its first success, that success, the moves after it, the state at the end.
+EFFECT = pa.struct(
+    [
+        ("failed_us", pa.list_(pa.int64())),
+        ("failed_id", pa.list_(pa.int64())),
+        ("ok_us", pa.int64()),
+        ("ok_id", pa.int64()),
+        ("moves", _MOVES),
+        ("streak", pa.int64()),
+        ("opened_us", pa.int64()),
+    ]
+)
+
+
+def slice_effect(events: list[dict], threshold: int, cooldown_us: int) -> dict:
+    """The effect of ordered events (ts_us, event_id, ok), as fields of EFFECT."""
+    first = next((i for i, event in enumerate(events) if event["ok"]), len(events))
+    state, moves = Breaker(), []
+    for event in events[first + 1 :]:
+        state, steps = breaker_step(state, event["ts_us"], event["ok"], threshold, cooldown_us)
+        moves += [{"event_id": event["event_id"], "ts_us": event["ts_us"], "step": i, "state": m} for i, m in enumerate(steps)]
+    success = events[first] if first < len(events) else {"ts_us": None, "event_id": None}
+    return {
+        "failed_us": [event["ts_us"] for event in events[:first]],
+        "failed_id": [event["event_id"] for event in events[:first]],
+        "ok_us": success["ts_us"],
+        "ok_id": success["event_id"],
+        "moves": moves,
+        "streak": state.streak,
+        "opened_us": state.opened_us,
+    }
+
+
+def after_effect(state: Breaker, effect: dict, threshold: int, cooldown_us: int) -> tuple[Breaker, list[tuple]]:
+    """State after a slice and its transitions (event_id, ts_us, step, state); openings are found by binary search."""
+    times, ids, moves = effect["failed_us"], effect["failed_id"], []
+    opened, at = state.opened_us, 0
+    if opened is None and state.streak + len(times) >= threshold:
+        at = threshold - state.streak
+        opened = int(times[at - 1])
+        moves.append((int(ids[at - 1]), opened, 0, "open"))
+    while opened is not None and (at := bisect_left(times, opened + cooldown_us, at)) < len(times):
+        opened = int(times[at])
+        moves += [(int(ids[at]), opened, 0, "half_open"), (int(ids[at]), opened, 1, "open")]
+        at += 1
+    if effect["ok_us"] is None:
+        return Breaker(state.streak + len(times), opened), moves
+    if opened is not None:
+        ends = ["half_open", "closed"] if effect["ok_us"] - opened >= cooldown_us else ["closed"]
+        moves += [(effect["ok_id"], effect["ok_us"], i, move) for i, move in enumerate(ends)]
+    moves += [(m["event_id"], m["ts_us"], m["step"], m["state"]) for m in effect["moves"]]
+    return Breaker(effect["streak"], effect["opened_us"]), moves
+
+
 #: Children of a node of the tree of summaries, as a power of two.
 FAN_BITS = 8
 

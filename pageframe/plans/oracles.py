@@ -428,9 +428,7 @@ b as (select host, i, event_id, ts_us, case when ok then 0 else 1 end as streak,
 select host, event_id, ts_us, 0 as step, 'half_open' as state from b where probed
 union all select host, event_id, ts_us, cast(probed as int), 'open' from b where opens
 union all select host, event_id, ts_us, cast(probed as int), 'closed' from b where closes"""
-# a stream tells of the ten-second slices that its watermark has closed
-ORACLES["stream_breaker"] = f"""
-select * from ({ORACLES["breaker_timeline"]}) t where ts_us < (select max(epoch_ms(ts)) // 10000 * 10000000 from events)"""
+ORACLES["stream_breaker"] = ORACLES["breaker_timeline"]
 ORACLES["host_delay"] = f"""
 with w as (select host, ts, event_id, status, count(*) over last as n, avg(rt) over last as mean from {LOG} g
            window last as (partition by host order by ts, event_id rows 9 preceding)),
@@ -488,8 +486,10 @@ s as (select *, sum(new) over (partition by url order by ts rows unbounded prece
 g as (select url, session, min(ts) as a, max(ts) + interval 6 hour as b, count(*) as n from s group by url, session)
 select url, epoch_us(a) as start_us, epoch_us(b) as end_us, n from g"""
 ORACLES["stream_enrich"] = f"""
-with m as (select distinct url, 'files/' || md5(url) as path, 'text/html' as content_type from {LOG} l where event_id % 500 % 2 = 0)
-select event_id, e.url, status, path, content_type from {EVENTS} e left join m on e.url = m.url where event = 'download_complete'"""
+with m as (select url, ts + to_minutes((event_id % 40)::int) as ts, 'files/' || md5(url) as path, 'text/html' as content_type from {EVENTS} l
+           where event = 'download_complete' and event_id % 500 % 2 = 0)
+select event_id, e.url, status, path, content_type from {EVENTS} e
+left join m on e.url = m.url and m.ts between e.ts and e.ts + interval 30 minute where event = 'download_complete'"""
 ORACLES["stream_event_sink"] = f"""
 select url, 'downloads/' || md5(url) as path, sha256, bytes from {EVENTS} e where event = 'download_complete' and status = 'ok'"""
 

@@ -728,20 +728,25 @@ def stream_progress_sliding(spark, sf_dir):
 
 @query
 def stream_sessions(spark, sf_dir):
-    sessions = St.stream_sessions(event_stream(spark, sf_dir), "url", "6 hours")
-    rows = latest(spark, sessions, ["url", "start"], "stream_sessions", "complete")
+    sessions = St.stream_sessions(event_stream(spark, sf_dir), "url", 6 * 3600)
+    rows = latest(spark, sessions, ["url", "start"], "stream_sessions").filter("n > 0")
     return rows.select("url", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
 @query
 def stream_enrich(spark, sf_dir):
-    manifest = X.fetch_log(spark, sf_dir).selectExpr(
-        "url || case when event_id % 500 % 2 = 0 then '' else '#' end AS url",  # odd pages are not in the manifest
-        "'files/' || md5(url) AS path",
-        "'text/html' AS content_type",
+    downloads = X.crawl_events(spark, sf_dir).filter("event = 'download_complete'")
+    lines = downloads.filter("event_id % 500 % 2 = 0").selectExpr(  # odd pages are not in the manifest
+        "url", "ts + make_dt_interval(0, 0, event_id % 40) AS ts", "'files/' || md5(url) AS path", "'text/html' AS content_type"
     )
-    rows = finished(spark, St.stream_enrich(event_stream(spark, sf_dir), manifest), "stream_enrich")
-    return rows.select("event_id", "url", "status", "path", "content_type")
+    folder = run_folder(spark, "manifest")
+    K.write_events(lines, folder)
+    manifest = spark.readStream.schema("url string, ts timestamp, path string, content_type string").json(folder)
+    events = stored_events(spark, sf_dir)
+    enriched = St.stream_enrich(spark.readStream.schema(STREAM_EVENT_DDL).json(events), manifest, after="30 minutes")
+    told = finished(spark, enriched, "stream_enrich")
+    rest = St.enrich_rest(spark.read.schema(STREAM_EVENT_DDL).json(events), told)
+    return told.unionByName(rest).select("event_id", "url", "status", "path", "content_type")
 
 
 @query

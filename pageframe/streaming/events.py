@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from pageframe.operators.host_log import TRANSITION_DDL, Breaker, breaker_step, breaker_timeline
-from pageframe.sources.checkpoints import cut_lineage
+from pageframe.operators.host_log import EFFECT, TRANSITION_DDL, Breaker, after_effect, breaker_timeline, slice_effect
 from pageframe.sources.readers import EVENT_DDL, MANIFEST_DDL
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -35,27 +36,137 @@ def stream_progress(events: DataFrame, size: str, slide: str | None = None, late
     return counted.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event", "n")
 
 
-def stream_sessions(events: DataFrame, key: str, gap: str, late: str = "1 hour") -> DataFrame:
-    """Events per session of a key; a gap ends a session. Open sessions appear in complete mode, closed ones in append."""
-    session = F.session_window("ts", gap)
-    counted = events.withWatermark("ts", late).groupBy(session.alias("w"), key).agg(F.count("*").alias("n"))
-    return counted.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+def _sessions_of_batches(key: str, gap_us: int, tick_us: int, schema: pa.Schema) -> Callable:
+    """Arrow batches of (key, us) as rows of events that follow each other within a tick."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pandas().sort_values([key, "us"])
+            near = (rows[key] == rows[key].shift()) & (rows["us"].diff() < min(gap_us, tick_us)) & (
+                rows["us"] // tick_us == rows["us"].shift() // tick_us
+            )
+            runs = rows.groupby((~near).cumsum())
+            out = runs.agg(**{key: (key, "first"), "first_us": ("us", "min"), "last_us": ("us", "max"), "n": ("us", "size")})
+            out["seen"] = pd.to_datetime(out["last_us"], unit="us", utc=True)
+            yield pa.RecordBatch.from_pandas(out, schema, preserve_index=False)
 
-def stream_enrich(events: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Finished downloads with the manifest's path and type for their URL."""
-    firsts = manifest.groupBy("url").agg(F.min(F.struct("path", "content_type")).alias("m"))
-    # stored, so that micro-batches do not group the manifest again
-    stored = cut_lineage(firsts.select("url", "m.path", "m.content_type"))
+    return run
+
+
+class SessionProcessor(StatefulProcessor):
+    """Open sessions of one key, by start; a timer drops what the watermark has closed."""
+
+    def __init__(self, key: str, gap_us: int):
+        self.key, self.gap_us = key, gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "first_us array<long>, last_us array<long>, n array<long>")
+
+    def _known(self) -> list[tuple[int, int, int]]:
+        return list(zip(*self.open.get(), strict=True)) if self.open.exists() else []
+
+    def _keep(self, sessions: list[tuple[int, int, int]], watermark_ms: int) -> None:
+        still = [s for s in sessions if s[1] + self.gap_us > watermark_ms * 1000]
+        if still:
+            self.open.update(tuple(list(column) for column in zip(*still, strict=True)))
+        else:
+            self.open.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = self._known()
+        fresh = pd.concat(rows)[["first_us", "last_us", "n"]]
+        merged: list[tuple[int, int, int]] = []
+        for first, last, n in sorted(before + list(fresh.itertuples(index=False, name=None))):
+            if merged and first - merged[-1][1] < self.gap_us:
+                start, end, count = merged.pop()
+                first, last, n = start, max(end, last), count + n
+            merged.append((int(first), int(last), int(n)))
+        changed = sorted(set(merged) - set(before))
+        starts = {first for first, _, _ in merged}
+        gone = [(first, first, 0) for first, _, _ in before if first not in starts]
+        for _, last, _ in changed:
+            self.handle.registerTimer(-(-(last + self.gap_us) // 1000))
+        self._keep(merged, timerValues.getCurrentWatermarkInMs())
+        out = pd.DataFrame(changed + gone, columns=["start_us", "end_us", "n"])
+        out["end_us"] += self.gap_us
+        out.insert(0, self.key, key[0])
+        yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._keep(self._known(), timerValues.getCurrentWatermarkInMs())
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_sessions(
+    events: DataFrame, key: str, gap_seconds: float, late: str = "1 hour", tick_seconds: float = 1.0
+) -> DataFrame:
+    """Events per session of a key, in update mode: (key, start, end, n); less than a gap apart is one session.
+
+    A row is a new version of the session that starts there. n is 0 where a
+    session has become part of an earlier one, so `write_versions` and
+    `read_versions` with the filter n > 0 have every event once. The state holds
+    a key's open sessions alone: a timer drops a session when the watermark has
+    passed its end. Events of a key within a tick travel as one row, so a busy
+    key is reduced before its state sees it; such a row is late if its last event
+    is. Events without a time are left out.
+    """
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    gap_us, tick_us = int(gap_seconds * 1_000_000), max(1, int(tick_seconds * 1_000_000))
+    key_type = events.schema[key].dataType
+    rows = events.filter("ts IS NOT NULL").select(key, F.unix_micros("ts").alias("us"))
+    longs = [(name, pa.int64()) for name in ("first_us", "last_us", "n")]
+    schema = pa.schema([(key, to_arrow_type(key_type)), *longs, ("seen", pa.timestamp("us", "UTC"))])
+    ddl = f"`{key}` {key_type.simpleString()}, first_us long, last_us long, n long, seen timestamp"
+    ticks = rows.mapInArrow(_sessions_of_batches(key, gap_us, tick_us, schema), ddl).withWatermark("seen", late)
+    sessions = ticks.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=SessionProcessor(key, gap_us),
+        outputStructType=f"`{key}` {key_type.simpleString()}, start_us long, end_us long, n long",
+        outputMode="Update",
+        timeMode="EventTime",
+    )
+    return sessions.select(key, F.timestamp_micros("start_us").alias("start"), F.timestamp_micros("end_us").alias("end"), "n")
+
+
+def stream_enrich(
+    events: DataFrame,
+    manifest: DataFrame,
+    before: str = "0 seconds",
+    after: str = "1 hour",
+    late: str = "1 hour",
+) -> DataFrame:
+    """Finished downloads with path and type from the manifest lines (url, ts, path, content_type) of their URL.
+
+    Both sides are streams, so the manifest may grow: a line counts from
+    `before` ahead of the download to `after` behind it, one row for each. A
+    download without one appears when the watermark has passed that range, and
+    nothing stays in the state for longer. `enrich_rest` has those that still
+    wait when the log ends.
+    """
+    done = events.filter("event = 'download_complete'").withWatermark("ts", late)
+    lines = manifest.select(
+        F.col("url").alias("line_url"), F.col("ts").alias("line_ts"), "path", "content_type"
+    ).withWatermark("line_ts", late)
+    here = F.expr(f"url = line_url AND line_ts >= ts - INTERVAL {before} AND line_ts <= ts + INTERVAL {after}")
+    return done.join(lines, here, "left_outer").drop("line_url", "line_ts")
+
+
+def enrich_rest(events: DataFrame, told: DataFrame, key: str = "event_id") -> DataFrame:
+    """Downloads that `stream_enrich` has not told of when both logs have ended: those still waiting for a line."""
     done = events.filter("event = 'download_complete'")
-    return done.join(stored, "url", "left")
+    waiting = done.join(told.select(key).distinct(), key, "left_anti")
+    return waiting.withColumns({name: F.lit(None).cast(told.schema[name].dataType) for name in ("path", "content_type")})
 
 
 class OutageProcessor(StatefulProcessor):
-    """Breaker of one host, fed with closed time slices whose events are in order."""
+    """Breaker of one host, fed with what closed time slices do (`slice_effect`); a slice costs a few binary searches."""
 
     def __init__(self, threshold: int, cooldown_us: int):
-        self.threshold, self.cooldown_us = threshold, cooldown_us
+        self.limits = (threshold, cooldown_us)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.breaker = handle.getValueState("breaker", "streak long, opened_us long")
@@ -64,10 +175,9 @@ class OutageProcessor(StatefulProcessor):
         slices = pd.concat(rows).sort_values("start_us")
         state = Breaker(*self.breaker.get()) if self.breaker.exists() else Breaker()
         found = []
-        for part in slices.itertuples():
-            for ts_us, event_id, ok in zip(part.ts_us.tolist(), part.event_id.tolist(), part.ok.tolist()):
-                state, moves = breaker_step(state, ts_us, ok, self.threshold, self.cooldown_us)
-                found += [(key[0], event_id, ts_us, step, move) for step, move in enumerate(moves)]
+        for effect in slices["effect"]:
+            state, moves = after_effect(state, effect, *self.limits)
+            found += [(key[0], *move) for move in moves]
         self.breaker.update(tuple(state))
         yield pd.DataFrame(found, columns=["host", "event_id", "ts_us", "step", "state"])
 
@@ -85,24 +195,26 @@ def stream_breaker(
     """The transitions of `breaker_timeline` as a stream.
 
     Events are gathered and ordered per host and time slice, so a busy host is
-    spread over many tasks; the state of a host sees one row per slice, once
-    the watermark has closed it. `breaker_rest` has the slices that are open
-    when the log ends.
+    spread over many tasks. There a slice becomes its effect: the failures up to
+    its first success, and the transitions after it, which no earlier event can
+    change. The state of a host sees one effect per slice, once the watermark has
+    closed it. `breaker_rest` has the slices that are open when the log ends.
     """
     log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    limits = (threshold, int(cooldown_seconds * 1_000_000))
+
+    def effects(slices: pa.Array) -> pa.Array:
+        return pa.array([slice_effect(events, *limits) for events in slices.to_pylist()], EFFECT)
+
     event = F.struct(F.unix_micros("ts").alias("ts_us"), "event_id", "ok")
     slices = (
         log.withWatermark("ts", late)
         .groupBy("host", F.window("ts", slice_length).alias("w"))
         .agg(F.array_sort(F.collect_list(event)).alias("events"))
-        .select(
-            "host",
-            F.unix_micros("w.start").alias("start_us"),
-            *[F.col("events")[name].alias(name) for name in ("ts_us", "event_id", "ok")],
-        )
+        .select("host", F.unix_micros("w.start").alias("start_us"), F.arrow_udf(effects, from_arrow_type(EFFECT))("events").alias("effect"))
     )
     return slices.groupBy("host").transformWithStateInPandas(
-        statefulProcessor=OutageProcessor(threshold, int(cooldown_seconds * 1_000_000)),
+        statefulProcessor=OutageProcessor(*limits),
         outputStructType=TRANSITION_DDL,
         outputMode="Append",
         timeMode="None",

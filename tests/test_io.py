@@ -185,12 +185,59 @@ def test_windows_and_sessions_hold_every_event(spark, tmp_path):
     St.run_available(St.write_versions(counts, str(tmp_path / "p")))
     got = St.read_versions(spark, str(tmp_path / "p"), counts.schema, ["start", "event"])
     assert got.agg(F.sum("n")).first()[0] == 60 and got.count() == 7
-    sessions = St.stream_sessions(stream(spark, tmp_path / "in", S.EVENT_DDL), "url", "30 minutes")
-    St.run_available(St.write_versions(sessions, str(tmp_path / "s"), "complete"))
-    got = St.read_versions(spark, str(tmp_path / "s"), sessions.schema, ["url", "start"], "complete")
+    sessions = St.stream_sessions(stream(spark, tmp_path / "in", S.EVENT_DDL), "url", 1800)
+    St.run_available(St.write_versions(sessions, str(tmp_path / "s")))
+    got = St.read_versions(spark, str(tmp_path / "s"), sessions.schema, ["url", "start"]).filter("n > 0")
     assert sorted((r.url, r.n) for r in got.collect()) == [("u0", 20), ("u1", 20), ("u2", 20)]
 
 
+def test_sessions_merge_and_leave_the_state(spark, tmp_path):
+    """Shuffled events of a few keys against a batch count; sessions that grow together; a state of open sessions alone."""
+    rng = random.Random(4)
+    seconds = [rng.randrange(0, 40_000) for _ in range(400)]
+    rows = [{"ts": iso(START + timedelta(seconds=s, microseconds=i)), "event": "e", "url": rng.choice("abc")} for i, s in enumerate(seconds)]
+    rows += [{"ts": None, "event": "e", "url": "a"}, {"ts": iso(START), "event": "e", "url": None}, {"ts": iso(START), "event": "e", "url": None}]
+    rows += [{"ts": iso(START + timedelta(days=2, seconds=i)), "event": "e", "url": "z"} for i in range(2)]
+    write_batches(tmp_path / "in", rows, 90)
+    sessions = St.stream_sessions(stream(spark, tmp_path / "in", S.EVENT_DDL), "url", 300, late="12 hours")
+    query = St.write_versions(sessions, str(tmp_path / "s")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    versions = spark.read.parquet(str(tmp_path / "s/rows"))
+    assert versions.filter("n = 0").count() > 0
+    got = St.read_versions(spark, str(tmp_path / "s"), sessions.schema, ["url", "start"]).filter("n > 0")
+    batch = spark.read.schema(S.EVENT_DDL).json(str(tmp_path / "in")).filter("ts IS NOT NULL")
+    want = batch.groupBy(F.session_window("ts", "300 seconds").alias("w"), "url").count().select("url", "w.start", "w.end", "count")
+    assert sorted(map(tuple, got.filter("url IS NOT NULL").collect())) == sorted(map(tuple, want.filter("url IS NOT NULL").collect()))
+    assert [(r.url, r.n) for r in got.filter("url IS NULL").collect()] == [(None, 2)]
+    last = [p for p in query.recentProgress if p["stateOperators"]][-1]
+    assert last["stateOperators"][0]["numRowsTotal"] <= 4  # session and timer of z alone
+
+
+def test_enrichment_by_a_growing_manifest(spark, tmp_path):
+    """A line after its download matches, one out of range does not, a download without one appears behind the watermark."""
+
+    def event(minute, url):
+        return {"ts": iso(START + timedelta(minutes=minute)), "event": "download_complete", "url": url, "status": "ok", "event_id": minute}
+
+    write_batches(tmp_path / "in", [event(0, "a"), event(1, "b"), event(2, "c"), event(600, "x"), event(601, "y"), event(602, "a")], 2)
+    line = lambda minute, url: {"ts": iso(START + timedelta(minutes=minute)), "url": url, "path": f"p{minute}", "content_type": "t"}
+    write_batches(tmp_path / "lines", [line(20, "a"), line(90, "c"), line(3, "n"), line(600, "n"), line(601, "x"), line(700, "n")], 1)
+    ddl = f"event_id long, {S.EVENT_DDL}"
+    lines = stream(spark, tmp_path / "lines", "url string, ts timestamp, path string, content_type string")
+    enriched = St.stream_enrich(stream(spark, tmp_path / "in", ddl), lines, after="30 minutes", late="10 minutes")
+    query = St.write_stream(enriched, str(tmp_path / "out"), "parquet").trigger(availableNow=True).start()
+    query.awaitTermination()
+    told = spark.read.schema(enriched.schema).parquet(str(tmp_path / "out/rows"))
+    rows = {(r.event_id, r.path) for r in told.collect()}
+    assert {(0, "p20"), (1, None), (2, None), (600, "p601")} <= rows
+    rest = St.enrich_rest(spark.read.schema(ddl).json(str(tmp_path / "in")), told)
+    every = rows | {(r.event_id, r.path) for r in rest.collect()}
+    assert every == {(0, "p20"), (1, None), (2, None), (600, "p601"), (601, None), (602, None)}
+    assert len(rows) + rest.count() == 6
+    held = [p for p in query.recentProgress if p["stateOperators"]][-1]["stateOperators"][0]["numRowsTotal"]
+    assert held < 10  # of twelve rows in all
+
+
 def test_a_hook_sees_every_batch(spark, tmp_path):
     rows = [{"ts": iso(START), "event": "e", "url": f"u{i}"} for i in range(10)]
     write_batches(tmp_path / "in", rows, 4)
