@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,27 +15,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageframe.llm import perfect_hash
-from pageframe.llm.packing import BYTE_LETTERS
+from pageframe.llm.packing import BYTE_LETTERS, LATIN_END
 from pageframe.llm.texts import small_batches, stored
-from pageframe.llm.units import Remembered, per_worker, split_units
+from pageframe.llm.units import per_worker, split_units
 
-#: Characters of a text that are in work at once.
+#: Characters of a text that are encoded as one part.
 SEGMENT = 1 << 18
+#: Units of a generation; a Python worker keeps the ids of two of them.
+CACHED_UNITS = 300_000
+#: Tokens that are aligned at once.
+PART_TOKENS = 1 << 19
 #: Distinct pairs that a task counts before it sends them on.
 TASK_PAIRS = 1 << 21
 #: Tasks whose counts one dense vector takes, and vectors that one sum takes.
 FAN = 64
 #: Pairs whose counts a task looks up at once; more of them are looked up by passes of their own over the documents.
 LOOKUP_PAIRS = 1 << 22
-#: Units that a table remembers in a task.
-CACHED = 150_000
-FIELD = 40
 BREAK = re.compile(r"(?<=\S)(?= )")
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
-class Aligner:
-    """Aligns texts by the ids of tokenizer A (byte-level, a .json file) and B (pieces, a .model file)."""
+class Encoder:
+    """Ids of tokenizer A (byte-level, a .json file) and B (pieces, a .model file), for units of a text."""
 
     def __init__(self, path_a: str, path_b: str):
         from sentencepiece import SentencePieceProcessor
@@ -45,51 +48,51 @@ class Aligner:
         self.a.no_padding()
         self.b = SentencePieceProcessor(model_file=path_b)
         byte_of = {letter: b for b, letter in BYTE_LETTERS.items()}
-        self.bytes_a = {i: bytes(map(byte_of.__getitem__, token)) for token, i in self.a.get_vocab(with_added_tokens=False).items()}
+        vocabulary = self.a.get_vocab(with_added_tokens=False)
+        self.bytes_a = {i: bytes(map(byte_of.__getitem__, token)) for token, i in vocabulary.items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [
             bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
             for i, piece in enumerate(pieces)
         ]
-        self.size_b = len(pieces)
-        self.space = self.b.piece_to_id("▁")
         if any("▁" in piece.lstrip("▁") for piece in pieces) or b"identity" not in self.b.serialized_model_proto():
             raise ValueError("pieces that hold a space behind another character, or a normaliser, forbid to cut texts")
-        self.units = Remembered(self.align, CACHED)
+        self.space = self.b.piece_to_id("▁")
+        # A mark that no piece holds behind another character is a token of its own at the end of a word.
+        alone = [c for c in ".,;:!?" if not any(re.search(rf"[A-Za-z]{re.escape(c)}", piece) for piece in pieces)]
+        self.mark = {c: tuple(array("I", ids[-1:]).tobytes() for ids in (self.a.encode("x" + c).ids, self.b.encode("x" + c))) for c in alone}
+        self.size_b = [len(x) for x in self.bytes_b]
+        self.units: dict[str, tuple[bytes, bytes] | None] = {}
+        self.before: dict[str, tuple[bytes, bytes] | None] = {}
 
-    def ids_a(self, unit: str) -> list[int]:
-        if unit.isascii() and unit.isalpha():  # one pre-token, so the merges can be asked directly
-            return [token.id for token in self.a.model.tokenize(BYTE_LETTERS[32] + unit)]
-        return self.a.encode(" " + unit, add_special_tokens=False).ids
+    def marked(self, unit: str) -> bool:
+        return len(unit) > 1 and unit[-1] in self.mark and unit[-2].isascii() and unit[-2].isalpha()
 
-    def align(self, unit: str) -> tuple[int, str, bytes] | None:
-        """Of a unit without the space in front: packed numbers of ids and groups, groups as text, links as bytes.
+    def learn(self, units: set[str]) -> None:
+        """Ids by A and by B of units without the space in front; None where B's bytes are not the unit's own.
 
-        None where the bytes of its tokens are not its own.
+        When a generation of units is full the next begins; a unit of the one before is carried over when it is met.
         """
-        a = self.ids_a(unit)
-        b = self.b.encode(unit) if unit else [self.space]
-        bytes_a, bytes_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if not b"".join(bytes_a) == b"".join(bytes_b) == (" " + unit).encode():
-            return None
-        links, groups, i, j, first_i, first_j = [], [], 0, 0, 0, 0
-        end_a, end_b = len(bytes_a[0]), len(bytes_b[0])
-        while True:
-            links.append(a[i] * self.size_b + b[j])
-            reached = min(end_a, end_b)
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[first_i : i + 1]))}|{','.join(map(str, b[first_j : j + 1]))}")
-                first_i, first_j = i + 1, j + 1
-                if first_i == len(a):
-                    break
-            if end_a == reached:
-                i += 1
-                end_a += len(bytes_a[i])
-            if end_b == reached:
-                j += 1
-                end_b += len(bytes_b[j])
-        numbers = len(a) | len(b) << FIELD | len(groups) << 2 * FIELD
-        return numbers, ";".join(groups), np.array(links, "<i8").tobytes()
+        if len(self.units) >= CACHED_UNITS:
+            self.units, self.before = {}, self.units
+        for unit in units & self.before.keys():
+            self.units[unit] = self.before[unit]
+        fresh = units - self.units.keys()
+        marked = [unit for unit in fresh if self.marked(unit)]
+        words = list(fresh.difference(marked) | {unit[:-1] for unit in marked} - self.units.keys())
+        for unit, b in zip(words, self.b.encode(words, num_threads=1), strict=True):
+            if unit.isalpha() and max(unit) < LATIN_END:  # one pre-token, so the merges can be asked directly
+                piece = (" " + unit).encode().decode("latin-1").translate(BYTE_LETTERS)
+                a = [token.id for token in self.a.model.tokenize(piece)]
+            else:
+                a = self.a.encode(" " + unit, add_special_tokens=False).ids
+            b = b or [self.space]
+            # All bytes come back but those of U+2581, which B takes for a space.
+            same = sum([self.size_b[i] for i in b]) == len(unit.encode()) + 1
+            self.units[unit] = (array("I", a).tobytes(), array("I", b).tobytes()) if same else None
+        for unit in marked:
+            word, mark = self.units[unit[:-1]], self.mark[unit[-1]]
+            self.units[unit] = word and (word[0] + mark[0], word[1] + mark[1])
 
     def segments(self, text: str) -> Iterator[list[str]]:
         """The units of space + text without their leading spaces, a bounded number of characters at a time."""
@@ -101,89 +104,148 @@ class Aligner:
             yield [first[1:], *units] if first else units
             at = end
 
-    def pairs(self, text: str | None) -> np.ndarray:
-        """Distinct links of a text, as A's id times the size of B and B's id; none where bytes differ."""
-        found = np.zeros(0, np.int64)
-        for units in self.segments(text) if text else ():
-            known = [self.units[unit] for unit in set(units)]
+    def parts(self, segments: list[list[str]]) -> list[tuple[bytes, bytes]]:
+        """Ids of the segments of a text; none where the bytes of its tokens are not its own, which one unit decides."""
+        found = []
+        for units in segments:
+            known = [self.units[unit] for unit in units]
             if None in known:
-                return np.zeros(0, np.int64)
-            found = np.unique(np.concatenate([found, np.frombuffer(b"".join(x[2] for x in known), "<i8")]))
+                return []
+            found.append((b"".join([x[0] for x in known]), b"".join([x[1] for x in known])))
         return found
 
+    def rows(self, texts: list[str | None]) -> Iterator[list[tuple[bytes, bytes]]]:
+        """The parts of each text. Short texts are learned together, the segments of a long one each on its own."""
+        if len(texts) == 1:
+            found = []
+            for segment in self.segments(texts[0]) if texts[0] else ():
+                self.learn(set(segment))
+                part = self.parts([segment])
+                if not part:
+                    found = []
+                    break
+                found += part
+            yield found
+            return
+        segments = [list(self.segments(text)) if text else [] for text in texts]
+        self.learn({unit for text in segments for units in text for unit in units})
+        yield from map(self.parts, segments)
+
+
+def encoder(path_a: str, path_b: str) -> Encoder:
+    return per_worker(("encoder", path_a, path_b), lambda: Encoder(path_a, path_b))
+
+
+class Sizes(NamedTuple):
+    """Bytes of each id of A and of B."""
+
+    a: np.ndarray
+    b: np.ndarray
+
+
+def byte_sizes(own: Encoder) -> Sizes:
+    a = np.zeros(max(own.bytes_a) + 1, np.int64)
+    a[list(own.bytes_a)] = [len(x) for x in own.bytes_a.values()]
+    return Sizes(a, np.array([len(x) for x in own.bytes_b], np.int64))
+
+
+class Written:
+    """Every id with what may follow it, as rows of ASCII letters: `id,` and `id|` of A, from `offset` on `id,` and `id;` of B."""
+
+    def __init__(self, sizes: Sizes):
+        self.offset = 2 * len(sizes.a)
+        words = [f"{i}{end}" for side, ends in ((sizes.a, ",|"), (sizes.b, ",;")) for i in range(len(side)) for end in ends]
+        words = np.array(words, "S")
+        self.letters = words.view(np.uint8).reshape(len(words), words.dtype.itemsize)
+
+
+class Aligned:
+    """Parts of texts aligned by their bytes, side by side: each part ends with tokens of both."""
+
+    def __init__(self, parts: list[tuple[bytes, bytes]], sizes: Sizes):
+        self.a, self.b = (np.frombuffer(b"".join(side), "<u4").astype(np.int64) for side in zip(*parts, strict=True))
+        self.counts_a, self.counts_b = (np.array([len(x) // 4 for x in side]) for side in zip(*parts, strict=True))
+        self.ends_a, self.ends_b = np.cumsum(sizes.a[self.a]), np.cumsum(sizes.b[self.b])
+        ends = np.concatenate([self.ends_a, self.ends_b])
+        ends.sort(kind="stable")  # two runs in order
+        ends = ends[np.concatenate([ends[1:] != ends[:-1], [True]])]
+        # What lies between two neighbouring ends is in one token of A and one of B: a link.
+        at_a, at_b = np.searchsorted(self.ends_a, ends), np.searchsorted(self.ends_b, ends)
+        self.link_a = self.a[at_a]
+        self.pairs = self.link_a * len(sizes.b) + self.b[at_b]
+        self.part_ends = self.ends_a[np.cumsum(self.counts_a) - 1]
+        self.part = np.searchsorted(self.part_ends, ends)
+        self.groups = ends[(self.ends_a[at_a] == ends) & (self.ends_b[at_b] == ends)]
+
+    def by_part(self, values: np.ndarray) -> list[int]:
+        """Sums of a value of each link."""
+        sums = np.concatenate([[0], np.cumsum(values)])
+        return np.diff(sums[np.searchsorted(self.part, np.arange(len(self.part_ends) + 1))]).tolist()
+
+    def texts(self, written: Written) -> list[np.ndarray]:
+        """The groups of each part as ASCII, with a last semicolon."""
+        group_a, group_b = np.searchsorted(self.groups, self.ends_a), np.searchsorted(self.groups, self.ends_b)
+        place_a = np.arange(len(self.a)) + np.searchsorted(group_b, group_a)
+        place_b = np.arange(len(self.b)) + np.searchsorted(group_a, group_b, side="right")
+        order = np.empty(len(self.a) + len(self.b), np.int64)
+        order[place_a] = 2 * self.a + (self.groups[group_a] == self.ends_a)
+        order[place_b] = 2 * self.b + (self.groups[group_b] == self.ends_b) + written.offset
+        letters = written.letters[order]
+        ends = np.cumsum((letters > 0).sum(axis=1))[np.cumsum(self.counts_a + self.counts_b) - 1]
+        return np.split(letters[letters > 0], ends[:-1])
+
+
+def _grouped(rows: list, tokens: Callable[[object], int]) -> Iterator[list]:
+    """Consecutive rows together as long as they hold no more than PART_TOKENS; a longer row stands alone."""
+    group, held = [], 0
+    for row in rows:
+        size = tokens(row)
+        if group and held + size > PART_TOKENS:
+            yield group
+            group, held = [], 0
+        group.append(row)
+        held += size
+    if group:
+        yield group
+
+
+def _tokens(parts: list[tuple[bytes, bytes]]) -> int:
+    return sum(len(a) + len(b) for a, b in parts) // 4
+
+
+def _encoded(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
+    """(id, a, b): the ids of each part of a text, as little-endian unsigned 32-bit integers; no parts without tokens."""
 
-def aligner(path_a: str, path_b: str) -> Aligner:
-    return per_worker(("aligner", path_a, path_b), lambda: Aligner(path_a, path_b))
-
-
-class PairCounts:
-    """Counts of the pairs of some slices by their perfect hash, with the keys that prove an index."""
-
-    def __init__(self, n_slices: int, rows: list, best: np.ndarray, size_b: int):
-        parts = {row.slice: (np.array(row.sizes, np.int64), np.frombuffer(row.words, "<u8")) for row in rows}
-        self.hash = perfect_hash.PerfectHash(n_slices, parts)
-        self.keys = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(row.keys, "<i8") for row in rows)])
-        self.counts = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(row.counts, "<i8") for row in rows)])
-        self.best, self.size_b = best, size_b
-
-    def look_up(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The count of each pair, and whether it is the highest of its A id.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(*paths)
+        for batch in small_batches(batches, 4 << 20):
+            parts = list(own.rows(batch.column(1).to_pylist()))
+            sides = [pa.array([[part[side] for part in row] for row in parts], pa.list_(pa.binary())) for side in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sides], names=["id", "a", "b"])
 
-        Nothing for pairs whose key is not at their index: those of other slices, and of texts without tokens.
-        """
-        at = self.hash.index(pairs)
-        own = np.flatnonzero(at >= 0)
-        own = own[self.keys[at[own]] == pairs[own]]
-        counts = np.zeros(len(pairs), np.int64)
-        counts[own] = self.counts[at[own]]
-        return counts, (counts > 0) & (counts == self.best[pairs // self.size_b])
+    id_ddl = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"id {id_ddl}, a array<binary>, b array<binary>")
 
 
-class Describer:
-    """Result rows of texts; what is known of a unit includes the sums over its links."""
+def _parts_of(batch: pa.RecordBatch) -> list[list[tuple[bytes, bytes]]]:
+    return [list(zip(a, b, strict=True)) for a, b in zip(*(batch.column(name).to_pylist() for name in ("a", "b")), strict=True)]
 
-    def __init__(self, own: Aligner, counts: PairCounts):
-        self.own, self.counts = own, counts
-        self.known: dict[str, tuple | None] = {}
 
-    def learn(self, units: set[str]) -> None:
-        if len(self.known) > CACHED:
-            self.known.clear()
-        fresh = [unit for unit in units if unit not in self.known]
-        aligned = [self.own.units[unit] for unit in fresh]
-        links = [len(x[2]) // 8 if x else 0 for x in aligned]
-        pairs = np.frombuffer(b"".join(x[2] for x in aligned if x), "<i8")
-        counts, best = self.counts.look_up(pairs)
-        ends = np.cumsum([0, *links])
-        sums, bests = np.cumsum([0, *counts.tolist()])[ends], np.cumsum([0, *best.tolist()])[ends]
-        for unit, x, n, total, n_best in zip(fresh, aligned, links, np.diff(sums).tolist(), np.diff(bests).tolist(), strict=True):
-            self.known[unit] = x and (x[0], n | n_best << FIELD | total << 2 * FIELD, x[1])
-
-    def describe(self, text: str | None) -> tuple:
-        """The numbers of COLUMNS and the digest of the groups."""
-        digest, numbers, sums = hashlib.sha256(), 0, 0
-        for part, units in enumerate(self.own.segments(text) if text else ()):
-            self.learn(set(units))
-            known = [self.known[unit] for unit in units]
-            if None in known:
-                return (0,) * len(COLUMNS) + ("",)
-            if part:
-                digest.update(b";")
-            digest.update(";".join(x[2] for x in known).encode())
-            numbers += sum(x[0] for x in known)
-            sums += sum(x[1] for x in known)
-        low = (1 << FIELD) - 1
-        fields = [n >> shift & low for n in (numbers, sums) for shift in (0, FIELD)]
-        n_a, n_b, n_links, n_best = fields
-        row = (n_a, n_b, numbers >> 2 * FIELD, n_links, n_best, sums >> 2 * FIELD)
-        return (*row, digest.hexdigest() if text else "")
-
-
-def _pairs_of_tasks(docs: DataFrame, text_col: str, paths: tuple[str, str]) -> DataFrame:
+def _pairs_of_tasks(encoded: DataFrame, sizes: Sizes) -> DataFrame:
     """(task, pair, n): how many of a task's documents hold a pair. A task of very many pairs may tell one in parts."""
+    shift = (len(sizes.a) * len(sizes.b)).bit_length()
+
+    def distinct(rows: list) -> np.ndarray:
+        """The distinct pairs of each document, one document after the other."""
+        if len(rows) == 1:  # it may be long
+            parts = [np.unique(Aligned(group, sizes).pairs) for group in _grouped(rows[0], lambda part: _tokens([part]))]
+            return np.unique(np.concatenate(parts))
+        found = Aligned([part for row in rows for part in row], sizes)
+        doc = np.repeat(np.arange(len(rows)), [len(row) for row in rows])[found.part]
+        return np.unique(doc << shift | found.pairs) & (1 << shift) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, task = aligner(*paths), TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         waiting: list[np.ndarray] = []
 
@@ -197,14 +259,11 @@ def _pairs_of_tasks(docs: DataFrame, text_col: str, paths: tuple[str, str]) -> D
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), task)), pa.array(pairs), pa.array(counts)], names=["task", "pair", "n"])
 
-        held = 0
         for batch in small_batches(batches):
-            for text in batch.column(0):
-                waiting.append(own.pairs(text.as_py()))
-                held += len(waiting[-1])
-                if held >= TASK_PAIRS:
+            for rows in _grouped([row for row in _parts_of(batch) if row], _tokens):
+                waiting.append(distinct(rows))
+                if sum(map(len, waiting)) >= TASK_PAIRS:
                     pairs, counts = merged()
-                    held = 0
                     if len(pairs) >= TASK_PAIRS:
                         yield out()
                         pairs, counts = pairs[:0], counts[:0]
@@ -212,7 +271,33 @@ def _pairs_of_tasks(docs: DataFrame, text_col: str, paths: tuple[str, str]) -> D
         if len(pairs):
             yield out()
 
-    return docs.select(text_col).mapInArrow(run, "task long, pair long, n long")
+    return encoded.select("a", "b").mapInArrow(run, "task long, pair long, n long")
+
+
+class PairCounts:
+    """Counts of the pairs of some slices by their perfect hash, with the keys that prove an index."""
+
+    def __init__(self, n_slices: int, rows: list, best: np.ndarray):
+        parts = {row.slice: (np.array(row.sizes, np.int64), np.frombuffer(row.words, "<u8")) for row in rows}
+        self.hash = perfect_hash.PerfectHash(n_slices, parts)
+        self.keys = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(row.keys, "<i8") for row in rows)])
+        self.counts = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(row.counts, "<i8") for row in rows)])
+        self.best = best
+
+    def look_up(self, pairs: np.ndarray) -> np.ndarray:
+        """The count of each pair; 0 for one of another slice, which has no key of its own at its index."""
+        counts = np.zeros(len(pairs), np.int64)
+        at = self.hash.index(pairs)
+        own = np.flatnonzero(at >= 0)
+        own = own[self.keys[at[own]] == pairs[own]]
+        counts[own] = self.counts[at[own]]
+        return counts
+
+    def of_links(self, found: Aligned) -> tuple[list[int], list[int]]:
+        """For each part: links whose count is the highest of their A id, and the sum of the counts."""
+        pairs, place = np.unique(found.pairs, return_inverse=True)
+        counts = self.look_up(pairs)[place]
+        return found.by_part((counts > 0) & (counts == self.best[found.link_a])), found.by_part(counts)
 
 
 def _build_slice(key: tuple, table: pa.Table) -> pa.Table:
@@ -242,13 +327,13 @@ def _added(key: tuple, vectors: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([part.as_py()]) for part in key] + [pa.array([total.tobytes()], pa.binary())], schema=VECTOR)
 
 
-def pair_table(docs: DataFrame, text_col: str, paths: tuple[str, str], slice_keys: int, fan: int) -> tuple[DataFrame, int]:
+def pair_table(encoded: DataFrame, sizes: Sizes, slice_keys: int, fan: int) -> tuple[DataFrame, int]:
     """(slice, sizes, words, keys, counts) for each slice of the distinct pairs, stored; and the number of slices.
 
     The counts of `fan` tasks meet in one dense vector, `fan` vectors in one sum, and so on, so a task never takes in
     more than that of a slice, whatever the number of documents.
     """
-    told = stored(_pairs_of_tasks(docs, text_col, paths), "pairs-told")
+    told = stored(_pairs_of_tasks(encoded, sizes), "pairs-told")
     distinct = stored(told.select("pair").distinct(), "pairs")
     slices = perfect_hash.slice_count(distinct.count(), slice_keys)
     sliced = (F.col("pair") % slices).alias("slice")
@@ -269,8 +354,9 @@ def pair_table(docs: DataFrame, text_col: str, paths: tuple[str, str], slice_key
     return stored(functions.join(vectors.drop("branch"), "slice"), "pair-counts"), slices
 
 
-def _best(table: DataFrame, size_b: int, size_a: int) -> np.ndarray:
+def _best(table: DataFrame, sizes: Sizes) -> np.ndarray:
     """The highest count of each A id; no more rows than A has ids reach the driver."""
+    size_a, size_b = len(sizes.a), len(sizes.b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.zeros(size_a, np.int64)
@@ -287,21 +373,33 @@ def _best(table: DataFrame, size_b: int, size_a: int) -> np.ndarray:
     return best
 
 
-def _described(docs: DataFrame, paths: tuple[str, str], counts: PairCounts) -> DataFrame:
-    known = docs.sparkSession.sparkContext.broadcast(counts)
+def _described(encoded: DataFrame, sizes: Sizes, counts: PairCounts) -> DataFrame:
+    known = encoded.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Describer(aligner(*paths), known.value)
-        for batch in small_batches(batches, 1 << 20):
-            texts = batch.column(1).to_pylist()
-            if len(texts) > 1:
-                own.learn({unit for text in texts if text for units in own.own.segments(text) for unit in units})
-            columns = list(zip(*map(own.describe, texts), strict=True))
-            arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.string())]
+        written = Written(sizes)
+        for batch in small_batches(batches):
+            rows = _parts_of(batch)
+            numbers = np.zeros((len(rows), len(COLUMNS)), np.int64)
+            digests = [hashlib.sha256() if row else None for row in rows]
+            ended = [b""] * len(rows)  # the last semicolon of what came before
+            numbered = [(doc, part) for doc, row in enumerate(rows) for part in row]
+            for group in _grouped(numbered, lambda x: _tokens([x[1]])):
+                docs = [doc for doc, _ in group]
+                found = Aligned([part for _, part in group], sizes)
+                n_groups = np.diff(np.searchsorted(found.groups, [0, *found.part_ends.tolist()], side="right"))
+                sums = [found.counts_a, found.counts_b, n_groups, found.by_part(np.ones(len(found.pairs), np.int64)), *known.value.of_links(found)]
+                np.add.at(numbers, docs, np.array(sums, np.int64).T)
+                for doc, text in zip(docs, found.texts(written), strict=True):
+                    digests[doc].update(ended[doc])
+                    digests[doc].update(text[:-1])
+                    ended[doc] = b";"
+            hashes = [digest.hexdigest() if digest else "" for digest in digests]
+            arrays = [batch.column("id"), *(pa.array(column) for column in numbers.T), pa.array(hashes, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", *COLUMNS, "groups_sha256"])
 
-    id_ddl = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {id_ddl}, {', '.join(f'{c} long' for c in COLUMNS)}, groups_sha256 string")
+    id_ddl = encoded.schema["id"].dataType.simpleString()
+    return encoded.mapInArrow(run, f"id {id_ddl}, {', '.join(f'{c} long' for c in COLUMNS)}, groups_sha256 string")
 
 
 def align_tokens(
@@ -316,28 +414,27 @@ def align_tokens(
 ) -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for each row of `docs`.
 
-    A first pass over the documents gathers the distinct pairs of linked ids with their counts by task. The pairs get a
-    minimal perfect hash, slice by slice; counts are dense vectors in its order, summed as a tree. A second pass aligns
-    the documents again and looks each link up, proven by the key at its index. A task holds at most `lookup_pairs`
-    pairs at once, 20 bytes each; where there are more, that many slices at a time are looked up in a pass of their
-    own, and the sums are added by row.
+    Texts are cut into units that neither tokenizer reaches across, so each distinct unit is encoded once by a task; the
+    ids are stored. A first pass aligns them and gathers the distinct pairs of linked ids with their counts by task. The
+    pairs get a minimal perfect hash, slice by slice; counts are dense vectors in its order, summed as a tree. A second
+    pass aligns again and looks each link up, proven by the key at its index. A task holds at most `lookup_pairs` pairs at
+    once, 20 bytes each; where there are more, that many slices at a time are looked up in a pass of their own, and
+    the sums are added by row.
 
-    Texts are cut into units that neither tokenizer reaches across, so each distinct unit is encoded once by a task.
     Null and empty texts, and those with bytes that a tokenizer does not give back (B writes U+2581 as a space), have no
     tokens: zeros and ''. Rows that repeat, or have no id, count and are counted like others; further columns are left
     out. No rows give no rows.
     """
     paths = (path_a, path_b)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    size_b = aligner(*paths).size_b
-    size_a = max(aligner(*paths).bytes_a) + 1
-    table, slices = pair_table(rows, "text", paths, slice_keys, fan)
-    best = _best(table, size_b, size_a)
+    sizes = byte_sizes(Encoder(*paths))
+    encoded = stored(_encoded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), paths), "token-ids")
+    table, slices = pair_table(encoded, sizes, slice_keys, fan)
+    best = _best(table, sizes)
     at_once = max(1, lookup_pairs // slice_keys)
     passes = []
     for first in range(0, slices, at_once):
         own = table.filter(F.col("slice").between(first, first + at_once - 1)).orderBy("slice").collect()
-        passes.append(_described(rows, paths, PairCounts(slices, own, best, size_b)))
+        passes.append(_described(encoded, sizes, PairCounts(slices, own, best)))
     result = passes[0]
     if len(passes) > 1:
         for more in passes[1:]:
