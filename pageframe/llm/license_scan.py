@@ -25,6 +25,14 @@ TEMPLATES = [
     ("all-rights-reserved", "all rights reserved"),
 ]
 CONTAINMENT = 0.8
+#: Of a one-line template these words must stand in the block one after the other: without them it is another licence.
+CORES = {
+    "mit": "mit license",
+    "apache-2": "apache license version 2",
+    "cc-by-nc": "cc by nc",
+    "gpl-3": "gnu general public license version 3",
+    "all-rights-reserved": "all rights reserved",
+}
 #: Canonical notices, folded; they have blocks of their own length. `gnu` heads files under the GPL, LGPL or AGPL.
 NOTICES = [
     (
@@ -77,15 +85,16 @@ def block_step(templates: list[tuple[str, str]]) -> int:
     return max((len(words.split()) for _, words in templates), default=1)
 
 
-def _words_and_hits(text: Column, vocabulary: list[str]) -> Column:
-    """(n_words, hits): hits are the places of words of the vocabulary, as (pos, token) in order."""
+def _words_and_hits(text: Column, vocabulary: list[str], gate: list[str]) -> Column:
+    """(n_words, hits, gated): places of words of the vocabulary as (pos, token) in order, and whether a gate word is there."""
 
     def of(parts: Column) -> Column:
         lead = F.when(parts[0] == "", 1).otherwise(0)
         tail = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
         places = F.array_compact(F.transform(parts, lambda w, i: F.when(w.isin(vocabulary), i)))
         hits = F.transform(places, lambda p: F.struct((p - lead).alias("pos"), parts[p].alias("token")))
-        return F.struct((F.size(parts) - lead - tail).cast("long").alias("n_words"), hits.alias("hits"))
+        gated = F.exists(parts, lambda w: w.isin(gate))
+        return F.struct((F.size(parts) - lead - tail).cast("long").alias("n_words"), hits.alias("hits"), gated.alias("gated"))
 
     return F.transform(F.array(F.split(text, BETWEEN)), of)[0]  # one element, so the text is split once
 
@@ -103,13 +112,13 @@ def _phrase_starts(phrase: str) -> Column:
     return F.transform(F.filter(first, here), lambda j: F.col("hits.pos")[j])
 
 
-def _may_hold(text: Column, templates: list[tuple[str, str]], threshold: float) -> Column:
-    """False only for texts that hold no template: of t words, `need` of them met, one of any t - need + 1 must be there."""
+def _gate(templates: list[tuple[str, str]], threshold: float) -> list[str]:
+    """Words one of which stands in every text that holds a template: of t, `need` of them met, one of any t - need + 1."""
     some = set()
     for _, words in templates:
         tokens = sorted(set(words.split()), key=lambda token: (-len(token), token))
         some.update(tokens[: len(tokens) - math.ceil(threshold * len(tokens) - 1e-9) + 1])
-    return text.rlike("|".join(sorted(some))) if some else F.lit(False)
+    return sorted(some)
 
 
 def _ordered_templates(hits: DataFrame, templates: list[tuple[str, str]], threshold: float) -> list[dict]:
@@ -129,13 +138,16 @@ def _ordered_templates(hits: DataFrame, templates: list[tuple[str, str]], thresh
     return out
 
 
-def similar_blocks(hits: DataFrame, templates: list[tuple[str, str]], threshold: float = CONTAINMENT) -> DataFrame:
+def similar_blocks(
+    hits: DataFrame, templates: list[tuple[str, str]], threshold: float = CONTAINMENT, cores: dict[str, str] | None = None
+) -> DataFrame:
     """(row, block, label, containment): every block that holds at least `threshold` of a template's words.
 
     `hits` has (row, n_words, hits). A block must hold one of the rarest words of a template, its prefix: with t words
     and `need` of them to be met, one of the t - need + 1 rarest. Only rows with such a word are taken apart. A
     candidate goes on only if the block is long enough (length filter) and if the template's words from the first
-    one met on, and the block's, still suffice (positional filter). Then the overlap is counted.
+    one met on, and the block's, still suffice (positional filter). Then the overlap is counted. Where `cores` has a
+    phrase for a label, its words must also stand one after the other in the block.
     """
     spark = hits.sparkSession
     step = block_step(templates)
@@ -167,12 +179,20 @@ def similar_blocks(hits: DataFrame, templates: list[tuple[str, str]], threshold:
     rest = F.slice("t_tokens", F.col("i") + 1, F.size("t_tokens"))
     enough_left = F.least(F.size(rest), F.size(F.array_except("b_tokens", F.slice("t_tokens", F.lit(1), F.col("i"))))) >= F.col("need")
     overlap = F.size(F.array_intersect(rest, F.col("b_tokens")))
-    return (
+    found = (
         met.filter(long_enough & enough_left)
         .withColumn("overlap", overlap)
         .filter("overlap >= need")
         .select("row", "block", "label", (F.col("overlap") / F.size("t_tokens")).alias("containment"))
     )
+    if not cores:
+        return found
+    named = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(len(core.split())).alias("k"), _phrase_starts(core).alias("starts")) for label, core in cores.items()])
+    starts = hits.select("row", F.explode(named).alias("core")).filter(F.size("core.starts") > 0).select("row", "core.*")
+    first = F.col("block") * step
+    inside = F.exists("starts", lambda p: (p >= first) & (p + F.col("k") <= first + 2 * step))
+    free = ~F.col("label").isin(list(cores))
+    return found.join(starts, ["row", "label"], "left").filter(free | F.coalesce(inside, F.lit(False))).select(*found.columns)
 
 
 def license_scan(
@@ -183,6 +203,7 @@ def license_scan(
     templates: list[tuple[str, str]] | None = None,
     threshold: float = CONTAINMENT,
     notices: list[tuple[str, str]] | None = None,
+    cores: dict[str, str] | None = None,
 ) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row.
 
@@ -190,24 +211,27 @@ def license_scan(
     labels come from phrases whose words stand one after the other, `labels` holds those of similar blocks too, and
     the score is the largest containment that was found: 1 for a base place, 0 where nothing is. Null and empty
     texts have no words; the word columns are then null and the labels empty. Rows that repeat are scanned alike.
-    `notices` are templates too, longer ones, looked for in longer blocks.
+    `notices` are templates too, longer ones, looked for in longer blocks. `cores` name what a block must say of a
+    short template for its label to be given.
     """
+    cores = CORES if cores is None else cores
     phrases = PHRASES if phrases is None else phrases
     templates = TEMPLATES if templates is None else templates
     notices = NOTICES if notices is None else notices
-    vocabulary = sorted({w for text in [*phrases, *(words for _, words in templates)] for w in text.split()})
+    vocabulary = sorted({w for text in [*phrases, *cores.values(), *(words for _, words in templates)] for w in text.split()})
     notice_words = sorted({w for _, words in notices for w in words.split()})
     text = folded(F.col(text_col))
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("id"),
-        _words_and_hits(text, vocabulary).alias("found"),
-        F.when(_may_hold(text, notices, threshold), _words_and_hits(text, notice_words)["hits"]).alias("notice_hits"),
-    ).select("row", "id", "found.*", "notice_hits")
-    rows = stored(rows, "license-hits")
+        text.alias("text"),
+        _words_and_hits(text, vocabulary, _gate(notices, threshold)).alias("found"),
+    )
+    noticed = F.when(F.col("found.gated"), _words_and_hits(F.col("text"), notice_words, [])["hits"])
+    rows = stored(rows.select("row", "id", "found.n_words", "found.hits", noticed.alias("notice_hits")), "license-hits")
     noted = rows.filter("notice_hits IS NOT NULL").select("row", "n_words", F.col("notice_hits").alias("hits"))
     similar = (
-        similar_blocks(rows, templates, threshold)
+        similar_blocks(rows, templates, threshold, cores)
         .unionByName(similar_blocks(noted, notices, threshold))
         .groupBy("row")
         .agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))

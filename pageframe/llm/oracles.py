@@ -1,5 +1,10 @@
 """Expected results of the dealt operators as DuckDB SQL, where SQL can express them."""
 
+from pageframe.llm.license_scan import NOTICES
+
+_NOTICES = ", ".join(f"('{label}', '{words}')" for label, words in NOTICES)
+_TEXTS = ", ".join(f"('{words}')" for _, words in NOTICES)
+
 ORACLES = {
     "op2_substring_dedup": r"""
         with docs as (
@@ -55,12 +60,15 @@ ORACLES = {
                 '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as words
             from documents
         ), templates as (
-            select label, string_split(words, ' ') as words, 0.8 as least from (values
-                ('mit', 'released under the mit license'),
-                ('apache-2', 'licensed under the apache license version 2 0'),
-                ('cc-by-nc', 'licensed under cc by nc 4 0'),
-                ('gpl-3', 'this work is licensed under the gnu general public license version 3'),
-                ('all-rights-reserved', 'all rights reserved')) t(label, words)
+            select label, string_split(words, ' ') as words, string_split(core, ' ') as core from (values
+                ('mit', 'released under the mit license', 'mit license'),
+                ('apache-2', 'licensed under the apache license version 2 0', 'apache license version 2'),
+                ('cc-by-nc', 'licensed under cc by nc 4 0', 'cc by nc'),
+                ('gpl-3', 'this work is licensed under the gnu general public license version 3', 'gnu general public license version 3'),
+                ('all-rights-reserved', 'all rights reserved', 'all rights reserved')) t(label, words, core)
+        ), notices as (
+            select label, list_distinct(string_split(words, ' ')) as words from (values
+                @NOTICES@) t(label, words)
         ), phrases as (
             select label, string_split(words, ' ') as words from (values
                 ('mit', 'under the mit license'), ('apache-2', 'apache license version 2'),
@@ -78,11 +86,20 @@ ORACLES = {
             from (select row, words, unnest(range(1, len(words) + 1)) as p from docs) d
             join (select label, words, unnest(words) as token from templates) t on d.words[p] = t.token
         ), alike as (
+            select row, label, c from (
+                select row, label, block, count(distinct token) / any_value(n) as c
+                from tokens where block >= 0 group by row, label, block)
+            join (select row, words from docs) using (row) join (select label, core from templates) using (label)
+            where c >= 0.8 and len(list_filter(range(block * 12 + 1, block * 12 + 26 - len(core)), lambda p: words[p:p + len(core) - 1] = core)) > 0
+        ), noted as (
+            select row, n.label, len(list_intersect(list_distinct(d.words[lo:lo + 2 * step - 1]), n.words)) / len(n.words) as c
+            from (select row, words, unnest(range(1, len(words) + 1, (select max(len(string_split(w, ' '))) from (values @TEXTS@) t(w)))) as lo,
+                         (select max(len(string_split(w, ' '))) from (values @TEXTS@) t(w)) as step from docs) d, notices n
+        ), best as (
             select row, label, max(c) as best from (
-                select row, label, block, count(distinct token) / any_value(n) as c, any_value(n) as n
-                from tokens where block >= 0 group by row, label, block) where c >= 0.8 group by row, label
+                select row, label, c from alike union all select row, label, c from noted where c >= 0.8) group by row, label
         ), more as (
-            select row, list(label) as labels, max(best) as best from alike group by row
+            select row, list(label) as labels, max(best) as best from best group by row
         )
         select doc_id, len(words)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
                array_to_string(list_sort(coalesce(b.labels, [])), ',') as base_labels,
@@ -119,3 +136,4 @@ ORACLES = {
         window best as (partition by item order by score desc, doc_id) qualify row_number() over best <= 10
     """,
 }
+ORACLES["op10_license_scan"] = ORACLES["op10_license_scan"].replace("@NOTICES@", _NOTICES).replace("@TEXTS@", _TEXTS)

@@ -256,7 +256,16 @@ def slow_scan(text):
     step = license_scan.block_step(license_scan.TEMPLATES)
     for at in range(0, len(words), step):
         block = set(words[at : at + 2 * step])
+        run = f" {' '.join(words[at : at + 2 * step])} "
         for label, text in license_scan.TEMPLATES:
+            share = len(block & set(text.split())) / len(set(text.split()))
+            if share >= 0.8 and f" {license_scan.CORES[label]} " in run:
+                labels.add(label)
+                best = max(best, share)
+    step = license_scan.block_step(license_scan.NOTICES)
+    for at in range(0, len(words), step):
+        block = set(words[at : at + 2 * step])
+        for label, text in license_scan.NOTICES:
             share = len(block & set(text.split())) / len(set(text.split()))
             if share >= 0.8:
                 labels.add(label)
@@ -276,6 +285,7 @@ def test_licenses_against_brute_force(spark):
         lead = " ".join(rng.choice(filler) for _ in range(rng.randrange(40)))
         rows.append((200 + i, f"({lead}) {', '.join(words)}; tail"))
     rows += [(500, "cc by nc cc-by-nc CC BY NC"), (501, None), (502, ""), (503, " .,"), (504, "a " * 60_000 + "Under the MIT License"), (504, "twice")]
+    rows += [(600 + i, f"{label} {words.upper()} x y z") for i, (label, words) in enumerate(license_scan.NOTICES)]
     rows += [(505, "Éunder the mit license"), (506, "under\nthe mit license"), (507, "apache license, version 2.0"), (None, "all rights reserved")]
     df = docs_of(spark, [(i, t, "s") for i, t in rows])
     got = license_scan.license_scan(df).collect()
@@ -304,6 +314,18 @@ def test_canonical_notices_are_labelled(spark):
         assert not others & set(got[i])
 
 
+def test_another_licence_is_not_taken_for_one(spark):
+    texts = [
+        "released under the BSD license", "released under the GPL license", "licensed under the GPL license version 2 0",
+        "all rights are granted; reserved seats", "all rights are reserved", "this work is licensed under the gnu general public license version 2",
+    ]
+    named = ["released under the MIT license", "All rights reserved.", "licensed under the Apache license version 2", "licensed under CC BY NC 4"]
+    rows = [(i, text, "s") for i, text in enumerate(texts + named)]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_scan(docs_of(spark, rows)).collect()}
+    assert [got[i] for i in range(len(texts))] == [("", 0.0)] * len(texts)
+    assert [got[len(texts) + i][0] for i in range(4)] == ["mit", "all-rights-reserved", "apache-2", "cc-by-nc"]
+
+
 def test_license_scan_runs_no_python(spark):
     plan = license_scan.license_scan(docs_of(spark, [(1, "x", "s")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
