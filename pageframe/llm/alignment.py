@@ -22,11 +22,11 @@ from pageframe.llm.units import per_worker, split_units
 #: Characters of a text that are encoded as one part.
 SEGMENT = 1 << 18
 #: Units of a generation; a Python worker keeps the ids of two of them.
-CACHED_UNITS = 300_000
+CACHED_UNITS = 100_000
 #: Tokens that are aligned at once.
-PART_TOKENS = 1 << 19
+PART_TOKENS = 1 << 17
 #: Distinct pairs that a task counts before it sends them on.
-TASK_PAIRS = 1 << 21
+TASK_PAIRS = 1 << 20
 #: Tasks whose counts one dense vector takes, and vectors that one sum takes.
 FAN = 64
 #: Pairs whose counts a task looks up at once; more of them are looked up by passes of their own over the documents.
@@ -218,7 +218,7 @@ def _encoded(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(*paths)
-        for batch in small_batches(batches, 4 << 20):
+        for batch in small_batches(batches, 1 << 20):
             parts = list(own.rows(batch.column(1).to_pylist()))
             sides = [pa.array([[part[side] for part in row] for row in parts], pa.list_(pa.binary())) for side in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *sides], names=["id", "a", "b"])

@@ -62,6 +62,12 @@ def fit_cells(vectors: DataFrame, count: int, cell_size: int = CELL_SIZE) -> dic
     }
 
 
+def centroid_distances(centroids: np.ndarray) -> np.ndarray:
+    """Distances of all centroids, never too small; one number for a pair of them, whatever their dimension."""
+    squares = (centroids * centroids).sum(axis=1)
+    return np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * centroids @ centroids.T, 0)) + 1e-6
+
+
 def _assign(models: dict[int, np.ndarray], threshold: float):
     """The own cell of each vector, and the cells that it visits: those whose border it lies close to.
 
@@ -70,6 +76,7 @@ def _assign(models: dict[int, np.ndarray], threshold: float):
     radius = sqrt(max(0.0, 2.0 - 2.0 * threshold) + 1e-12)  # rounded products may link slightly farther ones
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distances: dict[int, np.ndarray] = {}
         for batch in batches:
             lists = batch.column("vector")
             sizes = np.diff(np.asarray(lists.offsets))
@@ -78,7 +85,9 @@ def _assign(models: dict[int, np.ndarray], threshold: float):
                 part = batch.take(pa.array(rows))
                 x = unit_rows(part.column("vector").flatten().to_numpy().astype(float).reshape(len(rows), size))
                 centroids = models.get(int(size), np.eye(1, size))
-                apart = np.linalg.norm(centroids[:, None, :] - centroids[None, :, :], axis=2)
+                if size not in distances:
+                    distances[size] = centroid_distances(centroids)
+                apart = distances[size]
                 for at in range(0, len(rows), 4096):
                     some = part.slice(at, 4096)
                     likeness = x[at : at + 4096] @ centroids.T

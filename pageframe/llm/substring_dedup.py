@@ -62,6 +62,10 @@ def _sliding(values: np.ndarray, width: int, best) -> np.ndarray:
     return best(values[:-gap], values[gap:]) if gap else values
 
 
+#: Anchors whose possible starts are in work at once.
+STRIP = 1 << 15
+
+
 def anchors(hashes: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The short windows that stand for long ones: (position in the flat words, hash, lo, hi).
 
@@ -84,18 +88,20 @@ def anchors(hashes: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.nd
     cover = np.zeros(len(short) + inside - 1, np.uint64)
     cover[inside - 1 : inside - 1 + len(least)] = np.where(whole, least, np.uint64(0))
     at = np.flatnonzero(_sliding(cover, inside, np.maximum)[: len(short)] == short)
-    # Of an anchor's possible starts those count whose smallest hash is its own.
+    # Of an anchor's possible starts those count whose smallest hash is its own; a strip of anchors is looked at at once.
     steps = np.arange(inside)[::-1]
-    spans = at[:, None] - steps[None, :]
-    inside_array = (spans >= 0) & (spans < len(least))
-    clipped = np.clip(spans, 0, len(least) - 1)
-    mine = inside_array & whole[clipped] & (least[clipped] == short[at][:, None])
-    some = mine.any(axis=1)
-    at, spans, mine = at[some], spans[some], mine[some]
-    first = mine.argmax(axis=1)
-    last = inside - 1 - mine[:, ::-1].argmax(axis=1)
-    rows = np.arange(len(at))
-    return at, short[at], spans[rows, first], spans[rows, last]
+    kept = []
+    for strip in (at[i : i + STRIP] for i in range(0, len(at), STRIP)):
+        spans = strip[:, None] - steps[None, :]
+        clipped = np.clip(spans, 0, len(least) - 1)
+        mine = (spans == clipped) & whole[clipped] & (least[clipped] == short[strip][:, None])
+        some = mine.any(axis=1)
+        strip, spans, mine = strip[some], spans[some], mine[some]
+        rows = np.arange(len(strip))
+        last = inside - 1 - mine[:, ::-1].argmax(axis=1)
+        kept.append((strip, spans[rows, mine.argmax(axis=1)], spans[rows, last]))
+    at, lo, hi = (np.concatenate([none, *parts]) for parts in (list(zip(*kept, strict=True)) or [(), (), ()]))
+    return at, short[at], lo, hi
 
 
 def _context(lane: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int) -> np.ndarray:
