@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from pageframe.functions.constants import RETRYABLE_STATUS
+from pageframe.operators.asof import asof_join
 from pageframe.operators.running import running_totals
 from pageframe.sources.checkpoints import cut_lineage
 
@@ -311,6 +312,38 @@ def host_healthy(
     )
 
 
+def host_healthy_at(
+    log: DataFrame,
+    instants: DataFrame,
+    min_score: float = -100.0,
+    max_streak: int = 5,
+    recovery_seconds: int = 300,
+    slice_seconds: float = SLICE_SECONDS,
+) -> DataFrame:
+    """`host_healthy` for every row (host, at) of `instants`, as the log stood then.
+
+    Score and number of events run along the log; an instant takes them from
+    the last event before it, and again from the last success and the last
+    failure, whose numbers give the streak. Hosts not seen by then have a score
+    of 0 and are healthy.
+    """
+    points = health_points(F.col("ok"), F.col("rt"), F.col("status"))
+    scored = with_slice(log, slice_seconds).select("host", "ts", "event_id", "ok", "slice", points.alias("points"), F.lit(1).alias("one"))
+    ran = running_totals(scored, {"health": "points", "n": "one"}, ["host"], "slice", ["ts", "event_id"]).withColumn("at", F.col("ts"))
+    found = instants.select("host", "at")
+    for events, fields in (
+        (ran, {"health": "health", "n": "n"}),
+        (ran.filter("ok"), {"n_ok": "n"}),
+        (ran.filter("NOT ok"), {"last_failure": "ts"}),
+    ):
+        found = asof_join(found, events, ["host"], "at", fields, tie="event_id")
+    streak = F.coalesce(F.col("n") - F.coalesce("n_ok", F.lit(0)), F.lit(0))
+    since = (F.unix_micros("at") - F.unix_micros("last_failure")) / 1e6
+    resting = F.coalesce((streak >= max_streak) & (since < recovery_seconds), F.lit(False))
+    health = F.coalesce("health", F.lit(0.0))
+    return found.select("host", "at", health.alias("health"), streak.alias("current_streak"), ((health >= min_score) & ~resting).alias("healthy"))
+
+
 def host_rank(log: DataFrame, as_of: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Hosts by a composite penalty, lower is better; equal penalties share a rank.
 

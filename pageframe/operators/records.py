@@ -313,10 +313,14 @@ def crawl_summary(events: DataFrame) -> DataFrame:
 def progress(events: DataFrame, bucket: str = "1 hour") -> DataFrame:
     """Counts of visited, failed, active and queued fetches, files and APIs so far, at the end of each time bucket.
 
-    A URL is queued from its `enqueue` event until its fetch starts. Events are counted per bucket first; running sums go over the buckets, day by day.
+    Visited are distinct URLs: each counts from the first start of its fetch. A URL is queued from its `enqueue` event
+    until its fetch starts. Events are counted per bucket first; running sums go over the buckets, day by day.
     """
     event = F.col("event")
-    counted = events.groupBy(F.window("ts", bucket)["end"].alias("until")).agg(
+    firsts = events.filter(event == "fetch_start").groupBy("url").agg(F.min("ts").alias("ts"))
+    marked = events.select("ts", "event", "status").unionByName(firsts.select("ts", F.lit("first_start").alias("event")), allowMissingColumns=True)
+    counted = marked.groupBy(F.window("ts", bucket)["end"].alias("until")).agg(
+        F.count_if(event == "first_start").alias("visited"),
         F.count_if(event == "fetch_start").alias("started"),
         F.count_if(event == "fetch_ok").alias("ok"),
         F.count_if(event == "fetch_fail").alias("failed"),
@@ -326,12 +330,12 @@ def progress(events: DataFrame, bucket: str = "1 hour") -> DataFrame:
     )
     # one row per bucket: stored, as the running sums read it twice
     counted = cut_lineage(counted).withColumn("day", F.to_date("until"))
-    names = ("started", "ok", "failed", "files", "enqueued", "apis")
+    names = ("visited", "started", "ok", "failed", "files", "enqueued", "apis")
     out = running_totals(counted, {f"{name}_so_far": name for name in names}, [], "day", ["until"])
     active = F.col("started_so_far") - F.col("ok_so_far") - F.col("failed_so_far")
     return out.select(
         "until",
-        F.col("ok_so_far").alias("visited"),
+        F.col("visited_so_far").alias("visited"),
         F.col("failed_so_far").alias("failed"),
         active.alias("active"),
         F.greatest(F.lit(0), F.col("enqueued_so_far") - F.col("started_so_far")).alias("queued"),

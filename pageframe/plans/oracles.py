@@ -409,6 +409,18 @@ with {_HEALTHY} select host, health, current_streak,
 ORACLES["top_hosts"] = f"""
 with {_HEALTHY} select host, health from h
 where not (current_streak >= 5 and coalesce(epoch_us({AS_OF}) - epoch_us(last_failure) < 300 * 1000000::bigint, false)) order by health desc, host limit 3"""
+ORACLES["host_healthy_at"] = f"""
+with l as (select *, case when ok then 10 - rt * 0.5::double when status in (408, 504) then -20 else -15 end as points from {LOG} g),
+r as (select host, ts, ok, row_number() over w as n, sum(points) over w as health from l window w as (partition by host order by ts, event_id rows unbounded preceding)),
+e as (select host, ts, max_by(n, n) as n, max_by(health, n) as health from r group by host, ts),
+o as (select host, ts, max(n) as n_ok from r where ok group by host, ts),
+f as (select distinct host, ts, ts as last_failure from r where not ok),
+i as (select distinct host, date_trunc('hour', ts) + interval 1 hour as ts from l),
+j as (select i.host, i.ts, coalesce(e.health, 0) as health, coalesce(e.n - coalesce(o.n_ok, 0), 0) as streak, f.last_failure
+  from i asof left join e on i.host = e.host and i.ts >= e.ts asof left join o on i.host = o.host and i.ts >= o.ts
+  asof left join f on i.host = f.host and i.ts >= f.ts)
+select host, epoch_us(ts) as at_us, round(health, 6) as health, streak::bigint as current_streak,
+  health >= -300 and not (streak >= 2 and coalesce(epoch_us(ts) - epoch_us(last_failure) < 40000000000, false)) as healthy from j"""
 ORACLES["host_rank"] = f"""
 with {_runs(_SEEN)}, f as (select host, count(*) as total, count(*) filter (ok) as s, count(*) filter (not ok) as fl, {_CURRENT}, max(ts) as used, {_EWMA} as ewma from r group by host),
 p as (select host, round(least(coalesce(ewma, 5) / 5, 2) * 0.4::double
@@ -456,13 +468,14 @@ select url, title, left(text, 1000) as text, array_to_string({KEYWORD_LIST}, ',
 ORACLES["progress"] = f"""
 with x as (select ts, event, status from {EVENTS} e
    union all select ts - interval 5 hour, 'enqueue', status from {EVENTS} e where event = 'fetch_start'
-   union all select ts, 'api_found', status from {EVENTS} e where event = 'retry'),
-h as (select time_bucket(interval 1 hour, ts) + interval 1 hour as until, count(*) filter (event = 'fetch_start') as s,
+   union all select ts, 'api_found', status from {EVENTS} e where event = 'retry'
+   union all select min(ts), 'first_start', null from {EVENTS} e where event = 'fetch_start' group by url),
+h as (select time_bucket(interval 1 hour, ts) + interval 1 hour as until, count(*) filter (event = 'fetch_start') as s, count(*) filter (event = 'first_start') as v,
    count(*) filter (event = 'enqueue') as q, count(*) filter (event = 'api_found') as a,
    count(*) filter (event = 'fetch_ok') as o, count(*) filter (event = 'fetch_fail') as f,
    count(*) filter (event = 'download_complete' and status = 'ok') as d from x group by 1),
-t as (select until, sum(q) over w as q, sum(a) over w as a, sum(s) over w as s, sum(o) over w as o, sum(f) over w as f, sum(d) over w as d from h window w as (order by until))
-select epoch_us(until) as until_us, cast(o as bigint) as visited, cast(f as bigint) as failed, cast(s - o - f as bigint) as active, cast(greatest(q - s, 0) as bigint) as queued, cast(d as bigint) as files, cast(a as bigint) as apis from t"""
+t as (select until, sum(q) over w as q, sum(a) over w as a, sum(s) over w as s, sum(o) over w as o, sum(f) over w as f, sum(d) over w as d, sum(v) over w as v from h window w as (order by until))
+select epoch_us(until) as until_us, cast(v as bigint) as visited, cast(f as bigint) as failed, cast(s - o - f as bigint) as active, cast(greatest(q - s, 0) as bigint) as queued, cast(d as bigint) as files, cast(a as bigint) as apis from t"""
 
 # --- streams --------------------------------------------------------------------
 

@@ -583,9 +583,9 @@ def flat_binaries(spark, sf_dir):
 
 @query
 def progress(spark, sf_dir):
-    events = X.crawl_events(spark, sf_dir).select("event_id", "ts", "event", "status")
-    queued = events.filter("event = 'fetch_start'").selectExpr("event_id", "ts - interval 5 hours", "'enqueue'", "status")
-    apis = events.filter("event = 'retry'").selectExpr("event_id", "ts", "'api_found'", "status")
+    events = X.crawl_events(spark, sf_dir).select("event_id", "ts", "event", "status", "url")
+    queued = events.filter("event = 'fetch_start'").selectExpr("event_id", "ts - interval 5 hours", "'enqueue'", "status", "url")
+    apis = events.filter("event = 'retry'").selectExpr("event_id", "ts", "'api_found'", "status", "url")
     report = R.progress(events.union(queued).union(apis))
     return report.withColumn("until", F.unix_micros("until")).withColumnRenamed("until", "until_us")
 
@@ -650,6 +650,15 @@ def host_healthy(spark, sf_dir):
     return verdict.withColumn("health", F.round("health", 6))
 
 
+@query
+def host_healthy_at(spark, sf_dir):
+    """The verdict on every host of a day at the end of each of its hours."""
+    log = X.fetch_log(spark, sf_dir)
+    instants = log.selectExpr("host", "date_trunc('hour', ts) + interval 1 hour AS at").distinct()
+    verdict = H.host_healthy_at(log, instants, min_score=-300.0, max_streak=2, recovery_seconds=40_000)
+    return verdict.select("host", F.unix_micros("at").alias("at_us"), F.round("health", 6).alias("health"), "current_streak", "healthy")
+
+
 @query
 def host_rank(spark, sf_dir):
     return H.host_rank(X.fetch_log(spark, sf_dir), AS_OF)
