@@ -14,10 +14,10 @@ from pageframe.functions.html_tree import (
     find_first,
     first,
     has_attr,
+    inside,
     is_tag,
     let,
     strip,
-    subtree,
     text_of,
 )
 from pageframe.functions.urls import contains_any, mdc_to_md, path, resolve_one, safe_file_name, url_struct
@@ -117,10 +117,13 @@ def download_candidates(parsed: DataFrame, extensions: list[str], words: list[st
         ),
     )
     hits = F.filter(hits, lambda h: h["strategy"].isNotNull() & h["url"].isNotNull())
-    # best first; of a URL the first hit stays, inside the row, so nothing is shuffled
-    ranked = F.array_sort(hits)
-    urls = F.array_distinct(F.transform(ranked, lambda h: h["url"]))
-    firsts = F.transform(urls, lambda url: first(F.filter(ranked, lambda h: h["url"] == url)))
+    # of a URL the best hit stays: the first of its run in one sort, inside the row, so nothing is shuffled
+    by_url = F.transform(hits, lambda h: F.struct(*[h[name].alias(name) for name in ("url", "strategy", "node_id")]))
+
+    def leads(ranked):
+        return F.filter(ranked, lambda h, i: (i == 0) | (h["url"] != F.get(ranked, i - 1)["url"]))
+
+    firsts = let(F.array_sort(by_url), leads)
     based = parsed.withColumn("base", url_struct(F.col("url")))
     found = explode_rows(based, ["page_id"], firsts, "h").select("page_id", "h.*")
     return found.select("page_id", "url", "strategy", F.col("node_id").alias("position"))
@@ -146,25 +149,29 @@ def _captured(code: Column, patterns: list[str], flags: str) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(code, f"({flags}){p}", 1), F.lit("")) for p in patterns])
 
 
-def _nearby_text(tree: Column, node: Column, tag: str, with_own: bool) -> Column:
-    """Text of a `tag` near a node: below earlier siblings, later siblings, parent, grandparent, itself."""
+def _nearby_text(tree: Column, node: Column, tagged: Column, with_own: bool) -> Column:
+    """Text of a node of a tag near another: below earlier siblings, later siblings, parent, grandparent, itself.
+
+    `tagged` are the page's nodes of that tag in document order. What is below earlier siblings stands between the
+    parent and the node, and what is below later ones behind the node, up to the parent's end.
+    """
     nodes = tree["nodes"]
 
     def below(outer):
-        return find_first(subtree(tree, outer), lambda n: is_tag(n, tag))
-
-    def sibling(n):
-        return (n["parent_id"] == node["parent_id"]) & (n["node_id"] != node["node_id"])
-
-    def below_siblings(side):
-        siblings = F.filter(nodes, lambda n: sibling(n) & side(n))
-        return first(F.filter(F.transform(siblings, below), lambda n: n.isNotNull()))
+        return find_first(tagged, lambda n: inside(n, outer))
 
     parent = F.get(nodes, F.when(node["parent_id"] >= 0, node["parent_id"]))
     grandparent = F.get(nodes, F.when(parent["parent_id"] >= 0, parent["parent_id"]))
+    end = F.coalesce(parent["end_id"], F.size(nodes))
+
+    def below_siblings(low, high):
+        return find_first(
+            tagged, lambda n: (n["node_id"] > low) & (n["node_id"] <= high) & (n["parent_id"] != node["parent_id"])
+        )
+
     places = [
-        below_siblings(lambda n: n["node_id"] < node["node_id"]),
-        below_siblings(lambda n: n["node_id"] > node["node_id"]),
+        below_siblings(node["parent_id"], node["node_id"] - 1),
+        below_siblings(node["end_id"], end),
         below(parent),
         below(grandparent),
     ] + ([below(node)] if with_own else [])
@@ -172,7 +179,7 @@ def _nearby_text(tree: Column, node: Column, tag: str, with_own: bool) -> Column
     return F.coalesce(*texts)
 
 
-def _payload(tree: Column, url: Column, node: Column) -> Column:
+def _payload(tree: Column, url: Column, node: Column, lists: Column) -> Column:
     code = F.coalesce(
         *[F.nullif(attr(node, name), F.lit("")) for name in ("@click", "onclick", "x-on:click", "data-action")]
     )
@@ -186,10 +193,10 @@ def _payload(tree: Column, url: Column, node: Column) -> Column:
         F.lit(DEFAULT_FILE_NAME),
     )
     ref_name = F.regexp_extract(code, r"\$refs\.([\p{L}\p{N}_]+)", 1)
-    referenced = find_first(tree["nodes"], lambda n: (ref_name != "") & (attr(n, "x-ref") == ref_name))
+    referenced = F.when(ref_name != "", find_first(lists["named"], lambda n: attr(n, "x-ref") == ref_name))
     content = F.coalesce(
-        _nearby_text(tree, node, "code", with_own=True),
-        _nearby_text(tree, node, "pre", with_own=False),
+        _nearby_text(tree, node, lists["code"], with_own=True),
+        _nearby_text(tree, node, lists["pre"], with_own=False),
         _captured(code, CONTENT_PATTERNS, "?is"),
         F.nullif(text_of(tree, referenced), F.lit("")),
         F.concat(F.lit("# "), name, F.lit("\n\nNo content was found for this file on "), url),
@@ -208,7 +215,16 @@ def inline_payloads(parsed: DataFrame) -> DataFrame:
         marked = has_attr(node, "onclick") | has_attr(node, "x-on:click")
         return marked & F.lower(code).rlike("blob|download")
 
-    payloads = F.transform(find_all(tree["nodes"], builds_file), lambda n: _payload(tree, F.col("url"), n))
+    def kept(matches):
+        return find_all(tree["nodes"], matches)
+
+    # Lists of the nodes that are looked for, made once a page, so a button does not search all of them.
+    lists = F.struct(
+        kept(lambda n: is_tag(n, "code")).alias("code"),
+        kept(lambda n: is_tag(n, "pre")).alias("pre"),
+        kept(lambda n: has_attr(n, "x-ref")).alias("named"),
+    )
+    payloads = let(lists, lambda own: F.transform(kept(builds_file), lambda n: _payload(tree, F.col("url"), n, own)))
     found = explode_rows(parsed, ["page_id"], payloads, "p").select("page_id", "p.*")
     uri = F.concat(F.lit("blob:"), "file_name", F.lit(":"), F.base64(F.encode("content", "UTF-8")))
     return found.withColumn("uri", F.replace(uri, F.lit("\r\n"), F.lit("")))

@@ -1,5 +1,7 @@
 """Extractors on hand-written pages."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from pageframe.functions import text as T
@@ -7,7 +9,6 @@ from pageframe.operators import pages as P
 from pageframe.operators import records as R
 
 
-
 def test_title(parse, values):
     pages = parse(
         "<title>A &amp; B</title><title>second</title>",
@@ -194,6 +195,56 @@ def test_inline_payloads(parse):
     assert decoded[0].file_name == "f.md" and bytes(decoded[0].content) == b"first"
 
 
+def near(nodes, strings, node, tag, with_own):
+    """Text of a `tag` node near another, by looking at every sibling and all that is below it."""
+
+    def below(outer):
+        return next((n for n in nodes if outer and outer.node_id < n.node_id <= outer.end_id and n.tag == tag), None)
+
+    siblings = [n for n in nodes if n.parent_id == node.parent_id and n is not node]
+    parent = nodes[node.parent_id] if node.parent_id >= 0 else None
+    grandparent = nodes[parent.parent_id] if parent and parent.parent_id >= 0 else None
+    sides = [[n for n in siblings if n.node_id < node.node_id], [n for n in siblings if n.node_id > node.node_id]]
+    found = [next((below(n) for n in side if below(n)), None) for side in sides] + [below(parent), below(grandparent)]
+    for place in found + [below(node)] * with_own:
+        text = "".join(strings[place.s0 : place.s1]) if place else ""
+        if text.strip():
+            return text
+    return None
+
+
+def test_payloads_of_random_pages_against_a_loop(parse):
+    rng = random.Random(5)
+
+    def inner(depth):
+        kinds = ["div", "p", "code", "pre", "button", "text"] if depth < 5 else ["text"]
+        out = []
+        for _ in range(rng.randrange(1, 5)):
+            kind = rng.choice(kinds)
+            mark = " onclick='blob()'" if kind == "button" else ""
+            out.append(rng.choice(["", f"w{rng.randrange(99)}"]) if kind == "text" else f"<{kind}{mark}>{inner(depth + 1)}</{kind}>")
+        return "".join(out)
+
+    parsed = parse(*[inner(0) for _ in range(60)])
+    trees = {r.page_id: r.tree for r in parsed.select("page_id", "tree").collect()}
+    rows = R.inline_payloads(parsed).collect()
+    assert len(rows) == sum(n.tag == "button" for tree in trees.values() for n in tree.nodes) > 50
+    for r in rows:
+        tree = trees[r.page_id]
+        node = tree.nodes[r.node_id]
+        want = near(tree.nodes, tree.strings, node, "code", True) or near(tree.nodes, tree.strings, node, "pre", False)
+        assert r.content == want or (want is None and r.content.startswith("# "))
+
+
+def test_pages_of_many_links_and_buttons(parse):
+    """Work that grew with the square of a page's links or buttons would not end here."""
+    links = "".join(f"<p><a href=/f{i % 15_000}.pdf>download</a></p>" for i in range(20_000))
+    assert R.download_candidates(parse(links), ["pdf"]).count() == 15_000
+    buttons = "<code>c</code>" + "<p><i>x</i><b>y</b><button onclick='blob()'>a.txt</button></p>" * 5_000 + "<div>z</div>" * 30_000
+    rows = R.inline_payloads(parse(buttons)).select("file_name").distinct().collect()
+    assert [r.file_name for r in rows] == ["a.txt"]
+
+
 def test_binary_split(spark):
     rows = [("u1", "Image/PNG", b"123"), ("u2", "text/html", b"x"), ("u3", None, b"")]
     df = spark.createDataFrame(rows, "url string, content_type string, content binary").selectExpr(
