@@ -54,9 +54,12 @@ def crawl_frontier(
     Links that the filters reject are cut before the first level. The edges are
     bucketed once by source, and what each level found by URL, in `buckets`
     buckets (the shuffle partitions by default), so a level shuffles its own
-    frontier and what it finds, neither the edges nor the visited URLs. With
-    `max_urls` the first URLs by depth, then URL, are kept. The tables are
-    dropped at the end; the result is stored in the shared folder.
+    frontier and what it finds, neither the edges nor the visited URLs. Visited
+    levels are merged into runs, each less than half as large as the one before,
+    so a level is compared with no more runs than the logarithm of what is
+    visited, and a URL is written anew as often. With `max_urls` the first URLs
+    by depth, then URL, are kept. The tables are dropped at the end; the result
+    is stored in the shared folder.
     """
     usable = edges.filter(is_crawlable(F.col("dst"), domain, include, exclude)).select("src", "dst")
     spark = edges.sparkSession
@@ -83,12 +86,23 @@ def _levels(
 ) -> DataFrame:
     spark = edges.sparkSession
     several = several.select(F.col("src").alias("url"), "salts")
-    known: list[str] = []  # tables of the levels so far, bucketed alike
-
-    def keep(level: DataFrame, depth: int) -> tuple[DataFrame, int]:
-        known.append(_bucketed(level.withColumn("depth", F.lit(depth)), buckets, "url"))
-        tables.append(known[-1])
-        return spark.table(known[-1]), spark.table(known[-1]).count()
+    runs: list[tuple[str, int]] = []  # tables of what is visited, bucketed alike, and their rows
+
+    def store(df: DataFrame) -> str:
+        tables.append(_bucketed(df, buckets, "url"))
+        return tables[-1]
+
+    def keep(found: DataFrame, depth: int) -> tuple[DataFrame, int]:
+        name = store(found.withColumn("depth", F.lit(depth)))
+        n = spark.table(name).count()
+        runs.append((name, n))
+        while len(runs) > 1 and 2 * runs[-1][1] >= runs[-2][1]:
+            (older, n_older), (newer, n_newer) = runs[-2:]
+            runs[-2:] = [(store(spark.table(older).unionByName(spark.table(newer))), n_older + n_newer)]
+            if older != name:
+                spark.sql(f"DROP TABLE {older}")
+                tables.remove(older)
+        return spark.table(name), n
 
     level, n_visited = keep(_first(start, max_urls), 0)
     for depth in range(1, max_depth + 1):
@@ -97,14 +111,14 @@ def _levels(
         salts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
         frontier = level.join(several, "url", "left").select(F.col("url").alias("src"), F.explode(salts).alias("salt"))
         new = edges.join(frontier, ["src", "salt"]).select(F.col("dst").alias("url")).distinct()
-        for name in known:
+        for name, _ in runs:
             new = unvisited(new, spark.table(name))
         level, n_level = keep(_first(new, None if max_urls is None else max_urls - n_visited), depth)
         if n_level == 0:
             break
         n_visited += n_level
-    found = spark.table(known[0])
-    for name in known[1:]:
+    found = spark.table(runs[0][0])
+    for name, _ in runs[1:]:
         found = found.unionByName(spark.table(name))
     return cut_lineage(found)
 

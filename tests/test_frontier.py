@@ -52,6 +52,17 @@ def test_a_level_does_not_move_what_is_visited(spark):
         spark.sql(f"DROP TABLE {name}")
 
 
+def test_a_deep_crawl_is_compared_with_few_runs(spark, monkeypatch):
+    """A chain: as many anti joins a level as the logarithm of its depth, not as its depth."""
+    joins, plain = [], Fr.unvisited
+    monkeypatch.setattr(Fr, "unvisited", lambda urls, visited: joins.append(1) or plain(urls, visited))
+    edges = spark.createDataFrame([(f"/p/{i:02}", f"/p/{j:02}") for i in range(14) for j in (i + 1, 0)], "src string, dst string")
+    got = Fr.crawl_frontier(edges, spark.createDataFrame([("/p/00",)], "url string"), 14, buckets=2)
+    assert {(r.url, r.depth) for r in got.collect()} == {(f"/p/{i:02}", i) for i in range(15)}
+    assert len(joins) <= sum(d.bit_length() for d in range(1, 15)) < sum(range(15)) / 2
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("pageframe_")]
+
+
 def test_frontier_leaves_no_table(spark, graph):
     edges = spark.createDataFrame(graph, "src string, dst string")
     Fr.crawl_frontier(edges, spark.createDataFrame([("/p/0",)], "url string")).count()
