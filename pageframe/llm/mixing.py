@@ -14,8 +14,8 @@ from pageframe.llm.texts import WORD, stored, whole_row, word_count
 
 #: Words of a block, shards of the mix, and the seed of everything that is drawn.
 BLOCK_WORDS, SHARDS, SEED = 256, 16, 20_240_201
-#: Up to so many draws numpy's exact hypergeometric is used; beyond it a rounded normal, cut to what is possible.
-EXACT_DRAWS = 900_000_000
+#: numpy draws hypergeometrics of populations below a thousand million; larger ones are drawn by inversion.
+NUMPY_DRAWS = 900_000_000
 UNIT = ["id", "source", "digest", "size", "copy"]
 
 
@@ -80,11 +80,26 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -
     low, high = max(0, draws - bad), min(good, draws)
     if low >= high:
         return low
-    if good + bad <= EXACT_DRAWS:
+    if good + bad <= NUMPY_DRAWS:
         return int(rng.hypergeometric(good, bad, draws))
-    total, p = good + bad, good / (good + bad)
-    spread = (draws * p * (1 - p) * (total - draws) / (total - 1)) ** 0.5
-    return int(min(high, max(low, round(rng.normal(draws * p, spread)))))
+    return _by_inversion(rng, good, bad, draws, low, high)
+
+
+def _by_inversion(rng: np.random.Generator, good: int, bad: int, draws: int, low: int, high: int) -> int:
+    """The same distribution at any size, from the ratios of neighbouring probabilities.
+
+    Eight standard deviations around the mode are laid out, which leaves out less than a double can tell.
+    """
+    total = good + bad
+    spread = (draws * (good / total) * (bad / total) * (total - draws) / (total - 1)) ** 0.5
+    mode = (draws + 1) * (good + 1) // (total + 2)
+    reach = int(8 * spread) + 64
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    x = np.arange(first, last, dtype=np.float64)
+    ratios = np.log((good - x) / (x + 1)) + np.log((draws - x) / (bad - draws + x + 1))
+    logs = np.concatenate([[0.0], np.cumsum(ratios)])
+    sums = np.cumsum(np.exp(logs - logs.max()))
+    return first + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
 
 
 def split_counts(counts: np.ndarray, seed: int, node: int) -> np.ndarray:

@@ -1,5 +1,6 @@
 """Quality, mixing, packing, licenses, chats and the pipeline."""
 
+import math
 import random
 import re
 import zlib
@@ -241,6 +242,22 @@ def test_chunks_leave_no_padding(monkeypatch):
     assert max(total.values()) <= 64 and len(total) < 1.25 * sum(map(len, (ids for _, ids in docs))) / 64
 
 
+def test_draws_of_any_size_are_hypergeometric(monkeypatch):
+    """Small populations by inversion against exact probabilities; a large one against mean and variance."""
+    rng = np.random.default_rng(4)
+    good, bad, draws, n = 30, 50, 25, 20_000
+    monkeypatch.setattr(mixing, "NUMPY_DRAWS", 0)
+    seen = Counter(mixing._hypergeometric(rng, good, bad, draws) for _ in range(n))
+    for k in range(26):
+        p = math.comb(good, k) * math.comb(bad, draws - k) / math.comb(good + bad, draws)
+        assert abs(seen[k] - n * p) <= 5 * (n * p * (1 - p)) ** 0.5 + 1
+    assert mixing._hypergeometric(rng, 5, 0, 3) == 3 and mixing._hypergeometric(rng, 0, 9, 3) == 0
+    good, bad, draws = 4 * 10**9, 6 * 10**9, 5 * 10**9
+    many = np.array([mixing._hypergeometric(rng, good, bad, draws) for _ in range(60)])
+    spread = (draws * 0.4 * 0.6 * 0.5) ** 0.5
+    assert abs(many.mean() - 2 * 10**9) < 5 * spread / 60**0.5 and 0.6 < many.std() / spread < 1.5
+
+
 # --- licenses -------------------------------------------------------------------
 
 
