@@ -46,7 +46,8 @@ def op1_quality_classifier(spark, sf_dir):
 
 @query
 def op2_substring_dedup(spark, sf_dir):
-    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    found = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 @query

@@ -10,10 +10,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageframe.llm.texts import byte_words, ragged, small_batches, stored
+from pageframe.llm.texts import WORD, byte_words, ragged, small_batches, stored
 
 #: Texts hashed at once, in bytes.
 BATCH_BYTES = 2 << 20
@@ -334,10 +334,14 @@ def _verdicts(window: int, most: int):
     return run
 
 
+CUTS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+CUTS_DDL = "array<struct<start:int,end:int>>"
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cuts the spans (pairs of start and end, in words) out of each text."""
+    """Cuts the spans (pairs of start and end, in words) out of each text; those that touch are one."""
     for batch in small_batches(batches):
-        removed, digests = [], []
+        removed, digests, cuts = [], [], []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             words = byte_words(text)
             gone = np.zeros(len(words) + 1, np.int64)
@@ -346,10 +350,12 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gone[span["end"]] -= 1
             gone = np.cumsum(gone)[:-1] > 0
             removed.append(int(gone.sum()))
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).tolist()
+            cuts.append([{"start": start, "end": end} for start, end in zip(edges[::2], edges[1::2], strict=True)])
             digests.append(_digest([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("k1"), batch.column("k2"), pa.array(removed, pa.int64()), pa.array(digests, pa.string())],
-            names=["k1", "k2", "removed", "kept"],
+            [batch.column("k1"), batch.column("k2"), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(cuts, CUTS)],
+            names=["k1", "k2", "removed", "kept", "cuts"],
         )
 
 
@@ -370,7 +376,9 @@ def _large_groups(rows: DataFrame, window: int) -> DataFrame:
 def substring_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, group_rows: int = 20_000
 ) -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256): every word goes that a repeated window of `window` words covers.
+    """(id, n_words, n_removed, kept_sha256, cuts): every word goes that a repeated window of `window` words covers.
+
+    `cuts` are the words that go, as (start, end) from 0 on; `without_cuts` makes the text that stays.
 
     Level-wise doubling. Level 1 looks at windows of a quarter of the length, and of these only at one representative
     for each long window (see `anchors`), so its shuffle holds a fourteenth of the positions and yet loses nothing.
@@ -463,7 +471,7 @@ def substring_dedup(
         changed = stored(
             texts.join(per_text, ["k1", "k2"])
             .select("k1", "k2", "text", "spans")
-            .mapInArrow(_remove, "k1 long, k2 long, removed long, kept string"),
+            .mapInArrow(_remove, f"k1 long, k2 long, removed long, kept string, cuts {CUTS_DDL}"),
             "substring-changed",
         )
     finally:
@@ -476,5 +484,18 @@ def substring_dedup(
             "n_words",
             F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"),
             F.coalesce("kept", "sha").alias("kept_sha256"),
+            F.coalesce("cuts", F.array().cast(CUTS_DDL)).alias("cuts"),
         )
     )
+
+
+def without_cuts(text: Column | str, cuts: Column | str) -> Column:
+    """The words of a text outside its cuts, joined by one space."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"))
+    starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda c: c["end"]))
+
+    def kept(all_words: Column) -> Column:
+        ends = F.concat(F.transform(cuts, lambda c: c["start"]), F.array(F.size(all_words)))
+        return F.flatten(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda p: F.slice(all_words, p["a"] + 1, p["b"] - p["a"])))
+
+    return F.array_join(F.flatten(F.transform(F.array(words), kept)), " ")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -181,6 +182,40 @@ def test_substrings_against_brute_force(spark, window, group_rows):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == slow_removal(rows, window)
+    cut = {r.doc_id: r for r in got if r.doc_id not in (None, 7)}
+    texts = [(i, text, cut[i].cuts) for i, text in rows if i in cut]
+    frame = spark.createDataFrame(texts, f"doc_id long, text string, cuts {substring_dedup.CUTS_DDL}")
+    for r in frame.select("doc_id", "cuts", substring_dedup.without_cuts("text", "cuts").alias("kept")).collect():
+        assert hashlib.sha256(r.kept.encode()).hexdigest() == cut[r.doc_id].kept_sha256
+        assert sum(c.end - c.start for c in r.cuts) == cut[r.doc_id].n_removed
+
+
+def test_anchors_of_a_long_text_of_few_words_take_bounded_memory(monkeypatch):
+    """Every position ties: strips give what one piece gives, and their matrices do not grow with the text."""
+    rng = np.random.default_rng(2)
+    hashes = rng.integers(0, 3, 4000).astype(np.uint64)
+    offsets = np.array([0, 1500, 1510, 4000])
+    whole = substring_dedup.anchors(hashes, offsets, 35)
+    monkeypatch.setattr(substring_dedup, "STRIP", 100)
+    assert all((a == b).all() for a, b in zip(whole, substring_dedup.anchors(hashes, offsets, 35), strict=True))
+    monkeypatch.undo()
+    tracemalloc.start()
+    substring_dedup.anchors(np.zeros(1_000_000, np.uint64), np.array([0, 1_000_000]), 35)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20  # 27 longs a position would be 216 MB for one matrix alone, of several
+
+
+def test_distances_of_many_centroids():
+    rng = np.random.default_rng(1)
+    x = embedding_dedup.unit_rows(rng.normal(size=(300, 64)))
+    plain = np.linalg.norm(x[:, None, :] - x[None, :, :], axis=2)
+    assert (embedding_dedup.centroid_distances(x) >= plain).all() and np.allclose(embedding_dedup.centroid_distances(x), plain, atol=1e-5)
+    tracemalloc.start()
+    embedding_dedup.centroid_distances(embedding_dedup.unit_rows(rng.normal(size=(4000, 64))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 700 << 20
 
 
 def test_substrings_of_nothing(spark):
