@@ -478,3 +478,80 @@ def test_run_equals_its_stages(spark):
     for r in rows:
         total[r.sequence_id] += r.length
     assert max(total.values()) <= 2048
+
+
+def said(lines):
+    """All that a run of lines can be found by: the whole, its paragraphs, its lines, without case and breaks."""
+    plain = [" ".join(line.lower().split()) for line in lines]
+    whole, parts, part = " ".join(" ".join(plain).split()), [], []
+    for line in [*plain, ""]:
+        if line:
+            part.append(line)
+        elif part:
+            parts.append(" ".join(part))
+            part = []
+    return {text for text in [whole, *parts, *plain] if text}
+
+
+def runs_of(text):
+    """(level, lines) of each run of equally quoted lines."""
+    out = []
+    for line in text.split("\n"):
+        level = 0
+        if line.lstrip(" \t")[:1] == ">":
+            line = line.lstrip(" \t")
+        while line[:1] == ">":  # one blank may follow a mark
+            level, line = level + 1, line[1:]
+            line = line[1:] if line[:1] in (" ", "\t") else line
+        if not out or out[-1][0] != level:
+            out.append((level, []))
+        out[-1][1].append(line)
+    return out
+
+
+def slow_links(messages):
+    """(conv, turn) -> (reply_to, n_quotes, n_linked), each quoted run compared with each earlier turn."""
+    parsed = {(conv, turn): runs_of(text) for conv, turn, text in messages}
+    own = {}
+    for key, runs in parsed.items():
+        mine = [line for level, lines in runs if level == 0 for line in lines]
+        own[key] = said(mine).union(*[said(lines) for level, lines in runs if level == 0])
+    out = {}
+    for (conv, turn), runs in parsed.items():
+        quoted = [(level, said(lines)) for level, lines in runs if level > 0 and said(lines)]
+        best, linked = None, 0
+        for level, texts in quoted:
+            hits = [(-level, len(t), max(n for c, n in own if c == conv and n < turn and t in own[c, n])) for t in texts if any(c == conv and n < turn and t in own[c, n] for c, n in own)]
+            linked += bool(hits)
+            best = max([*hits, *([best] if best else [])], default=None)
+        out[conv, turn] = (best and best[2], len(quoted), linked)
+    return out
+
+
+def test_quotes_against_brute_force(spark):
+    """Random conversations that quote earlier turns whole, in part, nested and with their lines broken anew."""
+    rng = random.Random(12)
+    pool = [" ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(rng.randrange(2, 7))) for _ in range(30)]
+    messages = []
+    for conv in range(25):
+        texts = []
+        for turn in range(rng.randrange(1, 10)):
+            lines = []
+            for _ in range(rng.randrange(0, 3)):
+                if texts:
+                    source = [line for line in rng.choice(texts).split("\n")]
+                    some = source if rng.random() < 0.5 else rng.sample(source, rng.randrange(1, len(source) + 1))
+                    if rng.random() < 0.4 and not any(line.startswith(">") for line in some):
+                        words = " ".join(some).upper().split() or ["x"]
+                        cut = rng.randrange(len(words))
+                        some = [" ".join(words[:cut]), " ".join(words[cut:])]
+                    lines += [rng.choice(["> ", ">", " > "]) + line for line in some]
+                lines += [rng.choice([*pool, ""]) for _ in range(rng.randrange(0, 3))]
+            lines += [rng.choice(pool) for _ in range(rng.randrange(1, 3))]
+            texts.append("\n".join(lines))
+            messages.append((conv, turn, texts[-1]))
+    frame = spark.createDataFrame([(c, t, "user", text) for c, t, text in messages], "conv_id long, turn long, role string, text string")
+    got = chat_format.chat_format(frame.repartition(5)).collect()
+    want = slow_links(messages)
+    assert sum(bool(n) for _, _, n in want.values()) > 30 and any(n < q for _, q, n in want.values())
+    assert {(r.conv_id, r.turn): (r.reply_to, r.n_quotes, r.n_linked) for r in got} == want
