@@ -17,16 +17,16 @@ from pyspark.sql import functions as F
 from pageframe.llm import perfect_hash
 from pageframe.llm.packing import BYTE_LETTERS, LATIN_END
 from pageframe.llm.texts import small_batches, stored
-from pageframe.llm.units import per_worker, split_units
+from pageframe.llm.units import forget, per_worker, split_units
 
 #: Characters of a text that are encoded as one part.
 SEGMENT = 1 << 18
 #: Units of a generation; a Python worker keeps the ids of two of them.
-CACHED_UNITS = 100_000
+CACHED_UNITS = 80_000
 #: Tokens that are aligned at once.
 PART_TOKENS = 1 << 17
 #: Distinct pairs that a task counts before it sends them on.
-TASK_PAIRS = 1 << 20
+TASK_PAIRS = 1 << 19
 #: Tasks whose counts one dense vector takes, and vectors that one sum takes.
 FAN = 64
 #: Pairs whose counts a task looks up at once; more of them are looked up by passes of their own over the documents.
@@ -58,9 +58,10 @@ class Encoder:
         if any("▁" in piece.lstrip("▁") for piece in pieces) or b"identity" not in self.b.serialized_model_proto():
             raise ValueError("pieces that hold a space behind another character, or a normaliser, forbid to cut texts")
         self.space = self.b.piece_to_id("▁")
+        self.kind = "H" if max(max(self.bytes_a), len(pieces)) < 1 << 16 else "I"
         # A mark that no piece holds behind another character is a token of its own at the end of a word.
         alone = [c for c in ".,;:!?" if not any(re.search(rf"[A-Za-z]{re.escape(c)}", piece) for piece in pieces)]
-        self.mark = {c: tuple(array("I", ids[-1:]).tobytes() for ids in (self.a.encode("x" + c).ids, self.b.encode("x" + c))) for c in alone}
+        self.mark = {c: tuple(array(self.kind, ids[-1:]).tobytes() for ids in (self.a.encode("x" + c).ids, self.b.encode("x" + c))) for c in alone}
         self.size_b = [len(x) for x in self.bytes_b]
         self.units: dict[str, tuple[bytes, bytes] | None] = {}
         self.before: dict[str, tuple[bytes, bytes] | None] = {}
@@ -89,7 +90,7 @@ class Encoder:
             b = b or [self.space]
             # All bytes come back but those of U+2581, which B takes for a space.
             same = sum([self.size_b[i] for i in b]) == len(unit.encode()) + 1
-            self.units[unit] = (array("I", a).tobytes(), array("I", b).tobytes()) if same else None
+            self.units[unit] = (array(self.kind, a).tobytes(), array(self.kind, b).tobytes()) if same else None
         for unit in marked:
             word, mark = self.units[unit[:-1]], self.mark[unit[-1]]
             self.units[unit] = word and (word[0] + mark[0], word[1] + mark[1])
@@ -137,16 +138,17 @@ def encoder(path_a: str, path_b: str) -> Encoder:
 
 
 class Sizes(NamedTuple):
-    """Bytes of each id of A and of B."""
+    """Bytes of each id of A and of B, and the integers that ids are stored as."""
 
     a: np.ndarray
     b: np.ndarray
+    kind: np.dtype
 
 
 def byte_sizes(own: Encoder) -> Sizes:
     a = np.zeros(max(own.bytes_a) + 1, np.int64)
     a[list(own.bytes_a)] = [len(x) for x in own.bytes_a.values()]
-    return Sizes(a, np.array([len(x) for x in own.bytes_b], np.int64))
+    return Sizes(a, np.array([len(x) for x in own.bytes_b], np.int64), np.dtype(own.kind))
 
 
 class Written:
@@ -163,8 +165,8 @@ class Aligned:
     """Parts of texts aligned by their bytes, side by side: each part ends with tokens of both."""
 
     def __init__(self, parts: list[tuple[bytes, bytes]], sizes: Sizes):
-        self.a, self.b = (np.frombuffer(b"".join(side), "<u4").astype(np.int64) for side in zip(*parts, strict=True))
-        self.counts_a, self.counts_b = (np.array([len(x) // 4 for x in side]) for side in zip(*parts, strict=True))
+        self.a, self.b = (np.frombuffer(b"".join(side), sizes.kind).astype(np.int64) for side in zip(*parts, strict=True))
+        self.counts_a, self.counts_b = (np.array([len(x) // sizes.kind.itemsize for x in side]) for side in zip(*parts, strict=True))
         self.ends_a, self.ends_b = np.cumsum(sizes.a[self.a]), np.cumsum(sizes.b[self.b])
         ends = np.concatenate([self.ends_a, self.ends_b])
         ends.sort(kind="stable")  # two runs in order
@@ -210,11 +212,12 @@ def _grouped(rows: list, tokens: Callable[[object], int]) -> Iterator[list]:
 
 
 def _tokens(parts: list[tuple[bytes, bytes]]) -> int:
-    return sum(len(a) + len(b) for a, b in parts) // 4
+    """At most so many tokens."""
+    return sum(len(a) + len(b) for a, b in parts) // 2
 
 
 def _encoded(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
-    """(id, a, b): the ids of each part of a text, as little-endian unsigned 32-bit integers; no parts without tokens."""
+    """(id, a, b): the ids of each part of a text, as unsigned integers (`Encoder.kind`); no parts without tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(*paths)
@@ -245,6 +248,7 @@ def _pairs_of_tasks(encoded: DataFrame, sizes: Sizes) -> DataFrame:
         return np.unique(doc << shift | found.pairs) & (1 << shift) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("encoder")
         task = TaskContext.get().partitionId()
         pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         waiting: list[np.ndarray] = []
@@ -259,7 +263,7 @@ def _pairs_of_tasks(encoded: DataFrame, sizes: Sizes) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), task)), pa.array(pairs), pa.array(counts)], names=["task", "pair", "n"])
 
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 4 << 20):
             for rows in _grouped([row for row in _parts_of(batch) if row], _tokens):
                 waiting.append(distinct(rows))
                 if sum(map(len, waiting)) >= TASK_PAIRS:
@@ -377,8 +381,9 @@ def _described(encoded: DataFrame, sizes: Sizes, counts: PairCounts) -> DataFram
     known = encoded.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("encoder")
         written = Written(sizes)
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 4 << 20):
             rows = _parts_of(batch)
             numbers = np.zeros((len(rows), len(COLUMNS)), np.int64)
             digests = [hashlib.sha256() if row else None for row in rows]

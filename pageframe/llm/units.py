@@ -47,7 +47,17 @@ def per_worker(key: tuple, make: Callable):
 
     The package travels to executors by value, so its globals are new in every task; a registered module stays.
     """
-    kept = sys.modules.setdefault("pageframe_worker", ModuleType("pageframe_worker")).__dict__
+    kept = _kept()
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+def forget(kind: str) -> None:
+    """Drops what the worker keeps under keys of a kind, where a later stage has no use for it."""
+    for key in [key for key in _kept() if key[0] == kind]:
+        del _kept()[key]
+
+
+def _kept() -> dict:
+    return sys.modules.setdefault("pageframe_worker", ModuleType("pageframe_worker")).__dict__.setdefault("kept", {})
