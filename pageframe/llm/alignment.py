@@ -22,7 +22,7 @@ from pageframe.llm.units import forget, per_worker, split_units
 #: Characters of a text that are encoded as one part.
 SEGMENT = 1 << 18
 #: Units of a generation; a Python worker keeps the ids of two of them.
-CACHED_UNITS = 80_000
+CACHED_UNITS = 250_000
 #: Tokens that are aligned at once.
 PART_TOKENS = 1 << 17
 #: Distinct pairs that a task counts before it sends them on.
