@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pageframe.functions import urls as U
 from pageframe.operators import links as L
 from pageframe.operators import url_filters as UF
+from pageframe.plans import recipes as X
 
 BASES = ["https://w.example.com/a/b/c?z=1#top", "http://h.example.com", "https://h.example.com/d/", "http://h/x//y/z"]
 RAWS = [
@@ -161,3 +162,23 @@ def test_paths_of_a_hot_group_are_distinct(spark):
     df = spark.range(3000).selectExpr("'https://h' || id || '/same/f.txt' AS url")
     paths = [r.stored_path for r in UF.assign_paths(df).collect()]
     assert set(paths) == {"same/f.txt", *(f"same/f_{i}.txt" for i in range(1, 3000))}
+
+
+def test_links_are_told_apart_as_strings(parse):
+    """Structs have no hash here: their distinct compares every two references of a page."""
+    html = "".join(f"<a href='/p q/{i % 9}'>x</a><img src='/p q/{i % 7}'>" for i in range(60)) + "<a href=' '>x</a>"
+    found = L.links(parse(html))
+    rows = [(r.link_kind, r.url) for r in found.collect()]
+    site = "https://w.example.com/p q/"
+    assert rows == [("anchor", f"{site}{i}") for i in range(9)] + [("img", f"{site}{i}") for i in range(7)]
+    expressions = found._jdf.queryExecution().analyzed().toString()
+    # the struct is made once, from strings that are distinct already
+    assert expressions.count("struct(link_kind,") == 1
+
+
+def test_pages_are_rendered_in_many_tasks(spark):
+    """A table of few columns is one partition of a scan, however many pages are rendered from it."""
+    for pages in (X.link_pages, X.relative_pages, X.download_pages, X.next_pages):
+        rendered = pages(spark, "/root/testdata/sf0.001")
+        assert rendered.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        assert rendered.count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
