@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -140,3 +141,12 @@ def test_marks_equal_a_search_of_all_nodes():
             assert page.chromes[i] == max((j for j in range(i + 1) if i <= page.ends[j] and is_chrome(j)), default=-1)
         for s, chrome in enumerate(page.string_chrome):
             assert chrome == max((j for j in range(n) if page.starts[j] <= s < page.stops[j] and is_chrome(j)), default=-1)
+
+
+def test_a_batch_is_read_in_parts_of_bounded_bytes():
+    pages = pa.array(["<p>" + "x" * 1000 + "</p>"] * 5000 + [None, "", "<b>y</b>", "<i>" + "z" * 3_000_000 + "</i>"])
+    parts = list(html_tree.parts_of(pages))
+    assert max(part.nbytes for part in parts[:-1]) < 2 << 20 and len(parts[-1]) == 1
+    trees = list(html_tree._read_parts(iter([pages, pages.slice(0, 0)])))
+    assert max(map(len, trees)) < 1100 and sum(map(len, trees)) == len(pages)
+    assert pa.concat_arrays(trees).equals(html_tree._read_trees(pages))
