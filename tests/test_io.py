@@ -256,3 +256,13 @@ def test_event_sink_replaces_a_repeated_batch(spark, tmp_path):
     St.run_available(St.write_events_stream(stream(spark, tmp_path / "in", S.EVENT_DDL), str(tmp_path / "out")))
     assert S.read_manifest(spark, str(tmp_path / "out/manifest")).count() == 4
     assert spark.read.json(str(tmp_path / "out/events")).count() == 4
+
+
+def test_effects_travel_packed():
+    """A batch may hold all slices of a host; as objects an effect takes some kilobytes."""
+    from pageframe.operators.host_log import slice_effect
+
+    events = [{"ts_us": i * 1000, "event_id": i, "ok": i == 20} for i in range(40)]
+    effects = [slice_effect(events, 3, 10_000), slice_effect(events[:1], 3, 10_000), slice_effect([], 3, 10_000)]
+    assert [St.unpacked(St.packed(effect)) for effect in effects] == effects
+    assert len(St.packed(effects[1])) < 64
