@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from pageframe.llm.texts import byte_words
 
@@ -59,12 +58,13 @@ def statistics(text: str | None) -> list[float]:
     return [float(np.log1p(n)), float(np.log(letters / n)), *arcs[: len(KINDS)], float(spread), *arcs[len(KINDS) :]]
 
 
-def statistics_of(text: Column | str) -> Column:
-    @pandas_udf("array<double>")
-    def of(texts):
-        return texts.map(statistics)
+def _statistics_of(texts: pa.Array) -> pa.Array:
+    """One text at a time as Python objects, so a batch takes little beside itself."""
+    return pa.array((statistics(text.as_py()) for text in texts), pa.list_(pa.float64()), size=len(texts))
+
 
-    return of(text)
+def statistics_of(text: Column | str) -> Column:
+    return F.arrow_udf(_statistics_of, "array<double>")(text)
 
 
 @dataclass(frozen=True)
@@ -132,13 +132,11 @@ def fit(rows: DataFrame, x_col: str = "x", label_col: str = "label", shrink: flo
 
 
 def score_column(model: Discriminant, x: Column | str) -> Column:
-    @pandas_udf("double")
-    def scored(values):
-        if not len(values):
-            return values.astype("float64")
-        return values.__class__(model.score(np.stack(values.to_numpy()).astype(float)))
+    def scored(values: pa.Array) -> pa.Array:
+        rows = values.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+        return pa.array(model.score(rows))
 
-    return scored(x)
+    return F.arrow_udf(scored, "double")(x)
 
 
 def is_held_out(id_col: Column | str) -> Column:
