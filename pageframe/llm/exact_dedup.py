@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageframe.llm.texts import folded, small_batches, stored
+from pageframe.sources.readers import bounded_batches
 
 #: Characters of a text that a splitter holds. Beyond them its digest decides, so a sampled splitter stays small; the
 #: order of rows is (these characters, digest, text, id), and comparisons see the whole text.
@@ -32,7 +33,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     id_type = docs.schema[id_col].dataType
     by_id = F.col("id").asc_nulls_last() if keep == "smallest" else F.col("id").desc_nulls_last()
-    rows = docs.select(F.col(id_col).alias("id"), folded(F.col(text_col)).alias("norm")).withColumn(
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), folded(F.col(text_col)).alias("norm")).withColumn(
         "sha", F.sha2("norm", 256)
     )
     lead = F.substring("norm", 1, SPLITTER_CHARS)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageframe.llm.texts import small_batches
+from pageframe.sources.readers import bounded_batches
 
 WINDOW = 2048
 END_ID = 1
@@ -24,7 +25,7 @@ INNER_STEP = 16
 #: Tokens of one dynamic program. The last window of one is the first of the next, so its size leaves no padding.
 CHUNK = 1 << 20
 #: Words of a generation; a Python worker keeps the ids of two of them.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 #: Letters before this one are letters in every version of Unicode.
 LATIN_END = "\u0250"
 SENTENCE_MARKS = (".", "!", "?", "...", "…", "。")
@@ -81,6 +82,11 @@ class WordIds(dict):
         self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        """Drops all words, so that an idle worker holds none."""
+        self.clear()
+        self.before = {}
+
     def ids(self, text: str | None) -> np.ndarray:
         """Ids of a whole text, the same as the tokenizer's own.
 
@@ -99,7 +105,7 @@ _WORD_IDS: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    """The worker's table for a tokenizer file; a worker keeps it from task to task."""
+    """The worker's table for a tokenizer file; a worker keeps the tokenizer from task to task, the words for one task."""
     if path not in _WORD_IDS:
         from tokenizers import Tokenizer
 
@@ -260,6 +266,7 @@ def pack(
                     rows.append(piece)
                 if len(rows) >= 2000:
                     yield out()
+        table.forget()
         rows.extend(packer.flush(last=True))
         if rows:
             yield out()
@@ -267,5 +274,5 @@ def pack(
     id_ddl = docs.schema[id_col].dataType.simpleString()
     ddl = f"id {id_ddl}, {PIECE_DDL}" if with_ids else f"id {id_ddl}, {PIECE_DDL.rpartition(', ')[0]}"
     names = [part.split()[0] for part in ddl.split(", ")]
-    pieces = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
+    pieces = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
     return pieces.withColumnRenamed("id", id_col)

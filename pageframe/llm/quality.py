@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageframe.llm.texts import byte_words
+from pageframe.sources.readers import bounded_batches
 
 #: Bytes by kind, for the shares of a text.
 KINDS = ["upper", "digit", "stop", "mark", "symbol", "line"]
@@ -155,7 +156,7 @@ def labelled(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_
 
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col), statistics_of(text_col).alias("x"))
+    return bounded_batches(docs).select(F.col(id_col), statistics_of(text_col).alias("x"))
 
 
 def quality_scores(stats: DataFrame, model: Discriminant, id_col: str = "doc_id", threshold: float = 0.7) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 
 from pageframe.llm.components import components
 from pageframe.llm.texts import byte_words, folded, stored
+from pageframe.sources.readers import bounded_batches
 
 BITS = 64
 #: Shingles whose bits are counted at once.
@@ -143,7 +144,7 @@ def simhash_groups(
     are. A null text counts as empty; texts without words share fingerprint 0 and link like any others.
     """
     rows = stored(
-        docs.select(*keys, simhash(F.col(text_col), shingle, seed).alias("print")), "simhash-prints"
+        bounded_batches(docs).select(*keys, simhash(F.col(text_col), shingle, seed).alias("print")), "simhash-prints"
     )
     pairs = near_pairs(rows.select("print").distinct(), radius, groups)
     linked = components(pairs).select(F.col("node").alias("print"), "root")

@@ -213,6 +213,18 @@ def check_packed(rows, pieces, ids_of, window):
     return padding / (padding + sum(total.values()))
 
 
+def test_words_are_forgotten_behind_a_task():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    table = packing.WordIds(Tokenizer.from_file(path))
+    first = table.ids("Some words, twice: some words.").tolist()
+    assert len(table)
+    table.forget()
+    assert not table and not table.before
+    assert table.ids("Some words, twice: some words.").tolist() == first
+
+
 def test_packing_is_a_round_trip(spark, monkeypatch):
     from tokenizers import Tokenizer
 
