@@ -150,3 +150,26 @@ def test_a_batch_is_read_in_parts_of_bounded_bytes():
     trees = list(html_tree._read_parts(iter([pages, pages.slice(0, 0)])))
     assert max(map(len, trees)) < 1100 and sum(map(len, trees)) == len(pages)
     assert pa.concat_arrays(trees).equals(html_tree._read_trees(pages))
+
+
+def test_pages_reach_python_in_batches_of_bounded_bytes(spark):
+    from pageframe.sources import readers
+
+    before = spark.conf.get(readers.BATCH_SETTING)
+    try:
+        spark.conf.set(readers.BATCH_SETTING, "64m")
+        pages = spark.range(0, 3000, 1, 1).selectExpr("id AS page_id", "'u' AS url", "repeat('x', 10000) AS html")
+        assert P.parse_pages(pages).count() == 3000
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+        largest = pages.select("html").mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+        assert largest < 2 * readers.BATCH_BYTES
+        for limit in ("1000000b", "3m"):
+            spark.conf.set(readers.BATCH_SETTING, limit)
+            P.parse_pages(pages)
+            assert spark.conf.get(readers.BATCH_SETTING) == limit
+    finally:
+        spark.conf.set(readers.BATCH_SETTING, before)
