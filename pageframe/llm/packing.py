@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from unicodedata import is_normalized
@@ -29,6 +30,8 @@ CACHED_WORDS = 250_000
 #: Letters before this one are letters in every version of Unicode.
 LATIN_END = "\u0250"
 SENTENCE_MARKS = (".", "!", "?", "...", "…", "。")
+#: Marks that make tokens of their own behind a letter; an apostrophe may begin one with the letters that follow.
+TAIL_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECE_DDL = (
     "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 )
@@ -55,15 +58,13 @@ class WordIds(dict):
         self.tokenizer = tokenizer
         self.model = tokenizer.model
         self.before: dict[bytes, bytes] = {}
-        self.tails = {mark: self.encode(chr(mark)) for mark in b".,"}
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def merge(self, word: bytes) -> bytes:
+    def merge(self, letters: str) -> bytes:
         """Ids of a word of Latin letters alone, which is one piece, so the merges can be asked directly."""
-        pieces = self.model.tokenize(word.decode("latin-1").translate(BYTE_LETTERS))
-        return np.array([piece.id for piece in pieces], "<u4").tobytes()
+        return array("I", [piece.id for piece in self.model.tokenize(letters)]).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHED_WORDS:
@@ -71,17 +72,24 @@ class WordIds(dict):
             self.clear()
         ids = self.before.get(word)
         if ids is None:
-            text = word.decode()
-            # After an ASCII letter a last mark is a token of its own, so the word before it can be looked up alone.
-            if len(word) > 1 and word[-1] in self.tails and 97 <= word[-2] <= 122:
-                ids = self[word[:-1]] + self.tails[word[-1]]
-            elif text.isalpha() and max(text) < LATIN_END:
-                ids = self.merge(word)
+            if word.isalpha():  # ASCII letters, which are written as themselves
+                ids = self.merge(word.decode())
             else:
-                ids = self.encode(text)
+                ids = self.mixed(word)
         self[word] = ids
         return ids
 
+    def mixed(self, word: bytes) -> bytes:
+        """Ids of a word that is not of ASCII letters alone."""
+        head = word.rstrip(TAIL_MARKS)
+        text = head.decode()
+        # After a letter the marks are a token run of their own, so the word before them can be looked up alone.
+        if head and len(head) < len(word) and text[-1].isalpha() and text[-1] < LATIN_END:
+            return self[head] + self[word[len(head) :]]
+        if len(head) == len(word) and text.isalpha() and max(text) < LATIN_END:
+            return self.merge(word.decode("latin-1").translate(BYTE_LETTERS))
+        return self.encode(word.decode())
+
     def forget(self) -> None:
         """Drops all words, so that an idle worker holds none."""
         self.clear()
@@ -153,14 +161,21 @@ def candidates(
 
     Multiples of the window are among them, so a way without padding is always one of those compared.
     """
-    known = np.unique(np.concatenate([bounds, sentences, np.arange(0, bounds[-1], window)]))
-    gaps = np.diff(known)
-    wide = np.flatnonzero(gaps > inner_step)
-    extra = [np.arange(known[i] + inner_step, known[i + 1], inner_step) for i in wide]
-    points = np.unique(np.concatenate([known, *extra])) if extra else known
-    costs = np.full(len(points), INNER_PENALTY)
-    costs[np.isin(points, sentences, assume_unique=False)] = SENTENCE_PENALTY
-    costs[np.isin(points, bounds)] = 0
+    size = int(bounds[-1]) + 1
+    costs = np.zeros(size, np.int8)  # of every place between two ids; 0 where the stream is not cut
+    costs[::window] = INNER_PENALTY
+    costs[sentences] = SENTENCE_PENALTY
+    is_bound = np.zeros(size, bool)
+    is_bound[bounds] = True
+    known = np.flatnonzero((costs > 0) | is_bound)
+    # Points of their own inside wide gaps, at every `inner_step` behind a known one.
+    inner = (np.diff(known) - 1) // inner_step
+    nth = np.arange(1, inner.sum() + 1) - np.repeat(np.cumsum(inner) - inner, inner)
+    extra = np.repeat(known[:-1], inner) + nth * inner_step
+    costs[extra] = INNER_PENALTY
+    costs[bounds] = 0
+    points = np.flatnonzero((costs > 0) | is_bound)
+    costs = costs[points]
     return points.tolist(), costs.tolist()
 
 

@@ -191,6 +191,22 @@ def test_ids_equal_the_tokenizers_own(name):
         assert table.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_marks_behind_a_word_are_looked_up_alone(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    table = packing.WordIds(tokenizer)
+    asked = []
+    monkeypatch.setattr(table, "encode", lambda text, encode=table.encode: asked.append(text) or encode(text))
+    text = "word$$$ word!! wörter, cité.%%% fiancé... cité... wörter$$$ word... word%%% über!!"
+    assert table.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert sorted(asked) == sorted({"$$$", "!!", ",", ".%%%", "...", "%%%"})
+    rng = random.Random(7)
+    for _ in range(3000):
+        text = "".join(rng.choice("abszéßAя日İ1²½'’.,!?$%-_&…。€  ") for _ in range(rng.randrange(1, 14)))
+        assert table.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def check_packed(rows, pieces, ids_of, window):
     by_doc = defaultdict(list)
     for p in pieces:
