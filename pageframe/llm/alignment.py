@@ -6,6 +6,8 @@ import hashlib
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
+from string import punctuation
 from typing import NamedTuple
 
 import numpy as np
@@ -59,15 +61,46 @@ class Encoder:
             raise ValueError("pieces that hold a space behind another character, or a normaliser, forbid to cut texts")
         self.space = self.b.piece_to_id("▁")
         self.kind = "H" if max(max(self.bytes_a), len(pieces)) < 1 << 16 else "I"
-        # A mark that no piece holds behind another character is a token of its own at the end of a word.
-        alone = [c for c in ".,;:!?" if not any(re.search(rf"[A-Za-z]{re.escape(c)}", piece) for piece in pieces)]
-        self.mark = {c: tuple(array(self.kind, ids[-1:]).tobytes() for ids in (self.a.encode("x" + c).ids, self.b.encode("x" + c))) for c in alone}
-        self.size_b = [len(x) for x in self.bytes_b]
+        # Marks that no piece holds behind a letter make tokens of their own at the end of a word.
+        behind = {mark for piece in pieces for letter, mark in pairwise(piece) if letter.isalpha()}
+        self.marks = "".join(c for c in punctuation if c != "'" and c not in behind)
+        self.one = len(self.a.encode("x").ids), len(self.b.encode("x"))
+        self.lead = BYTE_LETTERS[ord(" ")]
+        self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
         self.units: dict[str, tuple[bytes, bytes] | None] = {}
         self.before: dict[str, tuple[bytes, bytes] | None] = {}
-
-    def marked(self, unit: str) -> bool:
-        return len(unit) > 1 and unit[-1] in self.mark and unit[-2].isascii() and unit[-2].isalpha()
+        self.tails: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def carried(self, units: set[str]) -> set[str]:
+        """Takes what the generation before knows of new units over; the rest of them."""
+        found = units & self.before.keys()
+        self.units.update(zip(found, map(self.before.__getitem__, found), strict=True))
+        return units - found
+
+    def by_a(self, units: list[str]) -> Iterator[list[int]]:
+        merged, lead = self.a.model.tokenize, self.lead
+        for unit in units:
+            if unit.isalpha() and (unit.isascii() or max(unit) < LATIN_END):  # one pre-token, so the merges can be asked directly
+                written = unit if unit.isascii() else unit.encode().decode("latin-1").translate(BYTE_LETTERS)
+                yield [token.id for token in merged(lead + written)]
+            else:
+                yield self.a.encode(" " + unit, add_special_tokens=False).ids
+
+    def tail(self, marks: str) -> tuple[bytes, bytes] | None:
+        """Ids of marks that follow a letter."""
+        if marks not in self.tails:
+            a, b = self.a.encode("x" + marks, add_special_tokens=False).ids[self.one[0] :], self.b.encode("x" + marks)[self.one[1] :]
+            same = self.size_b[b].sum() == len(marks)
+            self.tails[marks] = (array(self.kind, a).tobytes(), array(self.kind, b).tobytes()) if same else None
+        return self.tails[marks]
+
+    def packed(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Lists of ids side by side, where each begins, and each as bytes."""
+        flat = np.fromiter(chain.from_iterable(ids), self.kind)
+        ends = np.cumsum(list(map(len, ids)))
+        starts = np.concatenate([[0], ends[:-1]])
+        blob, size = flat.tobytes(), flat.itemsize
+        return flat, starts, [blob[lo:hi] for lo, hi in zip((starts * size).tolist(), (ends * size).tolist(), strict=True)]
 
     def learn(self, units: set[str]) -> None:
         """Ids by A and by B of units without the space in front; None where B's bytes are not the unit's own.
@@ -75,25 +108,26 @@ class Encoder:
         When a generation of units is full the next begins; a unit of the one before is carried over when it is met.
         """
         if len(self.units) >= CACHED_UNITS:
-            self.units, self.before = {}, self.units
-        for unit in units & self.before.keys():
-            self.units[unit] = self.before[unit]
-        fresh = units - self.units.keys()
-        marked = [unit for unit in fresh if self.marked(unit)]
-        words = list(fresh.difference(marked) | {unit[:-1] for unit in marked} - self.units.keys())
-        for unit, b in zip(words, self.b.encode(words, num_threads=1), strict=True):
-            if unit.isalpha() and max(unit) < LATIN_END:  # one pre-token, so the merges can be asked directly
-                piece = (" " + unit).encode().decode("latin-1").translate(BYTE_LETTERS)
-                a = [token.id for token in self.a.model.tokenize(piece)]
-            else:
-                a = self.a.encode(" " + unit, add_special_tokens=False).ids
-            b = b or [self.space]
+            self.units, self.before, self.tails = {}, self.units, {}
+        known = self.units
+        fresh = self.carried(units - known.keys())
+        tailed = {}
+        for unit in fresh:
+            head = unit.rstrip(self.marks)
+            if len(head) < len(unit) and head[-1:].isalpha() and head[-1] < LATIN_END:
+                tailed[unit] = head
+        words = list(fresh - tailed.keys() | self.carried(set(tailed.values()) - known.keys()))
+        if words:
+            _, _, ids_a = self.packed(list(self.by_a(words)))
+            flat, starts, ids_b = self.packed([b or [self.space] for b in self.b.encode(words, num_threads=1)])
+            known.update(zip(words, zip(ids_a, ids_b, strict=True), strict=True))
             # All bytes come back but those of U+2581, which B takes for a space.
-            same = sum([self.size_b[i] for i in b]) == len(unit.encode()) + 1
-            self.units[unit] = (array(self.kind, a).tobytes(), array(self.kind, b).tobytes()) if same else None
-        for unit in marked:
-            word, mark = self.units[unit[:-1]], self.mark[unit[-1]]
-            self.units[unit] = word and (word[0] + mark[0], word[1] + mark[1])
+            sizes = np.array([len(word.encode()) + 1 for word in words])
+            for at in np.flatnonzero(np.add.reduceat(self.size_b[flat], starts) != sizes).tolist():
+                known[words[at]] = None
+        for unit, head in tailed.items():
+            word, tail = known[head], self.tail(unit[len(head) :])
+            known[unit] = (word[0] + tail[0], word[1] + tail[1]) if word and tail else None
 
     def segments(self, text: str) -> Iterator[list[str]]:
         """The units of space + text without their leading spaces, a bounded number of characters at a time."""
@@ -109,7 +143,7 @@ class Encoder:
         """Ids of the segments of a text; none where the bytes of its tokens are not its own, which one unit decides."""
         found = []
         for units in segments:
-            known = [self.units[unit] for unit in units]
+            known = list(map(self.units.__getitem__, units))
             if None in known:
                 return []
             found.append((b"".join([x[0] for x in known]), b"".join([x[1] for x in known])))
@@ -129,7 +163,7 @@ class Encoder:
             yield found
             return
         segments = [list(self.segments(text)) if text else [] for text in texts]
-        self.learn({unit for text in segments for units in text for unit in units})
+        self.learn(set().union(*(units for text in segments for units in text)))
         yield from map(self.parts, segments)
 
 
@@ -159,6 +193,7 @@ class Written:
         words = [f"{i}{end}" for side, ends in ((sizes.a, ",|"), (sizes.b, ",;")) for i in range(len(side)) for end in ends]
         words = np.array(words, "S")
         self.letters = words.view(np.uint8).reshape(len(words), words.dtype.itemsize)
+        self.lengths = np.strings.str_len(words)
 
 
 class Aligned:
@@ -167,17 +202,23 @@ class Aligned:
     def __init__(self, parts: list[tuple[bytes, bytes]], sizes: Sizes):
         self.a, self.b = (np.frombuffer(b"".join(side), sizes.kind).astype(np.int64) for side in zip(*parts, strict=True))
         self.counts_a, self.counts_b = (np.array([len(x) // sizes.kind.itemsize for x in side]) for side in zip(*parts, strict=True))
-        self.ends_a, self.ends_b = np.cumsum(sizes.a[self.a]), np.cumsum(sizes.b[self.b])
-        ends = np.concatenate([self.ends_a, self.ends_b])
-        ends.sort(kind="stable")  # two runs in order
-        ends = ends[np.concatenate([ends[1:] != ends[:-1], [True]])]
+        ends_a, ends_b = np.cumsum(sizes.a[self.a]), np.cumsum(sizes.b[self.b])
+        ends = np.concatenate([ends_a, ends_b])
+        order = ends.argsort(kind="stable")  # two runs in order
+        ends = ends[order]
+        last = np.flatnonzero(np.concatenate([ends[1:] != ends[:-1], [True]]))
+        ends = ends[last]
+        upto_a = np.cumsum(order < len(self.a))[last]
+        upto_b = last + 1 - upto_a
         # What lies between two neighbouring ends is in one token of A and one of B: a link.
-        at_a, at_b = np.searchsorted(self.ends_a, ends), np.searchsorted(self.ends_b, ends)
+        at_a, at_b = np.concatenate([[0], upto_a[:-1]]), np.concatenate([[0], upto_b[:-1]])
         self.link_a = self.a[at_a]
         self.pairs = self.link_a * len(sizes.b) + self.b[at_b]
-        self.part_ends = self.ends_a[np.cumsum(self.counts_a) - 1]
+        self.part_ends = ends_a[np.cumsum(self.counts_a) - 1]
         self.part = np.searchsorted(self.part_ends, ends)
-        self.groups = ends[(self.ends_a[at_a] == ends) & (self.ends_b[at_b] == ends)]
+        self.by_end_a, self.by_end_b = upto_a > at_a, upto_b > at_b  # a token of A, of B ends with the link
+        self.is_group = self.by_end_a & self.by_end_b
+        self.groups = ends[self.is_group]
 
     def by_part(self, values: np.ndarray) -> list[int]:
         """Sums of a value of each link."""
@@ -186,14 +227,16 @@ class Aligned:
 
     def texts(self, written: Written) -> list[np.ndarray]:
         """The groups of each part as ASCII, with a last semicolon."""
-        group_a, group_b = np.searchsorted(self.groups, self.ends_a), np.searchsorted(self.groups, self.ends_b)
-        place_a = np.arange(len(self.a)) + np.searchsorted(group_b, group_a)
-        place_b = np.arange(len(self.b)) + np.searchsorted(group_a, group_b, side="right")
+        group = np.cumsum(self.is_group) - self.is_group
+        group_a, group_b = group[self.by_end_a], group[self.by_end_b]
+        upto_a, upto_b = (np.cumsum(np.bincount(of, minlength=len(self.groups))) for of in (group_a, group_b))
+        place_a = np.arange(len(self.a)) + np.concatenate([[0], upto_b])[group_a]
+        place_b = np.arange(len(self.b)) + upto_a[group_b]
         order = np.empty(len(self.a) + len(self.b), np.int64)
-        order[place_a] = 2 * self.a + (self.groups[group_a] == self.ends_a)
-        order[place_b] = 2 * self.b + (self.groups[group_b] == self.ends_b) + written.offset
+        order[place_a] = 2 * self.a + self.is_group[self.by_end_a]
+        order[place_b] = 2 * self.b + self.is_group[self.by_end_b] + written.offset
         letters = written.letters[order]
-        ends = np.cumsum((letters > 0).sum(axis=1))[np.cumsum(self.counts_a + self.counts_b) - 1]
+        ends = np.cumsum(written.lengths[order])[np.cumsum(self.counts_a + self.counts_b) - 1]
         return np.split(letters[letters > 0], ends[:-1])
 
 

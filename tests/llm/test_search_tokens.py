@@ -229,6 +229,33 @@ def test_long_texts_are_aligned_by_segments(monkeypatch):
         assert "".join(" " + unit for unit in whole) == " " + text
 
 
+def test_marks_behind_a_word_are_encoded_alone():
+    rng, own, asked = random.Random(12), alignment.Encoder(BYTE_BPE, PIECES), []
+    library, pieces = own.a, own.b
+
+    class Asked:
+        model = library.model
+
+        def encode(self, text, **how):
+            asked.append(text)
+            return library.encode(text, **how)
+
+    def ids(unit):
+        a, b = library.encode(" " + unit, add_special_tokens=False).ids, pieces.encode(unit) or [own.space]
+        same = sum(len(own.bytes_b[i]) for i in b) == len(unit.encode()) + 1
+        return (np.array(a, own.kind).tobytes(), np.array(b, own.kind).tobytes()) if same else None
+
+    own.a = Asked()
+    units = {"word$$$", "word!!", "word", "wörter.%%%", "cité...", "wörter...", "über&&&"}
+    own.learn(units)
+    assert own.units == {unit: ids(unit) for unit in units | {"wörter", "cité", "über"}}
+    assert sorted(asked) == sorted({"x$$$", "x!!", "x.%%%", "x...", "x&&&"})
+    units = {"".join(rng.choice("abszéßAя日İ1²'’.,!?$%-_&<>…▁\n") for _ in range(rng.randrange(10))) for _ in range(5000)}
+    for some in (units, set(rng.sample(sorted(units), 500))):
+        own.learn(some)
+        assert all(own.units[unit] == ids(unit) for unit in some)
+
+
 def test_units_cut_only_where_tokenizers_start_anew():
     assert split_units("a b  c\n d") == ["a", "b", " c\n d"]
     library, rng = Tokenizer.from_file(BYTE_BPE), random.Random(11)
